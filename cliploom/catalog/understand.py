@@ -36,8 +36,13 @@ FROM {src} g LEFT JOIN words w ON w.job_id = g.job_id AND w.start_ms >= g.start_
 GROUP BY ALL"""
 
 
+def build(spark, sf):
+    return seg.build_segments(fx.words(spark, sf), fx.scenes(spark, sf))
+
+
+@fx.stored
 def spoken_segments(spark, sf):
-    return seg.segments_from_scenes(fx.words(spark, sf), fx.scenes(spark, sf))
+    return build(spark, sf)
 
 
 def energy(spark, sf):
@@ -113,6 +118,7 @@ fx.CTES["sampled"] = (("dense",), _REFINE.format(
     src="dense", cols="k.job_id, k.frame_number, k.ts_ms, k.phash_hi, k.phash_lo, k.in_speech, k.density_kept"))
 
 
+@fx.stored
 def deduped(spark, sf):
     return sampling.dedup_frames(fx.frames(spark, sf))
 
@@ -135,7 +141,7 @@ s2 AS (SELECT s1.job_id, p.k AS idx, s1.frame_number, least(s1.n, {fit}) AS samp
 
 QUERIES = {
     "agg1_segment_assembly": (
-        lambda s, d: spoken_segments(s, d).drop("words", "speakers"),
+        lambda s, d: build(s, d).drop("words", "speakers"),
         fx.with_tables("spoken", "words") + _SEG_SQL.format(src="spoken"),
     ),
     "jon1_words_in_scenes": (
@@ -152,7 +158,7 @@ SELECT w.job_id, w.seq, w.start_ms, w.end_ms, s.scene_id, s.start_ms AS scene_st
 FROM words w JOIN scenes s ON s.job_id = w.job_id AND w.start_ms >= s.start_ms AND w.end_ms <= s.end_ms""",
     ),
     "jon2_long_scene_pieces": (
-        lambda s, d: spoken_segments(s, d)
+        lambda s, d: build(s, d)
         .select("job_id", "seq", "scene_id", "start_ms", "end_ms", F.explode("words").alias("w"))
         .select("job_id", "seq", "scene_id", "start_ms", "end_ms", F.col("w.seq").alias("word_seq")),
         fx.with_tables("spoken_words") + """
@@ -190,7 +196,7 @@ SELECT s.job_id, s.seq, round(coalesce((SELECT min_by(c.energy, c.seq) FROM curv
         fx.with_tables("islands") + "\nSELECT * FROM islands",
     ),
     "stf1_near_duplicate_frames": (
-        deduped,
+        lambda s, d: sampling.dedup_frames(fx.frames(s, d)),
         fx.with_tables("deduped") + "\nSELECT * FROM deduped",
     ),
     "jon4_frame_in_speech": (

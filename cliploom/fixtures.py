@@ -6,17 +6,37 @@ and as the DuckDB common table expression the oracles start from.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cliploom.functions.text import numbered
 from cliploom.operators.blocks import running, seq_block
+from cliploom.sources.scratch import materialize
+
+
+_stored: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def stored(fn):
+    """Derive a table once per application and data folder, then read the written copy."""
+
+    @wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir, fn.__qualname__)
+        if key not in _stored:
+            _stored[key] = materialize(fn(spark, sf_dir), fn.__name__)
+        return _stored[key]
+
+    return run
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@stored
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = table(spark, sf_dir, "conversations")
     tokens = F.filter(F.split(F.regexp_replace("text", "[ \\n\\t\\r]+", " "), " "), lambda z: z != "")
@@ -45,6 +65,7 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@stored
 def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         words(spark, sf_dir)
@@ -60,6 +81,7 @@ def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@stored
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), "event_id")
     n = running(ev, ["job_id"], ["event_id"], seq_block("event_id"), sums={"_b": F.lit(1)})
@@ -92,6 +114,7 @@ def media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@stored
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
     docs = table(spark, sf_dir, "documents").select(
@@ -229,6 +252,7 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@stored
 def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), "event_id", "ts")
     n = running(ev, ["job_id"], ["event_id"], seq_block("event_id"), sums={"seq": F.lit(1)})

@@ -8,7 +8,7 @@ joined back.  Only the summaries of a job ever meet in one task.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cliploom.sources.scratch import materialize
+
 BLOCK_ROWS = 100_000
 BLOCK_MS = 600_000
 
@@ -40,7 +42,6 @@ def running(
     maxes: Mapping[str, Column] | None = None,
     prev: Mapping[str, Column] | None = None,
     following: Mapping[str, Column] | None = None,
-    shuffled: bool = False,
 ) -> DataFrame:
     """Add values computed over the *earlier* rows of the same key, in ``order``.
 
@@ -49,17 +50,13 @@ def running(
     ``prev``      value in the row just before, null for the first row
     ``following`` value in the row just after, null for the last row
 
-    ``block`` must not decrease along ``order`` and must bound the rows it groups.  The input is
-    shuffled once, by key and block; window and summary read that same exchange.  Pass
-    ``shuffled=True`` when the input still carries the partitioning of an earlier call with the same
-    key and block.
+    ``block`` must not decrease along ``order`` and must bound the rows it groups.  The rows are
+    shuffled once, by key and block; the summaries are combined map-side before they move.
     """
     sums, maxes = dict(sums or {}), dict(maxes or {})
     prev, following = dict(prev or {}), dict(following or {})
     keys, order = list(keys), list(order)
     d = df.withColumn("_blk", block)
-    if not shuffled:
-        d = d.repartition(*keys, "_blk")
     position = F.col(order[0]) if len(order) == 1 else F.struct(*order)
 
     totals = d.groupBy(*keys, "_blk").agg(
@@ -124,18 +121,62 @@ def explode_range(df: DataFrame, count: Column, name: str, chunk: int = 10_000)
 
 Accept = Callable[[dict, dict], np.ndarray]
 FAN = 1024
-
-
-def _successors(pdf: pd.DataFrame, n_halo: int, reach: int, cols: Sequence[str], accept: Accept) -> np.ndarray:
-    """For each row: index of the next row taken if this row is the last one taken (n = none)."""
+MINUS = -1  # entry/exit value: the last taken row is out of reach
+
+
+def partitions_of(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def whole_groups(batches: Iterator[pd.DataFrame], by: Sequence[str]) -> Iterator[pd.DataFrame]:
+    """Re-cut a stream of sorted batches so that no group of ``by`` is split between two of them."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        change = np.zeros(len(pdf), dtype=bool)
+        for c in by:
+            v = pdf[c].to_numpy()
+            change[1:] |= v[1:] != v[:-1]
+        cuts = np.flatnonzero(change)
+        if held:
+            same = all(held[-1][c].iloc[-1] == pdf[c].iloc[0] for c in by)
+            if not same:
+                yield pd.concat(held, ignore_index=True)
+                held = []
+        if not len(cuts):
+            held.append(pdf)
+            continue
+        head, tail = pdf.iloc[: cuts[-1]], pdf.iloc[cuts[-1] :]
+        yield pd.concat([*held, head], ignore_index=True)
+        held = [tail]
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def group_bounds(pdf: pd.DataFrame, by: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Group number of each row and the first row of each group (plus the row count at the end)."""
+    change = np.zeros(len(pdf), dtype=bool)
+    change[0] = True
+    for c in by:
+        v = pdf[c].to_numpy()
+        change[1:] |= v[1:] != v[:-1]
+    return np.cumsum(change) - 1, np.append(np.flatnonzero(change), len(pdf))
+
+
+def _successors(pdf: pd.DataFrame, lower: np.ndarray, upper: np.ndarray, reach: int, cols: Sequence[str], accept: Accept) -> np.ndarray:
+    """For each row: index of the next row taken if this row is the last one taken (row count = none).
+
+    Only rows from ``lower`` up to (not including) ``upper`` can be taken.
+    """
     n = len(pdf)
     data = {c: pdf[c].to_numpy() for c in cols}
     pos = pdf["_pos"].to_numpy()
     nxt = np.full(n, n, dtype=np.int64)
     cur = np.arange(n)
-    cand = np.maximum(cur + 1, n_halo)
+    cand = np.maximum(cur + 1, lower)
     while True:
-        live = cand < n
+        live = cand < upper[cur]
         cur, cand = cur[live], cand[live]
         if not len(cur):
             return nxt
@@ -146,19 +187,26 @@ def _successors(pdf: pd.DataFrame, n_halo: int, reach: int, cols: Sequence[str],
         cur, cand = cur[~hit], cand[~hit] + 1
 
 
-def _chain(pdf: pd.DataFrame, start: int) -> tuple[list[tuple[int, int]], int]:
-    """Follow the entry/exit tables block by block; -1 stands for 'last taken row is out of reach'.
+def _layout(pdf: pd.DataFrame, by: Sequence[str]):
+    """Per group: its rows, where its own rows begin (after the look-back rows), and the row limits."""
+    gid, bounds = group_bounds(pdf, by)
+    halo = pdf["_halo"].to_numpy().astype(bool)
+    n_halo = np.add.reduceat(halo.astype(np.int64), bounds[:-1])
+    own = bounds[:-1] + n_halo
+    return gid, bounds, halo, own
 
-    Returns the entry of every block and the state after the last one.
-    """
-    entries = []
-    state = start
-    for blk, part in pdf.groupby("_blk", sort=True):
-        table = dict(zip(part["_entry"].tolist(), part["_exit"].tolist(), strict=True))
-        entry = state if state in table else -1
-        entries.append((int(blk), int(entry)))
-        state = table[entry]
-    return entries, int(state)
+
+def _steps(pdf: pd.DataFrame, by: Sequence[str]) -> Iterator[tuple[int, list[tuple[int, dict]]]]:
+    """Entry/exit tables of sorted rows: for each group its first row and (block, table) pairs in order."""
+    gid, bounds = group_bounds(pdf, by)
+    blk, ent, exi = pdf["_blk"].tolist(), pdf["_entry"].tolist(), pdf["_exit"].tolist()
+    for g in range(len(bounds) - 1):
+        tables: list[tuple[int, dict]] = []
+        for i in range(bounds[g], bounds[g + 1]):
+            if not tables or tables[-1][0] != blk[i]:
+                tables.append((blk[i], {}))
+            tables[-1][1][ent[i]] = exi[i]
+        yield int(bounds[g]), tables
 
 
 def greedy_select(
@@ -169,7 +217,7 @@ def greedy_select(
     reach: int,
     cols: Sequence[str],
     accept: Accept,
-    width: int = BLOCK_MS,
+    width: int = 3_600_000,
     out: str = "taken",
 ) -> DataFrame:
     """Mark rows taken by a greedy pass along ``pos`` (ties by the non-negative integer ``row_id``).
@@ -180,101 +228,134 @@ def greedy_select(
     """
     if width < reach:
         raise ValueError("block width must be at least the reach")
-    keys = list(keys)
-    names = df.columns
+    keys, col_list, n_parts = list(keys), list(cols), partitions_of(df)
+    by_block = [*keys, "_blk"]
     base = df.withColumn("_pos", F.col(pos).cast("long")).withColumn("_id", F.col(row_id).cast("long"))
     base = base.withColumn("_blk", F.floor(F.col("_pos") / F.lit(width)).cast("long"))
     near_end = F.col("_pos") >= (F.col("_blk") + 1) * F.lit(width) - F.lit(reach)
     # Each row goes to its own block and, near the end of it, also to the next one as look-back row.
-    spread = base.withColumn(
-        "_shift", F.explode(F.when(near_end, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
-    )
     spread = (
-        spread.withColumn("_blk", F.col("_blk") + F.col("_shift"))
+        base.withColumn("_shift", F.explode(F.when(near_end, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+        .withColumn("_blk", F.col("_blk") + F.col("_shift"))
         .withColumn("_halo", F.col("_shift") == 1)
         .drop("_shift")
-        .repartition(*keys, "_blk")
+        .repartition(n_parts, *by_block)
     )
     key_fields = [df.schema[k] for k in keys]
-    table_schema = T.StructType(
-        key_fields
-        + [T.StructField("_blk", T.LongType()), T.StructField("_entry", T.LongType()), T.StructField("_exit", T.LongType())]
-    )
-    entry_schema = T.StructType(key_fields + [T.StructField("_blk", T.LongType()), T.StructField("_entry", T.LongType())])
-    col_list = list(cols)
-
-    def transfer(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_pos", "_id"], ignore_index=True)
-        n, h = len(pdf), int(pdf["_halo"].sum())
-        if h == n:  # only look-back rows: the job has no rows in this block
-            return pd.DataFrame(columns=table_schema.names)
-        nxt = _successors(pdf, h, reach, col_list, accept)
-        last = np.where(nxt == n, np.arange(n), nxt)
-        while True:
-            step = last[last]
-            if np.array_equal(step, last):
-                break
-            last = step
-        ids = pdf["_id"].to_numpy()
-        entries = np.concatenate([[-1], ids[:h]])
-        exits = np.concatenate([[ids[last[h]]], ids[last[:h]]])
-        res = {k: [v] * (h + 1) for k, v in zip(keys, key[: len(keys)], strict=True)}
-        return pd.DataFrame({**res, "_blk": key[-1], "_entry": entries, "_exit": exits})
-
-    tables = (
-        spread.select(*keys, "_blk", "_halo", "_pos", "_id", *[c for c in col_list if c not in keys])
-        .groupBy(*keys, "_blk")
-        .applyInPandas(transfer, table_schema)
-    )
-
-    def climb(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf[pdf["_blk"] == pdf["_blk"].min()]
-        entries = first["_entry"].to_numpy()
-        exits = [_chain(pdf, e)[1] for e in entries.tolist()]
-        res = {k: [v] * len(entries) for k, v in zip(keys, key[: len(keys)], strict=True)}
-        return pd.DataFrame({**res, "_blk": key[-1], "_entry": entries, "_exit": exits})
-
+    longs = [T.StructField(c, T.LongType()) for c in ("_blk", "_entry", "_exit")]
+    table_schema = T.StructType(key_fields + longs)
+    entry_schema = T.StructType(key_fields + longs[:2])
+
+    def transfer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_groups(batches, by_block):
+            gid, bounds, halo, own = _layout(pdf, by_block)
+            n = len(pdf)
+            nxt = _successors(pdf, own[gid], bounds[1:][gid], reach, col_list, accept)
+            last = np.where(nxt == n, np.arange(n), nxt)
+            while True:
+                step = last[last]
+                if np.array_equal(step, last):
+                    break
+                last = step
+            ids = pdf["_id"].to_numpy()
+            filled = own < bounds[1:]  # blocks with rows of their own
+            heads = own[filled]
+            look = np.flatnonzero(halo & filled[gid])
+            rows = np.concatenate([heads, look])
+            res = pdf.iloc[rows][by_block].reset_index(drop=True)
+            res["_entry"] = np.concatenate([np.full(len(heads), MINUS), ids[look]])
+            res["_exit"] = ids[last[rows]]
+            yield res
+
+    narrow = spread.select(*by_block, "_halo", "_pos", "_id", *[c for c in col_list if c not in keys])
     sup = F.floor(F.col("_blk") / F.lit(FAN)).cast("long")
-    upper = tables.withColumn("_sup", sup).groupBy(*keys, "_sup").applyInPandas(climb, table_schema)
-
-    def descend_top(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        steps, _ = _chain(pdf, -1)
-        res = {k: [v] * len(steps) for k, v in zip(keys, key[: len(keys)], strict=True)}
-        return pd.DataFrame({**res, "_blk": [s[0] for s in steps], "_entry": [s[1] for s in steps]})
-
-    tops = upper.groupBy(*keys).applyInPandas(descend_top, entry_schema)
-
-    def descend(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        steps, _ = _chain(pdf, int(pdf["_start"].iloc[0]))
-        res = {k: [v] * len(steps) for k, v in zip(keys, key[: len(keys)], strict=True)}
-        return pd.DataFrame({**res, "_blk": [s[0] for s in steps], "_entry": [s[1] for s in steps]})
-
-    entries = (
-        tables.withColumn("_sup", sup)
-        .join(tops.select(*keys, F.col("_blk").alias("_sup"), F.col("_entry").alias("_start")), keys + ["_sup"])
-        .groupBy(*keys, "_sup")
-        .applyInPandas(descend, entry_schema)
+    tables = (
+        narrow.sortWithinPartitions(*by_block, "_pos", "_id")
+        .mapInPandas(transfer, table_schema)
+        .withColumn("_sup", sup)
     )
+    # A few look-back rows per block, read several times below.
+    tables = materialize(tables, "chain")
+    by_sup = [*keys, "_sup"]
+
+    def climb(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_groups(batches, by_sup):
+            rows, entries, exits = [], [], []
+            for first, steps in _steps(pdf, by_sup):
+                for entry in steps[0][1]:
+                    state = entry
+                    for _, table in steps:
+                        state = table[state if state in table else MINUS]
+                    rows.append(first)
+                    entries.append(entry)
+                    exits.append(state)
+            res = pdf.iloc[rows][keys].reset_index(drop=True)
+            res["_blk"] = pdf["_sup"].to_numpy()[rows]
+            res["_entry"], res["_exit"] = entries, exits
+            yield res
+
+    def walk(by: list[str], start_col: str | None):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in whole_groups(batches, by):
+                rows, blocks, entries = [], [], []
+                for first, steps in _steps(pdf, by):
+                    state = MINUS if start_col is None else int(pdf[start_col].iloc[first])
+                    for blk, table in steps:
+                        entry = state if state in table else MINUS
+                        rows.append(first)
+                        blocks.append(blk)
+                        entries.append(entry)
+                        state = table[entry]
+                res = pdf.iloc[rows][keys].reset_index(drop=True)
+                res["_blk"], res["_entry"] = blocks, entries
+                yield res
+
+        return run
+
+    sups = tables.agg((F.max("_sup") - F.min("_sup")).alias("n")).first()["n"]
+    if not sups:  # every job fits into one upper block
+        entries = (
+            tables.repartition(n_parts, *keys)
+            .sortWithinPartitions(*keys, "_blk", "_entry")
+            .mapInPandas(walk(keys, None), entry_schema)
+        )
+    else:
+        by_parts = tables.repartition(n_parts, *by_sup)
+        upper = by_parts.sortWithinPartitions(*by_sup, "_blk", "_entry").mapInPandas(climb, table_schema)
+        tops = (
+            upper.repartition(n_parts, *keys)
+            .sortWithinPartitions(*keys, "_blk", "_entry")
+            .mapInPandas(walk(keys, None), entry_schema)
+            .select(*keys, F.col("_blk").alias("_sup"), F.col("_entry").alias("_start"))
+        )
+        entries = (
+            by_parts.join(tops, by_sup)
+            .sortWithinPartitions(*by_sup, "_blk", "_entry")
+            .mapInPandas(walk(by_sup, "_start"), entry_schema)
+        )
 
+    names = df.columns
     out_schema = T.StructType([df.schema[c] for c in names] + [T.StructField(out, T.BooleanType())])
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_pos", "_id"], ignore_index=True)
-        n, h = len(pdf), int(pdf["_halo"].sum())
-        nxt = _successors(pdf, h, reach, col_list, accept)
-        entry = pdf["_entry"].iloc[0]
-        at = np.flatnonzero(pdf["_id"].to_numpy()[:h] == entry)
-        i = int(nxt[at[0]]) if len(at) else h
-        mask = np.zeros(n, dtype=bool)
-        while i < n:
-            mask[i] = True
-            i = int(nxt[i])
-        pdf[out] = mask
-        return pdf.loc[~pdf["_halo"], out_schema.names]
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in whole_groups(batches, by_block):
+            gid, bounds, halo, own = _layout(pdf, by_block)
+            n = len(pdf)
+            nxt = _successors(pdf, own[gid], bounds[1:][gid], reach, col_list, accept)
+            at = own.copy()
+            resumed = np.flatnonzero(halo & (pdf["_id"].to_numpy() == pdf["_entry"].to_numpy()))
+            at[gid[resumed]] = nxt[resumed]
+            mask = np.zeros(n + 1, dtype=bool)
+            at = at[at < n]
+            while len(at):
+                mask[at] = True
+                at = nxt[at]
+                at = at[at < n]
+            pdf[out] = mask[:n]
+            yield pdf.loc[~halo, out_schema.names]
 
     return (
-        spread.join(entries, keys + ["_blk"])
-        .groupBy(*keys, "_blk")
-        .applyInPandas(replay, out_schema)
+        spread.join(entries, by_block)
+        .sortWithinPartitions(*by_block, "_pos", "_id")
+        .mapInPandas(replay, out_schema)
     )
-

@@ -90,7 +90,7 @@ def merge_intervals(
     seen = running(rows, keys, ["_s"], block, maxes={"_reach": F.col("_e")})
     fresh = F.col("_reach").isNull() | (F.col("_s") > F.col("_reach") + F.lit(gap_ms))
     marked = seen.withColumn("_first", F.when(fresh, F.col("_s")))
-    marked = running(marked, keys, ["_s"], block, maxes={"_open": F.col("_first")}, shuffled=True)
+    marked = running(marked, keys, ["_s"], block, maxes={"_open": F.col("_first")})
     return (
         marked.groupBy(*keys, F.coalesce("_first", "_open").alias(start))
         .agg(F.max("_e").alias(end), F.sum("_members").alias("members"))

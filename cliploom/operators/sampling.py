@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cliploom.functions.text import frame_label, hamming, js_round
 from cliploom.operators.blocks import greedy_select, running, time_block
 from cliploom.operators.intervals import points_in_intervals, speech_islands
+from cliploom.sources.scratch import materialize
 
 SAME = 10
 MODERATE = 25
@@ -125,7 +126,8 @@ def visual_refinement(frames: DataFrame, same: int = SAME, moderate: int = MODER
 
 def adaptive_sampling(frames: DataFrame, words: DataFrame) -> DataFrame:
     """Speech density, then visual refinement, on already flagged frames."""
-    return visual_refinement(speech_density(frames, speech_islands(words)))
+    dense = materialize(speech_density(frames, speech_islands(words)), "density")
+    return visual_refinement(dense)
 
 
 def sampling_counts(sampled: DataFrame) -> DataFrame:
