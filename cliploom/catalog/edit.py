@@ -217,6 +217,37 @@ m0 AS (SELECT *, max(end_ms) OVER (PARTITION BY job_id, seq ORDER BY start_ms, e
 m1 AS (SELECT *, sum(CASE WHEN r IS NULL OR start_ms > r THEN 1 ELSE 0 END) OVER (PARTITION BY job_id, seq ORDER BY start_ms, end_ms) AS g FROM m0),
 merged AS (SELECT job_id, seq, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM m1 GROUP BY job_id, seq, g)"""
 
+fx.CTES["take_pairs"] = (("rep_pairs", "rep_tok"), """
+WITH RECURSIVE c AS (
+  SELECT p.job_id, p.seq, p.i, list(p.j ORDER BY p.j) AS js, row_number() OVER (PARTITION BY p.job_id, p.seq ORDER BY p.i) AS r
+  FROM rep_pairs p JOIN (SELECT job_id, seq, count(*) AS n FROM rep_tok GROUP BY ALL) q USING (job_id, seq) WHERE q.n >= 12 GROUP BY p.job_id, p.seq, p.i),
+st AS (
+  SELECT job_id, seq, r, i, js[1] AS j, list_concat(range(i, i + 6), range(js[1], js[1] + 6)) AS used FROM c WHERE r = 1
+  UNION ALL
+  SELECT c.job_id, c.seq, c.r, c.i, q.j, CASE WHEN q.j IS NULL THEN s.used ELSE list_concat(s.used, list_concat(range(c.i, c.i + 6), range(q.j, q.j + 6))) END
+  FROM st s JOIN c ON c.job_id = s.job_id AND c.seq = s.seq AND c.r = s.r + 1,
+    LATERAL (SELECT CASE WHEN list_contains(s.used, c.i) THEN NULL ELSE list_filter(c.js, lambda x: NOT list_contains(s.used, x))[1] END AS j) q)
+SELECT job_id, seq, row_number() OVER (PARTITION BY job_id, seq ORDER BY i) - 1 AS cluster, i, j FROM st WHERE j IS NOT NULL""")
+fx.CTES["take_rows"] = (("take_pairs", "rep_tok", "rep_seg"), """
+WITH e AS (SELECT job_id, seq, cluster, 0 AS take, i AS k0 FROM take_pairs UNION ALL SELECT job_id, seq, cluster, 1, j FROM take_pairs),
+t AS (SELECT e.job_id, e.seq, e.cluster, e.take, arg_min(w.start_ms, w.k) AS start_ms, arg_max(w.end_ms, w.k) AS end_ms,
+    string_agg(w.text, ' ' ORDER BY w.k) FILTER (w.k < e.k0 + 5) AS phrase, coalesce(avg(w.confidence), 0.7::DOUBLE) AS audio_confidence
+  FROM e JOIN rep_tok w ON w.job_id = e.job_id AND w.seq = e.seq AND w.k BETWEEN e.k0 AND e.k0 + 5 GROUP BY e.job_id, e.seq, e.cluster, e.take, e.k0),
+v AS (SELECT t.*, """ + _VISUAL.format(seg="rep_seg", t="t") + """ AS visual_score FROM t),
+c AS (SELECT *, 0.7::DOUBLE * audio_confidence + 0.3::DOUBLE * visual_score AS combined_score FROM v),
+p AS (SELECT job_id, seq, cluster, max(combined_score) FILTER (take = 0) AS s0, max(combined_score) FILTER (take = 1) AS s1,
+    max(phrase) FILTER (take = 0) AS p0, max(phrase) FILTER (take = 1) AS p1 FROM c GROUP BY ALL),
+b AS (SELECT *, CASE WHEN abs(s0 - s1) < 0.02::DOUBLE OR s0 > s1 THEN 0 ELSE 1 END AS win FROM p)
+SELECT c.job_id, c.seq, printf('seg_%03d', c.seq) AS segment_id, c.cluster, c.take, CASE WHEN b.win = 0 THEN p0 ELSE p1 END AS phrase,
+  c.start_ms, c.end_ms, audio_confidence, visual_score, combined_score, c.take = b.win AS kept FROM c JOIN b USING (job_id, seq, cluster)""")
+_TAKE_CUTS = """,
+some_spans AS (SELECT job_id, seq, start_ms, end_ms FROM take_rows WHERE NOT kept),""" + _MERGED + """,
+c AS (SELECT m.job_id, m.seq, coalesce(lag(m.end_ms) OVER (PARTITION BY m.job_id, m.seq ORDER BY m.start_ms), g.start_ms) AS s, m.start_ms AS e
+    FROM merged m JOIN rep_seg g USING (job_id, seq)
+  UNION ALL SELECT m.job_id, m.seq, max(m.end_ms), any_value(g.end_ms) FROM merged m JOIN rep_seg g USING (job_id, seq) GROUP BY m.job_id, m.seq),
+p AS (SELECT * FROM c WHERE e > s)
+SELECT g.job_id, g.seq, g.segment_id, 'keep' AS action, p.s AS trim_start_ms, p.e AS trim_end_ms FROM rep_seg g LEFT JOIN p USING (job_id, seq)"""
+
 
 QUERIES = {
     "prj2_kept_windows": (
@@ -340,7 +371,7 @@ SELECT d.job_id, d.seq, d.segment_id, CASE WHEN p.s IS NULL THEN d.action ELSE '
 FROM spoken_decisions d LEFT JOIN p USING (job_id, seq)""",
     ),
     "win9_merged_spans": (
-        lambda s, d: intervals.merge_intervals(some_spans(s, d), ["job_id", "seq"]).drop("members"),
+        lambda s, d: intervals.merge_intervals(some_spans(s, d), ["job_id", "seq"]),
         fx.with_tables("some_spans") + "," + _MERGED + "\nSELECT * FROM merged",
     ),
     "jon17_repeat_candidates": (
@@ -349,14 +380,15 @@ FROM spoken_decisions d LEFT JOIN p USING (job_id, seq)""",
     ),
     "stf4_best_takes": (
         lambda s, d: takes.pick_takes(keep_all(s, d), repeated(s, d))[0],
-        None,
+        fx.with_tables("take_rows", "rep_seg") + _TAKE_CUTS,
     ),
     "agg17_take_scores": (
         lambda s, d: takes.score_takes(keep_all(s, d), repeated(s, d))
         .withColumn("audio_confidence", F.round("audio_confidence", 6))
         .withColumn("visual_score", F.round("visual_score", 6))
         .withColumn("combined_score", F.round("combined_score", 6)),
-        None,
+        fx.with_tables("take_rows")
+        + "\nSELECT * REPLACE (round(audio_confidence, 6) AS audio_confidence, round(visual_score, 6) AS visual_score, round(combined_score, 6) AS combined_score) FROM take_rows",
     ),
     "jon12_visual_scores": (
         lambda s, d: takes.visual_scores(

@@ -85,7 +85,7 @@ def merge_intervals(
     """Union of intervals per key; two merge when the later starts at most ``gap_ms`` after the running end."""
     keys = list(keys)
     # Equal starts always merge, so they are combined before the shuffle by block.
-    rows = spans.groupBy(*keys, F.col(start).alias("_s")).agg(F.max(end).alias("_e"), F.count(F.lit(1)).alias("_members"))
+    rows = spans.groupBy(*keys, F.col(start).alias("_s")).agg(F.max(end).alias("_e"))
     block = time_block("_s", block_ms)
     seen = running(rows, keys, ["_s"], block, maxes={"_reach": F.col("_e")})
     fresh = F.col("_reach").isNull() | (F.col("_s") > F.col("_reach") + F.lit(gap_ms))
@@ -93,8 +93,8 @@ def merge_intervals(
     marked = running(marked, keys, ["_s"], block, maxes={"_open": F.col("_first")})
     return (
         marked.groupBy(*keys, F.coalesce("_first", "_open").alias(start))
-        .agg(F.max("_e").alias(end), F.sum("_members").alias("members"))
-        .select(*keys, start, end, "members")
+        .agg(F.max("_e").alias(end))
+        .select(*keys, start, end)
     )
 
 
@@ -105,7 +105,7 @@ def speech_islands(words: DataFrame, gap_ms: int = 1500) -> DataFrame:
     reduced to one interval by a map-side aggregate first.
     """
     slots = words.groupBy("job_id", F.floor(F.col("start_ms") / F.lit(max(gap_ms, 1))).alias("_slot")).agg(
-        F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count(F.lit(1)).alias("n")
+        F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")
     )
     merged = merge_intervals(slots, gap_ms=gap_ms)
     return merged.select("job_id", "start_ms", "end_ms")
@@ -124,18 +124,16 @@ def complement(
     nothing left, yield no row here: the caller keeps the original there.
     """
     keys = list(keys)
-    rows = removed.join(windows.select(*keys, window_start, window_end), keys)
-    block = time_block("start_ms")
-    placed = running(rows, keys, ["start_ms"], block, prev={"_cut_end": F.col("end_ms")})
-    cursor = F.coalesce(F.col("_cut_end"), F.col(window_start))
-    before = placed.select(*keys, cursor.alias("_from"), F.col("start_ms").alias("_to"))
-    after = (
-        rows.groupBy(*keys, window_end)
-        .agg(F.max_by("end_ms", "start_ms").alias("_from"))
-        .select(*keys, "_from", F.col(window_end).alias("_to"))
-    )
-    return (
-        before.unionByName(after)
-        .filter("_from < _to")
-        .select(*keys, F.col("_from").alias("start_ms"), F.col("_to").alias("end_ms"))
-    )
+    placed = running(
+        removed.select(*keys, "start_ms", "end_ms"),
+        keys,
+        ["start_ms"],
+        time_block("start_ms"),
+        prev={"_cut_end": F.col("end_ms")},
+        following={"_next": F.col("start_ms")},
+    ).join(windows.select(*keys, window_start, window_end), keys)
+    piece = lambda a, b: F.struct(a.cast("long").alias("start_ms"), b.cast("long").alias("end_ms"))
+    before = piece(F.coalesce("_cut_end", window_start), F.col("start_ms"))
+    after = piece(F.col("end_ms"), F.col(window_end))
+    parts = F.when(F.col("_next").isNull(), F.array(before, after)).otherwise(F.array(before))
+    return placed.select(*keys, F.explode(parts).alias("_p")).select(*keys, "_p.start_ms", "_p.end_ms").filter("start_ms < end_ms")

@@ -188,14 +188,20 @@ def remove_spans(decisions: DataFrame, segments: DataFrame, spans: DataFrame) ->
     windows = windowed(decisions, segments).select("job_id", "seq", "win_start_ms", "win_end_ms")
     merged = merge_intervals(spans.select("job_id", "seq", "start_ms", "end_ms"), keys=["job_id", "seq"])
     pieces = complement(windows, merged, ["job_id", "seq"])
-    pieces = pieces.select(
-        "job_id", "seq", F.col("start_ms").alias("trim_start_ms"), F.col("end_ms").alias("trim_end_ms")
+    pieces = pieces.select("job_id", "seq", F.col("start_ms").alias("_from"), F.col("end_ms").alias("_to"))
+    cut = F.col("_from").isNotNull()
+    return (
+        decisions.select("job_id", "seq", "segment_id", "action", "trim_start_ms", "trim_end_ms")
+        .join(pieces, ["job_id", "seq"], "left")
+        .select(
+            "job_id",
+            "seq",
+            "segment_id",
+            F.when(cut, "keep").otherwise(F.col("action")).alias("action"),
+            F.when(cut, F.col("_from")).otherwise(F.col("trim_start_ms")).alias("trim_start_ms"),
+            F.when(cut, F.col("_to")).otherwise(F.col("trim_end_ms")).alias("trim_end_ms"),
+        )
     )
-    ids = decisions.select("job_id", "seq", "segment_id")
-    cut = pieces.join(ids, ["job_id", "seq"]).withColumn("action", F.lit("keep"))
-    whole = decisions.join(pieces.select("job_id", "seq").distinct(), ["job_id", "seq"], "left_anti")
-    cols = ["job_id", "seq", "segment_id", "action", "trim_start_ms", "trim_end_ms"]
-    return cut.select(cols).unionByName(whole.select(cols))
 
 
 def pick_takes(decisions: DataFrame, segments: DataFrame) -> tuple[DataFrame, DataFrame]:
