@@ -106,14 +106,14 @@ def cost_rollup(priced: DataFrame, budgets: DataFrame) -> DataFrame:
     def by(key: str, name: str) -> DataFrame:
         g = fine.groupBy("job_id", key).agg(F.sum("c").alias("c"))
         return g.groupBy("job_id").agg(
-            F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key), F.round("c", 6))))).alias(name)
+            F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key), F.round("c", 9))))).alias(name)
         )
 
     out = per.join(by("stage", "by_stage"), "job_id").join(by("provider", "by_provider"), "job_id").join(budgets, "job_id", "left")
     b, t = F.col("budget_usd"), F.col("total_usd")
     return out.select(
         "job_id",
-        F.round(t, 6).alias("total_usd"),
+        F.round(t, 9).alias("total_usd"),
         "input_tokens",
         "output_tokens",
         "calls",
@@ -121,7 +121,7 @@ def cost_rollup(priced: DataFrame, budgets: DataFrame) -> DataFrame:
         "by_provider",
         F.coalesce(t >= b * 0.8, F.lit(False)).alias("near_budget"),
         F.coalesce(t >= b, F.lit(False)).alias("over_budget"),
-        F.round(b - t, 6).alias("remaining_usd"),
+        F.round(b - t, 9).alias("remaining_usd"),
     )
 
 
@@ -129,22 +129,24 @@ def cost_dashboard(priced: DataFrame, jobs: DataFrame) -> DataFrame:
     """Spend over all jobs: totals, mean per tracked job, by provider and by stage, largest first."""
     per = priced.groupBy("job_id", "provider", "stage").agg(F.sum("cost_usd").alias("c"))
     per = per.join(jobs.select("job_id").distinct(), "job_id", "left_semi")
-    grand = per.agg(F.coalesce(F.sum("c"), F.lit(0.0)).alias("t"), F.countDistinct("job_id").alias("n")).crossJoin(
-        F.broadcast(jobs.agg(F.count(F.lit(1)).alias("j")))
-    )
+    grand = per.agg(F.coalesce(F.sum("c"), F.lit(0.0)).alias("t"), F.countDistinct("job_id").alias("n"))
     rows = F.array(
-        F.struct(F.lit("total").alias("k"), F.lit("spend").alias("name"), F.col("t").alias("v")),
-        F.struct(F.lit("total"), F.lit("jobs_tracked"), F.col("n").cast("double")),
-        F.struct(F.lit("total"), F.lit("mean_per_job"), F.when(F.col("n") > 0, F.col("t") / F.col("n")).otherwise(F.lit(0.0))),
-        F.struct(F.lit("total"), F.lit("jobs"), F.col("j").cast("double")),
+        F.struct(F.lit("spend").alias("name"), F.col("t").alias("v")),
+        F.struct(F.lit("jobs_tracked").alias("name"), F.col("n").cast("double").alias("v")),
+        F.struct(
+            F.lit("mean_per_job").alias("name"), F.when(F.col("n") > 0, F.col("t") / F.col("n")).otherwise(F.lit(0.0)).alias("v")
+        ),
+    )
+    head = grand.select(F.explode(rows).alias("x")).select(F.lit("total").alias("k"), "x.name", "x.v")
+    head = head.unionByName(
+        jobs.agg(F.count(F.lit(1)).cast("double").alias("v")).select(F.lit("total").alias("k"), F.lit("jobs").alias("name"), "v")
     )
-    head = grand.select(F.explode(rows).alias("x")).select("x.k", "x.name", "x.v")
     prov = per.groupBy(F.col("provider").alias("name")).agg(F.sum("c").alias("v")).select(F.lit("provider").alias("k"), "name", "v")
     stage = per.groupBy(F.col("stage").alias("name")).agg(F.sum("c").alias("v")).select(F.lit("stage").alias("k"), "name", "v")
     return (
         head.unionByName(prov)
         .unionByName(stage)
-        .select(F.col("k").alias("breakdown"), "name", F.round("v", 6).alias("value"))
+        .select(F.col("k").alias("breakdown"), "name", F.round("v", 9).alias("value"))
         .orderBy("breakdown", F.desc("value"), "name")
     )
 
@@ -155,5 +157,5 @@ def tracked_jobs(jobs: DataFrame, reports: DataFrame) -> DataFrame:
     return j.agg(
         F.count(F.lit(1)).alias("total_jobs"),
         F.count("total_usd").alias("tracked_jobs"),
-        F.round(F.coalesce(F.sum("total_usd"), F.lit(0.0)), 6).alias("total_usd"),
+        F.round(F.coalesce(F.sum("total_usd"), F.lit(0.0)), 9).alias("total_usd"),
     )

@@ -111,7 +111,8 @@ def apply_updates(segments: DataFrame, updates: DataFrame) -> DataFrame:
         if nullable:
             return F.map_contains_key("m", key)
         v = F.col("m")[key]
-        return v.isNotNull() & (v != "") & ~v.isin("0", "false")
+        some = v.isNotNull() & (v != "")
+        return some & (v != "0") if key == "visualInterest" else some
 
     merged = u.groupBy("job_id", "segment_id").agg(
         *[
