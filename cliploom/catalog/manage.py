@@ -305,6 +305,13 @@ def fixes(s, d):
     return w.select("job_id", F.col("seq").alias("ord"), spec.alias("spec"))
 
 
+fx.CTES["fix_hits"] = (("spoken_words", "words"), """
+WITH f AS (SELECT job_id, seq AS ord, CASE WHEN job_id % 20 = 0 AND seq = 13 THEN 'nosuchword' ELSE text END AS t, start_ms + 100 AS pos_ms, 'Fixed' || seq AS repl
+  FROM words WHERE seq % 9 = 4 AND job_id % 2 = 0 AND seq < 400)
+SELECT f.job_id, f.ord, f.t || '@' || printf('%.3f', pos_ms / 1000.0) || '=' || repl AS spec, repl,
+  (SELECT min({'seg': w.seg_seq, 'word': w.seq}) FROM spoken_words w WHERE w.job_id = f.job_id AND w.text = f.t AND abs(w.start_ms - f.pos_ms) < 500) AS pos FROM f""")
+
+
 def texts(s, d):
     docs = fx.table(s, d, "documents").select("text", F.col("lang").alias("language"), "source")
     conv = fx.table(s, d, "conversations").select("text", F.lit("en").alias("language"), F.col("role").alias("source"))
@@ -679,11 +686,16 @@ SELECT job_id, count(*) AS flagged, string_agg('"' || trim(text) || '" @' || """
     ),
     "jon11_transcript_fixes": (
         lambda s, d: corrections.correct_transcripts(un.spoken_segments(s, d), fixes(s, d))[0].select("job_id", "seq", "transcript"),
-        None,
+        fx.with_tables("fix_hits", "spoken", "spoken_words") + """,
+ok AS (SELECT job_id FROM fix_hits GROUP BY job_id HAVING count(*) = count(pos)),
+hit AS (SELECT job_id, pos.seg AS seg, pos.word AS word, max_by(repl, ord) AS repl FROM fix_hits SEMI JOIN ok USING (job_id) GROUP BY ALL),
+t AS (SELECT w.job_id, w.seg_seq, string_agg(CASE WHEN h.repl IS NOT NULL THEN h.repl ELSE w.text END, ' ' ORDER BY w.seq) AS tr
+  FROM spoken_words w LEFT JOIN hit h ON h.job_id = w.job_id AND h.seg = w.seg_seq AND h.word = w.seq GROUP BY ALL)
+SELECT g.job_id, g.seq, coalesce(t.tr, '') AS transcript FROM spoken g LEFT JOIN t ON t.job_id = g.job_id AND t.seg_seq = g.seq""",
     ),
     "jon11_fix_problems": (
         lambda s, d: corrections.correct_transcripts(un.spoken_segments(s, d), fixes(s, d))[1],
-        None,
+        fx.with_tables("fix_hits") + "\nSELECT job_id, ord, spec, 'not_found' AS problem FROM fix_hits WHERE pos IS NULL",
     ),
     **{f"prj5_digest_{v}": (_variant(v), _digest_sql(sql)) for v, sql in _DIGESTS.items()},
     "prj5_digest_tighten": (

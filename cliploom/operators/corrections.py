@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cliploom.functions.text import seconds_text
-from cliploom.operators.blocks import running, seq_block
+from cliploom.operators.blocks import partitions_of, running, seq_block
 from cliploom.operators.intervals import merge_intervals, points_in_intervals
 from cliploom.sources.scratch import materialize
 
@@ -88,7 +88,7 @@ def match_fixes(segments: DataFrame, specs: DataFrame, tolerance_ms: int = 500)
     spans = merge_intervals(
         timed.select("job_id", F.col("_t").alias("start_ms"), F.col("_t").alias("end_ms")), gap_ms=2 * tolerance_ms + 2
     )
-    spans = spans.select("job_id", F.col("start_ms").alias("_cluster"), "end_ms")
+    spans = materialize(spans.select("job_id", F.col("start_ms").alias("_cluster"), "end_ms"), "fix-clusters")
     tagged = points_in_intervals(timed, "_t", "_t", spans, "_cluster", "end_ms").drop("end_ms", "_t")
     reach = spans.select(
         "job_id", "_cluster", (F.col("_cluster") - tolerance_ms).alias("_lo"), (F.col("end_ms") + tolerance_ms + 1).alias("_hi")
@@ -106,27 +106,35 @@ def match_fixes(segments: DataFrame, specs: DataFrame, tolerance_ms: int = 500)
     )
 
     def work(spec: pd.DataFrame, word: pd.DataFrame) -> pd.DataFrame:
-        spec = spec.sort_values("ord", ignore_index=True)
-        word = word.sort_values(["seg_seq", "word_seq"], ignore_index=True)
+        spec = spec.sort_values(["job_id", "_spec_cluster", "ord"], ignore_index=True)
+        word = word.sort_values(["_word_job", "_cluster", "seg_seq", "word_seq"], ignore_index=True)
         now, start = word["_text"].to_numpy(dtype=object).copy(), word["_start"].to_numpy(dtype=float)
-        seg: list = []
-        pos: list = []
-        for text, at, new in zip(spec["text"], spec["at_s"], spec["replacement"], strict=True):
-            hit = np.flatnonzero((now == text) & (np.abs(start - at * 1000) < tolerance_ms))
+        where = {k: (v[0], v[-1] + 1) for k, v in word.groupby(["_word_job", "_cluster"]).indices.items()}
+        found = []
+        keys = zip(spec["job_id"], spec["_spec_cluster"], strict=True)
+        for key, text, at, new in zip(keys, spec["text"], spec["at_s"], spec["replacement"], strict=True):
+            lo, hi = where.get(key, (0, 0))
+            hit = np.flatnonzero((now[lo:hi] == text) & (np.abs(start[lo:hi] - at * 1000) < tolerance_ms))
+            found.append(lo + hit[0] if len(hit) else -1)
             if len(hit):
-                now[hit[0]] = new.strip()
-                seg.append(int(word["seg_seq"].iloc[hit[0]]))
-                pos.append(int(word["word_seq"].iloc[hit[0]]))
-            else:
-                seg.append(None)
-                pos.append(None)
-        spec["seg_seq"] = pd.array(seg, dtype="Int64")
-        spec["word_seq"] = pd.array(pos, dtype="Int64")
+                now[found[-1]] = new.strip()
+        at_row = np.array(found, dtype=np.int64)
+        for c in ("seg_seq", "word_seq"):
+            col = pd.array(word[c].to_numpy()[at_row] if len(word) else np.zeros(len(spec), dtype=np.int64), dtype="Int64")
+            col[at_row < 0] = pd.NA
+            spec[c] = col
         return spec[schema.names]
 
-    left = tagged.withColumnRenamed("_cluster", "_spec_cluster").groupBy("job_id", "_spec_cluster")
+    # Clusters are handed to Python in bundles: whole clusters, many at a time.
+    n = 4 * partitions_of(specs)
+
+    def bundle(df: DataFrame, name: str, job: str, cluster: str) -> DataFrame:
+        return df.withColumn(name, F.pmod(F.xxhash64(job, cluster), F.lit(n)))
+
+    left = bundle(tagged.withColumnRenamed("_cluster", "_spec_cluster"), "_sb", "job_id", "_spec_cluster")
     right = near.select(F.col("job_id").alias("_word_job"), *[c for c in near.columns if c != "job_id"])
-    return left.cogroup(right.groupBy("_word_job", "_cluster")).applyInPandas(work, schema)
+    right = bundle(right, "_wb", "_word_job", "_cluster")
+    return left.groupBy("_sb").cogroup(right.groupBy("_wb")).applyInPandas(work, schema)
 
 
 def correct_transcripts(segments: DataFrame, fixes: DataFrame) -> tuple[DataFrame, DataFrame]:
