@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("tables", "ingest", "understand", "edit", "manage")
+MODULES = ("tables", "ingest", "understand", "edit", "manage", "streams", "flows")
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
