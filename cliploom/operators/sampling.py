@@ -55,6 +55,7 @@ def speech_density(frames: DataFrame, intervals: DataFrame, speech_ms: int = 500
     flagged = flag_speech(frames, intervals).withColumn(
         "_wait", F.when(F.col("in_speech"), F.lit(speech_ms)).otherwise(F.lit(silent_ms)).cast("long")
     )
+    flagged = materialize(flagged, "flagged")  # read twice below: once to chain the blocks, once to replay them
 
     def due(last: dict, row: dict) -> np.ndarray:
         return ~row["is_duplicate"].astype(bool) | (row["ts_ms"] - last["ts_ms"] >= row["_wait"])

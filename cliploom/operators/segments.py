@@ -71,7 +71,10 @@ def segments_from_scenes(words: DataFrame, scenes: DataFrame) -> DataFrame:
         ),
     )
     spoken = hits.groupBy("job_id", "scene_seq", "piece").agg(_word_list(F.col("piece") >= 0).alias("words"))
-    voiced = hits.groupBy("job_id", "scene_seq").agg(F.count(F.lit(1)).alias("_voiced"))
+    # Only for long scenes does it matter whether they hold a word at all.
+    long_spans = spans.filter(F.col("scene_end") - F.col("scene_start") > LONG_SCENE_MS)
+    in_long = points_in_intervals(words.select("job_id", "start_ms", "end_ms"), "start_ms", "end_ms", long_spans, "scene_start", "scene_end")
+    voiced = in_long.groupBy("job_id", "scene_seq").agg(F.count(F.lit(1)).alias("_voiced"))
 
     long_scene = (F.col("end_ms") - F.col("start_ms")) > LONG_SCENE_MS
     counted = scenes.withColumnRenamed("seq", "scene_seq").join(voiced, ["job_id", "scene_seq"], "left")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,19 +61,33 @@ def _first_match(tokens: list[str], i: int, at: dict[str, list[int]], blocked: s
 PAIRS = T.ArrayType(T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())]))
 
 
+def _hopeful(tokens: list[str]) -> list[int]:
+    """Windows of which enough words occur again after the window; only these can have a repeat."""
+    n = len(tokens) - SPAN + 1
+    if n <= SPAN:
+        return []
+    last = {t: k for k, t in enumerate(tokens) if t}
+    later = np.array([last.get(t, -1) for t in tokens])
+    edge = np.arange(n) + SPAN
+    again = sum((later[k : k + n] >= edge).astype(np.int64) for k in range(SPAN))
+    return np.flatnonzero(again >= MIN_SHARE * SPAN).tolist()
+
+
 def _all_pairs(tokens: list[str]) -> list[dict]:
     """First match of every window."""
-    at = _lookup(tokens)
-    found = [(i, _first_match(tokens, i, at, set())) for i in range(len(tokens) - SPAN + 1)]
+    starts = _hopeful(tokens)
+    at = _lookup(tokens) if starts else {}
+    found = [(i, _first_match(tokens, i, at, set())) for i in starts]
     return [{"a": i, "b": j} for i, j in found if j >= 0]
 
 
 def _greedy_pairs(tokens: list[str]) -> list[dict]:
     """Left to right: a matched pair of windows blocks its twelve words as further anchors."""
-    at = _lookup(tokens)
+    starts = _hopeful(tokens)
+    at = _lookup(tokens) if starts else {}
     used: set[int] = set()
     out = []
-    for i in range(len(tokens) - SPAN + 1):
+    for i in starts:
         if i in used:
             continue
         j = _first_match(tokens, i, at, used)

@@ -10,6 +10,7 @@ from cliploom.functions.text import frames_of, js_round, numbered
 from cliploom.operators.blocks import running, seq_block
 from cliploom.operators.decisions import repaired_windows
 from cliploom.operators.silence import speech_islands_of, windowed, words_inside
+from cliploom.sources.scratch import materialize
 
 CAPTION_WORDS = 5
 CAPTION_MS = 2000
@@ -48,6 +49,7 @@ def build_clips(
         frames_of(F.col("_x.start_ms"), F.col("fps")).alias("start_from"),
         frames_of(F.col("_x.end_ms") - F.col("_x.start_ms"), F.col("fps")).alias("duration_frames"),
     ).filter("duration_frames > 0")
+    rows = materialize(rows, "clip-rows")  # a few numbers per clip; the word arrays are not needed again
     placed = running(
         rows,
         ["job_id"],
@@ -150,22 +152,27 @@ def plan_captions(
     d = d.withColumn("_w", words_inside(F.col("seg_words"), F.col("win_start_ms"), F.col("win_end_ms")))
     d = d.withColumn("_i", speech_islands_of("_w", "win_start_ms", "win_end_ms", threshold_ms))
     total = F.aggregate("_i", F.lit(0).cast("long"), lambda acc, x: acc + x["end_ms"] - x["start_ms"])
-    d = d.select("job_id", "seq", "fps", "_w", "_i", frames_of(total, F.col("fps")).alias("_frames"))
-    d = running(d, ["job_id"], ["seq"], seq_block("seq", ROWS_PER_STEP), sums={"_off": F.col("_frames")})
-    rows = d.withColumn("_c", _chunks(style)).select(
-        "job_id", "seq", "fps", "_off", "_w", F.posexplode_outer("_c").alias("chunk", "_x")
+    text = lambda x: F.array_join(
+        F.transform(F.slice("_w", x["a"] + 1, x["b"] - x["a"] + 1), lambda w: w["text"]), " "
     )
-    x = F.col("_x")
-    text = F.array_join(F.transform(F.slice("_w", x["a"] + 1, x["b"] - x["a"] + 1), lambda w: w["text"]), " ")
-    shift = x["i"]["offset_ms"] - x["i"]["start_ms"]
-    first, last = F.get(F.col("_w"), x["a"]), F.get(F.col("_w"), x["b"])
+    chunk = lambda x: F.struct(
+        text(x).alias("text"),
+        (F.get(F.col("_w"), x["a"])["start_ms"] + x["i"]["offset_ms"] - x["i"]["start_ms"]).alias("from_ms"),
+        (F.get(F.col("_w"), x["b"])["end_ms"] + x["i"]["offset_ms"] - x["i"]["start_ms"]).alias("to_ms"),
+    )
+    d = d.withColumn("_c", _chunks(style)).select(
+        "job_id", "seq", "fps", frames_of(total, F.col("fps")).alias("_frames"), F.transform("_c", chunk).alias("_c")
+    )
+    d = materialize(d, "caption-chunks")
+    off = running(d.select("job_id", "seq", "_frames"), ["job_id"], ["seq"], seq_block("seq", ROWS_PER_STEP), sums={"_off": F.col("_frames")})
+    rows = d.select("job_id", "seq", "fps", F.posexplode_outer("_c").alias("chunk", "_x")).join(off.drop("_frames"), ["job_id", "seq"])
     rows = rows.select(
         "job_id",
         F.col("seq").alias("decision_seq"),
         "chunk",
-        text.alias("text"),
-        (F.col("_off") + frames_of(first["start_ms"] + shift, F.col("fps"))).cast("long").alias("start_frame"),
-        (F.col("_off") + frames_of(last["end_ms"] + shift, F.col("fps"))).cast("long").alias("_end"),
+        F.col("_x.text").alias("text"),
+        (F.col("_off") + frames_of(F.col("_x.from_ms"), F.col("fps"))).cast("long").alias("start_frame"),
+        (F.col("_off") + frames_of(F.col("_x.to_ms"), F.col("fps"))).cast("long").alias("_end"),
     ).filter(~F.col("text").rlike(r"^\s*$"))
     rows = rows.withColumn("_end", F.greatest(F.col("_end"), F.col("start_frame") + 1))
     placed = running(
