@@ -11,12 +11,12 @@ from cliploom.plans import flows
 
 
 def answers(s, d):
-    """One plan answer per job, written from the decisions; every tenth job answers in prose."""
+    """Plan answers in parts of up to 200 decisions, written from the decisions; every tenth job answers in prose."""
     w = ed.decided(s, d).filter("action <> 'trim'")
     item = F.concat(F.lit('{"segmentId":"'), "segment_id", F.lit('","action":"'), "action", F.lit('"}'))
-    g = w.groupBy("job_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", item.alias("t")))), lambda x: x["t"]).alias("ts"))
+    g = w.groupBy("job_id", F.floor(F.col("seq") / 200).alias("part")).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", item.alias("t")))), lambda x: x["t"]).alias("ts"))
     body = F.concat(F.lit('{"decisions":['), F.array_join("ts", ","), F.lit("]}"))
-    return g.select("job_id", F.when(F.col("job_id") % 10 == 9, "no plan").otherwise(body).alias("content"))
+    return g.select("job_id", "part", F.when(F.col("job_id") % 10 == 9, "no plan").otherwise(body).alias("content"))
 
 
 def edited(s, d, pick_takes=False):

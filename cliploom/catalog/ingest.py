@@ -46,9 +46,9 @@ def scene_payloads(s, d):
         F.col("scene_id").alias("id"), sec("start_ms").alias("start_time"), sec("end_ms").alias("end_time"),
         (F.col("start_ms") * 3).alias("start_frame"), (F.col("end_ms") * 3).alias("end_frame"), ((F.col("end_ms") - F.col("start_ms")) / F.lit(1000.0)).alias("duration"),
     )
-    g = fx.scenes(s, d).groupBy("job_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", scene.alias("s")))), lambda x: x["s"]).alias("scenes"))
+    g = fx.scenes(s, d).groupBy("job_id", F.floor(F.col("seq") / 5).alias("part")).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", scene.alias("s")))), lambda x: x["s"]).alias("scenes"))
     body = F.when(F.col("job_id") % 5 == 3, F.lit('{"error":"detector crashed"}')).when(F.col("job_id") % 7 == 2, F.lit('{"scenes":[]}')).otherwise(F.to_json(F.struct("scenes")))
-    return g.select("job_id", body.alias("payload"))
+    return g.select("job_id", "part", body.alias("payload"))
 
 
 def probe_payloads(s, d):

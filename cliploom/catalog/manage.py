@@ -37,26 +37,31 @@ SELECT job_id, seq * 2 + k AS ord, scene_id, 'view ' || k || ' of ' || scene_id
 FROM (SELECT *, unnest(CASE WHEN seq % 2 = 0 THEN [0, 1] ELSE [0] END) AS k FROM scenes)""")
 
 
+def _nth(col, n):
+    """Group number of a position: n interleaved groups per stretch of 100 n positions."""
+    return (F.floor(F.col(col) / (100 * n)) * n + F.col(col) % n).cast("long")
+
+
 def entities(s, d):
-    """One entity per (job, seq mod 7): mentions every such segment, its first one twice, and one position too far."""
+    """Entities that mention every seventh segment of a stretch of 700, the first one twice, and one position too far."""
     g = fx.segments(s, d)
-    m = g.groupBy("job_id", (F.col("seq") % 7).alias("ord")).agg(F.array_sort(F.collect_list("seq")).alias("m"))
+    m = g.groupBy("job_id", _nth("seq", 7).alias("ord")).agg(F.array_sort(F.collect_list("seq")).alias("m"))
     e = F.concat(F.lit("entity_"), F.col("ord").cast("string"))
     return m.select(
         "job_id", "ord", e.alias("entity_id"), F.concat(F.lit("Name "), F.col("ord").cast("string")).alias("name"),
-        F.concat(F.slice("m", 1, 1), "m", F.array(F.lit(10_000_000).cast("long"))).alias("mentions"),
+        F.concat(F.slice("m", 1, 1), "m", F.array(F.lit(10**15).cast("long"))).alias("mentions"),
     )
 
 
 fx.CTES["mentions"] = (("segments",), """
-WITH m AS (SELECT job_id, seq % 7 AS ord, seq, row_number() OVER (PARTITION BY job_id, seq % 7 ORDER BY seq) AS k FROM segments)
+WITH m AS (SELECT job_id, seq // 700 * 7 + seq % 7 AS ord, seq, row_number() OVER (PARTITION BY job_id, seq // 700 * 7 + seq % 7 ORDER BY seq) AS k FROM segments)
 SELECT job_id, ord, 'entity_' || ord AS entity_id, k AS mention, seq FROM m
 UNION ALL SELECT job_id, ord, 'entity_' || ord, 0, seq FROM m WHERE k = 1""")
 
 
 def topics(s, d):
     g = fx.segments(s, d)
-    m = g.groupBy("job_id", (F.col("seq") % 5).alias("ord")).agg(F.array_sort(F.collect_list("segment_id")).alias("m"))
+    m = g.groupBy("job_id", _nth("seq", 5).alias("ord")).agg(F.array_sort(F.collect_list("segment_id")).alias("m"))
     return m.select(
         "job_id", "ord", F.concat(F.lit("topic_"), F.col("ord").cast("string")).alias("topic_id"),
         F.concat("m", F.array(F.lit("seg_unknown"))).alias("segments"),
@@ -64,8 +69,8 @@ def topics(s, d):
 
 
 fx.CTES["topic_rows"] = (("segments",), """
-SELECT job_id, seq % 5 AS ord, 'topic_' || (seq % 5) AS topic_id, segment_id, seq, end_ms - start_ms AS dur,
-  row_number() OVER (PARTITION BY job_id, seq % 5 ORDER BY segment_id) AS mention FROM segments""")
+SELECT job_id, seq // 500 * 5 + seq % 5 AS ord, 'topic_' || (seq // 500 * 5 + seq % 5) AS topic_id, segment_id, seq, end_ms - start_ms AS dur,
+  row_number() OVER (PARTITION BY job_id, seq // 500 * 5 + seq % 5 ORDER BY segment_id) AS mention FROM segments""")
 
 
 def updates(s, d):
@@ -184,7 +189,7 @@ SELECT c.* REPLACE (CASE WHEN k.r > 12 THEN 'standard' ELSE c.level END AS level
 FROM classified c LEFT JOIN (SELECT job_id, seq, row_number() OVER (PARTITION BY job_id ORDER BY confidence DESC, seq) AS r FROM classified WHERE level <> 'standard') k USING (job_id, seq)""")
 fx.CTES["specs"] = (("capped", "segments"), """
 WITH j AS (SELECT c.job_id, c.seq, c.segment_id, coalesce(c.enhancement_type, 'custom') AS enhancement_type, g.start_ms, g.end_ms, g.text_on_screen AS t, g.transcript,
-    'Name ' || (g.seq % 7) AS entity FROM capped c JOIN segments g USING (job_id, segment_id) WHERE c.level <> 'standard')
+    'Name ' || (g.seq // 700 * 7 + g.seq % 7) AS entity FROM capped c JOIN segments g USING (job_id, segment_id) WHERE c.level <> 'standard')
 SELECT job_id, row_number() OVER o - 1 AS spec_no, printf('enh_%03d', row_number() OVER o - 1) AS scene_id, seq, segment_id, enhancement_type, start_ms, end_ms,
   CASE WHEN t <> '' THEN t ELSE entity END AS target_subject,
   CASE WHEN enhancement_type IN ('educational_zoom_callout', 'precision_zoom') THEN 'zoom_in_hold_zoom_out'

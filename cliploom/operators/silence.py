@@ -187,5 +187,5 @@ def silence_cuts(decisions: DataFrame, segments: DataFrame, min_gap_ms: int) ->
 
 def numbered_decisions(parts: DataFrame) -> DataFrame:
     """Give split decisions (seq, part) a new dense seq per job."""
-    out = running(parts, ["job_id"], ["seq", "part"], seq_block("seq", 10_000), sums={"_n": F.lit(1)})
+    out = running(parts, ["job_id"], ["seq", "part"], seq_block("seq", 1000), sums={"_n": F.lit(1)})
     return out.withColumn("seq", F.col("_n").cast("long")).drop("_n", "part")

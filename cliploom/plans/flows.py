@@ -82,14 +82,15 @@ def edit(
     pick_takes: bool = True,
     source: str = "source.mp4",
 ) -> Edit:
-    """From plan answers (job_id, content) to clips and captions.
+    """From plan answers (job_id, part, content) to clips and captions.
 
-    Jobs whose answer cannot be read keep all segments.  With ``targets`` (job_id, target_ms) and
+    A long plan may come in several parts.  Jobs with an answer that cannot be read keep all segments.  With ``targets`` (job_id, target_ms) and
     ``second_plans`` (decisions of a tighter pass) over-budget jobs may switch to the second plan.
     """
-    raw, plans = responses.ingest_plans(plan_texts)
+    raw, plans = responses.ingest_plans(plan_texts, ["job_id", "part"])
     plans = materialize(plans, "plans")
-    sane = dec.sanitize_decisions(raw.withColumnRenamed("ord", "seq").withColumn("seq", F.col("seq").cast("long")), segments)
+    ordered = numbered_decisions(raw.withColumnsRenamed({"part": "seq", "ord": "part"}))
+    sane = dec.sanitize_decisions(ordered, segments)
     failed = plans.filter("status = 'failed'").select("job_id")
     first = materialize(dec.fallback_keep_all(sane, segments, failed).drop("reason"), "decisions")
     if targets is not None and second_plans is not None:

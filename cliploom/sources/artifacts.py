@@ -30,14 +30,17 @@ PROBE = (
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """(job_id, part, payload): every file below ``path`` as one text, its folder as job, files in name order."""
+    """(job_id, part, payload): every file below ``path`` as one text.
+
+    The folder names the job.  A long result may come in several files; the number at the end of the
+    file name (frames_12.json) is its part, 0 without one.
+    """
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(
         F.col("value").alias("payload"), F.col("_metadata.file_path").alias("file")
     )
-    rows = files.select(F.element_at(F.split("file", "/"), -2).alias("job_id"), "file", "payload")
-    ranked = rows.groupBy("job_id").agg(F.array_sort(F.collect_set("file")).alias("files"))
-    return rows.join(ranked, "job_id").select(
-        "job_id", (F.array_position("files", F.col("file")) - 1).cast("long").alias("part"), "payload"
+    part = F.regexp_extract("file", r"([0-9]+)\.[^./]*$", 1).try_cast("bigint")
+    return files.select(
+        F.element_at(F.split("file", "/"), -2).alias("job_id"), F.coalesce(part, F.lit(0)).cast("long").alias("part"), "payload"
     )
 
 
@@ -95,12 +98,14 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
 def parse_scenes(raw: DataFrame, frames: DataFrame, media: DataFrame) -> DataFrame:
     """Scenes; a job whose detection failed (payload with 'error') gets one scene up to its last frame.
 
-    A detection that worked and found nothing stays empty.
+    A detection that worked and found nothing stays empty.  ``seq`` runs over the parts of a job.
     """
-    d = raw.select("job_id", F.from_json("payload", SCENES).alias("s"))
-    found = d.filter("s.error IS NULL").select("job_id", F.posexplode_outer("s.scenes").alias("seq", "x")).filter("x IS NOT NULL").select(
+    d = raw.select("job_id", "part", F.from_json("payload", SCENES).alias("s"))
+    sized = d.filter("s.error IS NULL").select("job_id", "part", F.coalesce(F.array_size("s.scenes"), F.lit(0)).alias("_n"), F.col("s.scenes").alias("xs"))
+    placed = running(sized, ["job_id"], ["part"], seq_block("part", 10_000), sums={"_off": F.col("_n")})
+    found = placed.select("job_id", "_off", F.posexplode_outer("xs").alias("i", "x")).filter("x IS NOT NULL").select(
         "job_id",
-        F.col("seq").cast("long").alias("seq"),
+        (F.col("_off") + F.col("i")).cast("long").alias("seq"),
         F.col("x.id").alias("scene_id"),
         _ms(F.col("x.start_time")).alias("start_ms"),
         _ms(F.col("x.end_time")).alias("end_ms"),
