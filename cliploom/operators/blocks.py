@@ -228,18 +228,19 @@ def greedy_select(
     """
     if width < reach:
         raise ValueError("block width must be at least the reach")
-    keys, col_list, n_parts = list(keys), list(cols), partitions_of(df)
+    keys, col_list = list(keys), list(cols)
     by_block = [*keys, "_blk"]
     base = df.withColumn("_pos", F.col(pos).cast("long")).withColumn("_id", F.col(row_id).cast("long"))
     base = base.withColumn("_blk", F.floor(F.col("_pos") / F.lit(width)).cast("long"))
     near_end = F.col("_pos") >= (F.col("_blk") + 1) * F.lit(width) - F.lit(reach)
     # Each row goes to its own block and, near the end of it, also to the next one as look-back row.
+    # An explicit repartition by columns is merged but never split at run time, so that blocks stay whole.
     spread = (
         base.withColumn("_shift", F.explode(F.when(near_end, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
         .withColumn("_blk", F.col("_blk") + F.col("_shift"))
         .withColumn("_halo", F.col("_shift") == 1)
         .drop("_shift")
-        .repartition(n_parts, *by_block)
+        .repartition(*by_block)
     )
     key_fields = [df.schema[k] for k in keys]
     longs = [T.StructField(c, T.LongType()) for c in ("_blk", "_entry", "_exit")]
@@ -315,15 +316,15 @@ def greedy_select(
     sups = tables.agg((F.max("_sup") - F.min("_sup")).alias("n")).first()["n"]
     if not sups:  # every job fits into one upper block
         entries = (
-            tables.repartition(n_parts, *keys)
+            tables.repartition(*keys)
             .sortWithinPartitions(*keys, "_blk", "_entry")
             .mapInPandas(walk(keys, None), entry_schema)
         )
     else:
-        by_parts = tables.repartition(n_parts, *by_sup)
+        by_parts = tables.repartition(*by_sup)
         upper = by_parts.sortWithinPartitions(*by_sup, "_blk", "_entry").mapInPandas(climb, table_schema)
         tops = (
-            upper.repartition(n_parts, *keys)
+            upper.repartition(*keys)
             .sortWithinPartitions(*keys, "_blk", "_entry")
             .mapInPandas(walk(keys, None), entry_schema)
             .select(*keys, F.col("_blk").alias("_sup"), F.col("_entry").alias("_start"))

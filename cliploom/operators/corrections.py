@@ -126,7 +126,7 @@ def match_fixes(segments: DataFrame, specs: DataFrame, tolerance_ms: int = 500)
         return spec[schema.names]
 
     # Clusters are handed to Python in bundles: whole clusters, many at a time.
-    n = 4 * partitions_of(specs)
+    n = partitions_of(specs)
 
     def bundle(df: DataFrame, name: str, job: str, cluster: str) -> DataFrame:
         return df.withColumn(name, F.pmod(F.xxhash64(job, cluster), F.lit(n)))
