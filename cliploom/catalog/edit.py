@@ -194,9 +194,9 @@ _VISUAL = """
 
 
 def some_spans(s, d):
-    """Two overlapping or touching spans in every third decision window, some reaching outside it."""
-    w = silence.windowed(decided(s, d), spoken(s, d)).filter("seq % 3 <> 1").select("job_id", "seq", "win_start_ms", "win_end_ms")
-    ln = F.col("win_end_ms") - F.col("win_start_ms")
+    """Overlapping or touching spans in two of three decision windows, some reaching outside it; none in the third."""
+    w = silence.windowed(decided(s, d), spoken(s, d)).select("job_id", "seq", "win_start_ms", "win_end_ms")
+    ln = F.when(F.col("seq") % 3 == 1, F.lit(0)).otherwise(F.col("win_end_ms") - F.col("win_start_ms"))
     a = F.col("win_start_ms") + F.floor(ln / 4).cast("long") * (F.col("seq") % 2)
     parts = F.array(
         F.struct(a.alias("start_ms"), (a + F.floor(ln / 4)).cast("long").alias("end_ms")),
@@ -207,7 +207,8 @@ def some_spans(s, d):
 
 
 fx.CTES["some_spans"] = (("win",), """
-WITH b AS (SELECT job_id, seq, ws, we, we - ws AS ln, ws + CAST(floor((we - ws) / 4.0) AS BIGINT) * (seq % 2) AS a FROM win WHERE seq % 3 <> 1),
+WITH l AS (SELECT job_id, seq, ws, CASE WHEN seq % 3 = 1 THEN 0 ELSE we - ws END AS ln FROM win),
+b AS (SELECT job_id, seq, ln, ws + CAST(floor(ln / 4.0) AS BIGINT) * (seq % 2) AS a FROM l),
 p AS (SELECT job_id, seq, a AS start_ms, a + CAST(floor(ln / 4.0) AS BIGINT) AS end_ms FROM b
   UNION ALL SELECT job_id, seq, a + CAST(floor(ln / 4.0) AS BIGINT), a + CAST(floor(ln / 3.0) AS BIGINT) FROM b
   UNION ALL SELECT job_id, seq, a + CAST(floor(ln / 2.0) AS BIGINT), a + ln - 500 * (seq % 4) FROM b)

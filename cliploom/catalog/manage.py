@@ -9,7 +9,9 @@ from cliploom.catalog import edit as ed
 from cliploom.catalog import understand as un
 from cliploom.functions import direction as dr
 from cliploom.functions.text import age_bucket, clock, frame_label, frames_of
-from cliploom.operators import corrections, costs, decisions as dec, digest, enhance, enrich, gates, jobs, timeline
+from cliploom.operators import corrections, costs, digest, enhance, enrich, gates, jobs, timeline
+from cliploom.operators import decisions as dec
+from cliploom.sources import responses
 
 # ---- enrichment ------------------------------------------------------------------------------
 
@@ -74,14 +76,15 @@ SELECT job_id, seq // 500 * 5 + seq % 5 AS ord, 'topic_' || (seq // 500 * 5 + se
 
 
 def updates(s, d):
-    g = fx.segments(s, d).filter("seq % 3 = 0")
+    g = fx.segments(s, d)
     q = F.col("seq")
     text = F.when(q % 2 == 0, ',"textOnScreen":null').when(q % 5 == 0, ',"textOnScreen":"NEW"').otherwise("")
     body = F.concat(
         F.lit('{"id":"'), "segment_id", F.lit('","visualDescription":"'), F.when(q % 4 == 0, "").otherwise("fresh"), F.lit('","visualInterest":'),
         (q % 6).cast("string"), text, F.lit("}"),
     )
-    return g.select("job_id", q.alias("ord"), body.alias("update"))
+    bare = F.concat(F.lit('{"id":"'), "segment_id", F.lit('"}'))
+    return g.select("job_id", q.alias("ord"), F.when(q % 3 == 0, body).otherwise(bare).alias("update"))
 
 
 def documents(s, d):
@@ -117,8 +120,9 @@ def entity_counts(s, d):
 
 
 def second_plan(s, d):
-    """A tighter plan: every third decision of the first one, some of it trimmed harder."""
-    return fx.decisions(s, d).filter("seq % 3 = 0 OR job_id % 4 = 3")
+    """A tighter plan: two thirds of the decisions become removals, except in every fourth job."""
+    stays = (F.col("seq") % 3 == 0) | (F.col("job_id") % 4 == 3)
+    return fx.decisions(s, d).withColumn("action", F.when(stays, F.col("action")).otherwise("remove"))
 
 
 def targets(s, d):
@@ -140,7 +144,7 @@ def _kept(name: str) -> str:
 
 fx.CTES["budget"] = (("decisions", "segments", "targets"), "SELECT k.*, target_ms, coalesce(target_ms > 0 AND kept_ms > target_ms * 1.05::DOUBLE, false) AS over_budget FROM "
     + _kept("decisions") + " k LEFT JOIN targets USING (job_id)")
-fx.CTES["second"] = (("decisions",), "SELECT * FROM decisions WHERE seq % 3 = 0 OR job_id % 4 = 3")
+fx.CTES["second"] = (("decisions",), "SELECT * REPLACE (CASE WHEN seq % 3 = 0 OR job_id % 4 = 3 THEN action ELSE 'remove' END AS action) FROM decisions")
 
 # ---- enhancement ---------------------------------------------------------------------------------
 
@@ -245,7 +249,7 @@ def priced(s, d):
 
 def budgets(s, d):
     j = F.col("job_id")
-    return fx.media(s, d).filter("job_id % 5 <> 4").select("job_id", ((j % 10 + 1) * 0.06).alias("budget_usd"))
+    return fx.media(s, d).select("job_id", F.when(j % 5 != 4, (j % 10 + 1) * 0.06).alias("budget_usd"))
 
 
 _PRICES = ", ".join(f"('{p}', '{m}', {i}::DOUBLE, {o}::DOUBLE)" for p, m, i, o in sorted(
@@ -255,7 +259,7 @@ fx.CTES["priced"] = (("llm_calls",), f"""
 WITH p(provider, model, i, o) AS (VALUES {_PRICES}), f(provider, model) AS (VALUES {_DEFAULTS})
 SELECT c.*, c.input_tokens / 1000.0::DOUBLE * coalesce(p.i, q.i) + c.output_tokens / 1000.0::DOUBLE * coalesce(p.o, q.o) AS cost_usd
 FROM llm_calls c LEFT JOIN p USING (provider, model) JOIN f ON f.provider = c.provider JOIN p q ON q.provider = f.provider AND q.model = f.model""")
-fx.CTES["budgets"] = (("media",), "SELECT job_id, (job_id % 10 + 1) * 0.06::DOUBLE AS budget_usd FROM media WHERE job_id % 5 <> 4")
+fx.CTES["budgets"] = (("media",), "SELECT job_id, CASE WHEN job_id % 5 <> 4 THEN (job_id % 10 + 1) * 0.06::DOUBLE END AS budget_usd FROM media")
 
 
 def job_updates(s, d):
@@ -301,8 +305,8 @@ _MOVES = ", ".join(f"('{a}', '{b}')" for a, bs in jobs.NEXT_STATES.items() for b
 
 
 def fixes(s, d):
-    """Fix orders: for each 9th word of the even jobs its own text, in every 20th job one that finds nothing."""
-    w = fx.words(s, d).filter("seq % 9 = 4 AND job_id % 2 = 0 AND seq < 400")
+    """Fix orders: each 9th word by its own text, 3.6 s apart; in every 20th job one of them finds nothing."""
+    w = fx.words(s, d).filter("seq % 9 = 4")
     bad = (F.col("job_id") % 20 == 0) & (F.col("seq") == 13)
     spec = F.concat(
         F.when(bad, "nosuchword").otherwise(F.col("text")), F.lit("@"), F.format_string("%.3f", (F.col("start_ms") + 100) / F.lit(1000.0)), F.lit("=Fixed"), F.col("seq").cast("string")
@@ -312,7 +316,7 @@ def fixes(s, d):
 
 fx.CTES["fix_hits"] = (("spoken_words", "words"), """
 WITH f AS (SELECT job_id, seq AS ord, CASE WHEN job_id % 20 = 0 AND seq = 13 THEN 'nosuchword' ELSE text END AS t, start_ms + 100 AS pos_ms, 'Fixed' || seq AS repl
-  FROM words WHERE seq % 9 = 4 AND job_id % 2 = 0 AND seq < 400)
+  FROM words WHERE seq % 9 = 4)
 SELECT f.job_id, f.ord, f.t || '@' || printf('%.3f', pos_ms / 1000.0) || '=' || repl AS spec, repl,
   (SELECT min({'seg': w.seg_seq, 'word': w.seq}) FROM spoken_words w WHERE w.job_id = f.job_id AND w.text = f.t AND abs(w.start_ms - f.pos_ms) < 500) AS pos FROM f""")
 
@@ -476,7 +480,7 @@ UNION ALL SELECT job_id, seq, 'overlap' FROM (SELECT *, lag(end_ms) OVER (PARTIT
     "agg6_edit_gate": (
         lambda s, d: gates.edit_gate(
             spoken_timelines(s, d), ed.clips(s, d), captions_with_faults(s, d),
-            fx.media(s, d).filter("job_id % 3 <> 0").select("job_id", (F.col("job_id") % 7 * 15.0).alias("target_s")),
+            fx.media(s, d).select("job_id", F.when(F.col("job_id") % 3 != 0, F.col("job_id") % 7 * 15.0).alias("target_s")),
         ),
         fx.with_tables("spoken_timelines", "clips", "media", "iw") + ", " + _BAD_CAPS + """,
 x AS (SELECT t.*, CASE WHEN job_id % 3 <> 0 THEN job_id % 7 * 15.0::DOUBLE END AS target_s FROM spoken_timelines t)
@@ -512,19 +516,19 @@ SELECT *, 1 AS plan FROM decisions WHERE job_id NOT IN (SELECT job_id FROM ok) U
     ),
     "agg14_fallback_plan": (
         lambda s, d: dec.fallback_keep_all(
-            fx.decisions(s, d), fx.segments(s, d), fx.segments(s, d).filter("job_id % 10 = 9").select("job_id")
+            fx.decisions(s, d), fx.segments(s, d), responses.ingest_plans(fx.plan_responses(s, d), ["job_id", "seq"])[1].filter("status = 'failed'")
         ),
         fx.with_tables("decisions", "segments") + """
-SELECT job_id, seq, segment_id, action, '' AS reason, trim_start_ms, trim_end_ms FROM decisions WHERE job_id % 10 <> 9
-UNION ALL SELECT job_id, seq, segment_id, 'keep', 'Fallback: plan could not be parsed', NULL, NULL FROM segments WHERE job_id % 10 = 9""",
+SELECT job_id, seq, segment_id, action, '' AS reason, trim_start_ms, trim_end_ms FROM decisions WHERE job_id % 10 NOT IN (7, 9)
+UNION ALL SELECT job_id, seq, segment_id, 'keep', 'Fallback: plan could not be parsed', NULL, NULL FROM segments WHERE job_id % 10 IN (7, 9)""",
     ),
     "agg16_fast_path": (
         lambda s, d: timeline.fast_path_eligible(
             plain_clips(s, d).withColumn("transition", F.when((F.col("job_id") % 7 == 2) & (F.col("seq") == 3), "fade").otherwise(F.col("transition"))),
-            fx.media(s, d).filter("job_id % 5 = 1"),
+            fx.media(s, d).filter("input_i IS NULL"),
         ),
         fx.with_tables("plain_clips") + """
-SELECT job_id, count(*) AS n_clips, job_id % 5 <> 1 AND count(DISTINCT src) = 1 AND NOT (job_id % 7 = 2 AND max(seq) >= 3) AS fast_path FROM plain_clips GROUP BY job_id""",
+SELECT job_id, count(*) AS n_clips, job_id % 4 <> 0 AND count(DISTINCT src) = 1 AND NOT (job_id % 7 = 2 AND max(seq) >= 3) AS fast_path FROM plain_clips GROUP BY job_id""",
     ),
     "prj7_enhancement_rules": (classified, fx.with_tables("classified") + "\nSELECT * FROM classified"),
     "top4_enhancement_cap": (
