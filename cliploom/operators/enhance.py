@@ -11,6 +11,7 @@ from cliploom.functions.text import js_round, numbered, present
 from cliploom.operators.blocks import running, seq_block
 from cliploom.operators.silence import with_segment
 
+# Words that call for a chart, and phrases of someone explaining.
 CHART_WORDS = r"\b(diagram|chart|graph|infographic|flowchart|table)\b"
 TEACHING_WORDS = r"\b(let me explain|here's how|the key is|importantly|notice that|pay attention)\b"
 

@@ -151,6 +151,7 @@ def apply_job_updates(jobs: DataFrame, updates: DataFrame) -> DataFrame:
     return j.select(*out)
 
 
+# Fixed value: policy version written into every manifest.
 POLICY_VERSION = "2026-04-11.1"
 
 

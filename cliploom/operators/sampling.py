@@ -11,6 +11,7 @@ from cliploom.operators.blocks import greedy_select, running, time_block
 from cliploom.operators.intervals import points_in_intervals, speech_islands
 from cliploom.sources.scratch import materialize
 
+# Hash distances up to which two frames count as equal, or as moderately different.
 SAME = 10
 MODERATE = 25
 

@@ -9,6 +9,7 @@ from cliploom.functions.text import numbered, present
 from cliploom.operators.blocks import explode_range, running, seq_block
 from cliploom.operators.intervals import points_in_intervals
 
+# Longest scene kept whole, length of its pieces, window length without scenes.
 LONG_SCENE_MS = 60_000
 PIECE_MS = 30_000
 WINDOW_MS = 15_000

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cliploom.operators.blocks import running, seq_block
 
+# Sound kept after the last word of an island, and at both ends of a cut pause.
 TAIL_MS = 100
 KEEP_MS = 50
 

@@ -15,6 +15,7 @@ from cliploom.operators.intervals import complement, merge_intervals, overlaps
 from cliploom.operators.silence import windowed, words_overlapping
 from cliploom.sources.scratch import materialize
 
+# Words per window, share that must repeat, words a decision needs, score difference that counts as a tie.
 SPAN = 6
 MIN_SHARE = 0.75
 MIN_WORDS = 12

@@ -12,6 +12,7 @@ from cliploom.operators.decisions import repaired_windows
 from cliploom.operators.silence import speech_islands_of, windowed, words_inside
 from cliploom.sources.scratch import materialize
 
+# Longest standard caption in words and in output time.
 CAPTION_WORDS = 5
 CAPTION_MS = 2000
 ROWS_PER_STEP = 1000  # decisions per block; a decision holds at most 60 s of speech

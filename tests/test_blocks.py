@@ -167,3 +167,43 @@ def test_density_and_refinement_equal_loops(spark):
                 part[mid[p]][5] = False
         want.update({(r[0], r[1]): r[5] for r in part})
     assert got == want
+
+
+@pytest.mark.parametrize("broadcast", ["-1", "10MB"])
+def test_blocks_stay_whole_under_adaptive_execution(spark, monkeypatch, broadcast):
+    """One job with nearly all rows, and settings under which every partition counts as skewed."""
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": broadcast,
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": broadcast,
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1KB",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1B",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.0",
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    }
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        select = blocks.greedy_select
+        monkeypatch.setattr(sampling, "greedy_select", lambda *a, **k: select(*a, **{**k, "width": 600_000}))
+        rng = random.Random(8)
+        data = [r for r in frames(rng, jobs=2, n=3000) if r[0] == 0 or r[1] <= 20]
+        df = spark.createDataFrame(data, "job_id long, frame_number long, ts_ms long, phash_hi long, phash_lo long").repartition(8)
+        got = {(r.job_id, r.frame_number): r.is_duplicate for r in sampling.dedup_frames(df).collect()}
+        assert got == dedup_loop(data)
+        seqs = [(r[0], r[1], r[2] % 7) for r in data]
+        run = blocks.running(
+            spark.createDataFrame(seqs, "job_id long, seq long, v long").repartition(8), ["job_id"], ["seq"], blocks.seq_block("seq", 50), sums={"s": F.col("v")}
+        )
+        total, want = {}, []
+        for j, s, v in seqs:
+            want.append((j, s, v, total.get(j, 0)))
+            total[j] = total.get(j, 0) + v
+        assert rows_of(run) == sorted(want)
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
