@@ -19,8 +19,10 @@ KEEP_MS = 50
 
 def first_segments(segments: DataFrame) -> DataFrame:
     """First row (by seq) of every segment id, as a lookup side for joins by id."""
-    first = segments.groupBy("job_id", "segment_id").agg(F.min("seq").alias("seq"))
-    return segments.join(first, ["job_id", "segment_id", "seq"], "left_semi")
+    # Joined on the id alone (<= and not =, which would become a key), so that the rows are already
+    # placed for the join that follows.
+    first = segments.groupBy("job_id", "segment_id").agg(F.min("seq").alias("_first"))
+    return segments.join(first, ["job_id", "segment_id"]).filter("seq <= _first").select(segments.columns)
 
 
 def with_segment(decisions: DataFrame, segments: DataFrame, how: str = "left") -> DataFrame:
