@@ -28,22 +28,29 @@ from cliploom.llm.common import materialize, partitions, whole
 KEY = ["digest", "n_bytes", "check"]
 
 
-def _merged(runs: DataFrame) -> DataFrame:
-    """Merge the sorted runs that a partition holds."""
-    return (
-        runs.sortWithinPartitions("node", *KEY)
-        .groupBy("node", *KEY)
-        .agg(F.max("max_id").alias("max_id"), F.min("min_id").alias("min_id"), F.sum("n").alias("n"))
-    )
+def _collapsed(rows: pa.Table) -> pa.Table:
+    """One row per key, sorted."""
+    out = rows.group_by(["node", *KEY]).aggregate([("max_id", "max"), ("min_id", "min"), ("n", "sum")])
+    out = out.rename_columns(["node", *KEY, "max_id", "min_id", "n"]).select(rows.column_names)
+    return out.sort_by([(k, "ascending") for k in KEY]).cast(rows.schema)
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted runs of what a partition reads: equal digests become one row before anything moves."""
     for batch in batches:
-        table = pa.Table.from_batches([batch])
-        run = table.group_by(["node", *KEY]).aggregate([("max_id", "max"), ("min_id", "min"), ("n", "sum")])
-        run = run.rename_columns([c.replace("max_id_max", "max_id").replace("min_id_min", "min_id").replace("n_sum", "n") for c in run.column_names])
-        yield from run.select(table.column_names).sort_by([(k, "ascending") for k in KEY]).cast(table.schema).to_batches()
+        yield from _collapsed(pa.Table.from_batches([batch])).to_batches()
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Collapse the merged order of a partition's runs; the last key of a batch may go on in the next one."""
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = _collapsed(rows if held is None else pa.concat_tables([held, rows]))
+        held = rows.slice(rows.num_rows - 1)
+        yield from rows.slice(0, rows.num_rows - 1).to_batches()
+    if held is not None:
+        yield from held.to_batches()
 
 
 def digest_groups(keyed: DataFrame, id_col: str, fan_in: int = 4) -> DataFrame:
@@ -56,12 +63,14 @@ def digest_groups(keyed: DataFrame, id_col: str, fan_in: int = 4) -> DataFrame:
     node = F.pmod(F.spark_partition_id(), F.lit(width)).cast("int")
     one = F.lit(1).cast("long")
     runs = keyed.select(*KEY, F.col(id_col).alias("max_id"), F.col(id_col).alias("min_id"), one.alias("n"), node.alias("node"))
-    runs = runs.mapInArrow(_runs, T.StructType([T.StructField(f.name, f.dataType) for f in runs.schema]))
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in runs.schema])
+    runs = runs.mapInArrow(_runs, schema)
     for r in range(rounds):
         step = fan_in**r
         digit = lambda c: F.floor(c / step).cast("int") % fan_in  # noqa: B023, E731
         to = (F.col("node") + (digit(home) - digit(F.col("node"))) * step).cast("int")
-        runs = _merged(runs.withColumn("node", to).repartitionById(width, F.col("node")))
+        sent = runs.withColumn("node", to).repartitionById(width, F.col("node"))
+        runs = sent.sortWithinPartitions(*KEY).mapInArrow(_merge, schema)
     return runs.drop("node")
 
 
