@@ -25,7 +25,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from cliploom.llm.common import map_slices
+from cliploom.llm.common import map_slices, once
 
 # White space and the word pattern of byte-level vocabularies.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -42,7 +42,7 @@ def byte_symbols() -> dict[str, int]:
 class Codec:
     """Encodes and decodes with a byte-level BPE vocabulary file (ids ascend in merge order)."""
 
-    def __init__(self, data: bytes, max_words: int = 400_000):
+    def __init__(self, data: bytes, max_words: int = 300_000):
         spec = json.loads(data)
         spelled = byte_symbols()
         to_bytes = lambda s: bytes(spelled[c] for c in s)
@@ -85,7 +85,7 @@ class Codec:
                 before, a = a, left[1]
             else:
                 before, b = b + 1, right[0]
-        if len(self.beside) > 1_000_000:
+        if len(self.beside) > 300_000:
             self.beside.clear()
         self.beside[key] = apart
         return apart
@@ -181,7 +181,7 @@ def encode_texts(docs: DataFrame, tokenizer_file: str, text_col: str = "text", k
     data = _file(tokenizer_file)
 
     def make():
-        codec = Codec(data)
+        codec = once(("codec", hash(data)), lambda: Codec(data))
         return lambda texts: {"ids": codec.encode_all([t or "" for t in texts])}
 
     return map_slices(docs, text_col, make, "ids binary", list(keep))
@@ -192,7 +192,7 @@ def decode_ids(coded: DataFrame, tokenizer_file: str, keep: tuple[str, ...] = ("
     data = _file(tokenizer_file)
 
     def make():
-        codec = Codec(data)
+        codec = once(("codec", hash(data)), lambda: Codec(data))
         return lambda ids: {"text": [None if v is None else codec.decode(v) for v in ids]}
 
     return map_slices(coded, "ids", make, "text string", list(keep), 8_000_000)
@@ -203,7 +203,7 @@ def round_trip(docs: DataFrame, tokenizer_file: str, text_col: str = "text", kee
     data = _file(tokenizer_file)
 
     def make():
-        codec = Codec(data)
+        codec = once(("codec", hash(data)), lambda: Codec(data))
 
         def both(texts: list) -> dict:
             coded = codec.encode_all([t or "" for t in texts])

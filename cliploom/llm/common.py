@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from cliploom.sources.scratch import materialize, scratch_dir
 
-__all__ = ["materialize", "scratch_dir", "table", "whole", "slices", "map_slices", "partitions"]
+__all__ = ["materialize", "scratch_dir", "table", "whole", "slices", "map_slices", "once", "partitions"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +31,19 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def once(key: tuple, build: Callable[[], object]) -> object:
+    """What ``build`` gives, kept by a worker process for the tasks that follow (the last one made only).
+
+    Functions travel by value, so every task has module globals of its own; the interpreter's is what tasks share.
+    """
+    held = getattr(sys, "_cliploom_once", None)
+    if held is None or held[0] != key:
+        held = None
+        sys._cliploom_once = None
+        held = sys._cliploom_once = (key, build())
+    return held[1]
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, budget: int) -> Iterator[pa.RecordBatch]:
     """Cut batches into runs of rows with about ``budget`` bytes in a column (one row at least)."""
     for batch in batches:

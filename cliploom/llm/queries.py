@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliploom.llm import bpe, decontaminate, exact_dedup, token_counts
+from cliploom.llm import bpe, decontaminate, exact_dedup, language, token_counts, warc
 from cliploom.llm.common import scratch_dir, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -41,11 +42,25 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_report(decontaminate.find_contamination(docs, items))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{scratch_dir(spark)}/cliploom/warc-{uuid.uuid4().hex}"
+    warc.write_warc(table(spark, sf_dir, "pages"), path)
+    return warc.warc_pages(spark, path)
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.train(docs))
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
 QUERIES = {
     "op1_token_counts": (op1_token_counts, None),
     "op2_bpe_round_trip": (op2_bpe_round_trip, None),
     "op3_exact_dedup": (op3_exact_dedup, OP3_SQL),
     "op8_decontamination": (op8_decontamination, None),
+    "op9_warc": (op9_warc, None),
+    "op10_language": (op10_language, None),
 }
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cliploom.llm.common import map_slices, materialize, whole
+from cliploom.llm.common import map_slices, materialize, once, whole
 
 CACHE = T.StructType(
     [T.StructField("tokenizer", T.StringType()), T.StructField("digest", T.StringType()), T.StructField("n_tokens", T.LongType())]
@@ -78,7 +78,7 @@ def token_counts(docs: DataFrame, tokenizer_file: str, cache_dir: str, id_col: s
     todo = rows.join(misses, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest"))).select("digest", "_text")
 
     def make():
-        count = counter(data, kind)
+        count = once(("counter", version), lambda: counter(data, kind))
         return lambda texts: {"tokenizer": [version] * len(texts), "n_tokens": count(texts)}
 
     fresh = map_slices(todo, "_text", make, "tokenizer string, n_tokens long", ["digest"], 500_000)
