@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliploom.llm import bpe, decontaminate, exact_dedup, language, token_counts, warc
+from cliploom.llm import bpe, decontaminate, exact_dedup, language, lines, secrets, token_counts, warc
 from cliploom.llm.common import scratch_dir, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -37,6 +37,39 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))"""
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.secrets_report(secrets.scan(docs, secrets.train(docs)))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = lines.drop_boilerplate(table(spark, sf_dir, "documents"), counts=True)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return got.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
+
+
+# Lines of 20 characters and more on five sites and more stay in the smallest doc_id that has them.
+LINES_CTES = r"""
+split_lines AS (
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS pos FROM {docs}),
+keyed AS (SELECT *, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS line FROM split_lines),
+shared AS (
+  SELECT line, min(doc_id) AS first_id FROM keyed WHERE length(line) >= 20 GROUP BY line
+  HAVING count(DISTINCT coalesce(source, '')) >= 5),
+judged AS (SELECT k.*, coalesce(s.first_id <> k.doc_id, false) AS gone FROM keyed k LEFT JOIN shared s ON s.line = k.line),
+cut AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+    coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text
+  FROM judged GROUP BY doc_id)"""
+OP7_SQL = (
+    "WITH "
+    + LINES_CTES.format(docs="documents")
+    + """
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(c.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN cut c USING (doc_id)"""
+)
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontaminate.contamination_report(decontaminate.find_contamination(docs, items))
@@ -58,6 +91,8 @@ QUERIES = {
     "op1_token_counts": (op1_token_counts, None),
     "op2_bpe_round_trip": (op2_bpe_round_trip, None),
     "op3_exact_dedup": (op3_exact_dedup, OP3_SQL),
+    "op5_secrets": (op5_secrets, None),
+    "op7_line_dedup": (op7_line_dedup, OP7_SQL),
     "op8_decontamination": (op8_decontamination, None),
     "op9_warc": (op9_warc, None),
     "op10_language": (op10_language, None),
