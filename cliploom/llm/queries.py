@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliploom.llm import bpe, decontaminate, exact_dedup, language, lines, secrets, token_counts, warc
+from cliploom.llm import bpe, decontaminate, exact_dedup, jaccard, language, lines, secrets, token_counts, warc
 from cliploom.llm.common import scratch_dir, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -42,6 +42,10 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_report(secrets.scan(docs, secrets.train(docs)))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_components(table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = lines.drop_boilerplate(table(spark, sf_dir, "documents"), counts=True)
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -92,6 +96,7 @@ QUERIES = {
     "op2_bpe_round_trip": (op2_bpe_round_trip, None),
     "op3_exact_dedup": (op3_exact_dedup, OP3_SQL),
     "op5_secrets": (op5_secrets, None),
+    "op6_ngram_jaccard": (op6_ngram_jaccard, None),
     "op7_line_dedup": (op7_line_dedup, OP7_SQL),
     "op8_decontamination": (op8_decontamination, None),
     "op9_warc": (op9_warc, None),

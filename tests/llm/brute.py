@@ -26,3 +26,30 @@ def contamination(docs, items, window=10):
                     found |= phrases[p]
         out[doc] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit))
     return out
+
+
+def similar(docs, k=5, percent=80):
+    """{id: (n_shingles, component_id)} by comparing all pairs."""
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    sets = {}
+    for doc, text in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(lower))
+        sets[doc] = {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+    parent = {d: d for d in sets}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    order = sorted((d for d in sets if sets[d]), key=lambda d: len(sets[d]))
+    for i, a in enumerate(order):
+        for b in order[i + 1 :]:
+            if 100 * len(sets[a]) < percent * len(sets[b]):
+                break
+            common = len(sets[a] & sets[b])
+            if 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    return {d: (len(s), find(d)) for d, s in sets.items()}
