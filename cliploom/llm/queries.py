@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliploom.llm import bpe, decontaminate, exact_dedup, jaccard, language, lines, secrets, token_counts, warc
+from cliploom.llm import bpe, decontaminate, exact_dedup, jaccard, language, lines, secrets, substrings, token_counts, warc
 from cliploom.llm.common import scratch_dir, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -37,6 +37,11 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))"""
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secrets.secrets_report(secrets.scan(docs, secrets.train(docs)))
@@ -95,6 +100,7 @@ QUERIES = {
     "op1_token_counts": (op1_token_counts, None),
     "op2_bpe_round_trip": (op2_bpe_round_trip, None),
     "op3_exact_dedup": (op3_exact_dedup, OP3_SQL),
+    "op4_suffix_dedup": (op4_suffix_dedup, None),
     "op5_secrets": (op5_secrets, None),
     "op6_ngram_jaccard": (op6_ngram_jaccard, None),
     "op7_line_dedup": (op7_line_dedup, OP7_SQL),

@@ -53,3 +53,21 @@ def similar(docs, k=5, percent=80):
                 x, y = sorted((find(a), find(b)))
                 parent[y] = x
     return {d: (len(s), find(d)) for d, s in sets.items()}
+
+
+def repeats(docs, width=50):
+    """{id: (n_bytes, n_removed, n_spans, kept)} from a table of all windows."""
+    data = {d: (t or "").encode() for d, t in docs}
+    first = {}
+    for d in sorted(data):
+        for i in range(len(data[d]) - width + 1):
+            first.setdefault(data[d][i : i + width], d)
+    out = {}
+    for d, b in data.items():
+        gone = bytearray(len(b))
+        for i in range(len(b) - width + 1):
+            if first[b[i : i + width]] < d:
+                gone[i : i + width] = b"\1" * width
+        spans = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
+        out[d] = (len(b), sum(gone), spans, bytes(x for x, g in zip(b, gone) if not g))
+    return out
