@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from cliploom.sources.scratch import materialize, scratch_dir
 
-__all__ = ["materialize", "scratch_dir", "table", "whole", "slices", "map_slices", "once", "partitions"]
+__all__ = ["materialize", "scratch_dir", "table", "whole", "slices", "map_slices", "once", "free", "partitions"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def once(key: tuple, build: Callable[[], object]) -> object:
     """What ``build`` gives, kept by a worker process for the tasks that follow (the last one made only).
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cliploom.llm.common import map_slices, materialize
+from cliploom.llm.common import free, map_slices, materialize
 
 ORDER = 4
 SYMBOLS = 64  # 6 bits: 0 is the gap between words, 1 any letter outside the alphabet
@@ -234,12 +234,12 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[
 def drop_rejected(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that identification rejects; columns stay as they are."""
     names = [f.name for f in T.StructType.fromDDL(PREDICTED)]
-    free = {n: f"_{n}_predicted" for n in names}
-    added = ", ".join(f"{free[f.name]} {f.dataType.simpleString()}" for f in T.StructType.fromDDL(PREDICTED))
+    own = {n: free(docs, f"_{n}") for n in names}
+    added = ", ".join(f"{own[f.name]} {f.dataType.simpleString()}" for f in T.StructType.fromDDL(PREDICTED))
 
     def make():
         predict = model.scorer()
-        return lambda texts: {free[k]: v for k, v in predict(texts).items()}
+        return lambda texts: {own[k]: v for k, v in predict(texts).items()}
 
     got = map_slices(docs, text_col, make, added, docs.columns)
-    return got.where(~F.col(free["rejected"])).select(*docs.columns)
+    return got.where(~F.col(own["rejected"])).select(*docs.columns)

@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cliploom.llm.common import materialize
+from cliploom.llm.common import free, materialize
 
 LG_K = 12
 
@@ -52,16 +52,17 @@ def drop_boilerplate(
     narrow = materialize(narrow.select("id", "key", "site", "pos", F.unhex(F.md5(F.col("trimmed").cast("binary"))).alias("line")), "line-hashes")
     shared = materialize(boilerplate(narrow, threshold), "boilerplate")
     gone = narrow.join(shared, "line").where(~F.col("id").eqNullSafe(F.col("first_id")))
-    gone = gone.groupBy("id", "key").agg(F.collect_set("pos").alias("_drop")).withColumnsRenamed({"id": "_id", "key": "_key"})
-    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (key == F.col("_key")), "left")
+    own_id, own_key, drop = free(docs, "_id"), free(docs, "_key"), free(docs, "_drop")
+    gone = gone.groupBy("id", "key").agg(F.collect_set("pos").alias(drop)).withColumnsRenamed({"id": own_id, "key": own_key})
+    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col(own_id)) & (key == F.col(own_key)), "left")
     n = F.size(_lines(text_col))
-    kept = F.array_except(F.sequence(F.lit(0), n - 1), F.col("_drop"))
+    kept = F.array_except(F.sequence(F.lit(0), n - 1), F.col(drop))
     lines = _lines(text_col)
-    text = F.when(F.col("_drop").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    text = F.when(F.col(drop).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
     out = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns]
     if counts:
         out += [
             F.when(F.col(text_col).isNull(), 0).otherwise(n).cast("long").alias("_n_lines"),
-            F.when(F.col("_drop").isNull(), 0).otherwise(F.size("_drop")).cast("long").alias("_n_removed"),
+            F.when(F.col(drop).isNull(), 0).otherwise(F.size(drop)).cast("long").alias("_n_removed"),
         ]
     return joined.select(*out)

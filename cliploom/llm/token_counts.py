@@ -79,8 +79,16 @@ def token_counts(docs: DataFrame, tokenizer_file: str, cache_dir: str, id_col: s
 
     def make():
         count = once(("counter", version), lambda: counter(data, kind))
-        return lambda texts: {"tokenizer": [version] * len(texts), "n_tokens": count(texts)}
 
-    fresh = map_slices(todo, "_text", make, "tokenizer string, n_tokens long", ["digest"], 500_000)
-    fresh.select("tokenizer", "digest", "n_tokens").write.mode("append").parquet(cache_dir)
+        def run(texts: list) -> dict:
+            # Rows that repeat with their id all match their representative's: once a slice.
+            own = list(dict.fromkeys(texts))
+            n = dict(zip(own, count(own), strict=True))
+            return {"n_tokens": [n[t] for t in texts]}
+
+        return run
+
+    fresh = map_slices(todo, "_text", make, "n_tokens long", ["digest"], 500_000)
+    fresh = fresh.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    fresh.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache_dir)
     return narrow.join(_cached(spark, cache_dir, version), "digest").select(id_col, "digest", "n_bytes", "n_tokens")
