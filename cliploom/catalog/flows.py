@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from cliploom import fixtures as fx
@@ -10,18 +12,32 @@ from cliploom.catalog import understand as un
 from cliploom.plans import flows
 
 
-def answers(s, d):
-    """Plan answers in parts of up to 200 decisions, written from the decisions; every tenth job answers in prose."""
-    w = ed.decided(s, d).filter("action <> 'trim'")
-    item = F.concat(F.lit('{"segmentId":"'), "segment_id", F.lit('","action":"'), "action", F.lit('"}'))
+def answers(s, d, decided=ed.decided):
+    """Plan answers in parts of up to 200 decisions, written from the decisions, with trims in seconds, transitions of their
+    own and settings per job; every tenth job answers in prose."""
+    w = decided(s, d)
+    seconds = lambda c: F.coalesce(F.format_string("%.3f", F.col(c) / 1000.0), F.lit("null"))
+    trims = F.when(F.col("action") == "trim", F.concat(F.lit(',"trimStart":'), seconds("trim_start_ms"), F.lit(',"trimEnd":'), seconds("trim_end_ms"))).otherwise("")
+    own = F.when(F.col("seq") % 7 == 3, ',"transitionBefore":"fade"').otherwise("")
+    item = F.concat(F.lit('{"segmentId":"'), "segment_id", F.lit('","action":"'), "action", F.lit('"'), trims, own, F.lit("}"))
     g = w.groupBy("job_id", F.floor(F.col("seq") / 200).alias("part")).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", item.alias("t")))), lambda x: x["t"]).alias("ts"))
-    body = F.concat(F.lit('{"decisions":['), F.array_join("ts", ","), F.lit("]}"))
-    return g.select("job_id", "part", F.when(F.col("job_id") % 10 == 9, "no plan").otherwise(body).alias("content"))
+    j = F.col("job_id")
+    default = F.when(j % 3 == 0, ',"transitionDefault":"mixed"').otherwise("")
+    captions = F.when(j % 4 == 0, ',"captionMode":"standard"').when(j % 4 == 1, ',"captionMode":"jumbo"').when(j % 4 == 2, ',"captionMode":"none"').otherwise("")
+    body = F.concat(F.lit('{"decisions":['), F.array_join("ts", ","), F.lit("]"), default, captions, F.lit("}"))
+    return g.select("job_id", "part", F.when(j % 10 == 9, "no plan").otherwise(body).alias("content"))
 
 
-def edited(s, d, pick_takes=False):
+def edited(s, d, **more):
     segments = ed.spoken(s, d).withColumn("scene_type", F.lit(None).cast("string"))
-    return flows.edit(segments, fx.media(s, d), answers(s, d), threshold_ms=500, pick_takes=pick_takes)
+    return flows.edit(segments, fx.media(s, d), answers(s, d), threshold_ms=500, pick_takes=False, **more)
+
+
+def edited_takes(s, d):
+    """The edit flow with takes, on segments whose speakers start again."""
+    said = F.array_join(F.transform("words", lambda w: w["text"]), " ")
+    segments = ed.repeated(s, d).withColumns({"scene_type": F.lit(None).cast("string"), "transcript": said})
+    return flows.edit(segments, fx.media(s, d), answers(s, d, ed.keep_all), threshold_ms=500)
 
 
 def understood(s, d):
@@ -45,13 +61,46 @@ def enhanced(s, d):
     return flows.enhance_clips(clips, segments, render, limit=5)
 
 
+# Transition of a decision: its own, or its plan's; plans that cannot be read have neither.
+_KIND = "CASE WHEN {d}.job_id % 10 = 9 THEN 'cut' WHEN {d}.{seq} % 7 = 3 THEN 'fade' WHEN {d}.job_id % 3 = 0 THEN 'mixed' ELSE 'cut' END"
 fx.CTES["flow_dec"] = (("spoken_decisions", "spoken_seg"), """
-SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY seq) - 1 AS seq, segment_id, action, CAST(NULL AS BIGINT) AS trim_start_ms, CAST(NULL AS BIGINT) AS trim_end_ms
-FROM spoken_decisions WHERE action <> 'trim' AND job_id % 10 <> 9
-UNION ALL SELECT job_id, seq, segment_id, 'keep', NULL, NULL FROM spoken_seg WHERE job_id % 10 = 9 AND job_id IN (SELECT job_id FROM spoken_decisions WHERE action <> 'trim')""")
+SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY seq) - 1 AS seq, seq AS plan_seq, segment_id, action, trim_start_ms, trim_end_ms
+FROM spoken_decisions WHERE job_id % 10 <> 9
+UNION ALL SELECT job_id, seq, seq, segment_id, 'keep', NULL, NULL FROM spoken_seg WHERE job_id % 10 = 9""")
 fx.CTES["flow_win"] = (("flow_dec", "spoken_seg"), """
-SELECT d.job_id, d.seq, d.segment_id, s.seq AS seg_seq, s.start_ms AS ws, s.end_ms AS we FROM flow_dec d JOIN spoken_seg s USING (job_id, segment_id) WHERE d.action <> 'remove'""")
+WITH c AS (SELECT d.job_id, d.seq, d.segment_id, s.seq AS seg_seq, s.start_ms, s.end_ms, """ + _KIND.format(d="d", seq="plan_seq") + """ AS kind,
+    greatest(coalesce(d.trim_start_ms, s.start_ms), s.start_ms) AS lo, least(coalesce(d.trim_end_ms, s.end_ms), s.end_ms) AS hi
+  FROM flow_dec d JOIN spoken_seg s USING (job_id, segment_id) WHERE d.action <> 'remove')
+SELECT job_id, seq, segment_id, seg_seq, kind, CASE WHEN hi <= lo THEN start_ms ELSE lo END AS ws, CASE WHEN hi <= lo THEN end_ms ELSE hi END AS we FROM c""")
 fx.CTES["flow_isl"] = (("flow_win", "spoken_words"), ed._islands("flow_win", 500))
+fx.CTES["flow_iw"] = (("flow_isl", "flow_win", "spoken_words"), "SELECT * FROM (" + re.sub(r"\bwin\b", "flow_win", ed._IW.replace("isl500", "flow_isl")) + ")")
+fx.CTES["flow_steps"] = (("flow_iw",), re.sub(r"\biw\b", "flow_iw", fx.CTES["chunk_steps"][1]))
+# The same with takes cut out of segments whose speakers start again.
+fx.CTES["rep_word_rows"] = (("rep_words",), "SELECT job_id, scene_seq AS seg_seq, k AS seq, text, start_ms, end_ms FROM rep_words")
+fx.CTES["take_win"] = (("take_rows", "rep_seg"), "WITH " + ed._TAKE_CUTS.lstrip(",\n").replace("\nSELECT g.job_id, g.seq, g.segment_id, 'keep'", """,
+x AS (SELECT g.job_id, g.seq, g.segment_id, g.start_ms, g.end_ms, 'keep'""") + """)
+SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY seq, coalesce(trim_start_ms, 0)) - 1 AS seq, segment_id, seq AS seg_seq,
+  """ + _KIND.format(d="x", seq="seq") + """ AS kind, coalesce(trim_start_ms, start_ms) AS ws, coalesce(trim_end_ms, end_ms) AS we FROM x""")
+fx.CTES["take_isl"] = (("take_win", "rep_word_rows"), ed._islands("take_win", 500).replace("spoken_words", "rep_word_rows"))
+
+
+def _flow_clips(name):
+    return fx.with_tables(f"{name}_isl", f"{name}_win", "media", recursive=name == "take") + f""",
+r AS (SELECT i.job_id, i.seq, i.island, w.segment_id, w.kind, m.fps::DOUBLE AS fps, CAST(floor(i.start_ms::DOUBLE * m.fps::DOUBLE / 1000.0::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS start_from,
+    CAST(floor((i.end_ms - i.start_ms)::DOUBLE * m.fps::DOUBLE / 1000.0::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS duration_frames
+  FROM {name}_isl i JOIN {name}_win w USING (job_id, seq) JOIN media m ON m.job_id = i.job_id),
+k AS (SELECT *, row_number() OVER o - 1 AS n, CAST(coalesce(sum(duration_frames) OVER (PARTITION BY job_id ORDER BY seq, island ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS out_start
+  FROM r WHERE duration_frames > 0 WINDOW o AS (PARTITION BY job_id ORDER BY seq, island))
+SELECT job_id, n AS seq, segment_id, start_from, duration_frames, out_start, CASE WHEN kind <> 'mixed' THEN kind WHEN n % 2 = 1 THEN 'fade' ELSE 'cut' END AS transition,
+  CASE WHEN kind <> 'cut' THEN CAST(floor(fps * 0.5::DOUBLE + 0.5::DOUBLE) AS BIGINT) END AS transition_frames FROM k"""
+
+
+def _flow_captions(chunks, style, size, jobs):
+    sql = ed._CAPTIONS.format(chunks=chunks, style=style, size=size).lstrip(",\n").replace("isl500", "flow_isl")
+    return f"SELECT * FROM (WITH {sql}) c WHERE job_id % 10 <> 9 AND job_id % 4 = {jobs}"
+
+
+_CLIP = ["job_id", "seq", "segment_id", "start_from", "duration_frames", "out_start", "transition", "transition_frames"]
 
 QUERIES = {
     "flow1_understand": (
@@ -61,17 +110,25 @@ SELECT g.job_id, g.seq, printf('seg_%03d', g.seq) AS segment_id, g.start_ms, g.e
     WHERE e.job_id = g.job_id AND abs(e.time_ms - g.start_ms) < 500), 0.5), 6) AS energy,
   NOT EXISTS (SELECT 1 FROM spoken_words w WHERE w.job_id = g.job_id AND w.seg_seq = g.seq) AS is_silent FROM spoken g""",
     ),
-    "flow2_edit": (
-        lambda s, d: edited(s, d).clips.select("job_id", "seq", "segment_id", "start_from", "duration_frames", "out_start"),
-        fx.with_tables("flow_isl", "flow_win", "media") + """,
-r AS (SELECT i.job_id, i.seq, i.island, w.segment_id, CAST(floor(i.start_ms::DOUBLE * m.fps::DOUBLE / 1000.0::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS start_from,
-    CAST(floor((i.end_ms - i.start_ms)::DOUBLE * m.fps::DOUBLE / 1000.0::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS duration_frames
-  FROM flow_isl i JOIN flow_win w USING (job_id, seq) JOIN media m ON m.job_id = i.job_id)
-SELECT job_id, row_number() OVER o - 1 AS seq, segment_id, start_from, duration_frames,
-  CAST(coalesce(sum(duration_frames) OVER (PARTITION BY job_id ORDER BY seq, island ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS out_start
-FROM r WHERE duration_frames > 0 WINDOW o AS (PARTITION BY job_id ORDER BY seq, island)""",
+    "flow2_edit": (lambda s, d: edited(s, d).clips.select(_CLIP), _flow_clips("flow")),
+    "flow2_edit_with_takes": (lambda s, d: edited_takes(s, d).clips.select(_CLIP), _flow_clips("take")),
+    "flow2_captions": (
+        lambda s, d: edited(s, d).captions,
+        fx.with_tables("flow_iw", "flow_steps", "flow_isl", "media", recursive=True) + "\n"
+        + _flow_captions(re.sub(r"\biw\b", "flow_iw", ed._STANDARD).replace("chunk_steps", "flow_steps"), "standard", 36, 0)
+        + "\nUNION ALL " + _flow_captions(ed._JUMBO.replace(ed._IW, "SELECT * FROM flow_iw"), "jumbo", 96, 1),
+    ),
+    "flow2_pacing": (
+        lambda s, d: edited(s, d).pacing,
+        fx.with_tables("flow_dec", "spoken_seg") + """,
+k AS (SELECT d.job_id, d.seq, d.segment_id, s.energy, s.energy < 0.3::DOUBLE AND s.end_ms - s.start_ms > 10000 AS low
+  FROM flow_dec d JOIN spoken_seg s USING (job_id, segment_id) WHERE d.action <> 'remove'),
+l AS (SELECT *, lag(low) OVER w AS pl, lag(segment_id) OVER w AS pid FROM k WINDOW w AS (PARTITION BY job_id ORDER BY seq)),
+j AS (SELECT job_id, max_by(energy, seq) AS le, max(seq) AS seq FROM k GROUP BY job_id)
+SELECT job_id, 'nothing_kept' AS code, -1 AS seq, '' AS detail FROM flow_dec GROUP BY job_id HAVING count(*) FILTER (action <> 'remove') = 0
+UNION ALL SELECT job_id, 'low_energy_stretch', seq, pid || ',' || segment_id FROM l WHERE low AND pl
+UNION ALL SELECT job_id, 'low_energy_ending', seq, '' FROM j WHERE le < 0.3::DOUBLE""",
     ),
-    "flow2_edit_with_takes": (lambda s, d: edited(s, d, True).clips.select("job_id", "seq", "segment_id", "start_from", "duration_frames", "out_start"), None),
     "flow3_enhance": (
         lambda s, d: enhanced(s, d).manifest,
         fx.with_tables("clips", "spoken_seg") + """,

@@ -108,7 +108,9 @@ def scene_answers(s, d):
 
 def entity_answers(s, d):
     q = F.col("seq")
-    arr = F.concat(F.lit('[{"id":"e'), q.cast("string"), F.lit('","name":"N","type":"person","mentions":['), q.cast("string"), F.lit(","), (q + 1).cast("string"), F.lit("]}]"))
+    # Leading line ends, and mentions that are no positions: both must be borne.
+    odd = F.when(q % 6 == 0, ',"x",1.5').otherwise("")
+    arr = F.concat(F.when(q % 9 == 0, "\n\t").otherwise(""), F.lit('[{"id":"e'), q.cast("string"), F.lit('","name":"N","type":"person","mentions":['), q.cast("string"), odd, F.lit(","), (q + 1).cast("string"), F.lit("]}]"))
     return fx.segments(s, d).select("job_id", F.when(q % 3 == 0, arr).when(q % 3 == 1, F.concat(F.lit('{"entities":'), arr, F.lit("}"))).otherwise(F.concat(arr, F.lit(" oops"))).alias("content"))
 
 
@@ -124,7 +126,7 @@ def fusion_answers(s, d):
 
 def enhancement_answers(s, d):
     q, sid = F.col("seq"), F.col("segment_id")
-    item = F.concat(F.lit('[{"segmentId":"'), sid, F.lit('"'), F.when(q % 2 == 0, ',"level":"enhancement_required","confidence":0.9').otherwise(""), F.lit("}]"))
+    item = F.concat(F.when(q % 3 == 1, "\n ").otherwise(""), F.lit('[{"segmentId":"'), sid, F.lit('"'), F.when(q % 2 == 0, ',"level":"enhancement_required","confidence":0.9').otherwise(""), F.lit("}]"))
     return fx.segments(s, d).select("job_id", F.when(q % 5 == 4, F.concat(F.lit('{"items":'), item, F.lit("}"))).otherwise(item).alias("content"))
 
 

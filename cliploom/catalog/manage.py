@@ -81,7 +81,7 @@ def updates(s, d):
     text = F.when(q % 2 == 0, ',"textOnScreen":null').when(q % 5 == 0, ',"textOnScreen":"NEW"').otherwise("")
     body = F.concat(
         F.lit('{"id":"'), "segment_id", F.lit('","visualDescription":"'), F.when(q % 4 == 0, "").otherwise("fresh"), F.lit('","visualInterest":'),
-        (q % 6).cast("string"), text, F.lit("}"),
+        F.when(q % 9 == 3, '"many"').when(q % 9 == 6, "4.5").otherwise((q % 6).cast("string")), text, F.lit("}"),
     )
     bare = F.concat(F.lit('{"id":"'), "segment_id", F.lit('"}'))
     return g.select("job_id", q.alias("ord"), F.when(q % 3 == 0, body).otherwise(bare).alias("update"))
@@ -426,7 +426,7 @@ SELECT m.job_id, m.seq, g.segment_id, string_agg(m.entity_id, ',' ORDER BY m.ord
         lambda s, d: enrich.apply_updates(fx.segments(s, d), updates(s, d)).select("job_id", "seq", "visual_description", "visual_interest", "text_on_screen", "scene_type"),
         fx.with_tables("segments") + """
 SELECT job_id, seq, CASE WHEN seq % 3 = 0 AND seq % 4 <> 0 THEN 'fresh' ELSE visual_description END AS visual_description,
-  CASE WHEN seq % 3 = 0 AND seq % 6 <> 0 THEN seq % 6 ELSE visual_interest END AS visual_interest,
+  CASE WHEN seq % 9 = 3 THEN visual_interest WHEN seq % 9 = 6 THEN 5 WHEN seq % 3 = 0 AND seq % 6 <> 0 THEN seq % 6 ELSE visual_interest END AS visual_interest,
   CASE WHEN seq % 3 = 0 AND seq % 2 = 0 THEN NULL WHEN seq % 3 = 0 AND seq % 5 = 0 THEN 'NEW' ELSE text_on_screen END AS text_on_screen, scene_type FROM segments""",
     ),
     "win4_segment_overlaps": (
@@ -437,10 +437,10 @@ SELECT job_id, seq, segment_id, prev_id, start_ms, prev_end_ms FROM (
 WHERE start_ms < prev_end_ms""",
     ),
     "agg4_understanding_gate": (
-        lambda s, d: gates.understanding_gate(documents(s, d), fx.segments(s, d).withColumn("transcript", F.when(F.col("seq") % 4 == 1, "  ").otherwise(F.col("transcript"))), entity_counts(s, d)),
+        lambda s, d: gates.understanding_gate(documents(s, d), fx.segments(s, d).withColumn("transcript", F.when(F.col("seq") % 8 == 5, "\n\t").when(F.col("seq") % 4 == 1, "  ").otherwise(F.col("transcript"))), entity_counts(s, d)),
         fx.with_tables("docs", "segments") + """,
-g AS (SELECT * REPLACE (CASE WHEN seq % 4 = 1 THEN '  ' ELSE transcript END AS transcript) FROM segments),
-a AS (SELECT job_id, count(*) AS n, sum(end_ms - start_ms) FILTER (trim(transcript) <> '' OR is_silent) AS c, sum(end_ms - start_ms) AS s FROM g GROUP BY job_id),
+g AS (SELECT * REPLACE (CASE WHEN seq % 8 = 5 THEN chr(10) || chr(9) WHEN seq % 4 = 1 THEN '  ' ELSE transcript END AS transcript) FROM segments),
+a AS (SELECT job_id, count(*) AS n, sum(end_ms - start_ms) FILTER (regexp_matches(transcript, '\\S') OR is_silent) AS c, sum(end_ms - start_ms) AS s FROM g GROUP BY job_id),
 x AS (SELECT * FROM docs JOIN a USING (job_id))
 SELECT job_id, 'low_transcript_coverage' AS code, 'warning' AS severity, -1 AS seq FROM x WHERE CASE WHEN duration_ms > 0 THEN coalesce(c, 0) / duration_ms ELSE 0 END < 0.98::DOUBLE
 UNION ALL SELECT job_id, 'low_scene_coverage', 'warning', -1 FROM x WHERE duration_ms > 0 AND s / duration_ms < 0.9::DOUBLE
@@ -451,7 +451,7 @@ UNION ALL SELECT job_id, 'overlapping_segments', 'error', seq FROM (SELECT *, la
     "set1_gate_results": (
         lambda s, d: gates.gate_result(documents(s, d), gates.understanding_gate(documents(s, d), fx.segments(s, d), entity_counts(s, d))),
         fx.with_tables("docs", "segments") + """,
-a AS (SELECT job_id, count(*) AS n, sum(end_ms - start_ms) FILTER (trim(transcript) <> '' OR is_silent) AS c, sum(end_ms - start_ms) AS s FROM segments GROUP BY job_id),
+a AS (SELECT job_id, count(*) AS n, sum(end_ms - start_ms) FILTER (regexp_matches(transcript, '\\S') OR is_silent) AS c, sum(end_ms - start_ms) AS s FROM segments GROUP BY job_id),
 x AS (SELECT * FROM docs JOIN a USING (job_id)),
 i AS (SELECT job_id, 0 AS e FROM x WHERE CASE WHEN duration_ms > 0 THEN coalesce(c, 0) / duration_ms ELSE 0 END < 0.98::DOUBLE
 UNION ALL SELECT job_id, 0 FROM x WHERE duration_ms > 0 AND s / duration_ms < 0.9::DOUBLE

@@ -121,7 +121,7 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         (d % 20).alias("job_id"),
         (2000 + (F.col("n_chars") * 20) % 45000).alias("dur"),
-        F.substring("text", 1, 400).alias("transcript"),
+        F.col("text").alias("transcript"),
         "source",
     )
     c = running(docs, ["job_id"], ["doc_id"], seq_block("doc_id"), sums={"seq": F.lit(1), "s0": F.col("dur")})
@@ -303,7 +303,7 @@ FROM (SELECT DISTINCT conv_id AS job_id FROM conversations UNION SELECT DISTINCT
 CTES["segments"] = ((), """
 WITH d AS (
   SELECT doc_id, doc_id % 20 AS job_id, row_number() OVER (PARTITION BY doc_id % 20 ORDER BY doc_id) - 1 AS seq,
-    2000 + (n_chars * 20) % 45000 AS dur, substr(text, 1, 400) AS transcript, source FROM documents),
+    2000 + (n_chars * 20) % 45000 AS dur, text AS transcript, source FROM documents),
 c AS (SELECT *, coalesce(sum(dur) OVER (PARTITION BY job_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s0 FROM d)
 SELECT job_id, CAST(seq AS BIGINT) AS seq, printf('seg_%03d', seq) AS segment_id,
   CAST(s0 - CASE WHEN seq % 23 = 22 THEN 500 ELSE 0 END AS BIGINT) AS start_ms, CAST(s0 + dur AS BIGINT) AS end_ms,

@@ -33,6 +33,20 @@ def seconds_text(ms: Column, digits: int = 1) -> Column:
     )
 
 
+# The characters that trimming takes for white space.
+WHITE = r"\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+
+
+def blank(c: Column) -> Column:
+    """Nothing but white space of any kind."""
+    return c.rlike(rf"\A[{WHITE}]*\z")
+
+
+def stripped(c: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(c, rf"\A[{WHITE}]+|[{WHITE}]+\z", "")
+
+
 def present(c: Column) -> Column:
     """Neither null nor empty: the truth test of a text field."""
     return c.isNotNull() & (c != "")

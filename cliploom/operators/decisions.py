@@ -9,6 +9,12 @@ from cliploom.operators.blocks import running, seq_block
 from cliploom.operators.silence import windowed, with_segment
 
 
+# What a decision may hold besides its window.
+OPTIONAL = ("transition_before",)
+# Fixed value: the reason of decisions made up for a plan that cannot be read.
+FALLBACK_REASON = "Fallback: plan could not be parsed"
+
+
 def kept_windows(decisions: DataFrame, segments: DataFrame) -> DataFrame:
     """Kept decisions with their effective window."""
     return windowed(decisions, segments).select("job_id", "seq", "segment_id", "action", "win_start_ms", "win_end_ms")
@@ -18,7 +24,7 @@ def sanitize_decisions(raw: DataFrame, segments: DataFrame) -> DataFrame:
     """Clamp trims to the segment, drop both when they leave nothing, fill action and reason.
 
     ``raw`` may hold trims as text: what is not a number counts as absent.  Decisions of unknown
-    segments keep their trims.
+    segments keep their trims, and a decision its own transition.
     """
     d = with_segment(raw, segments)
     known = F.col("seg_start_ms").isNotNull()
@@ -36,6 +42,7 @@ def sanitize_decisions(raw: DataFrame, segments: DataFrame) -> DataFrame:
         reason.alias("reason"),
         F.when(~bad, lo).alias("trim_start_ms"),
         F.when(~bad, hi).alias("trim_end_ms"),
+        *[c for c in OPTIONAL if c in raw.columns],
     )
 
 
@@ -114,14 +121,16 @@ def fallback_keep_all(decisions: DataFrame, segments: DataFrame, failed: DataFra
         segments.join(failed.select("job_id").distinct(), "job_id", "left_semi")
         .select("job_id", "seq", "segment_id")
         .withColumn("action", F.lit("keep"))
-        .withColumn("reason", F.lit("Fallback: plan could not be parsed"))
+        .withColumn("reason", F.lit(FALLBACK_REASON))
         .withColumn("trim_start_ms", F.lit(None).cast("long"))
         .withColumn("trim_end_ms", F.lit(None).cast("long"))
     )
+    optional = [c for c in OPTIONAL if c in decisions.columns]
     sane = decisions.join(failed.select("job_id").distinct(), "job_id", "left_anti")
     if "reason" not in sane.columns:
         sane = sane.withColumn("reason", F.lit(""))
-    return sane.select(cols).unionByName(keep.select(cols))
+    keep = keep.select(*cols, *[F.lit(None).cast("string").alias(c) for c in optional])
+    return sane.select(*cols, *optional).unionByName(keep)
 
 
 def pacing_warnings(decisions: DataFrame, segments: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cliploom.operators.silence import first_segments
@@ -98,6 +98,14 @@ def segment_topics(topics: DataFrame, segments: DataFrame) -> DataFrame:
     )
 
 
+def _taken(value: Column, old: Column, kind: str) -> Column:
+    """The value in the column's type; a number is rounded half up, and what is no number leaves the old value."""
+    if kind == "string":
+        return value
+    number = value.try_cast("double")
+    return F.coalesce(number.try_cast(kind) if kind in ("double", "float") else F.floor(number + F.lit(0.5)).try_cast(kind), old)
+
+
 def apply_updates(segments: DataFrame, updates: DataFrame) -> DataFrame:
     """Merge updates (job_id, ord, update: JSON object with an id) into segments, later ones last.
 
@@ -127,7 +135,7 @@ def apply_updates(segments: DataFrame, updates: DataFrame) -> DataFrame:
     types = dict(segments.dtypes)
     return joined.select(
         *[
-            F.when(F.col(f"_g_{c}"), F.col(f"_u_{c}.v").cast(types[c])).otherwise(F.col(c)).alias(c) if c in UPDATE_FIELDS else F.col(c)
+            F.when(F.col(f"_g_{c}"), _taken(F.col(f"_u_{c}.v"), F.col(c), types[c])).otherwise(F.col(c)).alias(c) if c in UPDATE_FIELDS else F.col(c)
             for c in segments.columns
         ]
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cliploom.functions.text import present
+from cliploom.functions.text import blank, present
 from cliploom.operators.blocks import running, seq_block
 
 ISSUE = ["job_id", "code", "severity", "seq"]
@@ -37,7 +37,7 @@ def understanding_gate(
     ``entity_counts``: job_id, n_entities.  Coverage counts segments with speech or marked silent.
     """
     dur = F.col("end_ms") - F.col("start_ms")
-    spoken = (F.trim("transcript") != "") | F.col("is_silent")
+    spoken = ~blank(F.col("transcript")) | F.col("is_silent")
     per = segments.groupBy("job_id").agg(
         F.count(F.lit(1)).alias("_n"), F.sum(F.when(spoken, dur).otherwise(0)).alias("_c"), F.sum(dur).alias("_s")
     )

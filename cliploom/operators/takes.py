@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cliploom.functions.text import normalized_word
+from cliploom.operators.decisions import OPTIONAL
 from cliploom.operators.intervals import complement, merge_intervals, overlaps
 from cliploom.operators.silence import windowed, words_overlapping
 from cliploom.sources.scratch import materialize
@@ -46,9 +48,8 @@ def _first_match(tokens: list[str], i: int, at: dict[str, list[int]], blocked: s
     best = -1
     for t in set(rare):
         starts = at.get(t, ())
-        lo = pd.Index(starts).searchsorted(i + SPAN) if len(starts) > 64 else 0
-        for j in starts[lo:]:
-            if j < i + SPAN or j in blocked:
+        for j in starts[bisect_left(starts, i + SPAN) :]:
+            if j in blocked:
                 continue
             if 0 <= best <= j:
                 break
@@ -206,8 +207,9 @@ def remove_spans(decisions: DataFrame, segments: DataFrame, spans: DataFrame) ->
     pieces = complement(windows, merged, ["job_id", "seq"])
     pieces = pieces.select("job_id", "seq", F.col("start_ms").alias("_from"), F.col("end_ms").alias("_to"))
     cut = F.col("_from").isNotNull()
+    optional = [c for c in OPTIONAL if c in decisions.columns]
     return (
-        decisions.select("job_id", "seq", "segment_id", "action", "trim_start_ms", "trim_end_ms")
+        decisions.select("job_id", "seq", "segment_id", "action", "trim_start_ms", "trim_end_ms", *optional)
         .join(pieces, ["job_id", "seq"], "left")
         .select(
             "job_id",
@@ -216,6 +218,7 @@ def remove_spans(decisions: DataFrame, segments: DataFrame, spans: DataFrame) ->
             F.when(cut, "keep").otherwise(F.col("action")).alias("action"),
             F.when(cut, F.col("_from")).otherwise(F.col("trim_start_ms")).alias("trim_start_ms"),
             F.when(cut, F.col("_to")).otherwise(F.col("trim_end_ms")).alias("trim_end_ms"),
+            *optional,
         )
     )
 

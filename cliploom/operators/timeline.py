@@ -29,16 +29,16 @@ def build_clips(
 ) -> DataFrame:
     """Clips of the output timeline in order, one per speech island of each kept decision.
 
-    ``decisions`` may hold its own ``transition_before``; ``transition`` is the default, and 'mixed'
-    alternates cut and fade.  ``out_start`` is the position in the output.
+    ``decisions`` may hold its own ``transition_before`` and its plan's ``transition_default``; ``transition`` is what counts
+    without either, and 'mixed' alternates cut and fade.  ``out_start`` is the position in the output.
     """
     d = repaired_windows(decisions, segments).join(_rates(media), "job_id", "left").withColumn(
         "fps", F.coalesce("fps", F.lit(30.0))
     )
     d = d.withColumn("_w", words_inside(F.col("seg_words"), F.col("win_start_ms"), F.col("win_end_ms")))
     d = d.withColumn("_i", speech_islands_of("_w", "win_start_ms", "win_end_ms", threshold_ms))
-    kind = F.coalesce("transition_before", F.lit(transition)) if "transition_before" in d.columns else F.lit(transition)
-    d = d.withColumn("_kind", kind)
+    own = [F.col(c) for c in ("transition_before", "transition_default") if c in d.columns]
+    d = d.withColumn("_kind", F.coalesce(*own, F.lit(transition)))
     rows = d.select("job_id", "seq", "segment_id", "fps", "_kind", F.posexplode_outer("_i").alias("island", "_x"))
     rows = rows.select(
         "job_id",

@@ -75,7 +75,7 @@ def edit(
     segments: DataFrame,
     media: DataFrame,
     plan_texts: DataFrame,
-    caption_mode: str = "standard",
+    caption_mode: str | None = None,
     threshold_ms: int = 0,
     targets: DataFrame | None = None,
     second_plans: DataFrame | None = None,
@@ -85,7 +85,8 @@ def edit(
     """From plan answers (job_id, part, content) to clips and captions.
 
     A long plan may come in several parts.  Jobs with an answer that cannot be read keep all segments.  With ``targets`` (job_id, target_ms) and
-    ``second_plans`` (decisions of a tighter pass) over-budget jobs may switch to the second plan.
+    ``second_plans`` (decisions of a tighter pass) over-budget jobs may switch to the second plan.  Transitions and the caption
+    mode are the plan's (its first part's); ``caption_mode`` overrides the latter for all jobs.
     """
     raw, plans = responses.ingest_plans(plan_texts, ["job_id", "part"])
     plans = materialize(plans, "plans")
@@ -95,7 +96,10 @@ def edit(
     first = materialize(dec.fallback_keep_all(sane, segments, failed).drop("reason"), "decisions")
     if targets is not None and second_plans is not None:
         checked = materialize(dec.budget_check(first, segments, targets), "budget")
-        first = materialize(dec.choose_plan(first, second_plans.select(first.columns), segments, checked).drop("plan"), "decisions")
+        second = second_plans
+        if "transition_before" not in second.columns:
+            second = second.withColumn("transition_before", F.lit(None).cast("string"))
+        first = materialize(dec.choose_plan(first, second.select(first.columns), segments, checked).drop("plan"), "decisions")
     if pick_takes:
         cut, log = takes.pick_takes(first, segments)
         parts = cut.withColumn("part", F.coalesce("trim_start_ms", F.lit(0)))
@@ -103,11 +107,20 @@ def edit(
     else:
         final, log = first, takes.score_takes(first.limit(0), segments)
     pacing = dec.pacing_warnings(final, segments)
-    clips = materialize(timeline.build_clips(final, segments, media, threshold_ms).withColumn("src", F.lit(source)), "clips")
-    captions = timeline.plan_captions(
-        final if caption_mode != "none" else final.limit(0), segments, media, caption_mode if caption_mode != "none" else "standard", threshold_ms
+    # One row of settings per job: the first part of its plan that can be read.
+    read = plans.filter("status <> 'failed'").join(failed, "job_id", "left_anti")
+    settings = read.groupBy("job_id").agg(
+        F.min_by("transition_default", "part").alias("transition_default"), F.min_by("caption_mode", "part").alias("caption_mode")
     )
-    captions = materialize(captions, "captions")
+    final = materialize(final.join(settings, "job_id", "left"), "set-decisions")
+    clips = materialize(timeline.build_clips(final, segments, media, threshold_ms).withColumn("src", F.lit(source)), "clips")
+    mode = F.coalesce(F.lit(caption_mode), "caption_mode", F.lit("none"))
+    tracks = [
+        timeline.plan_captions(final.filter(chosen), segments, media, style, threshold_ms)
+        for style, chosen in (("jumbo", mode == "jumbo"), ("standard", ~mode.isin("jumbo", "none")))
+    ]
+    captions = materialize(tracks[0].unionByName(tracks[1]), "captions")
+    final = final.drop("transition_default", "caption_mode")
     errors = gates.validate_timelines(
         timeline.timelines(clips, media.join(segments.select("job_id").distinct(), "job_id", "left_semi")), clips, captions
     )

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cliploom.functions.text import stripped
+
 DECISION = (
     "struct<segmentId:string,action:string,reason:string,trimStart:double,trimEnd:double,transitionBefore:string>"
 )
@@ -14,7 +16,7 @@ PLAN = f"struct<decisions:array<{DECISION}>,captionMode:string,transitionDefault
 SCENE = (
     "struct<sceneId:string,description:string,sceneType:string,visualInterest:double,textOnScreen:string,cameraMotion:string>"
 )
-ENTITY = "struct<id:string,name:string,type:string,role:string,mentions:array<int>>"
+ENTITY = "struct<id:string,name:string,type:string,role:string,mentions:array<string>>"
 TOPIC = "struct<id:string,label:string,segments:array<string>>"
 MOMENT = "struct<segmentId:string,label:string,reason:string,recommendedForHighlight:string>"
 ENHANCEMENT = "struct<segmentId:string,level:string,reason:string,enhancementType:string,confidence:double>"
@@ -72,7 +74,7 @@ def ingest_plans(responses: DataFrame, keys: list[str] | None = None) -> tuple[D
     repaired = lambda a: _let(
         repair_json(a), lambda b: F.when(is_json(b), state(b, "repaired")).otherwise(state(F.lit(None).cast("string"), "failed"))
     )
-    read = _let(_cut(F.trim("content"), "{", "}"), lambda a: F.when(is_json(a), state(a, "good")).otherwise(repaired(a)))
+    read = _let(_cut(stripped(F.col("content")), "{", "}"), lambda a: F.when(is_json(a), state(a, "good")).otherwise(repaired(a)))
     d = responses.select(*keys, read.alias("r")).select(*keys, F.from_json("r.text", PLAN).alias("p"), F.col("r.status").alias("status"))
     plans = d.select(
         *keys,
@@ -100,10 +102,17 @@ def _list_of(content: Column, item: str, key: str | None) -> Column:
     """The answer as an array of items: a bare array, or the array under ``key``."""
     text = F.when(is_json(content), content)
     bare = F.from_json(text, f"array<{item}>")
+    is_list = stripped(text).startswith("[")
     if key is None:
-        return F.when(F.trim(text).startswith("["), bare)
+        return F.when(is_list, bare)
     keyed = F.from_json(text, f"struct<{key}:array<{item}>>")[key]
-    return F.when(F.trim(text).startswith("["), bare).otherwise(keyed)
+    return F.when(is_list, bare).otherwise(keyed)
+
+
+def _positions(mentions: str) -> Column:
+    """The whole numbers of a list; what else it holds points at no segment."""
+    number = lambda m: m.try_cast("double")
+    return F.transform(F.filter(mentions, lambda m: number(m) == F.floor(number(m))), lambda m: number(m).cast("int"))
 
 
 def parse_responses(df: DataFrame, kind: str) -> DataFrame:
@@ -115,12 +124,12 @@ def parse_responses(df: DataFrame, kind: str) -> DataFrame:
     """
     c = F.col("content")
     if kind == "scenes":
-        d = df.select("job_id", "scene_ids", _cut(F.trim(c), "[", "]").alias("t"))
+        d = df.select("job_id", "scene_ids", _cut(stripped(c), "[", "]").alias("t"))
         d = d.withColumn("_ok", is_json(F.col("t")))
         arr = F.from_json("t", f"array<{SCENE}>")
         one = F.array(F.from_json("t", SCENE))
         good = d.filter("_ok").select(
-            "job_id", F.posexplode_outer(F.when(F.trim("t").startswith("["), arr).otherwise(one)).alias("ord", "x")
+            "job_id", F.posexplode_outer(F.when(stripped(F.col("t")).startswith("["), arr).otherwise(one)).alias("ord", "x")
         ).filter("ord IS NOT NULL")
         good = good.select(
             "job_id",
@@ -145,7 +154,7 @@ def parse_responses(df: DataFrame, kind: str) -> DataFrame:
         return good.unionByName(bad)
     if kind == "entities":
         rows = df.select("job_id", F.posexplode_outer(_list_of(c, ENTITY, "entities")).alias("ord", "x")).filter("ord IS NOT NULL")
-        return rows.select("job_id", "ord", F.col("x.id").alias("entity_id"), "x.name", "x.type", "x.role", "x.mentions")
+        return rows.select("job_id", "ord", F.col("x.id").alias("entity_id"), "x.name", "x.type", "x.role", _positions("x.mentions").alias("mentions"))
     if kind == "topics":
         rows = df.select("job_id", F.posexplode_outer(F.from_json(F.when(is_json(c), c), f"struct<topics:array<{TOPIC}>>")["topics"]).alias("ord", "x")).filter("ord IS NOT NULL")
         return rows.select("job_id", "ord", F.col("x.id").alias("topic_id"), "x.label", "x.segments")
