@@ -34,7 +34,7 @@ from cliploom.llm.common import free, map_slices, materialize, partitions
 from cliploom.llm.components import components
 
 U = np.uint64
-SKETCH = 4  # words of 64 bits
+SKETCH = 16  # words of 64 bits
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -69,7 +69,7 @@ def set_ids(s: np.ndarray) -> tuple[int, int]:
 
 
 def parity_sketch(s: np.ndarray) -> list[int]:
-    bit = np.bincount((mix(s) >> U(56)).astype(np.int64), minlength=64 * SKETCH) & 1
+    bit = np.bincount((mix(s) >> U(54)).astype(np.int64), minlength=64 * SKETCH) & 1
     return [int(x) for x in np.packbits(bit.astype(np.uint8), bitorder="little").view(np.int64)]
 
 
@@ -149,29 +149,51 @@ def jaccard_at_least(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def _shared(batches):
-    """Of sorted rows (sig, sid): those whose key another set has too, with the smallest set of the key's group."""
-    held_sig = held_sid = held_lead = None
-    waiting = False  # the held row is alone in its group so far
+def _groups(batches, most: int = 512):
+    """Of sorted rows (sig, sid): the sets that share a key, one list per key.
+
+    A list that grows beyond ``most`` over the end of a batch is put out in parts, with the key as the group's number.
+    """
+    schema = pa.schema([("gid", pa.int64()), ("sids", pa.list_(pa.int64()))])
+
+    def lists(gids, parts):
+        return pa.RecordBatch.from_arrays([pa.array(gids, pa.int64()), pa.array(parts, pa.list_(pa.int64()))], schema=schema)
+
+    tail, tail_sig, tail_sid, parted = np.zeros(0, np.int64), None, None, False
     for batch in batches:
         sig = batch.column("sig").to_numpy(zero_copy_only=False)
         sid = batch.column("sid").to_numpy(zero_copy_only=False)
         if not len(sig):
             continue
-        again = np.concatenate(([sig[0] == held_sig and sid[0] == held_sid], (sig[1:] == sig[:-1]) & (sid[1:] == sid[:-1])))
+        again = np.concatenate(([sig[0] == tail_sig and sid[0] == tail_sid], (sig[1:] == sig[:-1]) & (sid[1:] == sid[:-1])))
         sig, sid = sig[~again], sid[~again]
         if not len(sig):
             continue
-        first = np.concatenate(([sig[0] != held_sig], sig[1:] != sig[:-1]))
-        start = np.maximum.accumulate(np.where(first, np.arange(len(sig)), -1))
-        lead = np.where(start >= 0, sid[np.maximum(start, 0)], held_lead if held_lead is not None else 0)
-        put = ~first | np.concatenate((~first[1:], [False]))
-        out = {"sig": sig[put], "sid": sid[put], "lead": lead[put]}
-        if waiting and not first[0]:
-            out = {k: np.concatenate(([v], out[k])) for k, v in (("sig", held_sig), ("sid", held_sid), ("lead", held_lead))}
-        waiting = bool(first[-1])
-        held_sig, held_sid, held_lead = sig[-1], sid[-1], lead[-1]
-        yield pa.RecordBatch.from_pydict(out)
+        gids, parts = [], []
+        if tail_sig is not None and sig[0] != tail_sig:  # the waiting group is complete
+            if len(tail) > (0 if parted else 1):
+                gids.append(int(tail_sig) if parted else None)
+                parts.append(tail)
+            tail, parted = np.zeros(0, np.int64), False
+        sig, sid = np.concatenate((np.full(len(tail), sig[0]), sig)), np.concatenate((tail, sid))
+        edge = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1], [True])))
+        for k in np.flatnonzero(np.diff(edge)[:-1] > 1).tolist() if len(edge) > 2 else []:
+            gids.append(int(sig[edge[k]]) if k == 0 and parted else None)
+            parts.append(sid[edge[k] : edge[k + 1]])
+        if parted and len(edge) > 2:
+            if edge[1] == 1:  # the last row of a group put out in parts
+                gids.append(int(sig[0]))
+                parts.append(sid[:1])
+            parted = False
+        tail, tail_sig, tail_sid = sid[edge[-2] :], sig[-1], sid[-1]
+        if len(tail) > most:
+            gids.append(int(tail_sig))
+            parts.append(tail)
+            tail, parted = tail[:0], True
+        if parts:
+            yield lists(gids, parts)
+    if tail_sig is not None and len(tail) > (0 if parted else 1):
+        yield lists([int(tail_sig) if parted else None], [tail])
 
 
 def shingle_sets(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,7 +223,7 @@ def _allocation(docs: DataFrame, sets: DataFrame, most: int, k: int, percent: in
     def make():
         return lambda texts: {"s": [shingles(t, k).tobytes() for t in texts]}
 
-    got = map_slices(sample, text_col, make, "s binary", []).where("octet_length(s) >= 32 and octet_length(s) <= 80000").distinct()
+    got = map_slices(sample, text_col, make, "s binary", []).where("octet_length(s) >= 32 and octet_length(s) <= 16000").distinct()
     slots.allocate([np.frombuffer(r["s"], U) for r in got.orderBy(F.xxhash64("s")).limit(sample_sets).collect()])
     return slots
 
@@ -241,7 +263,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, id_col: s
 
 
 def similar_components(
-    docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", sample_sets: int = 20_000,
+    docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", sample_sets: int = 2_000,
 ) -> DataFrame:
     """(id, n_shingles, component_id): the smallest id that links reach from each row."""
     spark = docs.sparkSession
@@ -266,24 +288,29 @@ def similar_components(
 
     rows = map_slices(docs, text_col, make, "sid long, keys array<long>", [], 1_000_000).select(F.explode("keys").alias("sig"), "sid")
     rows = rows.repartition(partitions(spark), "sig").sortWithinPartitions("sig", "sid")
-    shared = materialize(rows.mapInArrow(_shared, "sig long, sid long, lead long"), "shared-keys")
-    known = reps.select("sid", F.struct("rep", "n", "sketch").alias("x"))
-    first = shared.where("sid <> lead").select("sid", "lead").distinct()
-    first = first.join(known.withColumnRenamed("x", "a"), "sid").join(known.select(F.col("sid").alias("lead"), F.col("x").alias("b")), "lead")
-    pairs = first.where(_possible("a", "b", percent)).select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b")).where("a <> b").distinct()
-    pairs = materialize(pairs, "leader-pairs")
+    groups = materialize(rows.mapInArrow(_groups, "gid long, sids array<long>"), "key-groups")
+    # Two similar sets share many keys: the same list counts once.
+    small = groups.where("gid IS NULL").groupBy("sids").agg(F.lit(1)).select(F.xxhash64("sids").alias("gid"), "sids")
+    member = small.unionByName(groups.where("gid IS NOT NULL")).select("gid", F.explode("sids").alias("sid"))
+    member = materialize(member.join(reps.select("sid", "rep"), "sid").select("gid", "rep"), "group-members")
+    known = reps.select("rep", F.struct("rep", "n", "sketch").alias("x"))
+    lead = member.groupBy("gid").agg(F.min("rep").alias("lead"))
+    first = member.join(lead, "gid").where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+    pairs = first.join(known.select(F.col("rep").alias("a"), F.col("x").alias("xa")), "a").join(known.select(F.col("rep").alias("b"), F.col("x").alias("xb")), "b")
+    pairs = materialize(pairs.where(_possible("xa", "xb", percent)).select("a", "b"), "leader-pairs")
     links = materialize(_verified(pairs, docs, k, percent, id_col, text_col), "leader-links")
     label = components(links)
-    # Groups that still hold several components.
-    member = shared.select("sig", "sid").join(known, "sid").select("sig", "x")
-    member = member.join(label, F.col("x.rep") == F.col("v"), "left").select("sig", "x", F.coalesce("c", "x.rep").alias("c"))
-    mixed = member.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("many")).where("low <> high and many > 2").select("sig")
-    member = materialize(member.join(mixed, "sig"), "open-groups")
-    left = member.select("sig", F.col("x").alias("a"), F.col("c").alias("ca"))
-    right = member.select("sig", F.col("x").alias("b"), F.col("c").alias("cb"))
-    rest = left.join(right, "sig").where((F.col("a.rep") < F.col("b.rep")) & (F.col("ca") != F.col("cb")) & _possible("a", "b", percent))
-    rest = rest.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    rest = materialize(rest, "other-pairs")
+    # Groups that still hold several components. Their pairs with the smallest member are settled.
+    placed = member.join(label, F.col("rep") == F.col("v"), "left").select("gid", "rep", F.coalesce("c", "rep").alias("c"))
+    mixed = placed.groupBy("gid").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("rep").alias("lead"), F.count("*").alias("many"))
+    mixed = mixed.where("low <> high AND many > 2").select("gid", "lead")
+    placed = placed.join(mixed, "gid").where("rep <> lead").select("gid", "rep", "c")
+    placed = materialize(placed.join(known, "rep").select("gid", "x", "c"), "open-groups")
+    left = placed.select("gid", F.col("x").alias("xa"), F.col("c").alias("ca"))
+    right = placed.select("gid", F.col("x").alias("xb"), F.col("c").alias("cb"))
+    rest = left.join(right, (left["gid"] == right["gid"]) & (F.col("xa.rep") < F.col("xb.rep")) & (F.col("ca") != F.col("cb")) & _possible("xa", "xb", percent))
+    rest = rest.select(F.col("xa.rep").alias("a"), F.col("xb.rep").alias("b")).distinct()
+    rest = materialize(rest.join(pairs, ["a", "b"], "left_anti"), "other-pairs")
     if not rest.isEmpty():
         more = materialize(_verified(rest, docs, k, percent, id_col, text_col), "other-links")
         label = components(links.unionByName(more))

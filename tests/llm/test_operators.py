@@ -204,14 +204,22 @@ def test_pigeonhole_finds_every_similar_pair():
         assert (len(a) == len(b) and (a == b).all()) or keys[0] & keys[1]
 
 
-def test_keys_shared_across_batches():
+def test_groups_of_keys_across_batches():
     import pyarrow as pa
 
-    rows = [(1, 1), (1, 1), (2, 1), (2, 2), (2, 2), (2, 3), (3, 4), (4, 1), (4, 9)]
-    want = [(2, 1, 1), (2, 2, 1), (2, 3, 1), (4, 1, 1), (4, 9, 1)]
-    for size in range(1, 10):
-        batches = [pa.RecordBatch.from_pydict({"sig": [x for x, _ in rows[i : i + size]], "sid": [y for _, y in rows[i : i + size]]}) for i in range(0, len(rows), size)]
-        assert [tuple(x.values()) for b in jaccard._shared(iter(batches)) for x in b.to_pylist()] == want
+    rows = [(1, 1), (1, 1), (2, 1), (2, 2), (2, 2), (2, 3), (3, 4), (4, 1), (4, 9), (5, 1), (6, 1), (6, 2), (6, 3), (6, 4), (6, 5), (6, 6), (6, 7), (7, 7)]
+    want = {2: [1, 2, 3], 4: [1, 9], 6: [1, 2, 3, 4, 5, 6, 7]}
+    for size in range(1, 19):
+        for most in (1, 2, 4, 100):
+            batches = [pa.RecordBatch.from_pydict({"sig": [x for x, _ in rows[i : i + size]], "sid": [y for _, y in rows[i : i + size]]}) for i in range(0, len(rows), size)]
+            got = [tuple(x.values()) for b in jaccard._groups(iter(batches), most) for x in b.to_pylist()]
+            whole = sorted(s for g, s in got if g is None)
+            parts = {}
+            for g, s in got:
+                if g is not None:
+                    parts.setdefault(g, []).extend(s)
+            parts = {g: s for g, s in parts.items() if len(s) > 1}  # a lone row in parts is harmless
+            assert sorted([*whole, *parts.values()]) == sorted(want.values())
 
 
 def test_components(spark):
