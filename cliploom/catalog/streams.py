@@ -14,50 +14,44 @@ from cliploom.streaming import monitors as mon
 SLICES = 3
 
 
-def feed(df, at: str, closing: bool = False):
-    """Write ``df`` as SLICES files in the order of ``at`` and open a stream on them.
+def run_slices(df, at: str, operator, closing: bool = False):
+    """Let ``df`` arrive in SLICES slices in the order of ``at``, and run ``operator`` on what is new after each.
 
-    ``closing`` adds a far later row of job -1 in a last file, which lets the watermark pass the end.
+    A slice is as many files as its tasks write.  ``closing`` adds a far later row of job -1 as a last slice, which lets the
+    watermark pass the end.
     """
     spark = df.sparkSession
     root = f"{scratch_dir(spark)}/streams/{uuid.uuid4().hex}"
     lo, hi = df.agg(F.min(at), F.max(at)).first()
     step = (hi - lo) // SLICES + 1
-    for i in range(SLICES):
-        part = df.filter((F.col(at) >= lo + i * step) & (F.col(at) < lo + (i + 1) * step))
-        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    slices = [df.filter((F.col(at) >= lo + i * step) & (F.col(at) < lo + (i + 1) * step)) for i in range(SLICES)]
     if closing:
         last = df.limit(1).withColumn("job_id", F.lit(-1).cast("long")).withColumn(at, F.lit(hi + 86_400_000).cast("long"))
         if "ts" in df.columns:
             last = last.withColumn("ts", mon.event_time(at))
         if at != "end_ms" and "end_ms" in df.columns:
             last = last.withColumn("end_ms", F.col(at))
-        last.select(df.columns).write.mode("append").parquet(f"{root}/in")
-    return mon.read_stream(spark, f"{root}/in", df.schema), root
+        slices.append(last.select(df.columns))
+    for part in slices:
+        part.write.mode("append").parquet(f"{root}/in")
+        out = mon.run_available(operator(mon.read_stream(spark, f"{root}/in", df.schema)), f"{root}/out", f"{root}/state")
+    return out.filter("job_id <> -1")
 
 
-def finish(stream, root):
-    return mon.run_available(stream, f"{root}/out", f"{root}/state").filter("job_id <> -1")
-
-
-def word_stream(s, d):
-    w = fx.words(s, d).select("job_id", "start_ms", "end_ms").withColumn("ts", mon.event_time("start_ms"))
-    return feed(w, "start_ms", closing=True)
+def word_rows(s, d):
+    return fx.words(s, d).select("job_id", "start_ms", "end_ms").withColumn("ts", mon.event_time("start_ms"))
 
 
 def sessions(s, d):
-    stream, root = word_stream(s, d)
-    return finish(mon.speech_sessions(stream), root)
+    return run_slices(word_rows(s, d), "start_ms", mon.speech_sessions, closing=True)
 
 
 def counts(s, d):
-    stream, root = word_stream(s, d)
-    return finish(mon.tumbling_counts(stream), root)
+    return run_slices(word_rows(s, d), "start_ms", mon.tumbling_counts, closing=True)
 
 
 def duplicates(s, d):
-    stream, root = feed(fx.frames(s, d).withColumn("ts", mon.event_time("ts_ms")), "ts_ms")
-    return finish(mon.near_duplicates(stream), root)
+    return run_slices(fx.frames(s, d).withColumn("ts", mon.event_time("ts_ms")), "ts_ms", mon.near_duplicates)
 
 
 def alerts(s, d):
@@ -65,15 +59,13 @@ def alerts(s, d):
     c = c.select("job_id", F.col("ts").cast("timestamp").alias("ts"), "call_id", "cost_usd", "budget_usd")
     c = c.withColumn("at", F.unix_millis("ts"))
     twice = c.unionByName(c.filter("call_id % 10 = 3"))
-    stream, root = feed(twice, "at")
-    return finish(mon.budget_alerts(stream), root).withColumn("total_usd", F.round("total_usd", 6))
+    return run_slices(twice, "at", mon.budget_alerts).withColumn("total_usd", F.round("total_usd", 6))
 
 
 def transitions(s, d):
     # Events of a job are numbered in id order, so that order also gives the arrival time here.
     e = fx.job_events(s, d).select("job_id", "seq", "state", (F.col("seq") * 60_000).alias("at"))
-    stream, root = feed(e.withColumn("ts", mon.event_time("at")), "at")
-    return finish(mon.transition_alerts(stream), root)
+    return run_slices(e.withColumn("ts", mon.event_time("at")), "at", mon.transition_alerts)
 
 
 QUERIES = {

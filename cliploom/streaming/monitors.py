@@ -26,12 +26,16 @@ def event_time(ms: str):
     return F.timestamp_millis(F.col(ms) + ORIGIN_MS)
 
 
-def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
+    """A stream of the parquet files below a folder; ``files_per_batch`` bounds a micro-batch."""
+    reader = spark.readStream.schema(schema)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(path)
 
 
-def run_available(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
-    """Process everything that is there now into a parquet table and read it."""
+def run_counted(stream: DataFrame, out: str, checkpoint: str) -> tuple[DataFrame, int]:
+    """Process everything that is there now into a parquet table; the table, and how many rows came too late."""
     q = (
         stream.writeStream.format("parquet")
         .option("path", out)
@@ -41,7 +45,12 @@ def run_available(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
         .start()
     )
     q.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(out)
+    late = sum(op["numRowsDroppedByWatermark"] for p in q.recentProgress for op in p["stateOperators"])
+    return stream.sparkSession.read.schema(stream.schema).parquet(out), late
+
+
+def run_available(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
+    return run_counted(stream, out, checkpoint)[0]
 
 
 def speech_sessions(words: DataFrame, gap_ms: int = 1500, late: str = "1 minute") -> DataFrame:
@@ -73,9 +82,49 @@ def tumbling_counts(words: DataFrame, width_s: int = 15, late: str = "1 minute")
 
 
 def _in_order(batches: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
+    """A key's rows of one micro-batch in order; the size of micro-batches (files per trigger) bounds them."""
     return pd.concat(list(batches), ignore_index=True).sort_values(by, ignore_index=True)
 
 
+def _until(state: GroupState, last_ms: int, idle_s: int) -> None:
+    """Let the state go once the watermark is ``idle_s`` past the key's last row."""
+    state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), last_ms) + idle_s * 1000)
+
+
+def _last_ms(ts: pd.Series) -> int:
+    return int(ts.max().timestamp() * 1000)
+
+
+def _bits(x: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x.astype(np.uint64)).astype(np.int64)
+
+
+LOOK = 256  # rows compared with the last kept one at a time
+
+
+def _greedy_flags(at, hi, lo, known, kept: tuple, threshold: int, min_interval_ms: int) -> tuple[np.ndarray, tuple]:
+    """Which rows are near the last kept row; ``kept`` is (hashed, hi, lo, at) of the one before, at may be None.
+
+    Goes from kept row to kept row; what lies between is compared by arrays.
+    """
+    flags = np.zeros(len(at), bool)
+    i = 0
+    hashed, khi, klo, kat = kept
+    while i < len(at):
+        e = min(len(at), i + LOOK)
+        if hashed and kat is not None:
+            near = known[i:e] & (at[i:e] - kat < min_interval_ms) & (_bits(hi[i:e] ^ khi) + _bits(lo[i:e] ^ klo) <= threshold)
+        else:
+            near = np.zeros(e - i, bool)
+        stop = int(np.argmin(near)) if not near.all() else len(near)
+        flags[i : i + stop] = True
+        i += stop
+        if stop < len(near):
+            hashed, khi, klo, kat = bool(known[i]), int(hi[i]), int(lo[i]), int(at[i])
+            i += 1
+    return flags, (hashed, khi, klo, kat)
+
+
 def near_duplicates(frames: DataFrame, threshold: int = 10, min_interval_ms: int = 30_000, late: str = "1 minute", idle_s: int = 3600) -> DataFrame:
     """Flag near-duplicate frames of a stream (job_id, ts, frame_number, ts_ms, phash_hi, phash_lo).
 
@@ -90,17 +139,12 @@ def near_duplicates(frames: DataFrame, threshold: int = 10, min_interval_ms: int
             state.remove()
             return
         pdf = _in_order(batches, ["ts_ms", "frame_number"])
-        hashed, hi, lo, at = state.get if state.exists else (False, 0, 0, None)
-        flags = []
-        for t, a, b in zip(pdf["ts_ms"].tolist(), pdf["phash_hi"].tolist(), pdf["phash_lo"].tolist(), strict=True):
-            known = not (a is None or np.isnan(a))
-            near = known and hashed and (int(a) ^ hi).bit_count() + (int(b) ^ lo).bit_count() <= threshold
-            dup = bool(near and at is not None and t - at < min_interval_ms)
-            if not dup:
-                hashed, hi, lo, at = known, int(a) if known else 0, int(b) if known else 0, int(t)
-            flags.append(dup)
-        state.update((hashed, hi, lo, at))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(pdf["ts_ms"].max()) + ORIGIN_MS) + idle_s * 1000)
+        known = pdf["phash_hi"].notna().to_numpy()
+        hi, lo = (pdf[c].fillna(0).to_numpy().astype(np.int64) for c in ("phash_hi", "phash_lo"))
+        before = state.get if state.exists else (False, 0, 0, None)
+        flags, kept = _greedy_flags(pdf["ts_ms"].to_numpy(), hi, lo, known, before, threshold, min_interval_ms)
+        state.update(kept)
+        _until(state, int(pdf["ts_ms"].max()) + ORIGIN_MS, idle_s)
         pdf["is_duplicate"] = flags
         yield pdf[out.names]
 
@@ -111,17 +155,20 @@ def near_duplicates(frames: DataFrame, threshold: int = 10, min_interval_ms: int
     )
 
 
-def budget_alerts(calls: DataFrame, late: str = "1 hour") -> DataFrame:
+def budget_alerts(calls: DataFrame, late: str = "1 hour", idle_s: int = 30 * 86_400) -> DataFrame:
     """First call of a job that reaches 80 % and 100 % of its budget, once each.
 
     ``calls``: job_id, ts, call_id, cost_usd, budget_usd.  Calls delivered twice within the watermark
-    count once.
+    count once.  A job's sum is forgotten ``idle_s`` after its last call, so it must not come back later than that.
     """
     out = T.StructType(
         [calls.schema["job_id"], calls.schema["call_id"], T.StructField("event_type", T.StringType()), T.StructField("total_usd", T.DoubleType())]
     )
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         pdf = _in_order(batches, ["ts", "call_id"])
         base, level = state.get if state.exists else (0.0, 0)
         run = base + pdf["cost_usd"].cumsum().to_numpy()
@@ -134,6 +181,7 @@ def budget_alerts(calls: DataFrame, late: str = "1 hour") -> DataFrame:
                     level = want
                     rows.append((key[0], int(pdf["call_id"].iloc[hit[0]]), name, float(run[hit[0]])))
         state.update((float(run[-1]), level))
+        _until(state, _last_ms(pdf["ts"]), idle_s)
         if rows:
             yield pd.DataFrame(rows, columns=out.names)
 
@@ -141,28 +189,32 @@ def budget_alerts(calls: DataFrame, late: str = "1 hour") -> DataFrame:
         calls.withWatermark("ts", late)
         .dropDuplicatesWithinWatermark(["job_id", "call_id"])
         .groupBy("job_id")
-        .applyInPandasWithState(step, out, "total double, level int", "append", GroupStateTimeout.NoTimeout)
+        .applyInPandasWithState(step, out, "total double, level int", "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
-def transition_alerts(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Illegal moves in a job event stream (job_id, ts, seq, state)."""
+def transition_alerts(events: DataFrame, late: str = "1 hour", idle_s: int = 30 * 86_400) -> DataFrame:
+    """Illegal moves in a job event stream (job_id, ts, seq, state).  A job's state is forgotten ``idle_s`` after its last event."""
     out = T.StructType(
         [events.schema["job_id"], events.schema["seq"], T.StructField("prev_state", T.StringType()), T.StructField("state", T.StringType())]
     )
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         pdf = _in_order(batches, ["seq"])
         prev = pdf["state"].shift(1)
         if state.exists:
             prev.iloc[0] = state.get[0]
         state.update((pdf["state"].iloc[-1],))
+        _until(state, _last_ms(pdf["ts"]), idle_s)
         pdf["prev_state"] = prev
         yield pdf[out.names]
 
     moves = (
         events.withWatermark("ts", late)
         .groupBy("job_id")
-        .applyInPandasWithState(step, out, "state string", "append", GroupStateTimeout.NoTimeout)
+        .applyInPandasWithState(step, out, "state string", "append", GroupStateTimeout.EventTimeTimeout)
     )
     return moves.filter(F.col("prev_state").isNotNull() & ~is_legal(F.col("prev_state"), F.col("state")))
