@@ -42,7 +42,7 @@ def byte_symbols() -> dict[str, int]:
 class Codec:
     """Encodes and decodes with a byte-level BPE vocabulary file (ids ascend in merge order)."""
 
-    def __init__(self, data: bytes, max_words: int = 300_000):
+    def __init__(self, data: bytes, max_words: int = 200_000):
         spec = json.loads(data)
         spelled = byte_symbols()
         to_bytes = lambda s: bytes(spelled[c] for c in s)
@@ -85,7 +85,7 @@ class Codec:
                 before, a = a, left[1]
             else:
                 before, b = b + 1, right[0]
-        if len(self.beside) > 300_000:
+        if len(self.beside) > 100_000:
             self.beside.clear()
         self.beside[key] = apart
         return apart

@@ -43,12 +43,14 @@ def once(key: tuple, build: Callable[[], object]) -> object:
     """What ``build`` gives, kept by a worker process for the tasks that follow (the last one made only).
 
     Functions travel by value, so every task has module globals of its own; the interpreter's is what tasks share.
+    ``map_slices`` lets go of what its own task does not ask for.
     """
     held = getattr(sys, "_cliploom_once", None)
     if held is None or held[0] != key:
         held = None
         sys._cliploom_once = None
         held = sys._cliploom_once = (key, build())
+    sys._cliploom_asked = True
     return held[1]
 
 
@@ -77,7 +79,10 @@ def map_slices(df: DataFrame, column: str, make: Callable[[], Callable[[list], d
     schema = T.StructType([new[k] if k in names else df.schema[k] for k in keep] + [f for f in new if f.name not in keep])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sys._cliploom_asked = False
         fn = make()
+        if not sys._cliploom_asked:
+            sys._cliploom_once = None
         out_schema = to_arrow_schema(schema)
         for part in slices(batches, column, budget):
             got = fn(part.column(column).to_pylist())
