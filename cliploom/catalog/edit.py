@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cliploom import fixtures as fx
 from cliploom.catalog import understand as un
 from cliploom.operators import decisions as dec
 from cliploom.operators import intervals, silence, takes, timeline
+from cliploom.sources.scratch import scratch_dir
 
 fx.CTES["spoken_seg"] = (("spoken", "spoken_words"), """
 SELECT g.job_id, g.seq, printf('seg_%03d', g.seq) AS segment_id, g.start_ms, g.end_ms,
@@ -115,6 +118,14 @@ def clips(s, d):
     return timeline.build_clips(decided(s, d), spoken(s, d), fx.media(s, d), threshold_ms=500, transition="mixed")
 
 
+def written_cut_list(s, d):
+    """The cut list read back from its files, and the clips that could not be cut: every fifth one is emptied."""
+    path = f"{scratch_dir(s)}/cuts-{uuid.uuid4().hex}"
+    some = clips(s, d).withColumn("duration_frames", F.when(F.col("seq") % 5 == 0, 0).otherwise(F.col("duration_frames")).cast("long"))
+    rejected = timeline.write_cut_list(some, path)
+    return s.read.schema("job_id long, ordinal long, start_s string, duration_s string, output_name string").option("header", True).csv(path), rejected
+
+
 # Repeated lines: each scene gets a copy of its first eight words after its last word.
 fx.CTES["rep_words"] = (("scenes", "words"), """
 WITH w AS (SELECT s.job_id, s.seq AS scene_seq, x.seq, x.text, x.start_ms, x.end_ms, x.confidence, x.speaker,
@@ -330,6 +341,17 @@ SELECT job_id, seq, clip_id, out_start, out_start + duration_frames AS out_end,
         fx.with_tables("clips") + """
 SELECT job_id, seq AS ordinal, printf('%.4f', start_from / fps) AS start_s, printf('%.4f', duration_frames / fps) AS duration_s,
   printf('seg_%04d.mp4', seq) AS output_name FROM clips""",
+    ),
+    "src11_written_cut_list": (
+        lambda s, d: written_cut_list(s, d)[0],
+        fx.with_tables("clips") + """
+SELECT job_id, seq AS ordinal, printf('%.4f', start_from / fps) AS start_s, printf('%.4f', duration_frames / fps) AS duration_s,
+  printf('seg_%04d.mp4', seq) AS output_name FROM clips WHERE seq % 5 <> 0""",
+    ),
+    "src11_rejected_clips": (
+        lambda s, d: written_cut_list(s, d)[1],
+        fx.with_tables("clips") + """
+SELECT job_id, seq AS ordinal, printf('%.4f', start_from / fps) AS start_s, '0.0000' AS duration_s, printf('seg_%04d.mp4', seq) AS output_name, 0 AS duration_frames FROM clips WHERE seq % 5 = 0""",
     ),
     "stf3_standard_captions": (
         lambda s, d: timeline.plan_captions(decided(s, d), spoken(s, d), fx.media(s, d), "standard", 500),

@@ -44,6 +44,29 @@ def understood(s, d):
     return flows.understand(fx.words(s, d), fx.scenes(s, d), fx.frames(s, d), fx.media(s, d))
 
 
+def _asked(segments):
+    """Answers per 200 segments: an entity that every third segment mentions, a topic of every second one, updates of every fourth."""
+    g = segments.groupBy("job_id", F.floor(F.col("seq") / 200).cast("long").alias("part")).agg(F.array_sort(F.collect_list(F.struct("seq", "segment_id"))).alias("x"))
+    some = lambda n, k=0: F.filter("x", lambda r: r["seq"] % n == k)
+    p = F.col("part").cast("string")
+    entity = F.struct(F.array(F.struct(F.concat(F.lit("e"), p).alias("id"), F.lit("N").alias("name"), F.transform(some(3), lambda r: r["seq"]).alias("mentions"))).alias("entities"))
+    topic = F.struct(F.array(F.struct(F.concat(F.lit("t"), p).alias("id"), F.lit("L").alias("label"), F.transform(some(2), lambda r: r["segment_id"]).alias("segments"))).alias("topics"))
+    update = F.struct(F.transform(some(4, 1), lambda r: F.struct(r["segment_id"].alias("id"), F.lit("T").alias("textOnScreen"))).alias("segmentUpdates"))
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.to_json(v).alias("content")) for k, v in (("entities", entity), ("topics", topic), ("segment_updates", update))])
+    return g.select("job_id", "part", F.explode(kinds).alias("a")).select("job_id", "part", "a.kind", "a.content")
+
+
+_flow1: dict = {}
+
+
+def understood_with_answers(s, d):
+    """The understanding flow with answers, run once per application and data folder."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _flow1:
+        _flow1[key] = flows.understand(fx.words(s, d), fx.scenes(s, d), fx.frames(s, d), fx.media(s, d), answer=_asked)
+    return _flow1[key]
+
+
 def enhanced(s, d):
     segments = ed.spoken(s, d).withColumns(
         {"scene_type": F.when(F.col("seq") % 3 == 0, "screenrec"), "text_on_screen": F.when(F.col("seq") % 6 == 0, "Menu"),
@@ -110,6 +133,24 @@ SELECT g.job_id, g.seq, printf('seg_%03d', g.seq) AS segment_id, g.start_ms, g.e
     WHERE e.job_id = g.job_id AND abs(e.time_ms - g.start_ms) < 500), 0.5), 6) AS energy,
   NOT EXISTS (SELECT 1 FROM spoken_words w WHERE w.job_id = g.job_id AND w.seg_seq = g.seq) AS is_silent FROM spoken g""",
     ),
+    "flow1_entities": (
+        lambda s, d: understood_with_answers(s, d).entities.select("job_id", "entity_id", "total_screen_ms"),
+        fx.with_tables("spoken") + """
+SELECT job_id, 'e' || CAST(seq // 200 AS BIGINT) AS entity_id, CAST(coalesce(sum(end_ms - start_ms) FILTER (seq % 3 = 0), 0) AS BIGINT) AS total_screen_ms FROM spoken GROUP BY job_id, seq // 200""",
+    ),
+    "flow1_topics": (
+        lambda s, d: understood_with_answers(s, d).topics.select("job_id", "topic_id", "total_duration_ms"),
+        fx.with_tables("spoken") + """
+SELECT job_id, 't' || CAST(seq // 200 AS BIGINT) AS topic_id, CAST(coalesce(sum(end_ms - start_ms) FILTER (seq % 2 = 0), 0) AS BIGINT) AS total_duration_ms FROM spoken GROUP BY job_id, seq // 200""",
+    ),
+    "flow1_updated_segments": (
+        lambda s, d: understood_with_answers(s, d).segments.select("job_id", "seq", "text_on_screen"),
+        fx.with_tables("spoken") + "\nSELECT job_id, seq, CASE WHEN seq % 4 = 1 THEN 'T' END AS text_on_screen FROM spoken",
+    ),
+    "flow1_energy": (
+        lambda s, d: understood_with_answers(s, d).energy_curve.select("job_id", "seq", "time_ms", F.round("energy", 6).alias("energy")),
+        fx.with_tables("energy") + "\nSELECT job_id, seq, time_ms, round(energy, 6) AS energy FROM energy",
+    ),
     "flow2_edit": (lambda s, d: edited(s, d).clips.select(_CLIP), _flow_clips("flow")),
     "flow2_edit_with_takes": (lambda s, d: edited_takes(s, d).clips.select(_CLIP), _flow_clips("take")),
     "flow2_captions": (

@@ -130,6 +130,13 @@ def enhancement_answers(s, d):
     return fx.segments(s, d).select("job_id", F.when(q % 5 == 4, F.concat(F.lit('{"items":'), item, F.lit("}"))).otherwise(item).alias("content"))
 
 
+def progress(s, d):
+    """What the progress observer has counted once its rows were used."""
+    rows, seen = model_calls.with_progress(un.spoken_segments(s, d).select("job_id", "segment_id"), "understand", "segments")
+    scratch.materialize(rows, "observed")
+    return s.createDataFrame([(seen.get["rows"],)], "rows long")
+
+
 def stage_round_trip(s, d):
     """Store all decisions, store those of every third job again, read the latest state."""
     root = f"{scratch.scratch_dir(s)}/stages-{hashlib.md5(d.encode()).hexdigest()}-{s.sparkContext.applicationId}"
@@ -293,6 +300,7 @@ SELECT job_id, 0 AS ord, segment_id, CASE WHEN seq % 2 = 0 THEN 'enhancement_req
         lambda s, d: model_calls.with_progress(un.spoken_segments(s, d).select("job_id", "segment_id"), "understand", "segments")[0],
         fx.with_tables("spoken") + "\nSELECT job_id, printf('seg_%03d', seq) AS segment_id FROM spoken",
     ),
+    "udf3_progress": (lambda s, d: progress(s, d), fx.with_tables("spoken") + "\nSELECT count(*) AS rows FROM spoken"),
     "set2_jobs_without_report": (
         lambda s, d: stages.missing_jobs(fx.jobs(s, d), costs.price_calls(fx.llm_calls(s, d))),
         fx.with_tables("jobs", "llm_calls") + "\nSELECT job_id FROM jobs WHERE job_id NOT IN (SELECT job_id FROM llm_calls)",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cliploom import fixtures as fx
@@ -9,6 +11,7 @@ from cliploom.catalog import edit as ed
 from cliploom.catalog import understand as un
 from cliploom.functions import direction as dr
 from cliploom.functions.text import age_bucket, clock, frame_label, frames_of
+from cliploom.sources.scratch import scratch_dir
 from cliploom.operators import corrections, costs, digest, enhance, enrich, gates, jobs, timeline
 from cliploom.operators import decisions as dec
 from cliploom.sources import responses
@@ -304,6 +307,35 @@ def routing_requests(s, d):
 _MOVES = ", ".join(f"('{a}', '{b}')" for a, bs in jobs.NEXT_STATES.items() for b in bs)
 
 
+def moves(s, d):
+    """Jobs with an old error, and a request for every third one."""
+    j = fx.jobs(s, d).withColumns({"updated_at": F.lit(None).cast("timestamp"), "error": F.lit("old")})
+    target = fx._pick((F.col("job_id") * 5 + 3) % 14, fx.STATES)
+    return j, fx.jobs(s, d).filter("job_id % 3 = 0").select("job_id", target.alias("target_state"), F.lit("why").alias("detail"), F.col("created_at").alias("at"))
+
+
+_REQUESTS = fx.with_tables("jobs") + f""", m(a, b) AS (VALUES {_MOVES}),
+q AS (SELECT job_id, state, created_at, [{", ".join(f"'{x}'" for x in fx.STATES)}][CAST((job_id * 5 + 3) % 14 + 1 AS INT)] AS target FROM jobs WHERE job_id % 3 = 0)"""
+
+
+def run_manifests(s, d):
+    return jobs.run_manifests(fx.jobs(s, d), costs.cost_rollup(priced(s, d), budgets(s, d)))
+
+
+def manifest_costs(s, d):
+    """The maps of every manifest, one row per entry."""
+    m = run_manifests(s, d)
+    part = lambda name: m.select("job_id", F.lit(name).alias("part"), F.explode(F.from_json(f"by_{name}", "map<string,double>")).alias("name", "usd"))
+    return part("stage").unionByName(part("provider")).withColumn("usd", F.round("usd", 9))
+
+
+def stored_bytes(s, d):
+    """Bytes that a folder of text files per job takes, as the reader of file sizes sees it."""
+    root = f"{scratch_dir(s)}/files-{uuid.uuid4().hex}"
+    fx.segments(s, d).select("job_id", F.col("segment_id").alias("value")).write.partitionBy("job_id").text(root)
+    return jobs.storage_use(jobs.stored_files(s, root)).filter("job_id <> '_SUCCESS'").select("job_id", "bytes")
+
+
 def fixes(s, d):
     """Fix orders: each 9th word by its own text, 3.6 s apart; in every 20th job one of them finds nothing."""
     w = fx.words(s, d).filter("seq % 9 = 4")
@@ -608,6 +640,16 @@ p AS (SELECT job_id, seq, lag(state) OVER (PARTITION BY job_id ORDER BY seq) AS
 SELECT job_id, seq, prev_state, state, prev_state IS NULL OR EXISTS (SELECT 1 FROM m WHERE m.a = p.prev_state AND m.b = p.state) AS legal,
   CASE WHEN state = 'cancelled' THEN 'job.cancelled' WHEN state LIKE '%\\_failed' ESCAPE '\\' THEN 'stage.failed' WHEN state LIKE '%\\_done' ESCAPE '\\' THEN 'stage.completed' ELSE 'stage.started' END AS event_type FROM p""",
     ),
+    "win11_applied_transitions": (
+        lambda s, d: jobs.apply_transitions(*moves(s, d))[0].select("job_id", "state", "updated_at", "error"),
+        _REQUESTS + """
+SELECT job_id, target AS state, created_at AS updated_at, CASE WHEN target LIKE '%\\_failed' ESCAPE '\\' THEN 'why' ELSE 'old' END AS error
+FROM q WHERE EXISTS (SELECT 1 FROM m WHERE m.a = q.state AND m.b = q.target)""",
+    ),
+    "win11_rejected_transitions": (
+        lambda s, d: jobs.apply_transitions(*moves(s, d))[1],
+        _REQUESTS + "\nSELECT job_id, state, target AS target_state FROM q WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.a = q.state AND m.b = q.target)",
+    ),
     "win11_current_states": (
         lambda s, d: jobs.current_states(fx.job_events(s, d)),
         fx.with_tables("job_events") + f""", m(a, b) AS (VALUES {_MOVES}), l AS (SELECT job_id, max_by(state, seq) AS state, max(seq) AS last_seq FROM job_events GROUP BY job_id)
@@ -631,6 +673,26 @@ SELECT job_id, state, '2026-04-11.1' AS policy_version, source_file AS source_fi
   CASE WHEN state = 'render_done' THEN 'released' ELSE 'held' END AS release_status,
   CASE WHEN state = 'render_done' THEN 'pipeline_complete' ELSE 'stopped_at_' || state END AS release_reason, coalesce(t, 0) AS total_usd FROM jobs LEFT JOIN r USING (job_id)""",
     ),
+    "src9_manifest_costs": (
+        lambda s, d: manifest_costs(s, d),
+        fx.with_tables("jobs", "priced") + """
+SELECT job_id, 'stage' AS part, stage AS name, round(sum(cost_usd), 9) AS usd FROM priced JOIN jobs USING (job_id) GROUP BY job_id, priced.stage
+UNION ALL SELECT job_id, 'provider', provider, round(sum(cost_usd), 9) FROM priced JOIN jobs USING (job_id) GROUP BY job_id, provider""",
+    ),
+    "src9_merged_manifests": (
+        lambda s, d: jobs.merge_manifests(
+            run_manifests(s, d).select("job_id", "render_validation", "release_status", "release_reason"),
+            fx.jobs(s, d).filter("job_id % 4 = 1").select("job_id", F.lit("by hand").alias("release_reason"), F.when(F.col("job_id") % 8 == 1, "fail").alias("render_validation")),
+        ),
+        fx.with_tables("jobs") + """
+SELECT job_id, CASE WHEN job_id % 8 = 1 THEN 'fail' WHEN state = 'render_done' THEN 'pass' ELSE 'pending' END AS render_validation,
+  CASE WHEN state = 'render_done' THEN 'released' ELSE 'held' END AS release_status,
+  CASE WHEN job_id % 4 = 1 THEN 'by hand' WHEN state = 'render_done' THEN 'pipeline_complete' ELSE 'stopped_at_' || state END AS release_reason FROM jobs""",
+    ),
+    "agg15_stored_bytes": (
+        lambda s, d: stored_bytes(s, d),
+        fx.with_tables("segments") + "\nSELECT CAST(job_id AS VARCHAR) AS job_id, CAST(sum(strlen(segment_id) + 1) AS BIGINT) AS bytes FROM segments GROUP BY job_id",
+    ),
     "agg15_retention_plan": (
         lambda s, d: jobs.retention_plan(fx.jobs(s, d), files(s, d), "cleanable", 25),
         fx.with_tables("jobs") + """,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Provider, tier, model, USD per 1000 input tokens, per 1000 output tokens, context, JSON mode.
@@ -96,20 +96,21 @@ def cost_rollup(priced: DataFrame, budgets: DataFrame) -> DataFrame:
     fine = priced.groupBy("job_id", "stage", "provider").agg(
         F.sum("cost_usd").alias("c"), F.sum("input_tokens").alias("i"), F.sum("output_tokens").alias("o"), F.count(F.lit(1)).alias("n")
     )
+    # Stages and providers are fixed lists, so a job has a few dozen of these rows at most.
     per = fine.groupBy("job_id").agg(
         F.sum("c").alias("total_usd"),
         F.sum("i").alias("input_tokens"),
         F.sum("o").alias("output_tokens"),
         F.sum("n").alias("calls"),
+        F.collect_list(F.struct("stage", "provider", "c")).alias("_rows"),
     )
 
-    def by(key: str, name: str) -> DataFrame:
-        g = fine.groupBy("job_id", key).agg(F.sum("c").alias("c"))
-        return g.groupBy("job_id").agg(
-            F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key), F.round("c", 9))))).alias(name)
-        )
+    def by(key: str) -> Column:
+        names = F.array_sort(F.array_distinct(F.transform("_rows", lambda r: r[key])))
+        spent = lambda k: F.aggregate(F.filter("_rows", lambda r: r[key] == k), F.lit(0.0), lambda a, r: a + r["c"])
+        return F.map_from_entries(F.transform(names, lambda k: F.struct(k, F.round(spent(k), 9))))
 
-    out = per.join(by("stage", "by_stage"), "job_id").join(by("provider", "by_provider"), "job_id").join(budgets, "job_id", "left")
+    out = per.withColumns({"by_stage": by("stage"), "by_provider": by("provider")}).join(budgets, "job_id", "left")
     b, t = F.col("budget_usd"), F.col("total_usd")
     return out.select(
         "job_id",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -181,6 +183,13 @@ def merge_manifests(manifests: DataFrame, partial: DataFrame) -> DataFrame:
     )
 
 
+def stored_files(spark: SparkSession, root: str) -> DataFrame:
+    """(job_id, length) of every file below <root>/<job>/ or <root>/job_id=<job>/; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
+    own = F.regexp_replace("path", f"^.*?{re.escape(root.rstrip('/').rpartition('/')[2])}/", "")
+    return files.select(F.regexp_replace(F.split_part(own, F.lit("/"), F.lit(1)), "^job_id=", "").alias("job_id"), "length")
+
+
 def storage_use(files: DataFrame) -> DataFrame:
     """Bytes and files per job from (job_id, length)."""
     return files.groupBy("job_id").agg(F.sum("length").alias("bytes"), F.count(F.lit(1)).alias("files"))

@@ -115,9 +115,14 @@ def _decision_words(decisions: DataFrame, segments: DataFrame) -> DataFrame:
     return d.withColumn("_t", F.transform("_w", lambda w: normalized_word(w["text"])))
 
 
+def _repeats(tokens: str) -> Column:
+    """Can there be a repeat at all?  Five words of a window must come again, so a decision without that needs no Python."""
+    return F.size(tokens) - F.size(F.array_distinct(tokens)) >= F.ceil(F.lit(MIN_SHARE * SPAN))
+
+
 def repeat_candidates(decisions: DataFrame, segments: DataFrame) -> DataFrame:
     """For every six-word window the first later, disjoint window that repeats at least five of its words."""
-    d = _decision_words(decisions, segments).select("job_id", "seq", "segment_id", F.explode(_pairs(F.col("_t"), greedy=False)).alias("x"))
+    d = _decision_words(decisions, segments).filter(_repeats("_t")).select("job_id", "seq", "segment_id", F.explode(_pairs(F.col("_t"), greedy=False)).alias("x"))
     return d.select("job_id", "seq", "segment_id", F.col("x.a").cast("long").alias("i"), F.col("x.b").cast("long").alias("j"))
 
 
@@ -143,7 +148,7 @@ def score_takes(decisions: DataFrame, segments: DataFrame, null_as_zero: bool =
     Score = 0.7 x mean word confidence + 0.3 x visual score.  Takes closer than 0.02 count as equal;
     then the earlier one stays.
     """
-    d = _decision_words(decisions, segments).filter(F.size("_w") >= MIN_WORDS)
+    d = _decision_words(decisions, segments).filter((F.size("_w") >= MIN_WORDS) & _repeats("_t"))
     d = d.withColumn("_c", _pairs(F.col("_t"), greedy=True)).select("job_id", "seq", "segment_id", "_w", F.posexplode("_c").alias("cluster", "_x"))
     takes = d.select(
         "job_id",

@@ -24,6 +24,11 @@ def _rates(media: DataFrame) -> DataFrame:
     )
 
 
+def _with_rate(narrow: DataFrame, media: DataFrame) -> DataFrame:
+    """Rows with their job's frame rate. Joined to narrow rows, after the word arrays are gone: a job may hold nearly all."""
+    return narrow.join(_rates(media), "job_id", "left").withColumn("fps", F.coalesce("fps", F.lit(30.0)))
+
+
 def build_clips(
     decisions: DataFrame, segments: DataFrame, media: DataFrame, threshold_ms: int = 0, transition: str = "cut"
 ) -> DataFrame:
@@ -32,15 +37,13 @@ def build_clips(
     ``decisions`` may hold its own ``transition_before`` and its plan's ``transition_default``; ``transition`` is what counts
     without either, and 'mixed' alternates cut and fade.  ``out_start`` is the position in the output.
     """
-    d = repaired_windows(decisions, segments).join(_rates(media), "job_id", "left").withColumn(
-        "fps", F.coalesce("fps", F.lit(30.0))
-    )
+    d = repaired_windows(decisions, segments)
     d = d.withColumn("_w", words_inside(F.col("seg_words"), F.col("win_start_ms"), F.col("win_end_ms")))
     d = d.withColumn("_i", speech_islands_of("_w", "win_start_ms", "win_end_ms", threshold_ms))
     own = [F.col(c) for c in ("transition_before", "transition_default") if c in d.columns]
     d = d.withColumn("_kind", F.coalesce(*own, F.lit(transition)))
-    rows = d.select("job_id", "seq", "segment_id", "fps", "_kind", F.posexplode_outer("_i").alias("island", "_x"))
-    rows = rows.select(
+    rows = d.select("job_id", "seq", "segment_id", "_kind", F.posexplode_outer("_i").alias("island", "_x"))
+    rows = _with_rate(rows, media).select(
         "job_id",
         F.col("seq").alias("decision_seq"),
         "island",
@@ -149,7 +152,7 @@ def plan_captions(
     if mode == "none":
         raise ValueError("caption mode 'none' has no track")
     style = "jumbo" if mode == "jumbo" else "standard"
-    d = windowed(decisions, segments).join(_rates(media), "job_id", "left").withColumn("fps", F.coalesce("fps", F.lit(30.0)))
+    d = windowed(decisions, segments)
     d = d.withColumn("_w", words_inside(F.col("seg_words"), F.col("win_start_ms"), F.col("win_end_ms")))
     d = d.withColumn("_i", speech_islands_of("_w", "win_start_ms", "win_end_ms", threshold_ms))
     total = F.aggregate("_i", F.lit(0).cast("long"), lambda acc, x: acc + x["end_ms"] - x["start_ms"])
@@ -162,11 +165,12 @@ def plan_captions(
         (F.get(F.col("_w"), x["b"])["end_ms"] + x["i"]["offset_ms"] - x["i"]["start_ms"]).alias("to_ms"),
     )
     d = d.withColumn("_c", _chunks(style)).select(
-        "job_id", "seq", "fps", frames_of(total, F.col("fps")).alias("_frames"), F.transform("_c", chunk).alias("_c")
+        "job_id", "seq", total.alias("_ms"), F.transform("_c", chunk).alias("_c")
     )
     d = materialize(d, "caption-chunks")
-    off = running(d.select("job_id", "seq", "_frames"), ["job_id"], ["seq"], seq_block("seq", ROWS_PER_STEP), sums={"_off": F.col("_frames")})
-    rows = d.select("job_id", "seq", "fps", F.posexplode_outer("_c").alias("chunk", "_x")).join(off.drop("_frames"), ["job_id", "seq"])
+    lengths = _with_rate(d.select("job_id", "seq", "_ms"), media).select("job_id", "seq", "fps", frames_of(F.col("_ms"), F.col("fps")).alias("_frames"))
+    off = running(lengths, ["job_id"], ["seq"], seq_block("seq", ROWS_PER_STEP), sums={"_off": F.col("_frames")})
+    rows = d.select("job_id", "seq", F.posexplode_outer("_c").alias("chunk", "_x")).join(off.drop("_frames"), ["job_id", "seq"])
     rows = rows.select(
         "job_id",
         F.col("seq").alias("decision_seq"),
@@ -201,14 +205,13 @@ def plan_captions(
 
 def caption_drift(decisions: DataFrame, segments: DataFrame, media: DataFrame, threshold_ms: int) -> DataFrame:
     """Per decision: frame offset the captions assume and the one the clips have; they round differently."""
-    d = windowed(decisions, segments).join(_rates(media), "job_id", "left").withColumn("fps", F.coalesce("fps", F.lit(30.0)))
+    d = windowed(decisions, segments)
     d = d.withColumn("_w", words_inside(F.col("seg_words"), F.col("win_start_ms"), F.col("win_end_ms")))
     d = d.withColumn("_i", speech_islands_of("_w", "win_start_ms", "win_end_ms", threshold_ms))
-    total = F.aggregate("_i", F.lit(0).cast("long"), lambda acc, x: acc + x["end_ms"] - x["start_ms"])
+    d = _with_rate(d.select("job_id", "seq", F.transform("_i", lambda x: x["end_ms"] - x["start_ms"]).alias("_l")), media)
+    total = F.aggregate("_l", F.lit(0).cast("long"), lambda acc, x: acc + x)
     by_clip = F.aggregate(
-        "_i",
-        F.lit(0).cast("long"),
-        lambda acc, x: acc + F.greatest(F.lit(0).cast("long"), frames_of(x["end_ms"] - x["start_ms"], F.col("fps"))),
+        "_l", F.lit(0).cast("long"), lambda acc, x: acc + F.greatest(F.lit(0).cast("long"), frames_of(x, F.col("fps")))
     )
     d = d.select("job_id", "seq", frames_of(total, F.col("fps")).alias("_a"), by_clip.alias("_b"))
     d = running(
@@ -260,5 +263,13 @@ def cut_list(clips: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.concat(F.format_string("seg_%04d", "seq"), F.lit(".mp4")).alias("output_name"),
         "duration_frames",
     )
+    # Clips without a frame cannot be cut.
     good = rows.filter("duration_frames > 0").drop("duration_frames")
     return good, rows.filter("duration_frames <= 0")
+
+
+def write_cut_list(clips: DataFrame, path: str) -> DataFrame:
+    """Write the cut list as CSV files in order of job and position; returns the clips that cannot be cut."""
+    good, rejected = cut_list(clips)
+    good.repartitionByRange("job_id", "ordinal").sortWithinPartitions("job_id", "ordinal").write.option("header", True).csv(path)
+    return rejected

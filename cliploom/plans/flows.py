@@ -25,6 +25,15 @@ class Understanding:
     motion: DataFrame
     representatives: DataFrame
     errors: DataFrame
+    entities: DataFrame | None = None
+    topics: DataFrame | None = None
+
+
+def _answered(answers: DataFrame, kind: str) -> DataFrame:
+    """Rows of one kind of answer (job_id, part, kind, content); ``ord`` is their part and place in it."""
+    own = answers.filter(F.col("kind") == kind).select(F.struct("job_id", "part").alias("job_id"), "content")
+    rows = responses.parse_responses(own, kind)
+    return rows.withColumns({"job_id": F.col("job_id.job_id"), "ord": F.struct(F.col("job_id.part").alias("part"), "ord")})
 
 
 def understand(
@@ -33,11 +42,14 @@ def understand(
     frames: DataFrame,
     media: DataFrame,
     describe: Callable[[DataFrame], DataFrame] | None = None,
+    answer: Callable[[DataFrame], DataFrame] | None = None,
+    languages: DataFrame | None = None,
 ) -> Understanding:
     """Segments with energy and visual fields, thinned frames, and the checks on the result.
 
     ``describe`` turns the representative frames into scene descriptions; without it the visual
-    fields stay empty.
+    fields stay empty.  ``answer`` turns segments into answers (job_id, part, kind, content) about 'entities', 'topics' and
+    'segment_updates'.  ``languages``: job_id, language.
     """
     built = materialize(seg.build_segments(words, scenes), "segments")
     curve = materialize(seg.energy_curve(built, media), "energy")
@@ -50,13 +62,25 @@ def understand(
     segments = segments.withColumns({c: F.lit(None).cast(t) for c, t in fields.items()} | {"is_blurry": F.lit(False)})
     if describe is not None:
         segments = enrich.attach_descriptions(segments, describe(reps))
+    entities = topics = None
+    if answer is not None:
+        segments = materialize(segments, "described")
+        answers = materialize(answer(segments), "answers")
+        entities = materialize(enrich.entity_screen_time(_answered(answers, "entities"), segments), "entities")
+        topics = materialize(enrich.topic_durations(_answered(answers, "topics"), segments), "topics")
+        segments = enrich.apply_updates(segments, _answered(answers, "segment_updates"))
     segments = materialize(segments, "understood")
     ends = segments.groupBy("job_id").agg(F.max_by("end_ms", "seq").alias("duration_ms"))
     documents = ends.join(media.select("job_id", "fps", "width", "height"), "job_id", "left").withColumns(
-        {"version": F.lit("1.0"), "language": F.lit("unknown"), "has_entities": F.lit(True), "has_topics": F.lit(True), "has_energy": F.lit(True)}
+        {"version": F.lit("1.0"), "has_entities": F.lit(True), "has_topics": F.lit(True), "has_energy": F.lit(True)}
     )
+    if languages is not None:
+        documents = documents.join(languages.select("job_id", "language"), "job_id", "left")
+    else:
+        documents = documents.withColumn("language", F.lit(None).cast("string"))
+    documents = documents.withColumn("language", F.coalesce("language", F.lit("unknown")))
     errors = gates.validate_documents(documents, segments)
-    return Understanding(segments, curve, thinned, sampling.sampling_counts(thinned), motion, reps, errors)
+    return Understanding(segments, curve, thinned, sampling.sampling_counts(thinned), motion, reps, errors, entities, topics)
 
 
 @dataclass
