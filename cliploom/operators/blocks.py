@@ -352,3 +352,17 @@ def greedy_select(
         .sortWithinPartitions(*by_block, "_pos", "_id")
         .mapInPandas(replay, out_schema)
     )
+
+
+SPREAD = 32
+
+
+def with_job_row(rows: DataFrame, per_job: DataFrame, by: Column, how: str = "left") -> DataFrame:
+    """Rows next to their job's single row of ``per_job``.
+
+    One job may hold nearly all rows, so they are dealt out by (job, hash of ``by``), and the few job rows are repeated
+    ``SPREAD`` times to meet them.
+    """
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(SPREAD)).cast("int"))
+    copies = per_job.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return dealt.join(copies, ["job_id", "_part"], how).drop("_part")

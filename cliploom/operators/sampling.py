@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cliploom.functions.text import frame_label, hamming, js_round
-from cliploom.operators.blocks import greedy_select, running, time_block
+from cliploom.operators.blocks import greedy_select, running, time_block, with_job_row
 from cliploom.operators.intervals import points_in_intervals, speech_islands
 from cliploom.sources.scratch import materialize
 
@@ -205,7 +205,7 @@ def representative_frames(scenes: DataFrame, frames: DataFrame, batch: int = 10)
 def even_sample(frames: DataFrame, cap: int, thumb_width: int = 320, cols: int = 6, max_dimension: int = 7500) -> DataFrame:
     """Evenly thin the frames of a job to ``cap`` (0 = all), then to what the sheet height allows."""
     placed = running(frames, ["job_id"], ["frame_number"], F.floor(F.col("frame_number") / F.lit(100_000)).cast("long"), sums={"_i": F.lit(1)})
-    sized = placed.join(frames.groupBy("job_id").agg(F.count(F.lit(1)).alias("_n")), "job_id")
+    sized = with_job_row(placed, frames.groupBy("job_id").agg(F.count(F.lit(1)).alias("_n")), F.col("frame_number"), "inner")
     row_h = int(thumb_width * 9 / 16) + 4 * 2 + 22
     fit = (max_dimension // row_h) * cols
 

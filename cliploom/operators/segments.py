@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cliploom.functions.text import numbered, present
-from cliploom.operators.blocks import explode_range, running, seq_block
+from cliploom.operators.blocks import explode_range, running, seq_block, with_job_row
 from cliploom.operators.intervals import points_in_intervals
 
 # Longest scene kept whole, length of its pieces, window length without scenes.
@@ -72,10 +72,8 @@ def segments_from_scenes(words: DataFrame, scenes: DataFrame) -> DataFrame:
         ),
     )
     spoken = hits.groupBy("job_id", "scene_seq", "piece").agg(_word_list(F.col("piece") >= 0).alias("words"))
-    # Only for long scenes does it matter whether they hold a word at all.
-    long_spans = spans.filter(F.col("scene_end") - F.col("scene_start") > LONG_SCENE_MS)
-    in_long = points_in_intervals(words.select("job_id", "start_ms", "end_ms"), "start_ms", "end_ms", long_spans, "scene_start", "scene_end")
-    voiced = in_long.groupBy("job_id", "scene_seq").agg(F.count(F.lit(1)).alias("_voiced"))
+    # Words across a cut are there too, as piece -1: a scene with any row holds a word.
+    voiced = spoken.groupBy("job_id", "scene_seq").agg(F.count(F.lit(1)).alias("_voiced"))
 
     long_scene = (F.col("end_ms") - F.col("start_ms")) > LONG_SCENE_MS
     counted = scenes.withColumnRenamed("seq", "scene_seq").join(voiced, ["job_id", "scene_seq"], "left")
@@ -119,7 +117,7 @@ def segments_from_words(words: DataFrame) -> DataFrame:
         (F.col("piece") * WINDOW_MS).cast("long").alias("start_ms"),
         F.least((F.col("piece") + 1) * WINDOW_MS, F.col("duration_ms")).cast("long").alias("end_ms"),
     )
-    placed = words.join(length, "job_id").filter(F.col("end_ms") <= F.col("duration_ms"))
+    placed = with_job_row(words, length, F.col("seq"), "inner").filter(F.col("end_ms") <= F.col("duration_ms"))
     placed = placed.withColumn(
         "piece", F.explode(_pieces_of(F.col("start_ms"), F.col("end_ms") - F.col("start_ms"), WINDOW_MS, n))
     ).filter("piece >= 0")
@@ -153,7 +151,8 @@ def energy_curve(segments: DataFrame, media: DataFrame) -> DataFrame:
     )
     top = rated.groupBy("job_id").agg(F.greatest(F.max("_rate"), F.lit(1.0)).alias("_top"))
     loud = media.select("job_id", F.when(F.col("input_i").isNotNull(), 0.3).otherwise(0.5).alias("_loud"))
-    d = rated.join(top, "job_id").join(loud, "job_id", "left").withColumn("_loud", F.coalesce("_loud", F.lit(0.5)))
+    per_job = top.join(loud, "job_id", "left").withColumn("_loud", F.coalesce("_loud", F.lit(0.5)))
+    d = with_job_row(rated, per_job, F.col("seq"))
     r = F.col("_rate") / F.col("_top")
     energy = (
         F.when(F.col("is_silent"), F.lit(0.05))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cliploom.functions.direction import text_direction
 from cliploom.functions.text import frames_of, js_round, numbered
-from cliploom.operators.blocks import running, seq_block
+from cliploom.operators.blocks import running, seq_block, with_job_row
 from cliploom.operators.decisions import repaired_windows
 from cliploom.operators.silence import speech_islands_of, windowed, words_inside
 from cliploom.sources.scratch import materialize
@@ -26,7 +26,7 @@ def _rates(media: DataFrame) -> DataFrame:
 
 def _with_rate(narrow: DataFrame, media: DataFrame) -> DataFrame:
     """Rows with their job's frame rate. Joined to narrow rows, after the word arrays are gone: a job may hold nearly all."""
-    return narrow.join(_rates(media), "job_id", "left").withColumn("fps", F.coalesce("fps", F.lit(30.0)))
+    return with_job_row(narrow, _rates(media), F.col("seq")).withColumn("fps", F.coalesce("fps", F.lit(30.0)))
 
 
 def build_clips(
