@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cliploom.functions.text import seconds_text
-from cliploom.operators.blocks import partitions_of, running, seq_block
+from cliploom.operators.blocks import running, seq_block
 from cliploom.operators.intervals import merge_intervals, points_in_intervals
 from cliploom.sources.scratch import materialize
 
@@ -76,6 +76,9 @@ def parse_fixes(fixes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, d.filter("NOT _ok").select("job_id", "ord", "spec")
 
 
+BUNDLE_MS = 900_000  # fix orders of this much of a video are worked through at a time
+
+
 def match_fixes(segments: DataFrame, specs: DataFrame, tolerance_ms: int = 500) -> DataFrame:
     """First word (segment order, word order) with the same trimmed text less than 0.5 s away, per spec.
 
@@ -125,16 +128,14 @@ def match_fixes(segments: DataFrame, specs: DataFrame, tolerance_ms: int = 500)
             spec[c] = col
         return spec[schema.names]
 
-    # Clusters are handed to Python in bundles: whole clusters, many at a time.
-    n = partitions_of(specs)
-
-    def bundle(df: DataFrame, name: str, job: str, cluster: str) -> DataFrame:
-        return df.withColumn(name, F.pmod(F.xxhash64(job, cluster), F.lit(n)))
+    # Clusters are handed to Python in bundles: those of one job that begin in the same stretch of time.
+    def stretch(cluster: str) -> Column:
+        return F.floor(F.col(cluster) / F.lit(BUNDLE_MS)).cast("long")
 
-    left = bundle(tagged.withColumnRenamed("_cluster", "_spec_cluster"), "_sb", "job_id", "_spec_cluster")
+    left = tagged.withColumnRenamed("_cluster", "_spec_cluster").withColumn("_sb", stretch("_spec_cluster"))
     right = near.select(F.col("job_id").alias("_word_job"), *[c for c in near.columns if c != "job_id"])
-    right = bundle(right, "_wb", "_word_job", "_cluster")
-    return left.groupBy("_sb").cogroup(right.groupBy("_wb")).applyInPandas(work, schema)
+    right = right.withColumn("_wb", stretch("_cluster"))
+    return left.groupBy("job_id", "_sb").cogroup(right.groupBy("_word_job", "_wb")).applyInPandas(work, schema)
 
 
 def correct_transcripts(segments: DataFrame, fixes: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -14,6 +14,7 @@ from cliploom.sources.responses import is_json
 # The categories of stored results.
 CATEGORIES = ("frames", "audio", "transcript", "scenes", "vud", "edit", "output")
 BUCKETS = 256
+WORKED_ON = ".jobs"  # ending of the table that names the jobs of each write
 
 
 def _check(category: str) -> None:
@@ -21,37 +22,52 @@ def _check(category: str) -> None:
         raise ValueError(f"unknown category {category!r}; one of {CATEGORIES}")
 
 
-def write_stage(df: DataFrame, root: str, category: str, name: str = "data", version: int | None = None) -> int:
+def write_stage(df: DataFrame, root: str, category: str, name: str = "data", version: int | None = None, jobs: DataFrame | None = None) -> int:
     """Store the rows of the jobs in ``df``, replacing what was stored for exactly these jobs.
 
-    Jobs share ``BUCKETS`` folders by a hash of the id, since one folder per job would not scale.  Each
-    write appends under a higher version, and readers take the latest version of each job, so a
-    write is seen whole or not at all.
+    Jobs share ``BUCKETS`` folders by a hash of the id, since one folder per job would not scale; a bucket that holds a
+    large job is written by several tasks.  Each write appends under a higher version, and readers take the latest version
+    of each job, so a write is seen whole or not at all.  ``jobs`` (job_id) names the jobs that were worked on: those
+    without rows in ``df`` then have an empty result.
     """
     _check(category)
     version = time.time_ns() if version is None else version
     out = df.withColumn("job_bucket", F.pmod(F.xxhash64(F.col("job_id").cast("string")), F.lit(BUCKETS)).cast("int"))
-    out.withColumn("stage_version", F.lit(version).cast("long")).repartition("job_bucket").write.mode("append").partitionBy(
+    if jobs is not None:
+        done = jobs.select(F.col("job_id").cast("string").alias("job_id"), F.lit(version).cast("long").alias("stage_version")).distinct()
+        done.write.mode("append").parquet(f"{root}/{category}/{name}{WORKED_ON}")
+    out.withColumn("stage_version", F.lit(version).cast("long")).hint("rebalance", "job_bucket").write.mode("append").partitionBy(
         "job_bucket"
     ).parquet(f"{root}/{category}/{name}")
     return version
 
 
+def _exists(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        return None
+
+
 def read_stage(
     spark: SparkSession, root: str, category: str, schema: T.StructType, name: str = "data", job_id=None
 ) -> DataFrame:
     """Latest rows of every job (or of one).  A category never written is an empty table."""
     _check(category)
-    try:
-        d = spark.read.parquet(f"{root}/{category}/{name}")
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    d = _exists(spark, f"{root}/{category}/{name}")
+    if d is None:
         return spark.createDataFrame([], schema)
     if job_id is not None:
         bucket = F.pmod(F.xxhash64(F.lit(job_id).cast("string")), F.lit(BUCKETS)).cast("int")
         d = d.filter((F.col("job_bucket") == bucket) & (F.col("job_id") == F.lit(job_id)))
     latest = d.groupBy("job_bucket", "job_id").agg(F.max("stage_version").alias("stage_version"))
+    worked = _exists(spark, f"{root}/{category}/{name}{WORKED_ON}")
+    if worked is not None:
+        newest = worked.groupBy(F.col("job_id").alias("_job")).agg(F.max("stage_version").alias("_newest"))
+        latest = latest.join(newest, F.col("job_id").cast("string") == F.col("_job"), "left")
+        latest = latest.filter(F.col("_newest").isNull() | (F.col("_newest") <= F.col("stage_version"))).drop("_job", "_newest")
     return d.join(latest, ["job_bucket", "job_id", "stage_version"]).select(*[f.name for f in schema.fields])
 
 

@@ -91,3 +91,14 @@ def test_loudness_takes_first_block(spark):
     good, bad = artifacts.parse_loudness(spark.createDataFrame([(1, log.replace("{x}", "")), (2, "nothing")], "job_id long, log string"))
     assert [(r.job_id, r.input_i) for r in good.collect()] == [(1, -17.5)]
     assert [r.job_id for r in bad.collect()] == [2]
+
+
+def test_a_job_can_be_replaced_by_an_empty_result(spark, tmp_path):
+    from cliploom.sources import stages
+
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c")], "job_id long, x string")
+    stages.write_stage(rows, str(tmp_path), "edit", "x", version=1)
+    stages.write_stage(rows.filter("job_id = 3"), str(tmp_path), "edit", "x", version=2, jobs=rows.filter("job_id = 2"))
+    assert [tuple(r) for r in stages.read_stage(spark, str(tmp_path), "edit", rows.schema, "x").collect()] == [(1, "a")]
+    stages.write_stage(rows.filter("job_id = 2"), str(tmp_path), "edit", "x", version=3, jobs=rows)
+    assert sorted(tuple(r) for r in stages.read_stage(spark, str(tmp_path), "edit", rows.schema, "x").collect()) == [(2, "b"), (2, "c")]
