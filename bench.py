@@ -27,6 +27,11 @@ HEADLINE = [
     "win11_transition_audit",
     "agg15_retention_plan",
     "dec1_plan_decisions",
+    "flow1_understand",
+    "flow2_edit",
+    "flow3_enhance",
+    "str2_near_duplicate_stream",
+    "str3_budget_alerts",
 ]
 
 
@@ -40,12 +45,12 @@ def main() -> None:
     if os.path.isdir(warm):
         for name in ("agg2_energy_curve", "stf1_near_duplicate_frames"):
             queries[name](spark, warm).write.format("noop").mode("overwrite").save()
-    # The input tables of the operators are derived and stored once; their time is reported on its own.
+    # The input tables of the operators are derived and stored once; their time counts as a query of its own.
     t0 = time.time()
     for table in (fixtures.words, fixtures.scenes, fixtures.frames, fixtures.segments, fixtures.job_events, understand.deduped, edit.spoken, edit.repeated):
         table(spark, sf_dir)
     derive = time.time() - t0
-    times = {}
+    times = {"derive_inputs": round(derive, 3)}
     for name in HEADLINE:
         t0 = time.time()
         queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
@@ -57,7 +62,6 @@ def main() -> None:
                 "value": round(sum(times.values()), 3),
                 "unit": "sec",
                 "queries": times,
-                "derive_inputs": round(derive, 3),
                 "sf": os.path.basename(sf_dir.rstrip("/")),
             }
         )

@@ -99,10 +99,10 @@ WITH RECURSIVE st AS (
 SELECT f.job_id, f.frame_number, f.ts_ms, f.phash_hi, f.phash_lo, f.in_speech, st.density_kept, f.is_duplicate AND NOT st.density_kept AS is_duplicate
 FROM in_speech f JOIN st USING (job_id, frame_number)""")
 _REFINE = """
-WITH k AS (SELECT *, sum(CASE WHEN is_duplicate THEN 0 ELSE 1 END) OVER (PARTITION BY job_id ORDER BY frame_number) AS g FROM {src}),
-kept AS (SELECT job_id, g, phash_hi, phash_lo, lead(phash_hi) OVER w AS h2, lead(phash_lo) OVER w AS l2, lead(g) OVER w AS g2
+WITH k AS MATERIALIZED (SELECT *, sum(CASE WHEN is_duplicate THEN 0 ELSE 1 END) OVER (PARTITION BY job_id ORDER BY frame_number) AS g FROM {src}),
+kept AS MATERIALIZED (SELECT job_id, g, phash_hi, phash_lo, lead(phash_hi) OVER w AS h2, lead(phash_lo) OVER w AS l2, lead(g) OVER w AS g2
   FROM k WHERE NOT is_duplicate WINDOW w AS (PARTITION BY job_id ORDER BY frame_number)),
-mid AS (SELECT job_id, frame_number, g, row_number() OVER (PARTITION BY job_id, g ORDER BY frame_number) - 1 AS r,
+mid AS MATERIALIZED (SELECT job_id, frame_number, g, row_number() OVER (PARTITION BY job_id, g ORDER BY frame_number) - 1 AS r,
     count(*) OVER (PARTITION BY job_id, g) AS n FROM k WHERE is_duplicate AND phash_hi IS NOT NULL),
 pick AS (
   SELECT mid.*, bit_count(xor(kept.phash_hi, h2)) + bit_count(xor(kept.phash_lo, l2)) AS d
@@ -222,6 +222,7 @@ SELECT f.job_id, f.frame_number, f.ts_ms,
 SELECT job_id, count(*) FILTER (density_kept) AS phase1_unflagged, count(*) FILTER (visual_kept) AS phase2_unflagged,
   count(*) FILTER (NOT is_duplicate) AS total_kept FROM sampled GROUP BY job_id""",
     ),
+    # The sentence is a fixed value.
     "agg3_motion_quality": (
         lambda s, d: sampling.motion_quality(deduped(s, d)),
         fx.with_tables("deduped") + """

@@ -162,12 +162,14 @@ def normalize_probe(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return media, d.filter("v IS NULL").select("job_id", "payload")
 
 
+# Fixed value: the block of a log that holds the measurement.
+LOUDNESS_BLOCK = r'\{[\s\S]*?"input_i"[\s\S]*?\}'
 LOUDNESS = "struct<input_i:string,input_tp:string,input_lra:string,input_thresh:string>"
 
 
 def parse_loudness(logs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(loudness, failed) from (job_id, log): the first {...} block that holds "input_i"."""
-    block = F.regexp_extract("log", r'\{[\s\S]*?"input_i"[\s\S]*?\}', 0)
+    block = F.regexp_extract("log", LOUDNESS_BLOCK, 0)
     d = logs.select("job_id", F.from_json(block, LOUDNESS).alias("l"), is_json(block).alias("_ok"))
     number = lambda c: F.regexp_extract(c, r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)", 1).try_cast("double")
     good = d.filter("_ok").select("job_id", *[number(F.col(f"l.{c}")).alias(c) for c in ("input_i", "input_tp", "input_lra", "input_thresh")])

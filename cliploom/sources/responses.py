@@ -98,6 +98,11 @@ def ingest_plans(responses: DataFrame, keys: list[str] | None = None) -> tuple[D
     return decisions, plans
 
 
+# What stands in for answers that cannot be read.
+FAILED_DESCRIPTION = "Analysis failed"
+DEFAULT_SUMMARY = "Video analysis complete."
+
+
 def _list_of(content: Column, item: str, key: str | None) -> Column:
     """The answer as an array of items: a bare array, or the array under ``key``."""
     text = F.when(is_json(content), content)
@@ -145,7 +150,7 @@ def parse_responses(df: DataFrame, kind: str) -> DataFrame:
             "job_id",
             "ord",
             "scene_id",
-            F.lit("Analysis failed").alias("visual_description"),
+            F.lit(FAILED_DESCRIPTION).alias("visual_description"),
             F.lit("other").alias("scene_type"),
             F.lit(2.0).alias("visual_interest"),
             F.lit(None).cast("string").alias("text_on_screen"),
@@ -197,5 +202,5 @@ def parse_summaries(df: DataFrame) -> DataFrame:
     """Summary text per job, or the standard one where the answer cannot be read."""
     text = F.when(is_json(F.col("content")), F.col("content"))
     return df.select(
-        "job_id", F.coalesce(F.from_json(text, "struct<summary:string>")["summary"], F.lit("Video analysis complete.")).alias("summary")
+        "job_id", F.coalesce(F.from_json(text, "struct<summary:string>")["summary"], F.lit(DEFAULT_SUMMARY)).alias("summary")
     )
