@@ -94,6 +94,7 @@ class FMIndex:
 
     def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Suffix ranges of all rows of ``phrases`` (equal length) by backward search."""
+        phrases = phrases.astype(np.int64)
         low = np.zeros(len(phrases), np.int64)
         high = np.full(len(phrases), self.size, np.int64)
         for i in range(phrases.shape[1] - 1, -1, -1):
@@ -126,7 +127,7 @@ def phrases_of(items: list[tuple[str, str | None]], window: int) -> tuple[dict[b
             rows, owners = by_length.setdefault(n, ([], []))
             rows.append(ids[i : i + n])
             owners.append(k)
-    return vocabulary, {n: (np.array(r, np.int64), np.array(o)) for n, (r, o) in by_length.items()}
+    return vocabulary, {n: (np.array(r, np.int32), np.array(o, np.int32)) for n, (r, o) in by_length.items()}
 
 
 def shard_hits(texts: list[str | None], vocabulary: dict, phrases: dict) -> tuple[np.ndarray, list[tuple[int, int, int]], np.ndarray]:
@@ -186,7 +187,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_words: int
 
 def find_contamination(
     docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",),
-    item_col: str = "item_id", item_text: str = "text", block_words: int = 2_000_000, shard_bytes: int = 4_000_000,
+    item_col: str = "item_id", item_text: str = "text", block_words: int = 200_000, shard_bytes: int = 4_000_000,
 ) -> DataFrame:
     """The kept columns, n_words, spans array<struct<start,end>>, items array<string>; spans count words."""
 
@@ -256,7 +257,7 @@ def remove_spans(text: str, spans: list[tuple[int, int]]) -> str:
 
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-    block_words: int = 2_000_000, shard_bytes: int = 4_000_000,
+    block_words: int = 200_000, shard_bytes: int = 4_000_000,
 ) -> DataFrame:
     """``docs`` with all benchmark passages cut out of the texts; all columns and rows stay.
 

@@ -34,7 +34,7 @@ from cliploom.llm.common import free, map_slices, materialize, partitions
 from cliploom.llm.components import components
 
 U = np.uint64
-SKETCH = 16  # words of 64 bits
+SKETCH = 8  # words of 64 bits
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -69,7 +69,7 @@ def set_ids(s: np.ndarray) -> tuple[int, int]:
 
 
 def parity_sketch(s: np.ndarray) -> list[int]:
-    bit = np.bincount((mix(s) >> U(54)).astype(np.int64), minlength=64 * SKETCH) & 1
+    bit = np.bincount((mix(s) >> U(55)).astype(np.int64), minlength=64 * SKETCH) & 1
     return [int(x) for x in np.packbits(bit.astype(np.uint8), bitorder="little").view(np.int64)]
 
 
@@ -127,7 +127,7 @@ class Slots:
             out.append(mix(sums[seg[off]] - mix(s[off] ^ U(0x5851F42D4C957F2D)) + salt[seg[off]]))
         return np.concatenate(out)
 
-    def allocate(self, sets: list[np.ndarray], dear: float = 8.0) -> None:
+    def allocate(self, sets: list[np.ndarray], dear: float = 4.0) -> None:
         """Skip segments where unrelated sets often agree; as many of the cheapest become one-off."""
         by: dict[int, list] = {}
         for s in sets:
@@ -228,11 +228,15 @@ def _allocation(docs: DataFrame, sets: DataFrame, most: int, k: int, percent: in
     return slots
 
 
+def _sizes(x: Column, y: Column, percent: int) -> Column:
+    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+
+
 def _possible(a: str, b: str, percent: int) -> Column:
     """Sizes and sketches allow similarity: the sketches' distance is at most the number of differing shingles."""
-    small, large = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
     apart = sum((F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(SKETCH)), F.lit(0))
-    return (100 * small >= percent * large) & (apart * (100 + percent) <= (small + large) * (100 - percent))
+    x, y = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return _sizes(x, y, percent) & (apart * (100 + percent) <= (x + y) * (100 - percent))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, listed: int = 2_000_000) -> DataFrame:
@@ -263,7 +267,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, id_col: s
 
 
 def similar_components(
-    docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", sample_sets: int = 2_000,
+    docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", sample_sets: int = 6_000,
 ) -> DataFrame:
     """(id, n_shingles, component_id): the smallest id that links reach from each row."""
     spark = docs.sparkSession
@@ -292,10 +296,11 @@ def similar_components(
     # Two similar sets share many keys: the same list counts once.
     small = groups.where("gid IS NULL").groupBy("sids").agg(F.lit(1)).select(F.xxhash64("sids").alias("gid"), "sids")
     member = small.unionByName(groups.where("gid IS NOT NULL")).select("gid", F.explode("sids").alias("sid"))
-    member = materialize(member.join(reps.select("sid", "rep"), "sid").select("gid", "rep"), "group-members")
+    member = materialize(member.join(reps.select("sid", "rep", "n"), "sid").select("gid", "rep", "n"), "group-members")
     known = reps.select("rep", F.struct("rep", "n", "sketch").alias("x"))
-    lead = member.groupBy("gid").agg(F.min("rep").alias("lead"))
-    first = member.join(lead, "gid").where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+    lead = member.groupBy("gid").agg(F.min("rep").alias("lead"), F.min_by("n", "rep").alias("m"))
+    first = member.join(lead, "gid").where((F.col("rep") != F.col("lead")) & _sizes(F.col("n"), F.col("m"), percent))
+    first = first.select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     pairs = first.join(known.select(F.col("rep").alias("a"), F.col("x").alias("xa")), "a").join(known.select(F.col("rep").alias("b"), F.col("x").alias("xb")), "b")
     pairs = materialize(pairs.where(_possible("xa", "xb", percent)).select("a", "b"), "leader-pairs")
     links = materialize(_verified(pairs, docs, k, percent, id_col, text_col), "leader-links")

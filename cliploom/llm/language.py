@@ -5,8 +5,9 @@ orders built from continuation counts (in how many contexts a string ends), each
 continuation counts come from Spark aggregations over the training rows; a model keeps its strings as sorted 64-bit
 arrays that are searched by bisection. A text goes to the language whose model needs the fewest bits per character.
 
-Training reads a bounded sample of labelled rows (``sample_rows`` per language, about that many, chosen by a bound on the hash of id and text), as a
-classifier may; its size and so the size of what is broadcast to the tasks do not grow with the input.
+Training reads a bounded sample of labelled rows, as a classifier may: about ``sample_rows`` per language and 100,000 in all,
+of at most a million bytes each, chosen by a bound on the hash of id and text. So the size of what is sent to the tasks
+does not grow with the input.
 
 Rejection is calibrated on the training sample: a text is rejected if its best cross-entropy lies above the highest one of
 the sample's own texts in that language by ``margin[0]`` bits a character, and ``margin[1] / sqrt(characters)`` more, as
@@ -179,11 +180,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     count = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if len(count) > 1000:
         raise ValueError("more than 1000 languages")
+    sample_rows = min(sample_rows, 100_000 // max(1, len(count)))
     bound = F.lit(False)
     for lang, n in count.items():
         share = min(1.0, sample_rows / n)
         bound = bound | ((F.col("lang") == lang) & (F.col("h") <= min(2**63 - 1, int(-(2**63) + share * (2**64 - 1)))))
-    sample = materialize(rows.where(bound), "language-sample")
+    sample = materialize(rows.where(bound & (F.col("size") <= 1_000_000)).select("lang", "text"), "language-sample")
     seen = sample.mapInArrow(_letters, "lang string, point int, n long").groupBy("point").agg(F.sum("n").alias("n"))
     alphabet = [r["point"] for r in seen.orderBy(F.desc("n"), "point").limit(SYMBOLS - 2).collect()]
 
