@@ -7,7 +7,7 @@ array expression into a size filter below, where it would be computed again for
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cliploom.operators.blocks import running, seq_block
@@ -19,10 +19,9 @@ KEEP_MS = 50
 
 def first_segments(segments: DataFrame) -> DataFrame:
     """First row (by seq) of every segment id, as a lookup side for joins by id."""
-    # Joined on the id alone (<= and not =, which would become a key), so that the rows are already
-    # placed for the join that follows.
-    first = segments.groupBy("job_id", "segment_id").agg(F.min("seq").alias("_first"))
-    return segments.join(first, ["job_id", "segment_id"]).filter("seq <= _first").select(segments.columns)
+    # One exchange by id, which the join that follows can use as well.
+    by_id = Window.partitionBy("job_id", "segment_id").orderBy("seq")
+    return segments.withColumn("_nth", F.row_number().over(by_id)).filter("_nth = 1").drop("_nth")
 
 
 def with_segment(decisions: DataFrame, segments: DataFrame, how: str = "left") -> DataFrame:
