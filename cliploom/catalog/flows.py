@@ -123,6 +123,12 @@ def _flow_captions(chunks, style, size, jobs):
     return f"SELECT * FROM (WITH {sql}) c WHERE job_id % 10 <> 9 AND job_id % 4 = {jobs}"
 
 
+_INSERTS = fx.with_tables("clips", "spoken_seg") + """,
+k AS (SELECT c.job_id, c.seq, c.segment_id, row_number() OVER (PARTITION BY c.job_id ORDER BY c.seq) - 1 AS n FROM clips c JOIN spoken_seg g USING (job_id, segment_id) WHERE g.seq % 6 = 0),
+f AS (SELECT job_id, segment_id, min(n) AS n FROM k WHERE n < 5 GROUP BY ALL),
+o AS (SELECT c.*, f.n, coalesce(f.n % 4 <> 1, false) AS hit FROM clips c LEFT JOIN f USING (job_id, segment_id)),
+w AS (SELECT job_id, seq, clip_id, segment_id, CASE WHEN hit THEN printf('/out/enh_%03d', n) ELSE 'source.mp4' END AS src, CASE WHEN hit THEN 0 ELSE start_from END AS start_from,
+  CASE WHEN hit THEN CAST(floor((n + 1) * 0.5::DOUBLE * fps + 0.5::DOUBLE) AS BIGINT) ELSE duration_frames END AS duration_frames, 1.0::DOUBLE AS volume, hit AS is_enhanced, transition FROM o)"""
 _CLIP = ["job_id", "seq", "segment_id", "start_from", "duration_frames", "out_start", "transition", "transition_frames"]
 
 QUERIES = {
@@ -169,6 +175,19 @@ j AS (SELECT job_id, max_by(energy, seq) AS le, max(seq) AS seq FROM k GROUP BY
 SELECT job_id, 'nothing_kept' AS code, -1 AS seq, '' AS detail FROM flow_dec GROUP BY job_id HAVING count(*) FILTER (action <> 'remove') = 0
 UNION ALL SELECT job_id, 'low_energy_stretch', seq, pid || ',' || segment_id FROM l WHERE low AND pl
 UNION ALL SELECT job_id, 'low_energy_ending', seq, '' FROM j WHERE le < 0.3::DOUBLE""",
+    ),
+    "flow3_clips": (lambda s, d: enhanced(s, d).clips, _INSERTS + "\nSELECT * FROM w"),
+    "flow3_totals": (
+        lambda s, d: enhanced(s, d).totals,
+        _INSERTS + """
+SELECT job_id, CAST(sum(duration_frames) AS BIGINT) AS duration_frames, count(*) FILTER (is_enhanced) AS enhanced_clips,
+  CASE WHEN count(*) FILTER (is_enhanced) > 0 THEN 'enhanced' ELSE 'standard' END AS edit_mode FROM w GROUP BY job_id""",
+    ),
+    "flow3_specs": (
+        lambda s, d: enhanced(s, d).specs.select("job_id", "spec_no", "scene_id", "seq", "segment_id", "start_ms", "end_ms", "target_subject", "overlay_text"),
+        _INSERTS + """
+SELECT k.job_id, n AS spec_no, printf('enh_%03d', n) AS scene_id, k.seq, k.segment_id, g.start_ms, g.end_ms, 'Menu' AS target_subject, 'Menu' AS overlay_text
+FROM k JOIN spoken_seg g USING (job_id, segment_id) WHERE n < 5""",
     ),
     "flow3_enhance": (
         lambda s, d: enhanced(s, d).manifest,

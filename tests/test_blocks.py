@@ -207,3 +207,33 @@ def test_blocks_stay_whole_under_adaptive_execution(spark, monkeypatch, broadcas
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_rows_meet_their_job_row_also_in_a_hot_job(spark):
+    from pyspark.sql import functions as F
+
+    from cliploom.operators.blocks import with_job_row
+
+    rows = spark.range(5000).select(F.when(F.col("id") % 50 == 0, F.col("id")).otherwise(7).alias("job_id"), F.col("id").alias("seq"))
+    per_job = spark.createDataFrame([(7, "hot"), (50, "cold")], "job_id long, x string")
+    got = {(r["job_id"], r["seq"], r["x"]) for r in with_job_row(rows, per_job, F.col("seq")).collect()}
+    want = {(r["job_id"], r["seq"], {7: "hot", 50: "cold"}.get(r["job_id"])) for r in rows.collect()}
+    assert got == want
+    assert with_job_row(rows, per_job, F.col("seq"), "inner").count() == sum(x is not None for _, _, x in want)
+
+
+def test_segments_energy_and_clips_with_one_hot_job(spark):
+    """One job holds nearly all words: results equal those of the job alone."""
+    from pyspark.sql import functions as F
+
+    from cliploom.operators import segments as seg
+
+    word = lambda job, n: spark.range(n).select(
+        F.lit(job).cast("long").alias("job_id"), F.col("id").alias("seq"), F.lit("w.").alias("text"), F.lit("a").alias("speaker"),
+        (F.col("id") * 400).alias("start_ms"), (F.col("id") * 400 + 250).alias("end_ms"), F.lit(0.5).alias("confidence"),
+    )
+    hot, cold = word(1, 20_000), word(2, 50)
+    media = spark.createDataFrame([(1, 25, 10, 10, -20.0), (2, 30, 10, 10, None)], "job_id long, fps int, width int, height int, input_i double")
+    both = seg.energy_curve(seg.segments_from_words(hot.unionByName(cold)), media)
+    alone = seg.energy_curve(seg.segments_from_words(hot), media).unionByName(seg.energy_curve(seg.segments_from_words(cold), media))
+    assert sorted(map(tuple, both.collect())) == sorted(map(tuple, alone.collect()))
