@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -137,6 +138,22 @@ def progress(s, d):
     return s.createDataFrame([(seen.get["rows"],)], "rows long")
 
 
+def frames_from_files(s, d):
+    """The frames' payloads written as one folder per job and part, and read back from there."""
+    root = f"{scratch.scratch_dir(s)}/payloads-{uuid.uuid4().hex}"
+    frame_payloads(s, d).withColumnRenamed("payload", "value").repartition("job_id", "part").write.partitionBy("job_id", "part").text(root)
+    return artifacts.read_frames(s, root).withColumn("job_id", F.col("job_id").cast("long"))
+
+
+def images_from_files(s, d):
+    """The pages written as files, and listed as images from there."""
+    root = f"{scratch.scratch_dir(s)}/images-{uuid.uuid4().hex}"
+    fx.table(s, d, "pages").select("page_id", F.col("html").alias("value")).repartition("page_id").write.partitionBy("page_id").text(root)
+    fits, oversize = images.image_catalog(s, root, 1500)
+    both = fits.select("path", "media_type", "length", F.lit(True).alias("fits")).unionByName(oversize.withColumn("fits", F.lit(False)))
+    return both.select(F.regexp_extract("path", "/page_id=([0-9]+)/", 1).cast("long").alias("page_id"), "media_type", "length", "fits")
+
+
 def stage_round_trip(s, d):
     """Store all decisions, store those of every third job again, read the latest state."""
     root = f"{scratch.scratch_dir(s)}/stages-{hashlib.md5(d.encode()).hexdigest()}-{s.sparkContext.applicationId}"
@@ -175,6 +192,10 @@ SELECT DISTINCT job_id, CASE WHEN job_id % 3 = 0 THEN 'he' ELSE 'en' END AS lang
         lambda s, d: artifacts.parse_frames(frame_payloads(s, d)),
         fx.with_tables("frames") + "\nSELECT *, printf('frame_%06d.jpg', frame_number) AS path, frame_number % 3 = 0 AS is_duplicate FROM frames",
     ),
+    "src2_frame_files": (
+        frames_from_files,
+        fx.with_tables("frames") + "\nSELECT *, printf('frame_%06d.jpg', frame_number) AS path, frame_number % 3 = 0 AS is_duplicate FROM frames",
+    ),
     "src3_scenes": (
         lambda s, d: artifacts.parse_scenes(scene_payloads(s, d), fx.frames(s, d), fx.media(s, d)),
         fx.with_tables("scenes", "frames", "media") + """
@@ -214,6 +235,10 @@ SELECT job_id, input_i, -(job_id % 5 + 0.25::DOUBLE) AS input_tp, 7.1::DOUBLE AS
         lambda s, d: stages.parse_job_manifests(manifests(s, d))[1],
         fx.with_tables("jobs") + "\nSELECT 'jobs/' || job_id || '/manifest.json' AS path FROM jobs WHERE job_id % 11 = 3",
     ),
+    "src10_image_files": (
+        images_from_files,
+        "SELECT page_id, 'image/jpeg' AS media_type, octet_length(encode(html)) + 1 AS length, octet_length(encode(html)) + 1 <= 1500 AS fits FROM pages",
+    ),
     "src10_images": (
         lambda s, d: images.image_rows(page_images(s, d), 1500)[0].withColumn("data", F.md5("data")),
         """WITH p AS (SELECT page_id, encode(html) AS b FROM pages)

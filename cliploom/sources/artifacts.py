@@ -33,15 +33,15 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     """(job_id, part, payload): every file below ``path`` as one text.
 
     The folder names the job.  A long result may come in several files; the number at the end of the
-    file name (frames_12.json) is its part, 0 without one.
+    file name (frames_12.json) is its part, 0 without one.  Folders that Spark writes (job_id=7/part=12/...) work too.
     """
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(
         F.col("value").alias("payload"), F.col("_metadata.file_path").alias("file")
     )
-    part = F.regexp_extract("file", r"([0-9]+)\.[^./]*$", 1).try_cast("bigint")
-    return files.select(
-        F.element_at(F.split("file", "/"), -2).alias("job_id"), F.coalesce(part, F.lit(0)).cast("long").alias("part"), "payload"
-    )
+    named = lambda key: F.regexp_extract("file", f"/{key}=([^/]*)/", 1)
+    part = F.coalesce(named("part").try_cast("bigint"), F.regexp_extract("file", r"([0-9]+)\.[^./]*$", 1).try_cast("bigint"))
+    job = F.when(named("job_id") != "", named("job_id")).otherwise(F.element_at(F.split("file", "/"), -2))
+    return files.select(job.alias("job_id"), F.coalesce(part, F.lit(0)).cast("long").alias("part"), "payload")
 
 
 def _ms(c):
