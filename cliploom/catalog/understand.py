@@ -222,6 +222,10 @@ SELECT f.job_id, f.frame_number, f.ts_ms,
 SELECT job_id, count(*) FILTER (density_kept) AS phase1_unflagged, count(*) FILTER (visual_kept) AS phase2_unflagged,
   count(*) FILTER (NOT is_duplicate) AS total_kept FROM sampled GROUP BY job_id""",
     ),
+    "stf5_sampled_frames": (
+        lambda s, d: sampled(s, d).select("job_id", "frame_number", "ts_ms", "phash_hi", "phash_lo", "in_speech", "density_kept", "visual_kept", "is_duplicate"),
+        fx.with_tables("sampled") + "\nSELECT * FROM sampled",
+    ),
     # The sentence is a fixed value.
     "agg3_motion_quality": (
         lambda s, d: sampling.motion_quality(deduped(s, d)),

@@ -93,6 +93,7 @@ def visual_refinement(frames: DataFrame, same: int = SAME, moderate: int = MODER
         block,
         sums={"_kept_before": keep.cast("long"), "_dups_before": hashed.cast("long")},
     )
+    counted = materialize(counted, "counted")  # read for the kept frames, and again for all
     # Row i of the kept frames opens group i; duplicates after it belong to that group.
     kept = counted.filter(keep).select("job_id", "ts_ms", "frame_number", "phash_hi", "phash_lo", "_kept_before", "_dups_before")
     pairs = running(
