@@ -67,8 +67,10 @@ def cap_enhancements(classified: DataFrame, limit: int) -> DataFrame:
     """
     enhanced = classified.filter("level <> 'standard'").select("job_id", "seq", "confidence")
     sizes = enhanced.groupBy("job_id", "confidence").agg(F.count(F.lit(1)).alias("n"))
+    # Blocks of confidences that agree in three digits; without a confidence comes first.
+    stretch = F.coalesce(F.floor(F.col("_o") * 1000).cast("long"), F.lit(-(2**40)))
     above = running(
-        sizes.withColumn("_o", -F.col("confidence")), ["job_id"], ["_o"], F.lit(0).cast("long"), sums={"_above": F.col("n")}
+        sizes.withColumn("_o", -F.col("confidence")), ["job_id"], ["_o"], stretch, sums={"_above": F.col("n")}
     ).select("job_id", "confidence", "_above")
     inside = running(enhanced, ["job_id", "confidence"], ["seq"], seq_block("seq"), sums={"_in": F.lit(1)})
     drop = inside.join(above, ["job_id", "confidence"]).filter(F.col("_above") + F.col("_in") >= limit)
