@@ -42,7 +42,7 @@ def byte_symbols() -> dict[str, int]:
 class Codec:
     """Encodes and decodes with a byte-level BPE vocabulary file (ids ascend in merge order)."""
 
-    def __init__(self, data: bytes, max_words: int = 200_000):
+    def __init__(self, data: bytes, max_words: int = 150_000):
         spec = json.loads(data)
         spelled = byte_symbols()
         to_bytes = lambda s: bytes(spelled[c] for c in s)
@@ -60,7 +60,9 @@ class Codec:
         self.pattern = regex.compile(WORDS)
         self.splitter = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.max_words = max_words
+        # Encodings of words: those met lately, and the table that these filled up before.
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.beside: dict[tuple[int, int], bool] = {}
 
     def stays_apart(self, a: int, b: int) -> bool:
@@ -85,7 +87,7 @@ class Codec:
                 before, a = a, left[1]
             else:
                 before, b = b + 1, right[0]
-        if len(self.beside) > 100_000:
+        if len(self.beside) > 250_000:
             self.beside.clear()
         self.beside[key] = apart
         return apart
@@ -116,6 +118,16 @@ class Codec:
                 at -= size[at]
             self.known[text] = np.array(out[::-1], "<u4").tobytes()
 
+    def have(self, words: set[str]) -> dict[str, bytes]:
+        """The table of encodings, with all of these distinct words in it."""
+        fresh = words - self.known.keys()
+        if len(self.known) + len(fresh) > self.max_words:
+            self.before, self.known, fresh = self.known, {}, words
+        again = fresh & self.before.keys()
+        self.known.update((w, self.before[w]) for w in again)
+        self.learn(fresh - again)
+        return self.known
+
     def pieces(self, text: str) -> Iterator[str | int]:
         """Text between special strings, and the ids of these."""
         if self.splitter is None:
@@ -137,15 +149,16 @@ class Codec:
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        known, out, waiting = self.known, [], []
+        out, waiting = [], []
         small = sum(map(len, texts)) <= 4_000_000
         if small:
             cut = [[p if isinstance(p, int) else self.pattern.findall(p) for p in self.pieces(t)] for t in texts]
-            fresh = {w for row in cut for p in row if not isinstance(p, int) for w in p if w not in known}
-            if len(known) + len(fresh) > self.max_words:
-                known.clear()
-                fresh = {w for row in cut for p in row if not isinstance(p, int) for w in p}
-            self.learn(fresh)
+            met: set[str] = set()
+            for row in cut:
+                for p in row:
+                    if not isinstance(p, int):
+                        met.update(p)
+            known = self.have(met)
             for row in cut:
                 out.append(b"".join(p.to_bytes(4, "little") if isinstance(p, int) else b"".join(map(known.__getitem__, p)) for p in row))
             return out
@@ -156,9 +169,7 @@ class Codec:
                     waiting.append(p.to_bytes(4, "little"))
                     continue
                 for words in self.chunks(p):
-                    if len(known) > self.max_words:
-                        known.clear()
-                    self.learn({w for w in words if w not in known})
+                    known = self.have(set(words))
                     waiting.append(b"".join(map(known.__getitem__, words)))
             out.append(b"".join(waiting))
         return out

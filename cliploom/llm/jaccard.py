@@ -35,6 +35,7 @@ from cliploom.llm.components import components
 
 U = np.uint64
 SKETCH = 8  # words of 64 bits
+WIDE = 64  # the same for candidates, before their sets are compared
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -68,8 +69,9 @@ def set_ids(s: np.ndarray) -> tuple[int, int]:
     return signed(d & (2**64 - 1)), signed(d >> 64)
 
 
-def parity_sketch(s: np.ndarray) -> list[int]:
-    bit = np.bincount((mix(s) >> U(55)).astype(np.int64), minlength=64 * SKETCH) & 1
+def parity_sketch(s: np.ndarray, words: int = SKETCH) -> list[int]:
+    """Which of the bits an odd number of shingles falls on: sets that differ by d shingles differ in d bits at most."""
+    bit = np.bincount((mix(s) >> U(32)).astype(np.int64) % (64 * words), minlength=64 * words) & 1
     return [int(x) for x in np.packbits(bit.astype(np.uint8), bitorder="little").view(np.int64)]
 
 
@@ -232,26 +234,38 @@ def _sizes(x: Column, y: Column, percent: int) -> Column:
     return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
 
-def _possible(a: str, b: str, percent: int) -> Column:
+def _possible(a: str, b: str, percent: int, words: int = SKETCH) -> Column:
     """Sizes and sketches allow similarity: the sketches' distance is at most the number of differing shingles."""
-    apart = sum((F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(SKETCH)), F.lit(0))
+    apart = sum((F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(words)), F.lit(0))
     x, y = F.col(f"{a}.n"), F.col(f"{b}.n")
     return _sizes(x, y, percent) & (apart * (100 + percent) <= (x + y) * (100 - percent))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, listed: int = 2_000_000) -> DataFrame:
     """Pairs (a, b) of representatives whose full sets are similar."""
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("_v")).distinct(), "candidates")
-    rows = docs.select(F.col(id_col).alias("v"), F.col(text_col).alias("_text"))
-    if ids.count() <= listed:  # 8 bytes each: at most 16 MB to the tasks
-        rows = rows.join(F.broadcast(ids), rows["v"] == ids["_v"], "left_semi")
-    else:
-        rows = rows.join(ids, rows["v"] == ids["_v"], "left_semi")
+    texts = docs.select(F.col(id_col).alias("v"), F.col(text_col).alias("_text"))
+
+    def members(of: DataFrame) -> DataFrame:
+        ids = materialize(of.select(F.explode(F.array("a", "b")).alias("_v")).distinct(), "candidates")
+        few = ids.count() <= listed  # 8 bytes each: at most 16 MB to the tasks
+        return texts.join(F.broadcast(ids) if few else ids, texts["v"] == ids["_v"], "left_semi")
+
+    def make_sketches():
+        def run(texts: list) -> dict:
+            sets = [shingles(t, k) for t in texts]
+            return {"n": [len(s) for s in sets], "sketch": [parity_sketch(s, WIDE) for s in sets]}
+
+        return run
 
     def make():
         return lambda texts: {"s": [shingles(t, k).tobytes() for t in texts]}
 
-    sets = materialize(map_slices(rows, "_text", make, "s binary", ["v"]), "candidate-sets")
+    # Wide sketches first: sets that only share passages are told apart by half a kilobyte each.
+    known = materialize(map_slices(members(pairs), "_text", make_sketches, "n long, sketch array<long>", ["v"]), "candidate-sketches")
+    known = known.select("v", F.struct("n", "sketch").alias("x"))
+    near = pairs.join(known.select(F.col("v").alias("a"), F.col("x").alias("xa")), "a").join(known.select(F.col("v").alias("b"), F.col("x").alias("xb")), "b")
+    pairs = materialize(near.where(_possible("xa", "xb", percent, WIDE)).select("a", "b").distinct(), "near-pairs")
+    sets = materialize(map_slices(members(pairs), "_text", make, "s binary", ["v"]), "candidate-sets")
     wide = pairs.join(sets.select(F.col("v").alias("a"), F.col("s").alias("s_a")), "a").join(sets.select(F.col("v").alias("b"), F.col("s").alias("s_b")), "b")
 
     def check(batches):

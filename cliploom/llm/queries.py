@@ -96,16 +96,64 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+# A-Z in lower case, and nothing else.
+_LOWER = "translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP4_SQL = """
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, hash(h[i + 1:i + 50]) AS s FROM (SELECT doc_id, h, unnest(range(greatest(n - 49, 0))) AS i FROM b)),
+f AS (SELECT s, min(doc_id) AS first_id FROM w GROUP BY s),
+o AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM w JOIN f USING (s) WHERE first_id < doc_id),
+g AS (SELECT doc_id, i, sum(CASE WHEN p IS NULL OR i > p + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM o),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS e FROM g GROUP BY doc_id, k),
+c AS (SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) AS lo, a AS hi FROM r
+  UNION ALL SELECT b.doc_id, coalesce(max(r.e), 0), any_value(b.n) FROM b LEFT JOIN r USING (doc_id) GROUP BY b.doc_id),
+t AS (SELECT c.doc_id, string_agg(hex(b.h[lo + 1:hi]), '' ORDER BY lo, hi) AS kept FROM c JOIN b USING (doc_id) GROUP BY c.doc_id),
+x AS (SELECT doc_id, sum(e - a) AS n_removed, count(*) AS n_spans FROM r GROUP BY doc_id)
+SELECT b.doc_id, b.n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM b JOIN t USING (doc_id) LEFT JOIN x USING (doc_id)"""
+OP6_SQL = (
+    "WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all("
+    + _LOWER.format(c="text")
+    + r""", '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i + 1:i + 5], ' ') AS s FROM (SELECT doc_id, w, unnest(CASE WHEN len(w) = 0 THEN [] ELSE range(greatest(len(w) - 4, 1)) END) AS i FROM w)),
+n AS MATERIALIZED (SELECT w.doc_id, count(s.s) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY w.doc_id),
+l AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON b.s = a.s AND b.doc_id <> a.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+r AS (SELECT doc_id, doc_id AS other FROM n UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.other)
+SELECT n.doc_id, n.n AS n_shingles, min(r.other) AS component_id FROM n JOIN r USING (doc_id) GROUP BY n.doc_id, n.n"""
+)
+_WORDS8 = "coalesce(regexp_extract_all(" + _LOWER.format(c="text") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+OP8_SQL = (
+    f"""
+WITH d AS (SELECT doc_id, {_WORDS8} AS w FROM documents), b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS8} AS w FROM benchmark),"""
+    + """
+q AS (SELECT item_id, n, array_to_string(w[i + 1:i + n], ' ') AS p FROM (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(len(w) - least(len(w), 10) + 1)) AS i FROM b WHERE len(w) > 0)),
+v AS (SELECT doc_id, n, i, array_to_string(w[i + 1:i + n], ' ') AS p FROM (
+  SELECT doc_id, w, n, unnest(range(greatest(len(w) - n + 1, 0))) AS i FROM d, (SELECT DISTINCT n FROM q) z)),
+h AS MATERIALIZED (SELECT DISTINCT doc_id, item_id, i, n FROM v JOIN q USING (n, p)),
+c AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)"""
+)
+OP9_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS best FROM pages)
+SELECT page_id, n AS payload_bytes, list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(1 + (CAST('0x' || substr(h, CAST(1 + 5 * (i // 4) AS INT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INT)) % 32 AS INT), 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN best = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN best <> page_id THEN best END AS refers_to FROM p"""
+
+
 QUERIES = {
     "op1_token_counts": (op1_token_counts, None),
     "op2_bpe_round_trip": (op2_bpe_round_trip, None),
     "op3_exact_dedup": (op3_exact_dedup, OP3_SQL),
-    "op4_suffix_dedup": (op4_suffix_dedup, None),
+    "op4_suffix_dedup": (op4_suffix_dedup, OP4_SQL),
     "op5_secrets": (op5_secrets, None),
-    "op6_ngram_jaccard": (op6_ngram_jaccard, None),
+    "op6_ngram_jaccard": (op6_ngram_jaccard, OP6_SQL),
     "op7_line_dedup": (op7_line_dedup, OP7_SQL),
-    "op8_decontamination": (op8_decontamination, None),
-    "op9_warc": (op9_warc, None),
+    "op8_decontamination": (op8_decontamination, OP8_SQL),
+    "op9_warc": (op9_warc, OP9_SQL),
     "op10_language": (op10_language, None),
 }
 
