@@ -19,7 +19,6 @@ import hashlib
 import json
 from collections.abc import Iterable, Iterator
 from itertools import islice
-from os.path import commonprefix
 
 import numpy as np
 import regex
@@ -39,6 +38,9 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+TAIL = 4  # bytes by which tokens that end at a place are looked up
+
+
 class Codec:
     """Encodes and decodes with a byte-level BPE vocabulary file (ids ascend in merge order)."""
 
@@ -49,7 +51,13 @@ class Codec:
         self.ids = {to_bytes(s): i for s, i in spec["model"]["vocab"].items() if all(c in spelled for c in s)}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes_of = {i: b for b, i in self.ids.items()} | {i: s.encode() for s, i in self.special.items()}
-        self.longest = max(map(len, self.ids))
+        self.packed = {i: i.to_bytes(4, "little") for i in self.bytes_of}
+        lengths: dict[bytes, set[int]] = {}
+        for b in self.ids:
+            if len(b) > TAIL:
+                lengths.setdefault(b[-TAIL:], set()).add(len(b))
+        self.longer = {tail: tuple(sorted(n, reverse=True)) for tail, n in lengths.items()}
+        self.ends: dict[bytes, tuple] = {}
         self.merged: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
         for rule in spec["model"]["merges"]:
@@ -92,31 +100,49 @@ class Codec:
         self.beside[key] = apart
         return apart
 
+    def endings(self, tail: bytes) -> tuple[tuple[int, ...], tuple[tuple[int, int], ...]]:
+        """For a place whose last bytes are ``tail`` (TAIL of them, or all there are): the lengths of longer tokens that end
+        like this, and the tokens inside it, longest first."""
+        inside = tuple((self.ids[tail[-n:]], n) for n in range(len(tail), 0, -1) if tail[-n:] in self.ids)
+        got = (self.longer.get(tail, ()), inside)
+        if len(self.ends) > 100_000:
+            self.ends.clear()
+        self.ends[tail] = got
+        return got
+
     def learn(self, words: Iterable[str]) -> None:
         """Encode distinct words in one depth-first walk of their trie."""
-        spelled = sorted((w.encode(), w) for w in words)
-        ids, apart, longest = self.ids, self.stays_apart, self.longest
+        ids, ends, endings, beside, apart, packed = self.ids, self.ends, self.endings, self.beside, self.stays_apart, self.packed
         last = [-1]  # last[i]: the last token of the first i bytes of the path
         size = [0]  # its length in bytes
         above = b""
-        for word, text in spelled:
-            keep = len(commonprefix((above, word)))
+        for word, text in sorted([(w.encode(), w) for w in words]):
+            keep = min(len(above), len(word))
+            while above[:keep] != word[:keep]:
+                keep -= 1
             del last[keep + 1 :], size[keep + 1 :]
             for end in range(keep + 1, len(word) + 1):
-                for start in range(max(0, end - longest), end):
-                    token = ids.get(word[start:end])
-                    if token is not None and (start == 0 or apart(last[start], token)):
-                        last.append(token)
-                        size.append(end - start)
-                        break
+                tail = word[end - TAIL : end] if end > TAIL else word[:end]
+                longer, inside = ends.get(tail) or endings(tail)
+                for n in longer:
+                    if n <= end and (token := ids.get(word[end - n : end])) is not None:
+                        if n == end or (ok := beside.get((last[end - n], token))) or (ok is None and apart(last[end - n], token)):
+                            break
                 else:
-                    raise ValueError("the vocabulary lacks a byte")
+                    for token, n in inside:
+                        if n == end or (ok := beside.get((last[end - n], token))) or (ok is None and apart(last[end - n], token)):
+                            break
+                    else:
+                        raise ValueError("the vocabulary lacks a byte")
+                last.append(token)
+                size.append(n)
             above = word
             out, at = [], len(word)
             while at:
-                out.append(last[at])
+                out.append(packed[last[at]])
                 at -= size[at]
-            self.known[text] = np.array(out[::-1], "<u4").tobytes()
+            out.reverse()
+            self.known[text] = b"".join(out)
 
     def have(self, words: set[str]) -> dict[str, bytes]:
         """The table of encodings, with all of these distinct words in it."""
