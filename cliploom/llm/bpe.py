@@ -44,7 +44,7 @@ TAIL = 4  # bytes by which tokens that end at a place are looked up
 class Codec:
     """Encodes and decodes with a byte-level BPE vocabulary file (ids ascend in merge order)."""
 
-    def __init__(self, data: bytes, max_words: int = 150_000):
+    def __init__(self, data: bytes, max_words: int = 90_000):
         spec = json.loads(data)
         spelled = byte_symbols()
         to_bytes = lambda s: bytes(spelled[c] for c in s)
@@ -95,7 +95,7 @@ class Codec:
                 before, a = a, left[1]
             else:
                 before, b = b + 1, right[0]
-        if len(self.beside) > 250_000:
+        if len(self.beside) > 100_000:
             self.beside.clear()
         self.beside[key] = apart
         return apart
@@ -105,7 +105,7 @@ class Codec:
         like this, and the tokens inside it, longest first."""
         inside = tuple((self.ids[tail[-n:]], n) for n in range(len(tail), 0, -1) if tail[-n:] in self.ids)
         got = (self.longer.get(tail, ()), inside)
-        if len(self.ends) > 100_000:
+        if len(self.ends) > 20_000:
             self.ends.clear()
         self.ends[tail] = got
         return got

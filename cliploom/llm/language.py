@@ -115,7 +115,8 @@ class Scorer:
 
     def __init__(self, models: dict[str, KneserNey], table: np.ndarray):
         self.languages, self.models, self.table = sorted(models), models, table
-        self.place = np.full(1 << (BITS * ORDER), -1, np.int32)
+        # Where a string's bits are, from 1 on; pages that stay 0 take no memory.
+        self.place = np.zeros(1 << (BITS * ORDER), np.int32)
         self.bits = np.zeros((0, len(models)), np.float32)
 
     def __call__(self, text: str) -> tuple[np.ndarray | None, int]:
@@ -124,14 +125,14 @@ class Scorer:
             return None, 0
         codes = grams(out, ORDER)
         at = self.place[codes]
-        if (at < 0).any():
-            new = np.unique(codes[at < 0])
+        if (at == 0).any():
+            new = np.unique(codes[at == 0])
             wide = new.astype(np.uint64)
             bits = np.stack([-np.log2(self.models[k].probability(wide)) for k in self.languages], 1)
-            self.place[new] = np.arange(len(new)) + len(self.bits)
+            self.place[new] = np.arange(len(new)) + len(self.bits) + 1
             self.bits = np.concatenate((self.bits, bits.astype(np.float32)))
             at = self.place[codes]
-        return self.bits[at].mean(axis=0, dtype=np.float64), len(codes)
+        return self.bits[at - 1].mean(axis=0, dtype=np.float64), len(codes)
 
 
 class Model:
