@@ -21,10 +21,12 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from cliploom.llm.common import map_slices
+from cliploom.llm.common import free, map_slices, materialize, slices
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -95,12 +97,15 @@ class FMIndex:
     def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Suffix ranges of all rows of ``phrases`` (equal length) by backward search."""
         phrases = phrases.astype(np.int64)
+        # Symbols beyond the index's own stand nowhere in the text.
+        absent = (phrases >> self.wavelet.bits != 0).any(axis=1)
+        phrases = np.where(absent[:, None], 0, phrases)
         low = np.zeros(len(phrases), np.int64)
         high = np.full(len(phrases), self.size, np.int64)
         for i in range(phrases.shape[1] - 1, -1, -1):
             low, high = self.step(phrases[:, i], low), self.step(phrases[:, i], high)
             high = np.maximum(high, low)
-        return low, high
+        return low, np.where(absent, low, high)
 
     def locate(self, rows: np.ndarray) -> np.ndarray:
         """Text positions of suffixes: walk back to a sampled one and add the steps."""
@@ -261,19 +266,46 @@ def decontaminate(
 ) -> DataFrame:
     """``docs`` with all benchmark passages cut out of the texts; all columns and rows stay.
 
-    Blocks of phrases follow each other, so a phrase that appears only by a cut of an earlier block is cut as well.
+    All passages are found in the texts as they come in and cut at once, so the result does not depend on the blocks. Words that
+    become neighbours by a cut are not looked at again.
     """
-    for block in _blocks(benchmark, item_col, item_text, block_words):
-        vocabulary, phrases = phrases_of(block, window)
-
-        def make(vocabulary=vocabulary, phrases=phrases):
-            def run(texts: list) -> dict:
-                by: dict[int, list] = {}
-                for t, b, e in shard_hits(texts, vocabulary, phrases)[1]:
-                    by.setdefault(t, []).append((b, e))
-                return {text_col: [remove_spans(x, by[t]) if t in by else x for t, x in enumerate(texts)]}
-
-            return run
-
-        docs = map_slices(docs, text_col, make, f"`{text_col}` string", docs.columns, shard_bytes)
-    return docs
+    blocks = _blocks(benchmark, item_col, item_text, block_words)
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        return docs
+    if second is not None:
+        return _cut_by_row(docs, benchmark, window, text_col, item_col, item_text, block_words, shard_bytes)
+    vocabulary, phrases = phrases_of(first, window)
+
+    def make():
+        def run(texts: list) -> dict:
+            by: dict[int, list] = {}
+            for t, b, e in shard_hits(texts, vocabulary, phrases)[1]:
+                by.setdefault(t, []).append((b, e))
+            return {text_col: [remove_spans(x, by[t]) if t in by else x for t, x in enumerate(texts)]}
+
+        return run
+
+    return map_slices(docs, text_col, make, f"`{text_col}` string", docs.columns, shard_bytes)
+
+
+def _cut_by_row(docs: DataFrame, benchmark: DataFrame, window: int, text_col: str, item_col: str, item_text: str, block_words: int, shard_bytes: int) -> DataFrame:
+    """Several blocks: their spans meet by the number of a row in a written table, and the merged ones are cut."""
+    row = free(docs, "_place")
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate")
+    found = find_contamination(numbered, benchmark, window, text_col, (row,), item_col, item_text, block_words, shard_bytes)
+    spans = free(docs, "_cuts")
+    hits = found.where(F.size("spans") > 0).select(row, F.col("spans").alias(spans))
+    schema = docs.schema
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out_schema = to_arrow_schema(schema)
+        for part in slices(batches, text_col, shard_bytes):
+            texts = part.column(text_col).to_pylist()
+            for i, own in enumerate(part.column(spans).to_pylist()):
+                if own:
+                    texts[i] = remove_spans(texts[i], [(s["start"], s["end"]) for s in own])
+            arrays = [pa.array(texts, f.type) if f.name == text_col else part.column(f.name).cast(f.type) for f in out_schema]
+            yield pa.RecordBatch.from_arrays(arrays, schema=out_schema)
+
+    return numbered.join(hits, row, "left").select(*docs.columns, spans).mapInArrow(cut, schema)

@@ -269,6 +269,36 @@ def test_decontamination(spark, plain_rows, block_words):
                 assert left[d]["text"] == t
 
 
+def test_blocks_of_phrases_are_cut_at_once(spark, plain_rows):
+    """Overlapping items of different blocks lose all their words, and words that a cut brings together stay."""
+    r = random.Random(9)
+    w = [f"w{i}" for i in range(15)]
+    joined = [f"j{i}" for i in range(10)]
+    items = [("a", " ".join(w[:10])), ("b", " ".join(w[5:])), ("c", " ".join(joined))] + [(f"r{i}", " ".join(r.choice("pqr") for _ in range(r.choice([4, 10, 14])))) for i in range(12)]
+    rows = [*plain_rows, (500, " ".join(["x", *w, "y"])), (501, " ".join([*joined[:5], *w[:10], *joined[5:]])), (502, None), (503, ", ".join(w * 2))]
+    rows += [(1000 + i, " ".join(r.choice("pqr") for _ in range(r.randrange(60)))) for i in range(40)]
+    docs = spark.createDataFrame([(d, t, d) for d, t in rows], "doc_id long, text string, _place long").repartition(3)
+    word = decontaminate.words_of
+    want = {}
+    for d, t in rows:
+        words, gone = word(t), set()
+        for _, item in items:
+            p = word(item)
+            n = min(10, len(p))
+            for q in {tuple(p[i : i + n]) for i in range(len(p) - n + 1)}:
+                gone.update(k for i in range(len(words) - n + 1) if tuple(words[i : i + n]) == q for k in range(i, i + n))
+        want[d] = [x for i, x in enumerate(words) if i not in gone]
+    assert want[500] == [b"x", b"y"] and want[501] == word(" ".join(joined))
+    for block_words in (10, 25, 200_000):
+        for order in ("item_id", F.desc("item_id")):
+            benchmark = spark.createDataFrame(items, "item_id string, text string").orderBy(order)
+            left = decontaminate.decontaminate(docs, benchmark, block_words=block_words)
+            assert left.columns == docs.columns
+            got = by_id(left)
+            assert {d: word(x["text"]) for d, x in got.items()} == want
+            assert got[502]["text"] is None and all(x["_place"] == d for d, x in got.items())
+
+
 def test_fm_index_finds_all_places():
     r = np.random.default_rng(2)
     text = r.integers(1, 5, 500)
@@ -281,6 +311,12 @@ def test_fm_index_finds_all_places():
             assert sorted(index.locate(np.arange(a, b)).tolist()) == want
 
 
+def test_fm_index_knows_no_symbols_beyond_its_text():
+    index = decontaminate.FMIndex(np.array([3, 2, 3, 2, 1]))
+    low, high = index.search(np.array([[2, 4], [4, 2], [900, 2], [3, 2]]))
+    assert (high - low).tolist() == [0, 0, 0, 2]
+
+
 @pytest.mark.parametrize("compression, split", [("gzip", "128m"), ("none", "3001")])
 def test_warc(spark, compression, split):
     magic = "WARC/1.0\r\n"
