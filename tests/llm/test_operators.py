@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import uuid
+from collections import Counter
 
 import brute
 import numpy as np
@@ -113,6 +114,41 @@ def test_repeated_substrings(spark, plain, plain_rows):
     assert sum(w[1] for w in want.values()) > 3000
 
 
+def test_hot_passage_is_dealt_out(spark, plain_rows, monkeypatch, tmp_path):
+    """One passage in very many documents with text of their own around it: the same rows, and no merge of a whole anchor."""
+    r = random.Random(11)
+    make = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    passage, other = make(160), make(120)
+    rows = list(plain_rows)
+    for i in range(600):
+        t = make(r.choice([0, 3, 40, 90])) + passage[r.choice([0, 0, 0, 5]) :] + make(r.choice([0, 3, 40, 90]))
+        rows.append((1000 + i, t + (other + make(60) if i % 40 == 0 else "")))
+    df = spark.createDataFrame([(d if d != 1000 else None, t) for d, t in rows], "doc_id long, text string").repartition(5)
+    want = brute.repeats([(d if d != 1000 else -(10**6), t) for d, t in rows])
+    real, folder = substrings._resolve, str(tmp_path)
+
+    def watched(*args):
+        inner = real(*args)
+
+        def run(batches):
+            batches = list(batches)
+            groups = Counter(h for b in batches for h in b.column("h").to_pylist())
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                f.write(str(max(groups.values(), default=0)))
+            yield from inner(iter(batches))
+
+        return run
+
+    monkeypatch.setattr(substrings, "_resolve", watched)
+    for limits in ({"many": 8, "hot_runs": 40}, {"many": 8}, {"hot_runs": 40, "slice_bytes": 20_000}):
+        for f in tmp_path.iterdir():
+            f.unlink()
+        got = by_id(substrings.remove_repeats(df, **limits))
+        assert {(d if d is not None else -(10**6)): (x["n_bytes"], x["n_removed"], x["n_spans"], bytes(x["kept"])) for d, x in got.items()} == want
+        top = max(int(f.read_text()) for f in tmp_path.iterdir())
+        assert top <= 40 if "hot_runs" in limits else top > 100, top
+
+
 def test_merged_shards_keep_suffix_order():
     r = random.Random(4)
     texts = [bytes(r.choice(b"ab") for _ in range(r.randrange(1, 40))) for _ in range(30)]
