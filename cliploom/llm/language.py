@@ -5,6 +5,9 @@ orders built from continuation counts (in how many contexts a string ends), each
 continuation counts come from Spark aggregations over the training rows; a model keeps its strings as sorted 64-bit
 arrays that are searched by bisection. A text goes to the language whose model needs the fewest bits per character.
 
+Characters are the UTF-16 code units of letters, so a string of ``ORDER`` is one 64-bit number and every script is told apart
+without an alphabet; a letter beyond the first plane is two units. Letters that no training text has share what is left over.
+
 Training reads a bounded sample of labelled rows, as a classifier may: about ``sample_rows`` per language and 100,000 in all,
 of at most a million bytes each, chosen by a bound on the hash of id and text. So the size of what is sent to the tasks
 does not grow with the input.
@@ -31,8 +34,8 @@ from pyspark.sql import types as T
 from cliploom.llm.common import free, map_slices, materialize
 
 ORDER = 4
-SYMBOLS = 64  # 6 bits: 0 is the gap between words, 1 any letter outside the alphabet
-BITS = 6
+BITS = 6  # of a symbol, where a model is not told otherwise
+UNIT_BITS = 16  # of a code unit; 0 is the gap between words
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -40,110 +43,146 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def code_points(text: str) -> np.ndarray:
-    return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-
-
-def letter_table(alphabet: list[int]) -> np.ndarray:
-    """Symbol of each code point below 0x3000; further ones are decided one by one."""
-    table = np.array([1 if unicodedata.category(chr(c))[0] == "L" else 0 for c in range(0x3000)], np.uint8)
-    for i, c in enumerate(alphabet):
-        table[c] = i + 2
-    return table
+def letter_table() -> np.ndarray:
+    """Which code units are letters by themselves."""
+    return np.array([unicodedata.category(chr(c))[0] == "L" for c in range(0x10000)])
 
 
 def symbols(text: str, table: np.ndarray) -> np.ndarray:
-    """Symbols of a text with a gap before, between and after its words; empty if it has no letter."""
-    points = code_points(text)
-    far = points >= len(table)
-    out = table[np.where(far, 0, points)]
-    if far.any():
-        letters = {p: unicodedata.category(chr(p))[0] == "L" for p in np.unique(points[far]).tolist()}
-        out[far] = [letters[p] for p in points[far].tolist()]
+    """Code units of a text's letters with a gap before, between and after its words; empty if it has no letter."""
+    units = np.frombuffer(text.lower().encode("utf-16-le", "surrogatepass"), np.uint16)
+    out = np.where(table[units], units, np.uint16(0))
+    half = units & 0xFC00
+    lead = np.flatnonzero((half[:-1] == 0xD800) & (half[1:] == 0xDC00))
+    if len(lead):
+        points = 0x10000 + ((units[lead].astype(np.int64) & 0x3FF) << 10) + (units[lead + 1] & 0x3FF)
+        kinds, of = np.unique(points, return_inverse=True)
+        lead = lead[np.array([unicodedata.category(chr(p))[0] == "L" for p in kinds.tolist()])[of]]
+        out[lead], out[lead + 1] = units[lead], units[lead + 1]
     gap = out == 0
     out = out[~gap | ~np.concatenate(([True], gap[:-1]))] if len(out) else out
     if not out.any():
         return out[:0]
     lead, tail = out[0] != 0, out[-1] != 0
-    return np.concatenate((np.zeros(int(lead), np.uint8), out, np.zeros(int(tail), np.uint8)))
+    return np.concatenate((np.zeros(int(lead), np.uint16), out, np.zeros(int(tail), np.uint16)))
 
 
 def grams(out: np.ndarray, order: int) -> np.ndarray:
     """The string of ``order`` symbols that ends at each place but the first; places before the text are gaps."""
-    padded = np.concatenate((np.zeros(order - 2, np.uint32), out)) if order > 1 else out[1:].astype(np.uint32)
+    padded = np.concatenate((np.zeros(order - 2, np.uint64), out)) if order > 1 else out[1:]
     n = len(out) - 1
-    code = np.zeros(n, np.uint32)
+    code = np.zeros(n, np.uint64)
     for i in range(order):
-        code = (code << BITS) | padded[i : i + n].astype(np.uint32)
+        code = (code << np.uint64(UNIT_BITS)) | padded[i : i + n].astype(np.uint64)
     return code
 
 
 class KneserNey:
     """One language's model: for each order, sorted strings with numerators, and sorted contexts with totals and kinds."""
 
-    def __init__(self, codes: np.ndarray, counts: np.ndarray, n_symbols: int):
-        self.n_symbols = n_symbols
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, n_symbols: int, bits: int = BITS):
+        self.n_symbols, self.n_bits = n_symbols, bits
         self.levels: list[tuple] = []  # from order 1 up
         for order in range(ORDER, 0, -1):
             by = np.argsort(codes, kind="stable")
             codes, counts = codes[by], counts[by].astype(np.float64)
-            context, first = np.unique(codes >> BITS, return_index=True)
+            context, first = np.unique(codes >> np.uint64(bits), return_index=True)
             total = np.add.reduceat(counts, first)
             kinds = np.diff(np.append(first, len(codes)))
             ones, twos = (counts == 1).sum(), (counts == 2).sum()
             discount = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
             self.levels.insert(0, (codes, np.maximum(counts - discount, 0), context, total, discount * kinds))
             # The lower order counts in how many contexts a string ends.
-            mask = np.uint64((1 << (BITS * (order - 1))) - 1)
+            mask = np.uint64((1 << (bits * (order - 1))) - 1)
             codes, counts = np.unique(codes & mask, return_counts=True)
 
     def probability(self, codes: np.ndarray) -> np.ndarray:
         """Of the last symbol of each string of ORDER symbols after those before it."""
         p = np.full(len(codes), 1 / self.n_symbols)
         for order, (strings, numerator, context, total, spare) in enumerate(self.levels, 1):
-            s = codes & np.uint64((1 << (BITS * order)) - 1)
+            s = codes & np.uint64((1 << (self.n_bits * order)) - 1)
+            before = s >> np.uint64(self.n_bits)
             i = np.minimum(np.searchsorted(strings, s), len(strings) - 1)
-            j = np.minimum(np.searchsorted(context, s >> BITS), len(context) - 1)
-            seen = context[j] == s >> BITS
+            j = np.minimum(np.searchsorted(context, before), len(context) - 1)
+            seen = context[j] == before
             top = np.where(strings[i] == s, numerator[i], 0)
             p = np.where(seen, (top + spare[j] * p) / total[j], p)
         return p
 
 
 class Scorer:
-    """Bits per symbol of texts under every language; probabilities are worked out once per distinct string."""
+    """Bits per symbol of texts under every language; probabilities are worked out once per distinct string.
 
-    def __init__(self, models: dict[str, KneserNey], table: np.ndarray):
+    Strings are found by open addressing in a table of fixed size; it starts anew when ``most`` strings are known.
+    """
+
+    def __init__(self, models: dict[str, KneserNey], table: np.ndarray, most: int | None = None):
         self.languages, self.models, self.table = sorted(models), models, table
-        # Where a string's bits are, from 1 on; pages that stay 0 take no memory.
-        self.place = np.zeros(1 << (BITS * ORDER), np.int32)
-        self.bits = np.zeros((0, len(models)), np.float32)
+        self.most = most or max(1 << 12, min(1 << 20, (1 << 24) // len(models)))
+        self.shift = 64 - (self.most.bit_length() + 1)
+        self.clear()
+
+    def clear(self) -> None:
+        self.slots = np.zeros(1 << (64 - self.shift), np.int32)  # number of the string there, 0 for none
+        self.known = np.zeros(1, np.uint64)
+        self.bits = np.zeros((1, len(self.models)), np.float32)
+
+    def home(self, codes: np.ndarray) -> np.ndarray:
+        h = (codes ^ (codes >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+        return (h >> np.uint64(self.shift)).astype(np.int64)
+
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        """Numbers of strings, 0 for unknown ones."""
+        at = self.home(codes)
+        found = self.slots[at]
+        other = np.flatnonzero((found > 0) & (self.known[found] != codes))
+        while len(other):
+            at[other] = (at[other] + 1) % len(self.slots)
+            found[other] = self.slots[at[other]]
+            other = other[(found[other] > 0) & (self.known[found[other]] != codes[other])]
+        return found
+
+    def learn(self, new: np.ndarray) -> None:
+        """Add distinct unknown strings."""
+        number = np.arange(len(new), dtype=np.int32) + np.int32(len(self.known))
+        bits = np.stack([-np.log2(self.models[k].probability(new)) for k in self.languages], 1)
+        self.known, self.bits = np.concatenate((self.known, new)), np.concatenate((self.bits, bits.astype(np.float32)))
+        at = self.home(new)
+        while len(new):
+            free = self.slots[at] == 0
+            self.slots[at[free]] = number[free]
+            left = self.slots[at] != number
+            at, number, new = (at[left] + 1) % len(self.slots), number[left], new[left]
 
     def __call__(self, text: str) -> tuple[np.ndarray | None, int]:
         out = symbols(text, self.table)
         if not len(out):
             return None, 0
         codes = grams(out, ORDER)
-        at = self.place[codes]
-        if (at == 0).any():
-            new = np.unique(codes[at == 0])
-            wide = new.astype(np.uint64)
-            bits = np.stack([-np.log2(self.models[k].probability(wide)) for k in self.languages], 1)
-            self.place[new] = np.arange(len(new)) + len(self.bits) + 1
-            self.bits = np.concatenate((self.bits, bits.astype(np.float32)))
-            at = self.place[codes]
-        return self.bits[at - 1].mean(axis=0, dtype=np.float64), len(codes)
+        total = np.zeros(len(self.models))
+        for b in range(0, len(codes), self.most):
+            part = codes[b : b + self.most]
+            at = self.find(part)
+            if (at == 0).any():
+                new = np.unique(part[at == 0])
+                if len(self.known) + len(new) > self.most + 1:
+                    self.clear()
+                    new = np.unique(part)
+                self.learn(new)
+                at = self.find(part)
+            total += self.bits[at].sum(axis=0, dtype=np.float64)
+        return total / len(codes), len(codes)
 
 
 class Model:
-    def __init__(self, alphabet: list[int], models: dict[str, KneserNey]):
-        self.alphabet, self.models = alphabet, models
+    def __init__(self, models: dict[str, KneserNey]):
+        self.models = models
         self.usual: dict[str, float] = {}
         self.margin = (1.0, 8.0)
         self.sharpness = 1.0
 
     def scorer(self) -> Callable[[list], dict]:
-        table = letter_table(self.alphabet)
+        table = letter_table()
         score = Scorer(self.models, table) if self.models else None
 
         def predict(texts: list) -> dict:
@@ -179,19 +218,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = rows.select(F.xxhash64(F.col(id_col).cast("string"), text_col).alias("h"), F.col(lang_col).alias("lang"), F.octet_length(text_col).alias("size"), F.col(text_col).alias("text"))
     # Rows whose hash lies below a bound: about sample_rows per language, found without ordering anything.
     count = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if len(count) > 1000:
-        raise ValueError("more than 1000 languages")
-    sample_rows = min(sample_rows, 100_000 // max(1, len(count)))
-    bound = F.lit(False)
-    for lang, n in count.items():
-        share = min(1.0, sample_rows / n)
-        bound = bound | ((F.col("lang") == lang) & (F.col("h") <= min(2**63 - 1, int(-(2**63) + share * (2**64 - 1)))))
-    sample = materialize(rows.where(bound & (F.col("size") <= 1_000_000)).select("lang", "text"), "language-sample")
-    seen = sample.mapInArrow(_letters, "lang string, point int, n long").groupBy("point").agg(F.sum("n").alias("n"))
-    alphabet = [r["point"] for r in seen.orderBy(F.desc("n"), "point").limit(SYMBOLS - 2).collect()]
+    sample_rows = max(1, min(sample_rows, 100_000 // max(1, len(count))))
+    bounds = [(lang, min(2**63 - 1, int(-(2**63) + min(1.0, sample_rows / n) * (2**64 - 1)))) for lang, n in count.items()]
+    bound = F.broadcast(spark.createDataFrame(bounds, "lang string, bound long"))
+    chosen = rows.where(F.col("size") <= 1_000_000).join(bound, "lang").where(F.col("h") <= F.col("bound"))
+    sample = materialize(chosen.select("lang", "text"), "language-sample")
 
     def count_grams(batches):
-        table = letter_table(alphabet)
+        table = letter_table()
         for batch in batches:
             data = batch.to_pydict()
             for lang in sorted(set(data["lang"])):
@@ -201,26 +235,15 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                     yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(code)), "code": pa.array(code.astype(np.int64)), "n": pa.array(n)})
 
     counted = sample.mapInArrow(count_grams, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
-    models = {
-        lang: KneserNey(part["code"].to_numpy().astype(np.uint64), part["n"].to_numpy(), len(alphabet) + 2) for lang, part in counted.groupby("lang")
-    }
-    model = Model(alphabet, models)
+    # All symbols that end a string, and one for any other.
+    n_symbols = len(np.unique(counted["code"].to_numpy().astype(np.uint64) & np.uint64((1 << UNIT_BITS) - 1))) + 1
+    models = {lang: KneserNey(part["code"].to_numpy().astype(np.uint64), part["n"].to_numpy(), n_symbols, UNIT_BITS) for lang, part in counted.groupby("lang")}
+    model = Model(models)
     if models:
         _calibrate(model, sample, margin)
     return model
 
 
-def _letters(batches):
-    for batch in batches:
-        points = [p for t in batch.to_pydict()["text"] if len(p := code_points(t))]
-        if not points:
-            continue
-        point, n = np.unique(np.concatenate(points), return_counts=True)
-        ok = np.array([p < 0x3000 and unicodedata.category(chr(p))[0] == "L" for p in point.tolist()], bool)
-        if ok.any():
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([""] * int(ok.sum())), "point": pa.array(point[ok].astype(np.int32)), "n": pa.array(n[ok])})
-
-
 def _calibrate(model: Model, sample: DataFrame, margin: tuple[float, float]) -> None:
     """The highest cross-entropy that the sample's own texts have in their language, where a text is not very short."""
     scored = map_slices(sample.select("lang", "text"), "text", model.scorer, PREDICTED, ["lang"])

@@ -397,6 +397,46 @@ def test_language(spark, hard):
     assert kept.columns == hard.columns
 
 
+def test_languages_of_all_scripts_are_told_apart(spark):
+    """Scripts that long Latin texts crowd out, letters from U+3000 on and beyond the first plane, and texts of two scripts."""
+    r = random.Random(12)
+    pools = {k: [chr(start + i) for i in range(n)] for k, start, n in [("la", 0x61, 26), ("gr", 0x3B1, 17), ("ar", 0x627, 20), ("ko", 0xAC00, 200), ("xa", 0x20000, 200)]}
+    pools |= {"ru": list("аеионтслврыэъ"), "uk": list("аеионтслврієї"), "zh": list("的一是不了人我在有他这中大来"), "yu": list("的一是不了人佢喺有嘅咁中大嚟")}
+    make = lambda k, n: " ".join("".join(r.choice(pools[k]) for _ in range(5)) for _ in range(n))
+    sizes = {k: 400 if k == "la" else 12 for k in pools}
+    latin = [(10**5 + i, " ".join(chr(0xC0 + r.randrange(300)) * 3 + make("la", 1) for _ in range(60)), "la") for i in range(40)]
+    rows = latin + [(i, make(k, sizes[k]), k) for i, k in enumerate(sorted(pools) * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs)
+    fresh = [(i, make(k, 12), k) for i, k in enumerate(sorted(pools) * 10)]
+    fresh += [(1000 + i, make(k, 30) + " " + make("la", 6), k) for i, k in enumerate(["gr", "ru", "uk", "zh", "yu", "ko", "xa"] * 5)]
+    got = by_id(language.identify(spark.createDataFrame(fresh, docs.schema), model))
+    assert {i: got[i]["lang_pred"] for i, _, _ in fresh} == {i: k for i, _, k in fresh}
+
+
+def test_more_than_a_thousand_labels(spark):
+    rows = [(i, f"{chr(0x4E00 + i) * 2}{chr(0xAC00 + i)}", f"l{i}") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
+    model = language.train(docs)
+    assert len(model.models) > 1000
+    got = language.identify(docs.where("doc_id < 20"), model, keep=("doc_id", "lang")).collect()
+    learned = [x for x in got if x["lang"] in model.models]
+    assert len(learned) > 5 and all(x["lang_pred"] == x["lang"] for x in learned)
+
+
+def test_string_table_of_the_scorer_starts_anew():
+    r = np.random.default_rng(5)
+    texts = ["".join(chr(0x4E00 + x) for x in r.integers(0, 300, 150)) for _ in range(30)]
+    table = language.letter_table()
+    code, n = np.unique(np.concatenate([language.grams(language.symbols(t, table), language.ORDER) for t in texts[:10]]), return_counts=True)
+    models = {"a": language.KneserNey(code, n, 400, language.UNIT_BITS), "b": language.KneserNey(code[::3], n[::3], 400, language.UNIT_BITS)}
+    small, large = language.Scorer(models, table, most=64), language.Scorer(models, table)
+    for t in texts:
+        (x, i), (y, j) = small(t), large(t)
+        direct = [-np.log2(models[k].probability(language.grams(language.symbols(t, table), language.ORDER))).mean() for k in "ab"]
+        assert i == j and np.allclose(x, y) and np.allclose(x, direct)
+
+
 def test_kneser_ney_sums_to_one():
     r = np.random.default_rng(3)
     codes = r.integers(0, 6, (3000, language.ORDER)).astype(np.uint64)
