@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+import zlib
+from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliploom.llm import bpe, decontaminate, exact_dedup, jaccard, language, lines, secrets, substrings, token_counts, warc
+from cliploom.llm import bpe, decontaminate, exact_dedup, jaccard, language, lines, packing, periods, secrets, substrings, token_counts, variants, warc
 from cliploom.llm.common import scratch_dir, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -96,6 +98,58 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op11_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def planted_repeats(doc_id: object, words: list[bytes]) -> list[bytes]:
+    """The words of a document, those of every tenth one periodic from some word on, as the digest of its id says."""
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = periods.periodic_runs(table(spark, sf_dir, "documents"), planted_repeats)
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    # Runs are in order of start and period, so the first of equal ones stays.
+    more = lambda a, b: F.when(b["length"] * a["period"] > a["length"] * b["period"], b).otherwise(a)
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), more)
+    return got.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def planted_misspellings(doc_id: object) -> Callable[[str], str]:
+    """Words of a document, one in 199 of them without one of its letters, as the digest of id and word says."""
+    before = zlib.crc32(f"{doc_id}:".encode())
+
+    def change(word: str) -> str:
+        h = zlib.crc32(word.encode(), before)
+        if h % 199:
+            return word
+        k = h % len(word)
+        return word[:k] + word[k + 1 :]
+
+    return change
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = variants.word_counts(table(spark, sf_dir, "documents"), planted_misspellings)
+    return variants.spelling_variants(counts)
+
+
 # A-Z in lower case, and nothing else.
 _LOWER = "translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 OP4_SQL = """
@@ -155,6 +209,9 @@ QUERIES = {
     "op8_decontamination": (op8_decontamination, OP8_SQL),
     "op9_warc": (op9_warc, OP9_SQL),
     "op10_language": (op10_language, None),
+    "op11_harmonic_packing": (op11_harmonic_packing, None),
+    "op12_periodic_runs": (op12_periodic_runs, None),
+    "op13_spelling_variants": (op13_spelling_variants, None),
 }
 
 
