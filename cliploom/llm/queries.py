@@ -59,14 +59,14 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
 
 
-# Lines of 20 characters and more on five sites and more stay in the smallest doc_id that has them.
+# Lines on five sites and more (of less than 20 characters: on 20 and more) stay in the smallest doc_id that has them.
 LINES_CTES = r"""
 split_lines AS (
   SELECT doc_id, source, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS pos FROM {docs}),
 keyed AS (SELECT *, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS line FROM split_lines),
 shared AS (
-  SELECT line, min(doc_id) AS first_id FROM keyed WHERE length(line) >= 20 GROUP BY line
-  HAVING count(DISTINCT coalesce(source, '')) >= 5),
+  SELECT line, min(doc_id) AS first_id FROM keyed WHERE line <> '' GROUP BY line
+  HAVING count(DISTINCT coalesce(source, '')) >= CASE WHEN length(line) >= 20 THEN 5 ELSE 20 END),
 judged AS (SELECT k.*, coalesce(s.first_id <> k.doc_id, false) AS gone FROM keyed k LEFT JOIN shared s ON s.line = k.line),
 cut AS (
   SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
