@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 from collections.abc import Callable, Iterator
 
@@ -15,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from cliploom.sources.scratch import materialize, scratch_dir
 
-__all__ = ["materialize", "scratch_dir", "table", "whole", "slices", "map_slices", "once", "free", "partitions"]
+__all__ = ["materialize", "scratch_dir", "table", "whole", "slices", "map_slices", "once", "tidy", "free", "partitions"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +55,27 @@ def once(key: tuple, build: Callable[[], object]) -> object:
     return held[1]
 
 
+def give_back() -> None:
+    """Freed memory goes back to the machine: worker processes live on, and an executor's others need it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for ``mapInArrow`` that does not ask for anything kept: lets go of what earlier tasks kept, gives memory back."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sys._cliploom_once = None
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, budget: int) -> Iterator[pa.RecordBatch]:
     """Cut batches into runs of rows with about ``budget`` bytes in a column (one row at least)."""
     for batch in batches:
@@ -84,15 +106,19 @@ def map_slices(df: DataFrame, column: str, make: Callable[[], Callable[[list], d
         if not sys._cliploom_asked:
             sys._cliploom_once = None
         out_schema = to_arrow_schema(schema)
-        for part in slices(batches, column, budget):
-            got = fn(part.column(column).to_pylist())
-            arrays = []
-            for f in out_schema:
-                if f.name in names:
-                    arrays.append(pa.array(got[f.name], type=f.type))
-                else:
-                    kept = part.column(f.name)
-                    arrays.append(kept if kept.type == f.type else kept.cast(f.type))
-            yield pa.RecordBatch.from_arrays(arrays, schema=out_schema)
+        try:
+            for part in slices(batches, column, budget):
+                got = fn(part.column(column).to_pylist())
+                arrays = []
+                for f in out_schema:
+                    if f.name in names:
+                        arrays.append(pa.array(got[f.name], type=f.type))
+                    else:
+                        kept = part.column(f.name)
+                        arrays.append(kept if kept.type == f.type else kept.cast(f.type))
+                yield pa.RecordBatch.from_arrays(arrays, schema=out_schema)
+        finally:
+            got = arrays = None
+            give_back()
 
     return df.select(*dict.fromkeys([*(k for k in keep if k not in names or k == column), column])).mapInArrow(run, schema)

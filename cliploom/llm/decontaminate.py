@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from cliploom.llm.common import free, map_slices, materialize, slices
+from cliploom.llm.common import free, map_slices, materialize, slices, tidy
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -308,4 +308,4 @@ def _cut_by_row(docs: DataFrame, benchmark: DataFrame, window: int, text_col: st
             arrays = [pa.array(texts, f.type) if f.name == text_col else part.column(f.name).cast(f.type) for f in out_schema]
             yield pa.RecordBatch.from_arrays(arrays, schema=out_schema)
 
-    return numbered.join(hits, row, "left").select(*docs.columns, spans).mapInArrow(cut, schema)
+    return numbered.join(hits, row, "left").select(*docs.columns, spans).mapInArrow(tidy(cut), schema)

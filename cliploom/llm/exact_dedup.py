@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cliploom.llm.common import materialize, partitions, whole
+from cliploom.llm.common import materialize, partitions, tidy, whole
 
 KEY = ["digest", "n_bytes", "check"]
 
@@ -64,13 +64,13 @@ def digest_groups(keyed: DataFrame, id_col: str, fan_in: int = 4) -> DataFrame:
     one = F.lit(1).cast("long")
     runs = keyed.select(*KEY, F.col(id_col).alias("max_id"), F.col(id_col).alias("min_id"), one.alias("n"), node.alias("node"))
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in runs.schema])
-    runs = runs.mapInArrow(_runs, schema)
+    runs = runs.mapInArrow(tidy(_runs), schema)
     for r in range(rounds):
         step = fan_in**r
         digit = lambda c: F.floor(c / step).cast("int") % fan_in  # noqa: B023, E731
         to = (F.col("node") + (digit(home) - digit(F.col("node"))) * step).cast("int")
         sent = runs.withColumn("node", to).repartitionById(width, F.col("node"))
-        runs = sent.sortWithinPartitions(*KEY).mapInArrow(_merge, schema)
+        runs = sent.sortWithinPartitions(*KEY).mapInArrow(tidy(_merge), schema)
     return runs.drop("node")
 
 

@@ -14,8 +14,9 @@ pairs; the sample only decides how many candidates there are to verify.
 
 Then, without ever listing all pairs of a group of agreeing sets: equal sets are one representative from the start; within each
 group all members are compared with the smallest one; what that links is joined into components; only members that are
-still in different components of a group are compared further, if their sizes and parity sketches (whose distance
-never exceeds the true one) allow it. Every candidate is verified on the full sets.
+still in different components of a group are compared further: within bands of size, and if their parity sketches (whose
+distance never exceeds the true one) allow it. Sketches are as wide as sets are large, a bit for each shingle at least, so that they
+tell unrelated sets of every size apart. Every candidate is verified on the full sets.
 
 Defined results: texts that are null or without words have empty sets and link with nothing; ids that are null are never a
 representative unless alone; repeated rows are equal sets; an empty table gives an empty result. Shingles and sets are
@@ -30,12 +31,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cliploom.llm.common import free, map_slices, materialize, partitions
+from cliploom.llm.common import free, map_slices, materialize, partitions, tidy
 from cliploom.llm.components import components
 
 U = np.uint64
 SKETCH = 8  # words of 64 bits
-WIDE = 64  # the same for candidates, before their sets are compared
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -75,6 +75,13 @@ def parity_sketch(s: np.ndarray, words: int = SKETCH) -> list[int]:
     return [int(x) for x in np.packbits(bit.astype(np.uint8), bitorder="little").view(np.int64)]
 
 
+def wide_sketch(s: np.ndarray) -> list[int] | None:
+    """For sets that are too large for ``SKETCH``: a sketch of a power of two words with a bit for each shingle at least."""
+    if len(s) <= 64 * SKETCH:
+        return None
+    return parity_sketch(s, 1 << (-(-len(s) // 64) - 1).bit_length())
+
+
 class Slots:
     """Bands of sizes, the bound H of each slot and the allocation of its segments."""
 
@@ -199,21 +206,21 @@ def _groups(batches, most: int = 512):
 
 
 def shingle_sets(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n, sid, sid2, sketch): size and digests of every row's shingle set."""
+    """(id, n, sid, sid2, sketch, wide): size and digests of every row's shingle set."""
 
     def make():
         def run(texts: list) -> dict:
-            out: dict[str, list] = {"n": [], "sid": [], "sid2": [], "sketch": []}
+            out: dict[str, list] = {"n": [], "sid": [], "sid2": [], "sketch": [], "wide": []}
             for t in texts:
                 s = shingles(t, k)
                 a, b = set_ids(s)
-                for name, v in zip(out, (len(s), a, b, parity_sketch(s)), strict=True):
+                for name, v in zip(out, (len(s), a, b, parity_sketch(s), wide_sketch(s)), strict=True):
                     out[name].append(v)
             return out
 
         return run
 
-    return map_slices(docs, text_col, make, "n long, sid long, sid2 long, sketch array<long>", [id_col])
+    return map_slices(docs, text_col, make, "n long, sid long, sid2 long, sketch array<long>, wide array<long>", [id_col])
 
 
 def _allocation(docs: DataFrame, sets: DataFrame, most: int, k: int, percent: int, id_col: str, text_col: str, sample_sets: int) -> Slots:
@@ -234,11 +241,36 @@ def _sizes(x: Column, y: Column, percent: int) -> Column:
     return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
 
-def _possible(a: str, b: str, percent: int, words: int = SKETCH) -> Column:
+def _apart(x: Column, y: Column) -> Column:
+    """Distance of two sketches of as many words."""
+    return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, d: s + d)
+
+
+def _folded(x: Column) -> Column:
+    """The sketch of half as many words: the same bits, their places modulo the new size."""
+    half = (F.size(x) / 2).cast("int")
+    return F.zip_with(F.slice(x, 1, half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+
+
+def _possible(a: str, b: str, percent: int) -> Column:
     """Sizes and sketches allow similarity: the sketches' distance is at most the number of differing shingles."""
-    apart = sum((F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(words)), F.lit(0))
+    apart = sum((F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(SKETCH)), F.lit(0))
     x, y = F.col(f"{a}.n"), F.col(f"{b}.n")
-    return _sizes(x, y, percent) & (apart * (100 + percent) <= (x + y) * (100 - percent))
+    allowed = lambda distance: distance * (100 + percent) <= (x + y) * (100 - percent)
+    # Sets of similar sizes have sketches of the same size or of twice as many words.
+    p, q = F.col(f"{a}.wide"), F.col(f"{b}.wide")
+    distance = (
+        F.when(F.size(p) == F.size(q), _apart(p, q))
+        .when(F.size(p) == 2 * F.size(q), _apart(_folded(p), q))
+        .when(2 * F.size(p) == F.size(q), _apart(p, _folded(q)))
+        .otherwise(0)
+    )
+    return _sizes(x, y, percent) & allowed(apart) & (p.isNull() | q.isNull() | allowed(distance))
+
+
+def _band(n: Column, percent: int) -> Column:
+    """Bands of sizes: similar sets lie in the same or in neighbouring ones (steps are a trifle wider than the bound)."""
+    return F.floor(F.log(n) * ((1 - 1e-6) / float(np.log(100 / percent)))).cast("int")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, listed: int = 2_000_000) -> DataFrame:
@@ -250,21 +282,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, id_col: s
         few = ids.count() <= listed  # 8 bytes each: at most 16 MB to the tasks
         return texts.join(F.broadcast(ids) if few else ids, texts["v"] == ids["_v"], "left_semi")
 
-    def make_sketches():
-        def run(texts: list) -> dict:
-            sets = [shingles(t, k) for t in texts]
-            return {"n": [len(s) for s in sets], "sketch": [parity_sketch(s, WIDE) for s in sets]}
-
-        return run
-
     def make():
         return lambda texts: {"s": [shingles(t, k).tobytes() for t in texts]}
 
-    # Wide sketches first: sets that only share passages are told apart by half a kilobyte each.
-    known = materialize(map_slices(members(pairs), "_text", make_sketches, "n long, sketch array<long>", ["v"]), "candidate-sketches")
-    known = known.select("v", F.struct("n", "sketch").alias("x"))
-    near = pairs.join(known.select(F.col("v").alias("a"), F.col("x").alias("xa")), "a").join(known.select(F.col("v").alias("b"), F.col("x").alias("xb")), "b")
-    pairs = materialize(near.where(_possible("xa", "xb", percent, WIDE)).select("a", "b").distinct(), "near-pairs")
     sets = materialize(map_slices(members(pairs), "_text", make, "s binary", ["v"]), "candidate-sets")
     wide = pairs.join(sets.select(F.col("v").alias("a"), F.col("s").alias("s_a")), "a").join(sets.select(F.col("v").alias("b"), F.col("s").alias("s_b")), "b")
 
@@ -277,7 +297,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, id_col: s
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return wide.select("a", "b", "s_a", "s_b").mapInArrow(check, f"a {kind}, b {kind}").distinct()
+    return wide.select("a", "b", "s_a", "s_b").mapInArrow(tidy(check), f"a {kind}, b {kind}").distinct()
 
 
 def similar_components(
@@ -287,7 +307,7 @@ def similar_components(
     spark = docs.sparkSession
     docs = docs.select(id_col, text_col)
     sets = materialize(shingle_sets(docs, k, id_col, text_col), "shingle-sets")
-    reps = sets.where("n > 0").groupBy("sid", "sid2").agg(F.min(id_col).alias("rep"), F.min("n").alias("n"), F.first("sketch").alias("sketch"))
+    reps = sets.where("n > 0").groupBy("sid", "sid2").agg(F.min(id_col).alias("rep"), F.min("n").alias("n"), F.first("sketch").alias("sketch"), F.first("wide").alias("wide"))
     reps = materialize(reps, "set-representatives")
     most = reps.agg(F.max("n")).first()[0] or 1
     slots = _allocation(docs, sets, most, k, percent, id_col, text_col, sample_sets)
@@ -306,12 +326,12 @@ def similar_components(
 
     rows = map_slices(docs, text_col, make, "sid long, keys array<long>", [], 1_000_000).select(F.explode("keys").alias("sig"), "sid")
     rows = rows.repartition(partitions(spark), "sig").sortWithinPartitions("sig", "sid")
-    groups = materialize(rows.mapInArrow(_groups, "gid long, sids array<long>"), "key-groups")
+    groups = materialize(rows.mapInArrow(tidy(_groups), "gid long, sids array<long>"), "key-groups")
     # Two similar sets share many keys: the same list counts once.
     small = groups.where("gid IS NULL").groupBy("sids").agg(F.lit(1)).select(F.xxhash64("sids").alias("gid"), "sids")
     member = small.unionByName(groups.where("gid IS NOT NULL")).select("gid", F.explode("sids").alias("sid"))
     member = materialize(member.join(reps.select("sid", "rep", "n"), "sid").select("gid", "rep", "n"), "group-members")
-    known = reps.select("rep", F.struct("rep", "n", "sketch").alias("x"))
+    known = reps.select("rep", F.struct("rep", "n", "sketch", "wide").alias("x"))
     lead = member.groupBy("gid").agg(F.min("rep").alias("lead"), F.min_by("n", "rep").alias("m"))
     first = member.join(lead, "gid").where((F.col("rep") != F.col("lead")) & _sizes(F.col("n"), F.col("m"), percent))
     first = first.select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
@@ -325,10 +345,13 @@ def similar_components(
     mixed = mixed.where("low <> high AND many > 2").select("gid", "lead")
     placed = placed.join(mixed, "gid").where("rep <> lead").select("gid", "rep", "c")
     placed = materialize(placed.join(known, "rep").select("gid", "x", "c"), "open-groups")
-    left = placed.select("gid", F.col("x").alias("xa"), F.col("c").alias("ca"))
-    right = placed.select("gid", F.col("x").alias("xb"), F.col("c").alias("cb"))
-    rest = left.join(right, (left["gid"] == right["gid"]) & (F.col("xa.rep") < F.col("xb.rep")) & (F.col("ca") != F.col("cb")) & _possible("xa", "xb", percent))
-    rest = rest.select(F.col("xa.rep").alias("a"), F.col("xb.rep").alias("b")).distinct()
+    # The smaller set of a pair meets the larger one in its own band; of equal sizes the smaller representative comes first.
+    left = placed.select("gid", _band(F.col("x.n"), percent).alias("band"), F.col("x").alias("xa"), F.col("c").alias("ca"))
+    own = _band(F.col("x.n"), percent)
+    right = placed.select("gid", F.explode(F.array(own, own - 1)).alias("band"), F.col("x").alias("xb"), F.col("c").alias("cb"))
+    ordered = (F.col("xa.n") < F.col("xb.n")) | ((F.col("xa.n") == F.col("xb.n")) & (F.col("xa.rep") < F.col("xb.rep")))
+    rest = left.join(right, (left["gid"] == right["gid"]) & (left["band"] == right["band"]) & ordered & (F.col("ca") != F.col("cb")) & _possible("xa", "xb", percent))
+    rest = rest.select(F.least("xa.rep", "xb.rep").alias("a"), F.greatest("xa.rep", "xb.rep").alias("b")).distinct()
     rest = materialize(rest.join(pairs, ["a", "b"], "left_anti"), "other-pairs")
     if not rest.isEmpty():
         more = materialize(_verified(rest, docs, k, percent, id_col, text_col), "other-links")

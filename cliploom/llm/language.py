@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cliploom.llm.common import free, map_slices, materialize
+from cliploom.llm.common import free, map_slices, materialize, tidy
 
 ORDER = 4
 BITS = 6  # of a symbol, where a model is not told otherwise
@@ -234,7 +234,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                     code, n = np.unique(np.concatenate(found), return_counts=True)
                     yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(code)), "code": pa.array(code.astype(np.int64)), "n": pa.array(n)})
 
-    counted = sample.mapInArrow(count_grams, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
+    counted = sample.mapInArrow(tidy(count_grams), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
     # All symbols that end a string, and one for any other.
     n_symbols = len(np.unique(counted["code"].to_numpy().astype(np.uint64) & np.uint64((1 << UNIT_BITS) - 1))) + 1
     models = {lang: KneserNey(part["code"].to_numpy().astype(np.uint64), part["n"].to_numpy(), n_symbols, UNIT_BITS) for lang, part in counted.groupby("lang")}

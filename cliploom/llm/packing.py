@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from cliploom.llm.bpe import byte_symbols
-from cliploom.llm.common import once, slices
+from cliploom.llm.common import give_back, once, slices
 
 # Fixed value: the word pattern of byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -153,12 +153,15 @@ def pack(
             return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, out_schema, strict=True)], schema=out_schema)
 
         rows: list[tuple] = []
-        for piece in packed(streams(), capacity, slack):
-            rows.append(piece)
-            if len(rows) == 20_000:
+        try:
+            for piece in packed(streams(), capacity, slack):
+                rows.append(piece)
+                if len(rows) == 20_000:
+                    yield batch(rows)
+                    rows = []
+            if rows:
                 yield batch(rows)
-                rows = []
-        if rows:
-            yield batch(rows)
+        finally:
+            give_back()
 
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, schema)

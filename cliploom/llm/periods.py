@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from cliploom.llm.common import slices
+from cliploom.llm.common import slices, tidy
 
 U = np.uint64
 PRIME, GENERATOR = 2013265921, 31  # 15 * 2^27 + 1
@@ -219,4 +219,4 @@ def periodic_runs(
             listed = [[{"start": s, "length": n, "period": q} for s, n, q in own] for own in runs]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip((keys, listed, collapsed), out_schema, strict=True)], schema=out_schema)
 
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, schema)
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(tidy(run), schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cliploom.llm.common import map_slices, materialize, slices
+from cliploom.llm.common import map_slices, materialize, slices, tidy
 
 U = np.uint64
 LANES = 8
@@ -130,7 +130,7 @@ def word_counts(docs: DataFrame, edit: Callable[[object], Callable[[str], str]]
         if sums:
             yield out()
 
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, "word string, n long")
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(tidy(run), "word string, n long")
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -157,7 +157,7 @@ def near_words(vocabulary: DataFrame, bits: int = 16, portion: int = 64 << 20) -
             yield pa.RecordBatch.from_arrays([pa.array(block), *map(pa.array, lanes)], names=["block", *(f"l{k}" for k in range(LANES))])
 
     ddl = "block long, " + ", ".join(f"l{k} long" for k in range(LANES))
-    blocks = hashed.select("h", "length").mapInArrow(bits_of, ddl).groupBy("block").agg(*(F.bit_or(f"l{k}").alias(f"l{k}") for k in range(LANES)))
+    blocks = hashed.select("h", "length").mapInArrow(tidy(bits_of), ddl).groupBy("block").agg(*(F.bit_or(f"l{k}").alias(f"l{k}") for k in range(LANES)))
     blocks = materialize(blocks, "filter-blocks")
     found = None
     step = max(1, portion // (8 * LANES))
@@ -194,7 +194,7 @@ def near_words(vocabulary: DataFrame, bits: int = 16, portion: int = 64 << 20) -
                         if len(a):
                             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-        positive = materialize(hashed.select("word", "h").mapInArrow(probe, "a long, b long").distinct(), "filter-positives")
+        positive = materialize(hashed.select("word", "h").mapInArrow(tidy(probe), "a long, b long").distinct(), "filter-positives")
         sent.destroy()
         found = positive if found is None else found.unionByName(positive)
     if found is None:

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 import uuid
 from collections import Counter
 
@@ -17,6 +18,7 @@ from cliploom.llm import bpe, components, decontaminate, exact_dedup, jaccard, l
 from cliploom.llm.common import scratch_dir
 
 FILE = public_tokenizers.path("byte_bpe_50k.json")
+NOTICE = "This line of notice stands on a great many sites of the web today."
 
 
 @pytest.fixture(scope="module")
@@ -240,6 +242,43 @@ def test_pigeonhole_finds_every_similar_pair():
         assert (len(a) == len(b) and (a == b).all()) or keys[0] & keys[1]
 
 
+def test_wide_sketches_lose_nothing_and_tell_sets_apart(spark):
+    r = np.random.default_rng(4)
+    rows, similar = [], []
+    for n in (500, 600, 1000, 1030, 3000, 9000):
+        base = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
+        for gone in (0.0, 0.05, 0.19, 0.4, 1.0):
+            kept = base[r.random(len(base)) >= gone]
+            other = np.unique(np.concatenate((kept, r.integers(0, 2**63, int(n * gone * (gone > 0.3))).astype(np.uint64))))
+            k = len(rows)
+            rows.append((k, *((len(s), jaccard.parity_sketch(s), jaccard.wide_sketch(s)) for s in (base, other))))
+            similar.append(jaccard.jaccard_at_least(base, other, 80))
+    x = "struct<n: long, sketch: array<long>, wide: array<long>>"
+    got = spark.createDataFrame(rows, f"k int, xa {x}, xb {x}").select("k", jaccard._possible("xa", "xb", 80).alias("a"), jaccard._possible("xb", "xa", 80).alias("b")).collect()
+    for g in got:
+        assert g["a"] == g["b"]
+        assert g["a"] or not similar[g["k"]]
+        assert not g["a"] or rows[g["k"]][1][0] and g["k"] % 5 != 4  # unrelated sets never pass
+    assert sum(g["a"] for g in got) < len(got) - 8
+
+
+def test_links_within_open_groups(spark):
+    """Long sets that share a passage: pairs beyond the group's leader, in all bands of size."""
+    r = random.Random(9)
+    word = lambda: f"v{r.randrange(10**6)}"
+    passage = [word() for _ in range(60)]
+    rows = []
+    for _ in range(12):
+        base = [word() for _ in range(r.choice([40, 75, 160, 700, 2000]))]
+        for _ in range(4):
+            w = passage + base
+            for _ in range(len(w) // 70):
+                w[r.randrange(len(w))] = word()
+            rows.append((len(rows), " ".join(w[: len(w) - r.randrange(len(w) // 20)])))
+    got = by_id(jaccard.similar_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
+    assert {d: (x["n_shingles"], x["component_id"]) for d, x in got.items()} == brute.similar(rows)
+
+
 def test_groups_of_keys_across_batches():
     import pyarrow as pa
 
@@ -274,11 +313,29 @@ def test_boilerplate_lines(hard):
     assert [r["text"] for r in got if r["doc_id"] in (0, 1)] == [None, ""] or [r["text"] for r in got if r["doc_id"] in (0, 1)] == ["", None]
 
 
+def test_many_lines_and_short_lines(spark):
+    long = "\n".join(f"{NOTICE}" if i % 1000 == 7 else f"own line {i}" for i in range(200_000))
+    rows = [(i, f"{NOTICE}\nSign in\nown words of {i}\n\nMenu", f"s{i}") for i in range(25)] + [(99, long, "big")]
+    rows += [(200 + i, "Menu\nmore", "one") for i in range(30)]
+    began = time.time()
+    got = by_id(lines.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string"), short_threshold=25))
+    assert time.time() - began < 60
+    assert got[0]["text"] == rows[0][1]
+    # 25 sites: the notice and both short lines go from all but the first; blank lines stay.
+    assert all(got[i]["text"] == f"own words of {i}\n" for i in range(1, 25))
+    assert got[99]["text"] == "\n".join(x for x in long.split("\n") if x != NOTICE)
+    assert all(got[200 + i]["text"] == "more" for i in range(30))
+    # With a higher bound for short lines these stay.
+    got = by_id(lines.drop_boilerplate(spark.createDataFrame(rows[:25], "doc_id long, text string, source string"), short_threshold=26))
+    assert all(got[i]["text"] == f"Sign in\nown words of {i}\n\nMenu" for i in range(1, 25))
+
+
 @pytest.mark.parametrize("threshold", [1, 3, 200, 1000])
 def test_line_spread_is_exact(spark, threshold):
     """Estimates decide only far from the threshold."""
     rows = [(f"line{k}", f"site{s}", s) for k, n in enumerate([1, 2, 3, 4, 150, 199, 200, 201, 260, 1400]) for s in range(n) for _ in range(1 + k % 2)]
-    got = {r["line"] for r in lines.boilerplate(spark.createDataFrame(rows, "line string, site string, id long"), threshold).collect()}
+    given = spark.createDataFrame(rows, "line string, site string, id long").selectExpr("*", f"{threshold} AS need")
+    got = {r["line"] for r in lines.boilerplate(given).collect()}
     assert got == {f"line{k}" for k, n in enumerate([1, 2, 3, 4, 150, 199, 200, 201, 260, 1400]) if n >= threshold}
 
 
