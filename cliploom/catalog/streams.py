@@ -12,12 +12,13 @@ from cliploom.sources.scratch import scratch_dir
 from cliploom.streaming import monitors as mon
 
 SLICES = 3
+FILES = 4
 
 
 def run_slices(df, at: str, operator, closing: bool = False):
-    """Let ``df`` arrive in SLICES slices in the order of ``at``, and run ``operator`` on what is new after each.
+    """Let ``df`` arrive in SLICES slices in the order of ``at``, rows of a slice in no order, and run ``operator`` on them.
 
-    A slice is as many files as its tasks write.  ``closing`` adds a far later row of job -1 as a last slice, which lets the
+    A slice is FILES files and one micro-batch.  ``closing`` adds a far later row of job -1 as a last slice, which lets the
     watermark pass the end.
     """
     spark = df.sparkSession
@@ -33,8 +34,8 @@ def run_slices(df, at: str, operator, closing: bool = False):
             last = last.withColumn("end_ms", F.col(at))
         slices.append(last.select(df.columns))
     for part in slices:
-        part.write.mode("append").parquet(f"{root}/in")
-        out = mon.run_available(operator(mon.read_stream(spark, f"{root}/in", df.schema)), f"{root}/out", f"{root}/state")
+        part.repartition(FILES).write.mode("append").parquet(f"{root}/in")
+    out = mon.run_available(operator(mon.read_stream(spark, f"{root}/in", df.schema, FILES)), f"{root}/out", f"{root}/state")
     return out.filter("job_id <> -1")
 
 
@@ -51,7 +52,7 @@ def counts(s, d):
 
 
 def duplicates(s, d):
-    return run_slices(fx.frames(s, d).withColumn("ts", mon.event_time("ts_ms")), "ts_ms", mon.near_duplicates)
+    return run_slices(fx.frames(s, d).withColumn("ts", mon.event_time("ts_ms")), "ts_ms", mon.near_duplicates, closing=True)
 
 
 def alerts(s, d):
@@ -59,13 +60,37 @@ def alerts(s, d):
     c = c.select("job_id", F.col("ts").cast("timestamp").alias("ts"), "call_id", "cost_usd", "budget_usd")
     c = c.withColumn("at", F.unix_millis("ts"))
     twice = c.unionByName(c.filter("call_id % 10 = 3"))
-    return run_slices(twice, "at", mon.budget_alerts).withColumn("total_usd", F.round("total_usd", 6))
+    return run_slices(twice, "at", mon.budget_alerts, closing=True).withColumn("total_usd", F.round("total_usd", 6))
 
 
 def transitions(s, d):
     # Events of a job are numbered in id order, so that order also gives the arrival time here.
     e = fx.job_events(s, d).select("job_id", "seq", "state", (F.col("seq") * 60_000).alias("at"))
-    return run_slices(e.withColumn("ts", mon.event_time("at")), "at", mon.transition_alerts)
+    return run_slices(e.withColumn("ts", mon.event_time("at")), "at", mon.transition_alerts, closing=True)
+
+
+LATE_BATCHES = 104
+
+
+def late_rows(s, d):
+    """Frames that come after the watermark has passed them, counted over more batches than Spark keeps the progress of.
+
+    Every frame comes in time; the first two of each job come once more, in ``LATE_BATCHES`` files and as many batches, when all is over.
+    """
+    frames = fx.frames(s, d).select("job_id", "frame_number", "ts_ms").withColumn("ts", mon.event_time("ts_ms"))
+    root = f"{scratch_dir(s)}/streams/{uuid.uuid4().hex}"
+    hi = frames.agg(F.max("ts_ms")).first()[0] + 86_400_000
+    last = frames.limit(1).select(F.lit(-1).cast("long").alias("job_id"), "frame_number", F.lit(hi).cast("long").alias("ts_ms"))
+
+    def run(files: int | None) -> int:
+        once = mon.delivered_once(mon.read_stream(s, f"{root}/in", frames.schema, files), ["job_id", "frame_number"])
+        return mon.run_counted(once, f"{root}/out", f"{root}/state")[1]
+
+    frames.unionByName(last.withColumn("ts", mon.event_time("ts_ms"))).write.mode("append").parquet(f"{root}/in")
+    run(None)
+    again = frames.where("frame_number <= 2")
+    again.repartition(LATE_BATCHES, F.pmod("job_id", F.lit(LATE_BATCHES)), "frame_number").write.mode("append").parquet(f"{root}/in")
+    return s.range(1).select(F.lit(run(1)).cast("long").alias("late_rows"))
 
 
 QUERIES = {
@@ -85,6 +110,7 @@ SELECT job_id, call_id, event_type, round(t, 6) AS total_usd FROM a""",
 p AS (SELECT job_id, seq, lag(state) OVER (PARTITION BY job_id ORDER BY seq) AS prev_state, state FROM job_events)
 SELECT * FROM p WHERE prev_state IS NOT NULL AND NOT EXISTS (SELECT 1 FROM m WHERE m.a = p.prev_state AND m.b = p.state)""",
     ),
+    "str6_late_rows": (late_rows, fx.with_tables("frames") + "\nSELECT count(*) AS late_rows FROM frames WHERE frame_number <= 2"),
     "str5_tumbling_counts": (
         counts,
         fx.with_tables("words") + """,

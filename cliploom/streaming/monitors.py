@@ -1,7 +1,10 @@
 """Structured Streaming forms of the sequential operators.
 
 Each takes a streaming DataFrame with an event time ``ts`` (TIMESTAMP) and gives the rows the batch
-operator gives, as long as rows arrive in time order up to the watermark.  Later rows are dropped.
+operator gives, in whatever order rows arrive within the watermark.  Later rows are dropped and counted.
+
+Operators that need a job's rows in order hold them back (``Ordered``): a row waits in the bucket of its time, and a timer
+releases the bucket once the watermark has passed it.  A task holds one bucket of one job, never a job's micro-batch.
 """
 
 from __future__ import annotations
@@ -10,10 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from cliploom.operators.jobs import is_legal
 
@@ -34,19 +38,33 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_
     return reader.parquet(path)
 
 
+# State with timers and several values per key needs this store.
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def run_counted(stream: DataFrame, out: str, checkpoint: str) -> tuple[DataFrame, int]:
-    """Process everything that is there now into a parquet table; the table, and how many rows came too late."""
-    q = (
-        stream.writeStream.format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
-    q.awaitTermination()
-    late = sum(op["numRowsDroppedByWatermark"] for p in q.recentProgress for op in p["stateOperators"])
-    return stream.sparkSession.read.schema(stream.schema).parquet(out), late
+    """Process everything that is there now into a parquet table; the table, and how many rows came too late.
+
+    Spark keeps the progress of the last hundred batches only, so late rows are added up while the query runs.
+    """
+    spark = stream.sparkSession
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKSDB)
+    writer = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+    try:
+        q = writer.outputMode("append").trigger(availableNow=True).start()
+    finally:
+        if before is None:
+            spark.conf.unset(STORE)
+        else:
+            spark.conf.set(STORE, before)
+    late: dict[int, int] = {}
+    ended = False
+    while not ended:
+        ended = q.awaitTermination(1)
+        late |= {p["batchId"]: sum(op["numRowsDroppedByWatermark"] for op in p["stateOperators"]) for p in q.recentProgress}
+    return spark.read.schema(stream.schema).parquet(out), sum(late.values())
 
 
 def run_available(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
@@ -81,18 +99,94 @@ def tumbling_counts(words: DataFrame, width_s: int = 15, late: str = "1 minute")
     )
 
 
-def _in_order(batches: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    """A key's rows of one micro-batch in order; the size of micro-batches (files per trigger) bounds them."""
-    return pd.concat(list(batches), ignore_index=True).sort_values(by, ignore_index=True)
+def delivered_once(rows: DataFrame, key: list[str], late: str = "1 minute") -> DataFrame:
+    """Rows of a stream that may come several times, each once; every row that comes too late is counted by itself."""
+    return rows.withWatermark("ts", late).dropDuplicates([*key, "ts"])
 
 
-def _until(state: GroupState, last_ms: int, idle_s: int) -> None:
-    """Let the state go once the watermark is ``idle_s`` past the key's last row."""
-    state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), last_ms) + idle_s * 1000)
+class Ordered(StatefulProcessor):
+    """Rows of a key in the order of ``order``, bucket by bucket of ``width_ms``, once the watermark has passed them.
 
+    Subclasses give ``kept`` (DDL of what they carry along) and ``step(key, rows, before)``, which returns the rows to put out
+    and what to carry.  What a key carries is let go once the watermark is ``idle_ms`` past its last row.
+    """
 
-def _last_ms(ts: pd.Series) -> int:
-    return int(ts.max().timestamp() * 1000)
+    kept = ""
+    together = 64  # parts that are released in one step; the parts of a bucket stay together
+
+    def __init__(self, out: T.StructType, order: list[str], width_ms: int, idle_ms: int):
+        self.out, self.order, self.width, self.idle = out, order, width_ms, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.carried = handle.getValueState("carried", self.kept)
+        self.last = handle.getValueState("last", "ms long")
+        # Rows that wait, packed by bucket of time and arrival.
+        self.waiting = handle.getMapState("waiting", "bucket long, part int", "data binary")
+
+    def step(self, key: tuple, rows: pd.DataFrame, before: tuple | None) -> tuple[pd.DataFrame, tuple]:
+        raise NotImplementedError
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        before = self.last.get()[0] if self.last.exists() else None
+        last, parts = before, {}
+        for b, n in self.waiting.keys():
+            parts[b] = max(parts.get(b, 0), n + 1)
+        for chunk in rows:
+            ms = chunk["ts"].astype("datetime64[ms]").astype("int64").to_numpy()
+            last = int(ms.max()) if last is None else max(last, int(ms.max()))
+            order = np.argsort(ms // self.width, kind="stable")
+            bucket = (ms // self.width)[order]
+            packed = pa.RecordBatch.from_pandas(chunk, preserve_index=False).take(pa.array(order))
+            edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))).tolist()
+            for i, j in zip(edges[:-1], edges[1:], strict=True):
+                b = int(bucket[i])
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, packed.schema) as writer:
+                    writer.write_batch(packed.slice(i, j - i))
+                self.waiting.updateValue((b, parts.get(b, 0)), (sink.getvalue().to_pybytes(),))
+                parts[b] = parts.get(b, 0) + 1
+        if last != before:
+            self.last.update((last,))
+        # One timer for the first bucket; each release asks for the next.
+        self.handle.registerTimer((min(parts) + 1) * self.width)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        past = timerValues.getCurrentWatermarkInMs()
+        waiting = sorted(self.waiting.keys())
+        ready = [k for k in waiting if (k[0] + 1) * self.width <= past]
+        if ready:
+            before = tuple(self.carried.get()) if self.carried.exists() else None
+            done = 0
+            while done < len(ready):
+                end = min(len(ready), done + self.together)
+                while end < len(ready) and ready[end][0] == ready[end - 1][0]:
+                    end += 1
+                read = [pa.ipc.open_stream(self.waiting.getValue(k)[0]).read_all() for k in ready[done:end]]
+                # A part whose numbers have gaps holds them as doubles (hash halves of 32 bits stay exact).
+                rows = pa.concat_tables(read, promote_options="permissive").to_pandas().sort_values(self.order, ignore_index=True)
+                got, before = self.step(key, rows, before)
+                for k in ready[done:end]:
+                    self.waiting.removeKey(k)
+                if len(got):
+                    yield got[self.out.names]
+                done = end
+            self.carried.update(before)
+        if len(waiting) > len(ready):
+            self.handle.registerTimer((waiting[len(ready)][0] + 1) * self.width)
+        elif self.last.exists():
+            rest = self.last.get()[0] + self.idle
+            if past >= rest:
+                self.carried.clear()
+                self.last.clear()
+            else:
+                self.handle.registerTimer(rest)
+
+    def over(self, rows: DataFrame, late: str | None) -> DataFrame:
+        """The operator on a stream; ``late`` is None if that has a watermark already."""
+        marked = rows if late is None else rows.withWatermark("ts", late)
+        return marked.groupBy("job_id").transformWithStateInPandas(statefulProcessor=self, outputStructType=self.out, outputMode="append", timeMode="eventTime")
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
@@ -125,37 +219,50 @@ def _greedy_flags(at, hi, lo, known, kept: tuple, threshold: int, min_interval_m
     return flags, (hashed, khi, klo, kat)
 
 
-def near_duplicates(frames: DataFrame, threshold: int = 10, min_interval_ms: int = 30_000, late: str = "1 minute", idle_s: int = 3600) -> DataFrame:
-    """Flag near-duplicate frames of a stream (job_id, ts, frame_number, ts_ms, phash_hi, phash_lo).
+class NearDuplicates(Ordered):
+    """Carries the last kept frame."""
 
-    State per job: the last kept frame.  It is dropped once the watermark is ``idle_s`` past the job.
-    """
+    kept = "hashed boolean, hi long, lo long, at long"
+
+    def __init__(self, out: T.StructType, width_ms: int, idle_ms: int, threshold: int, min_interval_ms: int):
+        super().__init__(out, ["ts_ms", "frame_number"], width_ms, idle_ms)
+        self.threshold, self.interval = threshold, min_interval_ms
+
+    def step(self, key, rows, before):
+        known = rows["phash_hi"].notna().to_numpy()
+        hi, lo = (rows[c].fillna(0).to_numpy().astype(np.int64) for c in ("phash_hi", "phash_lo"))
+        rows["is_duplicate"], kept = _greedy_flags(rows["ts_ms"].to_numpy(), hi, lo, known, before or (False, 0, 0, None), self.threshold, self.interval)
+        return rows, kept
+
+
+def near_duplicates(frames: DataFrame, threshold: int = 10, min_interval_ms: int = 30_000, late: str = "1 minute", idle_s: int = 3600, width_ms: int = 60_000) -> DataFrame:
+    """Flag near-duplicate frames of a stream (job_id, ts, frame_number, ts_ms, phash_hi, phash_lo)."""
     out = T.StructType(
         [frames.schema[c] for c in ("job_id", "frame_number", "ts_ms", "phash_hi", "phash_lo")] + [T.StructField("is_duplicate", T.BooleanType())]
     )
+    return NearDuplicates(out, width_ms, idle_s * 1000, threshold, min_interval_ms).over(frames, late)
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pdf = _in_order(batches, ["ts_ms", "frame_number"])
-        known = pdf["phash_hi"].notna().to_numpy()
-        hi, lo = (pdf[c].fillna(0).to_numpy().astype(np.int64) for c in ("phash_hi", "phash_lo"))
-        before = state.get if state.exists else (False, 0, 0, None)
-        flags, kept = _greedy_flags(pdf["ts_ms"].to_numpy(), hi, lo, known, before, threshold, min_interval_ms)
-        state.update(kept)
-        _until(state, int(pdf["ts_ms"].max()) + ORIGIN_MS, idle_s)
-        pdf["is_duplicate"] = flags
-        yield pdf[out.names]
-
-    return (
-        frames.withWatermark("ts", late)
-        .groupBy("job_id")
-        .applyInPandasWithState(step, out, "hashed boolean, hi long, lo long, at long", "append", GroupStateTimeout.EventTimeTimeout)
-    )
 
+class BudgetAlerts(Ordered):
+    """Carries the sum and the highest level that was reported."""
+
+    kept = "total double, level int"
 
-def budget_alerts(calls: DataFrame, late: str = "1 hour", idle_s: int = 30 * 86_400) -> DataFrame:
+    def step(self, key, rows, before):
+        base, level = before or (0.0, 0)
+        run = base + rows["cost_usd"].cumsum().to_numpy()
+        budget = rows["budget_usd"].to_numpy(dtype=float)
+        found = []
+        for want, (share, name) in enumerate(((0.8, "budget.warning"), (1.0, "budget.blocked")), start=1):
+            if level < want:
+                hit = np.flatnonzero(run >= budget * share)
+                if len(hit):
+                    level = want
+                    found.append((key[0], int(rows["call_id"].iloc[hit[0]]), name, float(run[hit[0]])))
+        return pd.DataFrame(found, columns=self.out.names), (float(run[-1]), level)
+
+
+def budget_alerts(calls: DataFrame, late: str = "1 hour", idle_s: int = 30 * 86_400, width_ms: int = 3_600_000) -> DataFrame:
     """First call of a job that reaches 80 % and 100 % of its budget, once each.
 
     ``calls``: job_id, ts, call_id, cost_usd, budget_usd.  Calls delivered twice within the watermark
@@ -164,57 +271,26 @@ def budget_alerts(calls: DataFrame, late: str = "1 hour", idle_s: int = 30 * 86_
     out = T.StructType(
         [calls.schema["job_id"], calls.schema["call_id"], T.StructField("event_type", T.StringType()), T.StructField("total_usd", T.DoubleType())]
     )
+    once = calls.withWatermark("ts", late).dropDuplicatesWithinWatermark(["job_id", "call_id"])
+    return BudgetAlerts(out, ["ts", "call_id"], width_ms, idle_s * 1000).over(once, None)
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pdf = _in_order(batches, ["ts", "call_id"])
-        base, level = state.get if state.exists else (0.0, 0)
-        run = base + pdf["cost_usd"].cumsum().to_numpy()
-        budget = pdf["budget_usd"].to_numpy(dtype=float)
-        rows = []
-        for want, (share, name) in enumerate(((0.8, "budget.warning"), (1.0, "budget.blocked")), start=1):
-            if level < want:
-                hit = np.flatnonzero(run >= budget * share)
-                if len(hit):
-                    level = want
-                    rows.append((key[0], int(pdf["call_id"].iloc[hit[0]]), name, float(run[hit[0]])))
-        state.update((float(run[-1]), level))
-        _until(state, _last_ms(pdf["ts"]), idle_s)
-        if rows:
-            yield pd.DataFrame(rows, columns=out.names)
-
-    return (
-        calls.withWatermark("ts", late)
-        .dropDuplicatesWithinWatermark(["job_id", "call_id"])
-        .groupBy("job_id")
-        .applyInPandasWithState(step, out, "total double, level int", "append", GroupStateTimeout.EventTimeTimeout)
-    )
 
+class Moves(Ordered):
+    """Carries the last state; puts out every move."""
+
+    kept = "state string"
 
-def transition_alerts(events: DataFrame, late: str = "1 hour", idle_s: int = 30 * 86_400) -> DataFrame:
+    def step(self, key, rows, before):
+        rows["prev_state"] = rows["state"].shift(1)
+        if before is not None:
+            rows.loc[0, "prev_state"] = before[0]
+        return rows, (rows["state"].iloc[-1],)
+
+
+def transition_alerts(events: DataFrame, late: str = "1 hour", idle_s: int = 30 * 86_400, width_ms: int = 3_600_000) -> DataFrame:
     """Illegal moves in a job event stream (job_id, ts, seq, state).  A job's state is forgotten ``idle_s`` after its last event."""
     out = T.StructType(
         [events.schema["job_id"], events.schema["seq"], T.StructField("prev_state", T.StringType()), T.StructField("state", T.StringType())]
     )
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pdf = _in_order(batches, ["seq"])
-        prev = pdf["state"].shift(1)
-        if state.exists:
-            prev.iloc[0] = state.get[0]
-        state.update((pdf["state"].iloc[-1],))
-        _until(state, _last_ms(pdf["ts"]), idle_s)
-        pdf["prev_state"] = prev
-        yield pdf[out.names]
-
-    moves = (
-        events.withWatermark("ts", late)
-        .groupBy("job_id")
-        .applyInPandasWithState(step, out, "state string", "append", GroupStateTimeout.EventTimeTimeout)
-    )
+    moves = Moves(out, ["seq"], width_ms, idle_s * 1000).over(events, late)
     return moves.filter(F.col("prev_state").isNotNull() & ~is_legal(F.col("prev_state"), F.col("state")))

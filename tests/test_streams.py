@@ -29,16 +29,33 @@ def test_late_frames_are_dropped_and_counted(spark, tmp_path):
     schema = "job_id long, ts timestamp, frame_number long, ts_ms long, phash_hi long, phash_lo long"
     frame = lambda n, s, h=0: (1, at(s), n, s * 1000, h, 0)
     # The watermark is one minute behind; the second slice moves it to 540 s, and frame 9 at 10 s is then too late.
-    slices = [[frame(1, 0), frame(2, 1)], [frame(3, 600, 2**31)], [frame(9, 10), frame(4, 601, 2**31)]]
+    slices = [[frame(1, 0), frame(2, 1)], [frame(3, 600, 2**31)], [frame(9, 10), frame(4, 601, 2**31)], [(-1, at(90_000), 1, 90_000_000, 0, 0)]]
     out, late = batches(spark, tmp_path, schema, slices, mon.near_duplicates)
     assert sorted((r["frame_number"], r["is_duplicate"]) for r in out.collect()) == [(1, False), (2, True), (3, False), (4, True)]
     assert late == 1
 
 
+def test_frames_out_of_order_give_the_batch_result(spark, tmp_path):
+    schema = "job_id long, ts timestamp, frame_number long, ts_ms long, phash_hi long, phash_lo long"
+    r = random.Random(3)
+    frames = [(job, at(s / 10), n, s * 100, r.choice([0, 1, 2**31 - 1, 5]), 0) for job in (1, 2) for n, s in enumerate(sorted(r.sample(range(4000), 300)))]
+    mixed = sorted(frames, key=lambda f: f[3] + r.randrange(50_000))  # less than the watermark's minute out of place
+    slices = [mixed[i : i + 150] for i in range(0, len(mixed), 150)] + [[(-1, at(90_000), 1, 90_000_000, 0, 0)]]
+    out, late = batches(spark, tmp_path, schema, slices, lambda df: mon.near_duplicates(df, width_ms=7_000))
+    want = set()
+    for job in (1, 2):
+        own = sorted((f for f in frames if f[0] == job), key=lambda f: (f[3], f[2]))
+        cols = [np.array([f[k] for f in own], np.int64) for k in (3, 4, 5)]
+        flags, _ = mon._greedy_flags(*cols, np.ones(len(own), bool), (False, 0, 0, None), 10, 30_000)
+        want |= {(job, f[2], bool(x)) for f, x in zip(own, flags, strict=True)}
+    assert late == 0
+    assert {(r["job_id"], r["frame_number"], r["is_duplicate"]) for r in out.collect()} == want
+
+
 def test_late_calls_do_not_count_against_the_budget(spark, tmp_path):
     schema = "job_id long, ts timestamp, call_id long, cost_usd double, budget_usd double"
     call = lambda n, s, usd: (1, at(s), n, usd, 10.0)
-    slices = [[call(1, 0, 5.0)], [call(2, 20_000, 1.0)], [call(3, 100, 100.0), call(4, 20_001, 2.5)]]
+    slices = [[call(1, 0, 5.0)], [call(2, 20_000, 1.0)], [call(3, 100, 100.0), call(4, 20_001, 2.5)], [(-1, at(200_000), 9, 0.0, 1.0)]]
     out, late = batches(spark, tmp_path, schema, slices, mon.budget_alerts)
     assert [(r["call_id"], r["event_type"], r["total_usd"]) for r in out.collect()] == [(4, "budget.warning", 8.5)]
     assert late == 1
@@ -46,10 +63,15 @@ def test_late_calls_do_not_count_against_the_budget(spark, tmp_path):
 
 def test_state_of_finished_jobs_is_forgotten(spark, tmp_path):
     schema = "job_id long, ts timestamp, seq long, state string"
-    slices = [[(1, at(0), 0, "created")], [(2, at(50_000), 0, "created")], [(2, at(50_001), 1, "rendering")], [(1, at(60_000), 1, "rendering")]]
+    slices = [[(1, at(0), 0, "created")], [(2, at(50_000), 0, "created")], [(2, at(50_001), 1, "rendering")], [(1, at(60_000), 1, "rendering")], [(3, at(72_000), 0, "created")]]
     out, _ = batches(spark, tmp_path, schema, slices, lambda df: mon.transition_alerts(df, idle_s=3600))
     # Job 1 came back long after an hour of silence: its old state is gone, so its move cannot be judged.
     assert [tuple(r) for r in out.collect()] == [(2, 1, "created", "rendering")]
+    # Only what is not idle and what waits is still held.
+    held = spark.read.format("statestore").option("path", f"{tmp_path}/state").option("stateVarName", "carried").load()
+    assert {r["key"]["job_id"] for r in held.select("key").collect()} <= {1}
+    waits = spark.read.format("statestore").option("path", f"{tmp_path}/state").option("stateVarName", "waiting").load()
+    assert [r["key"]["job_id"] for r in waits.select("key").collect()] == [3]
 
 
 def test_array_steps_equal_the_plain_loop():
