@@ -104,10 +104,10 @@ kept AS MATERIALIZED (SELECT job_id, g, phash_hi, phash_lo, lead(phash_hi) OVER
   FROM k WHERE NOT is_duplicate WINDOW w AS (PARTITION BY job_id ORDER BY frame_number)),
 mid AS MATERIALIZED (SELECT job_id, frame_number, g, row_number() OVER (PARTITION BY job_id, g ORDER BY frame_number) - 1 AS r,
     count(*) OVER (PARTITION BY job_id, g) AS n FROM k WHERE is_duplicate AND phash_hi IS NOT NULL),
-pick AS (
+pick AS MATERIALIZED (
   SELECT mid.*, bit_count(xor(kept.phash_hi, h2)) + bit_count(xor(kept.phash_lo, l2)) AS d
   FROM mid JOIN kept USING (job_id, g) WHERE g2 IS NOT NULL),
-chosen AS (
+chosen AS MATERIALIZED (
   SELECT job_id, frame_number FROM pick WHERE d > 10 AND CASE
     WHEN d <= 25 OR n = 1 THEN r = n // 2
     WHEN n = 2 THEN r IN (0, 1)
