@@ -138,11 +138,38 @@ def progress(s, d):
     return s.createDataFrame([(seen.get["rows"],)], "rows long")
 
 
+def payload_files(s, payloads, name):
+    """Payloads written as one folder per job and part."""
+    root = f"{scratch.scratch_dir(s)}/{name}-{uuid.uuid4().hex}"
+    payloads.withColumnRenamed("payload", "value").repartition("job_id", "part").write.partitionBy("job_id", "part").text(root)
+    return root
+
+
+def _numbered(df):
+    return df.withColumn("job_id", F.col("job_id").cast("long"))
+
+
 def frames_from_files(s, d):
-    """The frames' payloads written as one folder per job and part, and read back from there."""
-    root = f"{scratch.scratch_dir(s)}/payloads-{uuid.uuid4().hex}"
-    frame_payloads(s, d).withColumnRenamed("payload", "value").repartition("job_id", "part").write.partitionBy("job_id", "part").text(root)
-    return artifacts.read_frames(s, root).withColumn("job_id", F.col("job_id").cast("long"))
+    """The frames' payloads written as files, and read back from there."""
+    return _numbered(artifacts.read_frames(s, payload_files(s, frame_payloads(s, d), "payloads")))
+
+
+RANGE_BYTES = 4096  # far below a file, so that most ranges begin in the middle of an item
+
+
+def scanned_transcripts(s, d):
+    return artifacts.scan_transcripts(s, payload_files(s, transcript_payloads(s, d), "transcripts"), RANGE_BYTES)
+
+
+def scanned_frames(s, d):
+    return _numbered(artifacts.scan_frames(s, payload_files(s, frame_payloads(s, d), "frames"), split_bytes=RANGE_BYTES))
+
+
+def scanned_scenes(s, d):
+    """The scenes' payloads in files; jobs are named by texts there."""
+    named = lambda df: df.withColumn("job_id", F.col("job_id").cast("string"))
+    root = payload_files(s, scene_payloads(s, d), "scenes")
+    return _numbered(artifacts.scan_scenes(s, root, named(fx.frames(s, d)), named(fx.media(s, d)), RANGE_BYTES))
 
 
 def images_from_files(s, d):
@@ -183,9 +210,18 @@ QUERIES = {
         lambda s, d: artifacts.parse_transcripts(transcript_payloads(s, d))[0],
         fx.with_tables("words") + "\nSELECT job_id, seq, text, speaker, start_ms, end_ms, confidence FROM words",
     ),
+    "src1_scanned_words": (
+        lambda s, d: _numbered(scanned_transcripts(s, d)[0]),
+        fx.with_tables("words") + "\nSELECT job_id, seq, text, speaker, start_ms, end_ms, confidence FROM words",
+    ),
     "src1_transcript_heads": (
         lambda s, d: artifacts.parse_transcripts(transcript_payloads(s, d))[1],
         fx.with_tables("words") + """
+SELECT DISTINCT job_id, CASE WHEN job_id % 3 = 0 THEN 'he' ELSE 'en' END AS language, job_id % 3 = 0 AS is_rtl FROM words""",
+    ),
+    "src1_scanned_heads": (
+        lambda s, d: _numbered(scanned_transcripts(s, d)[1]),
+        fx.with_tables("words") + """
 SELECT DISTINCT job_id, CASE WHEN job_id % 3 = 0 THEN 'he' ELSE 'en' END AS language, job_id % 3 = 0 AS is_rtl FROM words""",
     ),
     "src2_frames": (
@@ -196,11 +232,22 @@ SELECT DISTINCT job_id, CASE WHEN job_id % 3 = 0 THEN 'he' ELSE 'en' END AS lang
         frames_from_files,
         fx.with_tables("frames") + "\nSELECT *, printf('frame_%06d.jpg', frame_number) AS path, frame_number % 3 = 0 AS is_duplicate FROM frames",
     ),
+    "src2_scanned_frames": (
+        scanned_frames,
+        fx.with_tables("frames") + "\nSELECT *, printf('frame_%06d.jpg', frame_number) AS path, frame_number % 3 = 0 AS is_duplicate FROM frames",
+    ),
     "src3_scenes": (
         lambda s, d: artifacts.parse_scenes(scene_payloads(s, d), fx.frames(s, d), fx.media(s, d)),
         fx.with_tables("scenes", "frames", "media") + """
 SELECT job_id, seq, scene_id, start_ms, end_ms, start_ms * 3 AS start_frame, end_ms * 3 AS end_frame FROM scenes WHERE job_id % 5 <> 3 AND job_id % 7 <> 2
 UNION ALL SELECT j.job_id, 0, 'scene_000', 0, coalesce(t, 0), 0, CAST(floor(coalesce(t, 0)::DOUBLE * fps::DOUBLE / 1000.0::DOUBLE + 0.5::DOUBLE) AS BIGINT)
+FROM (SELECT DISTINCT job_id FROM scenes WHERE job_id % 5 = 3) j LEFT JOIN (SELECT job_id, max(ts_ms) AS t FROM frames GROUP BY job_id) f USING (job_id) LEFT JOIN media USING (job_id)""",
+    ),
+    "src3_scanned_scenes": (
+        scanned_scenes,
+        fx.with_tables("scenes", "frames", "media") + """
+SELECT job_id, seq, scene_id, start_ms, end_ms, start_ms * 3 AS start_frame, end_ms * 3 AS end_frame FROM scenes WHERE job_id % 5 <> 3 AND job_id % 7 <> 2
+UNION ALL SELECT j.job_id, 0, 'scene_000', 0, coalesce(t, 0), 0, CAST(floor(coalesce(t, 0)::DOUBLE * fps::DOUBLE / 1000.0::DOUBLE + 0.5::DOUBLE) AS BIGINT)
 FROM (SELECT DISTINCT job_id FROM scenes WHERE job_id % 5 = 3) j LEFT JOIN (SELECT job_id, max(ts_ms) AS t FROM frames GROUP BY job_id) f USING (job_id) LEFT JOIN media USING (job_id)""",
     ),
     "src4_media": (
