@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cliploom import fixtures as fx
 from cliploom.catalog import edit as ed
 from cliploom.catalog import understand as un
+from cliploom.operators import decisions as dec
 from cliploom.plans import flows
 
 
@@ -33,6 +34,21 @@ def edited(s, d, **more):
     return flows.edit(segments, fx.media(s, d), answers(s, d), threshold_ms=500, pick_takes=False, **more)
 
 
+def targets(s, d):
+    """Target lengths: one to four tenths of a job's segments; every eleventh job has none."""
+    j = F.col("job_id")
+    whole = ed.spoken(s, d).groupBy("job_id").agg(F.sum(F.col("end_ms") - F.col("start_ms")).alias("ms"))
+    return whole.select("job_id", F.when(j % 11 != 10, F.floor(F.col("ms") * (j % 4 + 1) / 10)).cast("long").alias("target_ms"))
+
+
+def edited_to_length(s, d):
+    """The edit flow with target lengths and a tighter second plan: two thirds of the decisions become removals, save in every
+    fourth job."""
+    stays = (F.col("seq") % 3 == 0) | (F.col("job_id") % 4 == 3)
+    tighter = ed.decided(s, d).withColumn("action", F.when(stays, F.col("action")).otherwise("remove"))
+    return edited(s, d, targets=targets(s, d), second_plans=dec.sanitize_decisions(tighter, ed.spoken(s, d)))
+
+
 def edited_takes(s, d):
     """The edit flow with takes, on segments whose speakers start again."""
     said = F.array_join(F.transform("words", lambda w: w["text"]), " ")
@@ -67,6 +83,13 @@ def understood_with_answers(s, d):
     return _flow1[key]
 
 
+def understood_partly(s, d):
+    """The same where some jobs get no answer about entities or topics."""
+    j = F.col("job_id")
+    lost = ((F.col("kind") == "entities") & (j % 5 == 2)) | ((F.col("kind") == "topics") & (j % 7 == 3))
+    return flows.understand(fx.words(s, d), fx.scenes(s, d), fx.frames(s, d), fx.media(s, d), answer=lambda g: _asked(g).filter(~lost))
+
+
 def enhanced(s, d):
     segments = ed.spoken(s, d).withColumns(
         {"scene_type": F.when(F.col("seq") % 3 == 0, "screenrec"), "text_on_screen": F.when(F.col("seq") % 6 == 0, "Menu"),
@@ -98,6 +121,21 @@ SELECT job_id, seq, segment_id, seg_seq, kind, CASE WHEN hi <= lo THEN start_ms
 fx.CTES["flow_isl"] = (("flow_win", "spoken_words"), ed._islands("flow_win", 500))
 fx.CTES["flow_iw"] = (("flow_isl", "flow_win", "spoken_words"), "SELECT * FROM (" + re.sub(r"\bwin\b", "flow_win", ed._IW.replace("isl500", "flow_isl")) + ")")
 fx.CTES["flow_steps"] = (("flow_iw",), re.sub(r"\biw\b", "flow_iw", fx.CTES["chunk_steps"][1]))
+# Plans to length: the second one where the first is too long and the second is shorter, but not too short.
+fx.CTES["flow_second"] = (("spoken_decisions", "spoken_seg"), """
+WITH d AS (SELECT * FROM spoken_decisions WHERE action <> 'remove' AND (seq % 3 = 0 OR job_id % 4 = 3)),
+c AS (SELECT d.job_id, d.seq, s.segment_id, s.seq AS seg_seq, s.start_ms, s.end_ms, CASE WHEN d.job_id % 10 <> 9 AND d.job_id % 3 = 0 THEN 'mixed' ELSE 'cut' END AS kind,
+    greatest(coalesce(d.trim_start_ms, s.start_ms), s.start_ms) AS lo, least(coalesce(d.trim_end_ms, s.end_ms), s.end_ms) AS hi
+  FROM d JOIN spoken_seg s USING (job_id, segment_id))
+SELECT job_id, seq, segment_id, seg_seq, kind, CASE WHEN hi <= lo THEN start_ms ELSE lo END AS ws, CASE WHEN hi <= lo THEN end_ms ELSE hi END AS we FROM c""")
+fx.CTES["flow_adopted"] = (("flow_win", "flow_second", "spoken_seg"), """
+WITH t AS (SELECT job_id, CAST(floor(sum(end_ms - start_ms) * (job_id % 4 + 1) / 10) AS BIGINT) AS target_ms FROM spoken_seg WHERE job_id % 11 <> 10 GROUP BY job_id),
+a AS (SELECT job_id, sum(we - ws) AS ms FROM flow_win GROUP BY job_id), b AS (SELECT job_id, sum(we - ws) AS ms FROM flow_second GROUP BY job_id)
+SELECT job_id FROM t JOIN a USING (job_id) JOIN b USING (job_id)
+WHERE target_ms > 0 AND a.ms > target_ms * 1.05::DOUBLE AND b.ms >= target_ms * 0.6::DOUBLE AND b.ms < a.ms""")
+fx.CTES["fit_win"] = (("flow_win", "flow_second", "flow_adopted"), """
+SELECT * FROM flow_win WHERE job_id NOT IN (SELECT job_id FROM flow_adopted) UNION ALL SELECT * FROM flow_second WHERE job_id IN (SELECT job_id FROM flow_adopted)""")
+fx.CTES["fit_isl"] = (("fit_win", "spoken_words"), ed._islands("fit_win", 500))
 # The same with takes cut out of segments whose speakers start again.
 fx.CTES["rep_word_rows"] = (("rep_words",), "SELECT job_id, scene_seq AS seg_seq, k AS seq, text, start_ms, end_ms FROM rep_words")
 fx.CTES["take_win"] = (("take_rows", "rep_seg"), "WITH " + ed._TAKE_CUTS.lstrip(",\n").replace("\nSELECT g.job_id, g.seq, g.segment_id, 'keep'", """,
@@ -157,8 +195,33 @@ SELECT job_id, 't' || CAST(seq // 200 AS BIGINT) AS topic_id, CAST(coalesce(sum(
         lambda s, d: understood_with_answers(s, d).energy_curve.select("job_id", "seq", "time_ms", F.round("energy", 6).alias("energy")),
         fx.with_tables("energy") + "\nSELECT job_id, seq, time_ms, round(energy, 6) AS energy FROM energy",
     ),
+    "flow1_errors": (
+        lambda s, d: understood_partly(s, d).errors,
+        fx.with_tables("spoken", "energy", "media") + """,
+j AS (SELECT DISTINCT job_id FROM spoken), o AS (SELECT *, lag(end_ms) OVER (PARTITION BY job_id ORDER BY seq) AS p FROM spoken)
+SELECT job_id, -1 AS seq, 'missing_entities' AS code FROM j WHERE job_id % 5 = 2
+UNION ALL SELECT job_id, -1, 'missing_topics' FROM j WHERE job_id % 7 = 3
+UNION ALL SELECT job_id, -1, 'missing_energy_curve' FROM j WHERE job_id NOT IN (SELECT job_id FROM energy)
+UNION ALL SELECT job_id, -1, 'invalid_width' FROM j JOIN media USING (job_id) WHERE width <= 0
+UNION ALL SELECT job_id, seq, 'end_not_after_start' FROM o WHERE end_ms <= start_ms
+UNION ALL SELECT job_id, seq, 'non_positive_duration' FROM o WHERE end_ms <= start_ms
+UNION ALL SELECT job_id, seq, 'overlap' FROM o WHERE start_ms < p - 10""",
+    ),
     "flow2_edit": (lambda s, d: edited(s, d).clips.select(_CLIP), _flow_clips("flow")),
     "flow2_edit_with_takes": (lambda s, d: edited_takes(s, d).clips.select(_CLIP), _flow_clips("take")),
+    "flow2_edit_to_length": (lambda s, d: edited_to_length(s, d).clips.select(_CLIP), _flow_clips("fit")),
+    "flow2_take_log": (
+        lambda s, d: edited_takes(s, d).take_log.withColumns({c: F.round(c, 6) for c in ("audio_confidence", "visual_score", "combined_score")}),
+        fx.with_tables("take_rows")
+        + "\nSELECT * REPLACE (round(audio_confidence, 6) AS audio_confidence, round(visual_score, 6) AS visual_score, round(combined_score, 6) AS combined_score) FROM take_rows",
+    ),
+    "flow2_errors": (
+        lambda s, d: edited(s, d).errors,
+        _flow_clips("flow").rsplit("\nSELECT", 1)[0] + """,
+m AS (SELECT job_id, width, (SELECT count(*) FROM k WHERE k.job_id = media.job_id) AS n FROM media WHERE job_id IN (SELECT job_id FROM spoken_seg))
+SELECT job_id, 'timeline' AS part, -1 AS seq, unnest(['no_clips', 'invalid_duration']) AS code FROM m WHERE n = 0
+UNION ALL SELECT job_id, 'timeline', -1, 'invalid_dimensions' FROM m WHERE width <= 0""",
+    ),
     "flow2_captions": (
         lambda s, d: edited(s, d).captions,
         fx.with_tables("flow_iw", "flow_steps", "flow_isl", "media", recursive=True) + "\n"

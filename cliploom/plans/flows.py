@@ -49,7 +49,8 @@ def understand(
 
     ``describe`` turns the representative frames into scene descriptions; without it the visual
     fields stay empty.  ``answer`` turns segments into answers (job_id, part, kind, content) about 'entities', 'topics' and
-    'segment_updates'.  ``languages``: job_id, language.
+    'segment_updates'.  ``languages``: job_id, language.  A job without an answer about entities or topics, or without an
+    energy curve, gets the error that they are missing; an answer that names none is an empty list, which is no error.
     """
     built = materialize(seg.build_segments(words, scenes), "segments")
     curve = materialize(seg.energy_curve(built, media), "energy")
@@ -63,17 +64,20 @@ def understand(
     if describe is not None:
         segments = enrich.attach_descriptions(segments, describe(reps))
     entities = topics = None
+    told = {kind: segments.select("job_id").limit(0) for kind in ("entities", "topics")}
     if answer is not None:
         segments = materialize(segments, "described")
         answers = materialize(answer(segments), "answers")
         entities = materialize(enrich.entity_screen_time(_answered(answers, "entities"), segments), "entities")
         topics = materialize(enrich.topic_durations(_answered(answers, "topics"), segments), "topics")
         segments = enrich.apply_updates(segments, _answered(answers, "segment_updates"))
+        told = {kind: answers.filter((F.col("kind") == kind) & F.col("content").isNotNull()).select("job_id") for kind in told}
     segments = materialize(segments, "understood")
     ends = segments.groupBy("job_id").agg(F.max_by("end_ms", "seq").alias("duration_ms"))
-    documents = ends.join(media.select("job_id", "fps", "width", "height"), "job_id", "left").withColumns(
-        {"version": F.lit("1.0"), "has_entities": F.lit(True), "has_topics": F.lit(True), "has_energy": F.lit(True)}
-    )
+    documents = ends.join(media.select("job_id", "fps", "width", "height"), "job_id", "left").withColumn("version", F.lit("1.0"))
+    for name, jobs in (("has_entities", told["entities"]), ("has_topics", told["topics"]), ("has_energy", curve.select("job_id"))):
+        documents = documents.join(jobs.distinct().withColumn(name, F.lit(True)), "job_id", "left")
+        documents = documents.withColumn(name, F.coalesce(name, F.lit(False)))
     if languages is not None:
         documents = documents.join(languages.select("job_id", "language"), "job_id", "left")
     else:
