@@ -190,6 +190,16 @@ def stage_round_trip(s, d):
     return stages.read_stage(s, root, "edit", dec.schema, "decisions")
 
 
+def stage_compacted(s, d):
+    """Ten writes, each of the decisions of fewer jobs, then one folder, read again."""
+    root = f"{scratch.scratch_dir(s)}/compacted-{uuid.uuid4().hex}"
+    decisions = scratch.materialize(fx.decisions(s, d), "decisions")
+    for i in range(10):
+        stages.write_stage(decisions.filter(F.col("job_id") % 10 >= i).withColumn("action", F.lit(f"write {i}")), root, "edit", "decisions")
+    stages.compact_stage(s, root, "edit", decisions.schema, "decisions", keep_ms=0)
+    return stages.read_stage(s, root, "edit", decisions.schema, "decisions")
+
+
 def stub_model(texts):
     """Stands in for a model: the digest of the text, and lengths as token counts."""
     return [(hashlib.md5(t.encode()).hexdigest(), len(t), 32) for t in texts]
@@ -274,6 +284,10 @@ SELECT job_id, input_i, -(job_id % 5 + 0.25::DOUBLE) AS input_tp, 7.1::DOUBLE AS
         stage_round_trip,
         fx.with_tables("decisions") + "\nSELECT * REPLACE (CASE WHEN job_id % 3 = 0 THEN 'keep' ELSE action END AS action) FROM decisions",
     ),
+    "src6_compacted_stage": (
+        stage_compacted,
+        fx.with_tables("decisions") + "\nSELECT * REPLACE ('write ' || CAST(job_id % 10 AS VARCHAR) AS action) FROM decisions",
+    ),
     "src7_job_listing": (
         lambda s, d: stages.parse_job_manifests(manifests(s, d))[0].select("job_id", "state", "source_file", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at")),
         fx.with_tables("jobs") + "\nSELECT CAST(job_id AS VARCHAR) AS job_id, state, source_file, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at FROM jobs WHERE job_id % 11 <> 3",

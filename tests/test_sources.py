@@ -102,3 +102,33 @@ def test_a_job_can_be_replaced_by_an_empty_result(spark, tmp_path):
     assert [tuple(r) for r in stages.read_stage(spark, str(tmp_path), "edit", rows.schema, "x").collect()] == [(1, "a")]
     stages.write_stage(rows.filter("job_id = 2"), str(tmp_path), "edit", "x", version=3, jobs=rows)
     assert sorted(tuple(r) for r in stages.read_stage(spark, str(tmp_path), "edit", rows.schema, "x").collect()) == [(2, "b"), (2, "c")]
+
+
+def test_compaction_leaves_one_folder_and_the_same_rows(spark, tmp_path):
+    schema = "job_id long, v long, m map<string,int>"
+    folders = lambda: sorted(p.name for p in (tmp_path / "vud" / "data").iterdir() if p.name.startswith("folder="))
+    for i in range(5):
+        stages.write_stage(spark.sql(f"SELECT id AS job_id, {i}L AS v, map('x', {i}) AS m FROM range({10 - i})"), str(tmp_path), "vud", version=i)
+    stages.write_stage(spark.createDataFrame([], schema), str(tmp_path), "vud", version=9, jobs=spark.createDataFrame([(0,)], "job_id long"))
+    types = spark.createDataFrame([], schema).schema
+    read = lambda **kw: sorted((r.job_id, r.v, r.m["x"]) for r in stages.read_stage(spark, str(tmp_path), "vud", types, **kw).collect())
+    want = [(j, min(4, 9 - j), min(4, 9 - j)) for j in range(1, 10)]
+    assert read() == want and len(folders()) == 6
+    assert stages.compact_stage(spark, str(tmp_path), "vud", types) == 0
+    assert read() == want and len(folders()) == 7
+    assert stages.compact_stage(spark, str(tmp_path), "vud", types, keep_ms=0) == 6
+    assert read() == want and len(folders()) == 1
+    read_from = {f.rsplit("/", 2)[-2] for f in stages.read_stage(spark, str(tmp_path), "vud", types).inputFiles()}
+    assert {f for f in read_from if f.startswith("folder=")} == set(folders())
+    assert read(job_id=3) == [(3, 4, 4)] and read(job_id=0) == [] and read(job_id=77) == []
+    # A write of a version that compaction has not seen wins over the compacted rows.
+    stages.write_stage(spark.sql("SELECT 3L AS job_id, 50L AS v, map('x', 50) AS m"), str(tmp_path), "vud", version=10)
+    assert read(job_id=3) == [(3, 50, 50)]
+
+
+def test_a_write_without_pointers_is_not_seen(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a")], "job_id long, x string")
+    stages.write_stage(rows, str(tmp_path), "edit")
+    rows.withColumn("x", F.lit("half")).write.parquet(f"{tmp_path}/edit/data/folder=99999")
+    assert [tuple(r) for r in stages.read_stage(spark, str(tmp_path), "edit", rows.schema).collect()] == [(1, "a")]
+    assert stages.compact_stage(spark, str(tmp_path), "edit", rows.schema) == 1
