@@ -354,15 +354,25 @@ def greedy_select(
     )
 
 
-SPREAD = 32
+PART_ROWS = 500_000
+HOT_JOBS = 1000
 
 
-def with_job_row(rows: DataFrame, per_job: DataFrame, by: Column, how: str = "left") -> DataFrame:
+def with_job_row(
+    rows: DataFrame, per_job: DataFrame, by: Column, how: str = "left", sizes: DataFrame | None = None, part_rows: int = PART_ROWS
+) -> DataFrame:
     """Rows next to their job's single row of ``per_job``.
 
-    One job may hold nearly all rows, so they are dealt out by (job, hash of ``by``), and the few job rows are repeated
-    ``SPREAD`` times to meet them.
+    One job may hold nearly all rows.  The rows of a job with more than ``part_rows`` of them are dealt out by a hash of ``by`` into
+    as many parts as its size asks for, and its job row is repeated to meet them; all other jobs are left as they are.  This
+    holds for the 1000 largest jobs, a list of bounded size that is broadcast: any other job has at most a thousandth of
+    all rows.  ``sizes`` (job_id, n) saves counting the rows; it only steers the dealing, so it may be approximate.
     """
-    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(SPREAD)).cast("int"))
-    copies = per_job.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    if sizes is None:
+        sizes = rows.groupBy("job_id").agg(F.count(F.lit(1)).alias("n"))
+    parts = F.ceil(F.col("n") / F.lit(part_rows)).cast("int").alias("_parts")
+    hot = F.broadcast(sizes.filter(F.col("n") > part_rows).orderBy(F.desc("n"), "job_id").limit(HOT_JOBS).select("job_id", parts))
+    number = F.coalesce("_parts", F.lit(1))
+    dealt = rows.join(hot, "job_id", "left").withColumn("_part", F.pmod(F.xxhash64(by), number).cast("int")).drop("_parts")
+    copies = per_job.join(hot, "job_id", "left").withColumn("_part", F.explode(F.sequence(F.lit(0), number - 1))).drop("_parts")
     return dealt.join(copies, ["job_id", "_part"], how).drop("_part")

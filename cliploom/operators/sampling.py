@@ -206,7 +206,8 @@ def representative_frames(scenes: DataFrame, frames: DataFrame, batch: int = 10)
 def even_sample(frames: DataFrame, cap: int, thumb_width: int = 320, cols: int = 6, max_dimension: int = 7500) -> DataFrame:
     """Evenly thin the frames of a job to ``cap`` (0 = all), then to what the sheet height allows."""
     placed = running(frames, ["job_id"], ["frame_number"], F.floor(F.col("frame_number") / F.lit(100_000)).cast("long"), sums={"_i": F.lit(1)})
-    sized = with_job_row(placed, frames.groupBy("job_id").agg(F.count(F.lit(1)).alias("_n")), F.col("frame_number"), "inner")
+    counts = frames.groupBy("job_id").agg(F.count(F.lit(1)).alias("_n"))
+    sized = with_job_row(placed, counts, F.col("frame_number"), "inner", counts.select("job_id", F.col("_n").alias("n")))
     row_h = int(thumb_width * 9 / 16) + 4 * 2 + 22
     fit = (max_dimension // row_h) * cols
 

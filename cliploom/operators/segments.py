@@ -149,10 +149,11 @@ def energy_curve(segments: DataFrame, media: DataFrame) -> DataFrame:
         "is_silent",
         F.when(dur > 0, F.col("word_count") / dur).otherwise(F.lit(0.0)).alias("_rate"),
     )
-    top = rated.groupBy("job_id").agg(F.greatest(F.max("_rate"), F.lit(1.0)).alias("_top"))
+    top = rated.groupBy("job_id").agg(F.greatest(F.max("_rate"), F.lit(1.0)).alias("_top"), F.count(F.lit(1)).alias("n"))
+    sizes, top = top.select("job_id", "n"), top.drop("n")
     loud = media.select("job_id", F.when(F.col("input_i").isNotNull(), 0.3).otherwise(0.5).alias("_loud"))
     per_job = top.join(loud, "job_id", "left").withColumn("_loud", F.coalesce("_loud", F.lit(0.5)))
-    d = with_job_row(rated, per_job, F.col("seq"))
+    d = with_job_row(rated, per_job, F.col("seq"), sizes=sizes)
     r = F.col("_rate") / F.col("_top")
     energy = (
         F.when(F.col("is_silent"), F.lit(0.05))

@@ -24,9 +24,10 @@ def _rates(media: DataFrame) -> DataFrame:
     )
 
 
-def _with_rate(narrow: DataFrame, media: DataFrame) -> DataFrame:
+def _with_rate(narrow: DataFrame, media: DataFrame, decisions: DataFrame) -> DataFrame:
     """Rows with their job's frame rate. Joined to narrow rows, after the word arrays are gone: a job may hold nearly all."""
-    return with_job_row(narrow, _rates(media), F.col("seq")).withColumn("fps", F.coalesce("fps", F.lit(30.0)))
+    sizes = decisions.groupBy("job_id").agg(F.count(F.lit(1)).alias("n"))
+    return with_job_row(narrow, _rates(media), F.col("seq"), sizes=sizes).withColumn("fps", F.coalesce("fps", F.lit(30.0)))
 
 
 def build_clips(
@@ -43,7 +44,7 @@ def build_clips(
     own = [F.col(c) for c in ("transition_before", "transition_default") if c in d.columns]
     d = d.withColumn("_kind", F.coalesce(*own, F.lit(transition)))
     rows = d.select("job_id", "seq", "segment_id", "_kind", F.posexplode_outer("_i").alias("island", "_x"))
-    rows = _with_rate(rows, media).select(
+    rows = _with_rate(rows, media, decisions).select(
         "job_id",
         F.col("seq").alias("decision_seq"),
         "island",
@@ -168,7 +169,7 @@ def plan_captions(
         "job_id", "seq", total.alias("_ms"), F.transform("_c", chunk).alias("_c")
     )
     d = materialize(d, "caption-chunks")
-    lengths = _with_rate(d.select("job_id", "seq", "_ms"), media).select("job_id", "seq", "fps", frames_of(F.col("_ms"), F.col("fps")).alias("_frames"))
+    lengths = _with_rate(d.select("job_id", "seq", "_ms"), media, decisions).select("job_id", "seq", "fps", frames_of(F.col("_ms"), F.col("fps")).alias("_frames"))
     off = running(lengths, ["job_id"], ["seq"], seq_block("seq", ROWS_PER_STEP), sums={"_off": F.col("_frames")})
     rows = d.select("job_id", "seq", F.posexplode_outer("_c").alias("chunk", "_x")).join(off.drop("_frames"), ["job_id", "seq"])
     rows = rows.select(
@@ -208,7 +209,7 @@ def caption_drift(decisions: DataFrame, segments: DataFrame, media: DataFrame, t
     d = windowed(decisions, segments)
     d = d.withColumn("_w", words_inside(F.col("seg_words"), F.col("win_start_ms"), F.col("win_end_ms")))
     d = d.withColumn("_i", speech_islands_of("_w", "win_start_ms", "win_end_ms", threshold_ms))
-    d = _with_rate(d.select("job_id", "seq", F.transform("_i", lambda x: x["end_ms"] - x["start_ms"]).alias("_l")), media)
+    d = _with_rate(d.select("job_id", "seq", F.transform("_i", lambda x: x["end_ms"] - x["start_ms"]).alias("_l")), media, decisions)
     total = F.aggregate("_l", F.lit(0).cast("long"), lambda acc, x: acc + x)
     by_clip = F.aggregate(
         "_l", F.lit(0).cast("long"), lambda acc, x: acc + F.greatest(F.lit(0).cast("long"), frames_of(x, F.col("fps")))

@@ -222,6 +222,31 @@ def test_rows_meet_their_job_row_also_in_a_hot_job(spark):
     assert with_job_row(rows, per_job, F.col("seq"), "inner").count() == sum(x is not None for _, _, x in want)
 
 
+def test_only_hot_jobs_are_dealt_out_by_their_size(spark):
+    from pyspark.sql import functions as F
+
+    from cliploom.operators.blocks import with_job_row
+
+    rows = spark.range(4000).select(F.when(F.col("id") % 20 == 0, F.col("id")).otherwise(7).alias("job_id"), F.col("id").alias("seq"))
+    per_job = rows.select("job_id").distinct().withColumn("x", F.col("job_id") * 2)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions in (8, 200):
+            spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+            spark.conf.set("spark.sql.adaptive.enabled", "false")
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+            got = with_job_row(rows, per_job, F.col("seq"), part_rows=50).withColumn("_p", F.spark_partition_id())
+            hot = got.filter("job_id = 7").groupBy("_p").count().collect()
+            assert got.filter("x = 2 * job_id").count() == 4000
+            # 3800 rows in 76 parts of about 50.
+            assert len(hot) >= min(partitions, 76) * 0.7 and max(r["count"] for r in hot) < 3800 * 3 / min(partitions, 24)
+            assert with_job_row(rows, per_job, F.col("seq")).filter("job_id = 7").select(F.spark_partition_id()).distinct().count() == 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_segments_energy_and_clips_with_one_hot_job(spark):
     """One job holds nearly all words: results equal those of the job alone."""
     from pyspark.sql import functions as F
