@@ -12,18 +12,22 @@ Training reads a bounded sample of labelled rows, as a classifier may: about ``s
 of at most a million bytes each, chosen by a bound on the hash of id and text. So the size of what is sent to the tasks
 does not grow with the input.
 
-Rejection is calibrated on the training sample: a text is rejected if its best cross-entropy lies above the highest one of
-the sample's own texts in that language by ``margin[0]`` bits a character, and ``margin[1] / sqrt(characters)`` more, as
-short texts spread more.
+Rejection is calibrated on a fifth of the sample, scored by models of the other four fifths: in windows of 4, 8, 16, ...
+symbols, how many bits a symbol do a language's own texts need, and how many do texts of other languages that are nearest to
+it once their own model is left out? For each size the limit keeps all but a share ``miss`` of the own windows; where the cheapest
+hundredth of the foreign ones lies higher, the limit is in the middle between both. A text is held against the
+limit of the largest size not above its own that has ``ENOUGH`` windows. The same texts choose how sharply differences
+become the score. The models that predict are then built from the whole sample.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0 and is rejected; ties go to the language that is
-first in the alphabet; a language without training text is never predicted; without any training text all are ``und``.
+first in the alphabet; a language without training text is never predicted; without any training text all are ``und``; a text of fewer than four
+symbols, or of a language with no text in the calibrating fifth, is not rejected.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +40,10 @@ from cliploom.llm.common import free, map_slices, materialize, tidy
 ORDER = 4
 BITS = 6  # of a symbol, where a model is not told otherwise
 UNIT_BITS = 16  # of a code unit; 0 is the gap between words
+PARTS = 5  # one of them calibrates
+ENOUGH = 1000  # windows that a limit is taken from
+BIN = 0.02  # bits; width of the bins in which windows are counted
+SHARPNESS = tuple(2.0**-k for k in range(7))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -160,6 +168,12 @@ class Scorer:
             return None, 0
         codes = grams(out, ORDER)
         total = np.zeros(len(self.models))
+        for part in self.per_symbol(codes):
+            total += part.sum(axis=0, dtype=np.float64)
+        return total / len(codes), len(codes)
+
+    def per_symbol(self, codes: np.ndarray) -> Iterator[np.ndarray]:
+        """Bits of every symbol (rows) under every language (columns), some rows at a time."""
         for b in range(0, len(codes), self.most):
             part = codes[b : b + self.most]
             at = self.find(part)
@@ -170,15 +184,13 @@ class Scorer:
                     new = np.unique(part)
                 self.learn(new)
                 at = self.find(part)
-            total += self.bits[at].sum(axis=0, dtype=np.float64)
-        return total / len(codes), len(codes)
+            yield self.bits[at]
 
 
 class Model:
     def __init__(self, models: dict[str, KneserNey]):
         self.models = models
-        self.usual: dict[str, float] = {}
-        self.margin = (1.0, 8.0)
+        self.limits: dict[str, list[tuple[int, float]]] = {}  # per language: size of a window, bits a symbol; ascending
         self.sharpness = 1.0
 
     def scorer(self) -> Callable[[list], dict]:
@@ -203,16 +215,16 @@ class Model:
         return predict
 
     def limit(self, language: str, n: int) -> float:
-        """Cross-entropy from which a text of n symbols is rejected."""
-        flat, short = self.margin
-        return self.usual.get(language, np.inf) + flat + short / np.sqrt(n)
+        """Cross-entropy above which a text of n symbols is rejected."""
+        return next((bits for size, bits in reversed(self.limits.get(language, [])) if size <= n), np.inf)
 
 
 PREDICTED = "lang_pred string, score double, cross_entropy double, n_symbols long, rejected boolean"
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 2000, margin: tuple[float, float] = (1.0, 8.0)) -> Model:
-    """Fit the models on at most ``sample_rows`` rows per language, outside the held-out ones."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = 2000, miss: float = 1e-4) -> Model:
+    """Fit the models on at most ``sample_rows`` rows per language, outside the held-out ones; ``miss``: share of a
+    language's own windows that its limit may reject."""
     spark = docs.sparkSession
     rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.xxhash64(F.col(id_col).cast("string"), text_col).alias("h"), F.col(lang_col).alias("lang"), F.octet_length(text_col).alias("size"), F.col(text_col).alias("text"))
@@ -222,34 +234,103 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     bounds = [(lang, min(2**63 - 1, int(-(2**63) + min(1.0, sample_rows / n) * (2**64 - 1)))) for lang, n in count.items()]
     bound = F.broadcast(spark.createDataFrame(bounds, "lang string, bound long"))
     chosen = rows.where(F.col("size") <= 1_000_000).join(bound, "lang").where(F.col("h") <= F.col("bound"))
-    sample = materialize(chosen.select("lang", "text"), "language-sample")
+    sample = materialize(chosen.select("lang", "text", (F.pmod(F.xxhash64("h"), F.lit(PARTS)) == 0).alias("judge")), "language-sample")
 
     def count_grams(batches):
         table = letter_table()
         for batch in batches:
             data = batch.to_pydict()
-            for lang in sorted(set(data["lang"])):
-                found = [grams(s, ORDER) for t, k in zip(data["text"], data["lang"], strict=True) if k == lang and len(s := symbols(t, table))]
+            keys = list(zip(data["lang"], data["judge"], strict=True))
+            for key in sorted(set(keys)):
+                found = [grams(s, ORDER) for t, k in zip(data["text"], keys, strict=True) if k == key and len(s := symbols(t, table))]
                 if found:
                     code, n = np.unique(np.concatenate(found), return_counts=True)
-                    yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(code)), "code": pa.array(code.astype(np.int64)), "n": pa.array(n)})
+                    yield pa.RecordBatch.from_pydict({"lang": pa.array([key[0]] * len(code)), "judge": pa.array([key[1]] * len(code)), "code": pa.array(code.astype(np.int64)), "n": pa.array(n)})
 
-    counted = sample.mapInArrow(tidy(count_grams), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
+    counted = sample.mapInArrow(tidy(count_grams), "lang string, judge boolean, code long, n long").groupBy("lang", "code")
+    counted = counted.agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(~F.col("judge"), F.col("n"))), F.lit(0)).alias("fitted")).toPandas()
     # All symbols that end a string, and one for any other.
     n_symbols = len(np.unique(counted["code"].to_numpy().astype(np.uint64) & np.uint64((1 << UNIT_BITS) - 1))) + 1
-    models = {lang: KneserNey(part["code"].to_numpy().astype(np.uint64), part["n"].to_numpy(), n_symbols, UNIT_BITS) for lang, part in counted.groupby("lang")}
-    model = Model(models)
-    if models:
-        _calibrate(model, sample, margin)
+    def fit(rows, column: str) -> dict[str, KneserNey]:
+        rows = rows[rows[column] > 0]
+        return {lang: KneserNey(part["code"].to_numpy().astype(np.uint64), part[column].to_numpy(), n_symbols, UNIT_BITS) for lang, part in rows.groupby("lang")}
+
+    model = Model(fit(counted, "n"))
+    judges = Model(fit(counted, "fitted"))
+    if judges.models:
+        _calibrate(model, judges, sample.where("judge"), miss)
     return model
 
 
-def _calibrate(model: Model, sample: DataFrame, margin: tuple[float, float]) -> None:
-    """The highest cross-entropy that the sample's own texts have in their language, where a text is not very short."""
-    scored = map_slices(sample.select("lang", "text"), "text", model.scorer, PREDICTED, ["lang"])
-    own = scored.where((F.col("lang") == F.col("lang_pred")) & (F.col("n_symbols") >= 100))
-    model.usual = {r["lang"]: r["top"] for r in own.groupBy("lang").agg(F.max("cross_entropy").alias("top")).collect()}
-    model.margin = margin
+def window_counts(bits: np.ndarray, own: int | None) -> Iterator[tuple[str, int, int, np.ndarray, np.ndarray]]:
+    """From bits per symbol and language: kind, language, size, bins and their counts, for all whole windows of every size.
+
+    ``own`` windows are those of the text's language, ``other`` ones those of the cheapest language besides.
+    """
+    upto = np.concatenate((np.zeros((1, bits.shape[1])), np.cumsum(bits, axis=0, dtype=np.float64)))
+    size = 4
+    while size < len(upto):
+        means = np.diff(upto[::size], axis=0) / size
+        if own is not None:
+            yield "own", own, size, *np.unique(np.ceil(means[:, own] / BIN).astype(np.int64), return_counts=True)
+            means[:, own] = np.inf
+        near = means.argmin(axis=1)
+        for k in np.unique(near) if means.shape[1] > (own is not None) else ():
+            yield "other", int(k), size, *np.unique(np.ceil(means[near == k, k] / BIN).astype(np.int64), return_counts=True)
+        size *= 2
+
+
+def _calibrate(model: Model, judges: Model, sample: DataFrame, miss: float) -> None:
+    """Limits and sharpness from texts that ``judges`` were not built from."""
+
+    def judge(batches):
+        table = letter_table()
+        score = Scorer(judges.models, table)
+        place = {k: i for i, k in enumerate(score.languages)}
+        for batch in batches:
+            seen: dict[tuple, float] = {}
+            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
+                found = symbols(text, table)
+                if not len(found):
+                    continue
+                own, total, codes = place.get(lang), 0.0, grams(found, ORDER)
+                for bits in score.per_symbol(codes):
+                    total = total + bits.sum(axis=0, dtype=np.float64)
+                    for kind, k, size, bins, n in window_counts(bits, own):
+                        for b, c in zip(bins.tolist(), n.tolist(), strict=True):
+                            key = (kind, score.languages[k], size, b)
+                            seen[key] = seen.get(key, 0.0) + c
+                if own is not None:
+                    far = np.minimum((total - total.min()) / np.sqrt(len(codes)), 60)
+                    for i, s in enumerate(SHARPNESS):
+                        loss = s * far[own] + np.log(np.exp(-s * far).sum())
+                        seen["loss", "", i, 0] = seen.get(("loss", "", i, 0), 0.0) + float(loss)
+            if seen:
+                kind, lang, size, b = zip(*seen, strict=True)
+                yield pa.RecordBatch.from_pydict({"kind": pa.array(kind), "lang": pa.array(lang), "size": pa.array(size, pa.int64()), "bin": pa.array(b, pa.int64()), "n": pa.array(list(seen.values()), pa.float64())})
+
+    got = sample.select("lang", "text").mapInArrow(tidy(judge), "kind string, lang string, size long, bin long, n double")
+    got = got.groupBy("kind", "lang", "size", "bin").agg(F.sum("n").alias("n")).toPandas()
+    loss = got[got["kind"] == "loss"].sort_values("size")["n"].to_numpy()
+    if len(loss):
+        model.sharpness = SHARPNESS[int(np.argmin(loss))]
+    groups = {key: part.sort_values("bin") for key, part in got[got["kind"] != "loss"].groupby(["kind", "lang", "size"])}
+
+    def level(kind: str, lang: str, size: int, share: float) -> float:
+        """The bits that a share of the windows does not exceed."""
+        part = groups[kind, lang, size]
+        upto = part["n"].cumsum().to_numpy()
+        return float(part["bin"].to_numpy()[np.searchsorted(upto, np.ceil(share * upto[-1]))] * BIN)
+
+    for lang in model.models:
+        sizes = sorted(size for kind, k, size in groups if kind == "own" and k == lang)
+        enough = [size for size in sizes if groups["own", lang, size]["n"].sum() >= ENOUGH] or sizes[:1]
+        limits = []
+        for size in enough:
+            top = level("own", lang, size, 1 - miss)
+            foreign = level("other", lang, size, 0.01) if ("other", lang, size) in groups else top
+            limits.append((int(size), max(top, (top + foreign) / 2)))
+        model.limits[lang] = limits
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -88,7 +88,8 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/cliploom/warc-{uuid.uuid4().hex}"
-    warc.write_warc(table(spark, sf_dir, "pages"), path)
+    # Plain archives of any number of records, so that large ones are read in several splits.
+    warc.write_warc(table(spark, sf_dir, "pages"), path, compression="none", records_per_file=0)
     return warc.warc_pages(spark, path)
 
 

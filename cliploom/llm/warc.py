@@ -6,13 +6,14 @@ last are the sink's line separator, so executors write archives through Spark in
 
 Reading. The reader cuts files at the magic ``WARC/1.0``, in splits, so a file of any size is read by many tasks. A magic
 may stand inside a payload, hence a cut is only a candidate. Each candidate gives its own offset and, from its header's
-content length, that of its successor. Within a split candidates follow their successors until they leave it; from split
-to split the same pointers are doubled (log2 of the number of splits) until all offsets that can be reached from the
-file's start are known. Only reachable candidates are records; pieces between two of them belong to the first one's
+content length, that of its successor. Within a split pointers are doubled over arrays (log2 of the number of candidates)
+to find where each chain leaves it; from split to split the same is done by joins (log2 of the number of splits) until all
+offsets that can be reached from the file's start are known; then marks go along the doubled pointers of every split. Only reachable candidates are records; pieces between two of them belong to the first one's
 payload and are put together again.
 
 Defined results: a null payload is empty; a null id is written as ``null`` and is smaller than any other; rows with equal ids
-and payloads are responses both, if the id is the largest; what follows a broken header is not reachable and is left out;
+and payloads are responses both, if the id is the largest; what follows a broken header (no content length, a negative one, or one above ``MOST_BYTES``) is not reachable and is left out;
+very long payloads lie in one row like any Spark text; only the three named columns are read, so others may clash;
 an empty table gives an archive without records.
 """
 
@@ -29,6 +30,7 @@ from cliploom.llm.common import materialize, whole
 
 MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
+MOST_BYTES = 1 << 48  # of a block; a header that states more is broken
 # Digits of base 32 as the SQL function conv writes them, and as RFC 4648 does.
 CONV_DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 BASE32_DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -105,18 +107,25 @@ def _exits(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"file": part["file"], "split": part["split"], "mid": part["mid"], "at": at, "after": after, "leaves": leaves, "size": int(size.sum())})
 
 
+def _reached(following: np.ndarray, entries: np.ndarray) -> np.ndarray:
+    """Which candidates the chains from ``entries`` (indexes) pass: marks go along pointers that double in every round."""
+    reached = np.zeros(len(following), bool)
+    reached[entries] = True
+    jump = np.where(following >= 0, following, np.arange(len(following)))
+    while True:
+        reached[jump[reached]] = True
+        further = jump[jump]
+        if (further == jump).all():
+            return reached
+        jump = further
+
+
 def _marked(part: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
     """Mark what the split's entry reaches, and tell for every piece the last reached one before it (-1: none here)."""
     part = part.sort_values("at")
     at = part["at"].to_numpy()
     following, _ = _chain(at, part["after"].to_numpy(), int(part["size"].iloc[0]) if len(part) else 0)
-    reached = np.zeros(len(at), bool)
-    for e in entry["entry"]:
-        k = int(np.searchsorted(at, e))
-        k = k if k < len(at) and at[k] == e else -1
-        while k >= 0 and not reached[k]:
-            reached[k] = True
-            k = following[k]
+    reached = _reached(following, np.flatnonzero(np.isin(at, entry["entry"].to_numpy())))
     owner = np.maximum.accumulate(np.where(reached, np.arange(len(at)), -1)) if len(at) else at
     start = part["base"].to_numpy() + at
     return pd.DataFrame(
@@ -141,6 +150,8 @@ def read_warc(spark: SparkSession, path: str, derived: dict[str, Column] | None
     )
     # A header is complete only if its blank line is there.
     content = F.when(F.octet_length("header") < F.col("len"), header_field(F.col("header"), "Content-Length").try_cast("long"))
+    # A payload may hold any number: successors lie behind their record, and sums of offsets stay within 64 bits.
+    content = F.when(content.between(0, MOST_BYTES), content)
     start = F.octet_length("header") + len(END)
     pieces = raw.withColumn("content", content).withColumn("value", F.col("value").cast("binary"))
     pieces = pieces.withColumn("total", start + F.col("content") + len(END) + len(MAGIC))

@@ -2,9 +2,12 @@
 
 import base64
 import hashlib
+import math
 import random
+import re
 import time
 import uuid
+import zlib
 from collections import Counter
 
 import brute
@@ -415,6 +418,7 @@ def test_warc(spark, compression, split):
     magic = "WARC/1.0\r\n"
     fake = magic + "WARC-Type: response\r\nWARC-Record-ID: <urn:record:77>\r\nContent-Length: 5\r\n\r\nabcde\r\n\r\n"
     rows = [(1, "a"), (2, "a"), (3, None), (4, ""), (5, f"x{magic}y"), (6, fake), (7, fake * 3 + "tail"), (8, magic), (9, "é" * 1000 + magic * 5), (10, "z" * 5000), (11, "\r\n\r\n"), (12, "q" * 20000 + magic + "w" * 20000)]
+    rows += [(13 + i, f"x{magic}Content-Length: {n}\r\n\r\n" + "y" * 100) for i, n in enumerate([-40, -110, 2**63 - 1, 2**48 + 1, "1e3"])]
     rows += [(i, f"p{i} " * (i % 50) + (fake if i % 7 == 0 else "")) for i in range(20, 120)]
     df = spark.createDataFrame([(p, None if p % 5 == 0 else f"http://x/é\r\n {p}", h, "x") for p, h in rows], "page_id long, url string, html string, _id string").repartition(3)
     path = f"{scratch_dir(spark)}/warc-{uuid.uuid4().hex}"
@@ -437,6 +441,87 @@ def test_warc(spark, compression, split):
     assert got == sorted(want, key=lambda r: r[0])
 
 
+def test_marks_go_along_chains():
+    r = np.random.default_rng(4)
+    for n in (1, 2, 7, 300):
+        following = np.array([r.choice([-1, *range(i + 1, min(n, i + 4))]) if i + 1 < n else -1 for i in range(n)])
+        for _ in range(5):
+            entries = np.unique(r.integers(0, n, r.integers(0, 3)))
+            want = set()
+            for k in entries:
+                while k >= 0:
+                    want.add(int(k))
+                    k = following[k]
+            assert np.flatnonzero(warc._reached(following, entries)).tolist() == sorted(want)
+
+
+def test_language_equals_a_plain_model(spark):
+    """Prediction, cross-entropy and rejection against models of dictionaries, fitted on the same rows."""
+    r = random.Random(21)
+    sounds = {"aa": "tha ing ou er st".split(), "bb": "sch ung ei ü st".split(), "cc": "ción os ña lo st".split()}
+    make = lambda k, n: " ".join("".join(r.choice(sounds[k]) for _ in range(3)) for _ in range(n))
+    rows = [(i, make(k, r.choice([3, 30, 90])), k) for i, k in enumerate(sorted(sounds) * 60)]
+    rows += [(1000, "Жизнь " * 30, None), (1001, None, "aa"), (1002, "..", "bb"), (1003, make("aa", 9) + " " + make("cc", 4), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs)
+    strings = lambda t: [("\0\0" + w)[i : i + 4] for w in ["\0" + "\0".join(re.findall(r"[^\W\d_]+", t.lower())) + "\0"] for i in range(len(w) - 1)]
+    counts = {k: Counter() for k in sounds}
+    for i, t, k in rows:
+        if k and t and zlib.crc32(str(i).encode()) % 4 != 2 and re.search(r"[^\W\d_]", t):
+            counts[k].update(strings(t))
+    alphabet = {s[-1] for c in counts.values() for s in c}
+
+    def levels(count):
+        out = []
+        for order in (4, 3, 2, 1):
+            ones, twos = (sum(v == n for v in count.values()) for n in (1, 2))
+            discount = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
+            total, kinds = Counter(), Counter()
+            for s, n in count.items():
+                total[s[:-1]] += n
+                kinds[s[:-1]] += 1
+            out.insert(0, (count, total, kinds, discount))
+            count = Counter({s[1:]: 0 for s in count}) + Counter(s[1:] for s in count)
+        return out
+
+    def bits(t, fitted):
+        sum_ = 0.0
+        for s in strings(t):
+            p = 1 / (len(alphabet) + 1)
+            for order, (count, total, kinds, discount) in enumerate(fitted, 1):
+                part = s[4 - order :]
+                if part[:-1] in total:
+                    p = (max(count[part] - discount, 0) + discount * kinds[part[:-1]] * p) / total[part[:-1]]
+            sum_ -= math.log2(p)
+        return sum_ / len(strings(t))
+
+    fitted = {k: levels(c) for k, c in counts.items()}
+    got = by_id(language.identify(docs, model))
+    assert sorted(got) == sorted(i for i, _, _ in rows)
+    for i, t, _ in rows:
+        x = got[i]
+        if not t or not re.search(r"[^\W\d_]", t):
+            assert (x["lang_pred"], x["score"], x["rejected"]) == ("und", 0.0, True)
+            continue
+        plain = {k: bits(t, f) for k, f in fitted.items()}
+        best = min(sorted(plain), key=plain.get)
+        n = len(strings(t))
+        odds = [math.exp(-model.sharpness * min((v - plain[best]) * math.sqrt(n), 60)) for v in plain.values()]
+        assert x["lang_pred"] == best and abs(x["cross_entropy"] - plain[best]) < 1e-4 and x["n_symbols"] == n
+        assert abs(x["score"] - 1 / sum(odds)) < 1e-3
+        limit = [b for size, b in model.limits[best] if size <= n]
+        assert x["rejected"] == bool(limit and x["cross_entropy"] > limit[-1])
+    assert got[1000]["rejected"]
+
+
+def test_windows_are_counted_by_size():
+    bits = np.array([[1.0, 3.0], [1.0, 3.0], [1.0, 3.0], [1.0, 3.0], [2.0, 9.0], [2.0, 9.0], [2.0, 9.0], [2.0, 9.0], [50.0, 50.0]])
+    got = {(kind, k, size): (bins.tolist(), n.tolist()) for kind, k, size, bins, n in language.window_counts(bits, 0)}
+    at = lambda x: math.ceil(x / language.BIN)
+    assert got == {("own", 0, 4): ([at(1), at(2)], [1, 1]), ("other", 1, 4): ([at(3), at(9)], [1, 1]), ("own", 0, 8): ([at(1.5)], [1]), ("other", 1, 8): ([at(6)], [1])}
+    assert not [x for x in language.window_counts(bits[:, :1], 0) if x[0] == "other"]
+
+
 def test_language(spark, hard):
     # Invented languages: consonants and vowels in different proportions.
     r = random.Random(8)
