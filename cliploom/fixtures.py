@@ -116,17 +116,19 @@ def media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @stored
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One segment per document; after that of every eighth one, a silent segment of the same length."""
     d = F.col("doc_id")
     docs = table(spark, sf_dir, "documents").select(
         "doc_id",
+        F.explode(F.when(d % 8 == 0, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("silent"),
         (d % 20).alias("job_id"),
         (2000 + (F.col("n_chars") * 20) % 45000).alias("dur"),
         F.col("text").alias("transcript"),
         "source",
     )
-    c = running(docs, ["job_id"], ["doc_id"], seq_block("doc_id"), sums={"seq": F.lit(1), "s0": F.col("dur")})
+    c = running(docs, ["job_id"], ["doc_id", "silent"], seq_block("doc_id"), sums={"seq": F.lit(1), "s0": F.col("dur")})
     said = (
-        F.when(d % 8 == 0, "")
+        F.when(F.col("silent"), "")
         .when(d % 11 == 3, F.concat(F.lit("Let me explain. "), F.col("transcript")))
         .otherwise(F.col("transcript"))
     )
@@ -150,7 +152,7 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(d % 6 == 2, "Unstable street shot")
         .alias("visual_description"),
         F.when(d % 4 == 0, "static").when(d % 4 == 1, "handheld shake").when(d % 4 == 2, "pan").alias("camera_motion"),
-        (d % 8 == 0).alias("is_silent"),
+        F.col("silent").alias("is_silent"),
         (d % 10 == 0).alias("is_blurry"),
     )
 
@@ -302,19 +304,20 @@ SELECT job_id, CASE job_id % 3 WHEN 0 THEN 30 WHEN 1 THEN 25 ELSE 24 END AS fps,
 FROM (SELECT DISTINCT conv_id AS job_id FROM conversations UNION SELECT DISTINCT user_id FROM events) j""")
 CTES["segments"] = ((), """
 WITH d AS (
-  SELECT doc_id, doc_id % 20 AS job_id, row_number() OVER (PARTITION BY doc_id % 20 ORDER BY doc_id) - 1 AS seq,
-    2000 + (n_chars * 20) % 45000 AS dur, text AS transcript, source FROM documents),
+  SELECT doc_id, silent, doc_id % 20 AS job_id, row_number() OVER (PARTITION BY doc_id % 20 ORDER BY doc_id, silent) - 1 AS seq,
+    2000 + (n_chars * 20) % 45000 AS dur, text AS transcript, source
+  FROM (SELECT *, unnest(CASE WHEN doc_id % 8 = 0 THEN [false, true] ELSE [false] END) AS silent FROM documents)),
 c AS (SELECT *, coalesce(sum(dur) OVER (PARTITION BY job_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s0 FROM d)
 SELECT job_id, CAST(seq AS BIGINT) AS seq, printf('seg_%03d', seq) AS segment_id,
   CAST(s0 - CASE WHEN seq % 23 = 22 THEN 500 ELSE 0 END AS BIGINT) AS start_ms, CAST(s0 + dur AS BIGINT) AS end_ms,
-  CASE WHEN doc_id % 8 = 0 THEN '' WHEN doc_id % 11 = 3 THEN concat('Let me explain. ', transcript) ELSE transcript END AS transcript,
+  CASE WHEN silent THEN '' WHEN doc_id % 11 = 3 THEN concat('Let me explain. ', transcript) ELSE transcript END AS transcript,
   CAST((doc_id * 13) % 100 AS DOUBLE) / 100 AS energy,
   CASE doc_id % 7 WHEN 0 THEN 'interview' WHEN 1 THEN 'action' WHEN 2 THEN 'screenrec' WHEN 3 THEN 'b-roll' WHEN 4 THEN 'title' WHEN 5 THEN 'other' END AS scene_type,
   CAST(doc_id % 5 + 1 AS BIGINT) AS visual_interest,
   CASE WHEN doc_id % 9 = 2 THEN concat('Menu ', source) END AS text_on_screen,
   CASE doc_id % 6 WHEN 0 THEN 'A bar chart on a whiteboard' WHEN 1 THEN 'Two people talking' WHEN 2 THEN 'Unstable street shot' END AS visual_description,
   CASE doc_id % 4 WHEN 0 THEN 'static' WHEN 1 THEN 'handheld shake' WHEN 2 THEN 'pan' END AS camera_motion,
-  doc_id % 8 = 0 AS is_silent, doc_id % 10 = 0 AS is_blurry
+  silent AS is_silent, doc_id % 10 = 0 AS is_blurry
 FROM c""")
 _DECISIONS = """
 SELECT job_id, seq, CASE WHEN seq % 31 = 30 THEN 'seg_missing' ELSE segment_id END AS segment_id,
