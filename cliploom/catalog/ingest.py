@@ -210,6 +210,19 @@ def answers(s, d):
     return model_calls.call_model(pages, ["job_id", "page"], "document", stub_model, "anthropic", "claude-haiku-4-5-20251001", "understand")
 
 
+def ledger_answers(s, d):
+    """A run over every third page, then one over all by a model that answers otherwise: what is in the ledger stays."""
+    pages = scratch.materialize(digest.digest_documents(digest.digest_lines(fx.segments(s, d), "topics"), 20), "pages")
+    ledger = f"{scratch.scratch_dir(s)}/ledger-{uuid.uuid4().hex}"
+
+    def ask(df, run):
+        model = lambda texts: [(f"{run} {a}", n, m) for a, n, m in stub_model(texts)]
+        return model_calls.ask_once(df, ["job_id", "page"], "document", model, ledger, "anthropic", "claude-haiku-4-5-20251001")
+
+    ask(pages.filter("page % 3 = 0"), "first")
+    return ask(pages, "second")
+
+
 _TOPIC_LINE = "'[' || seq || '] (' || " + "printf('%d.%d', (start_ms + 50) // 1000, (start_ms + 50) % 1000 // 100) || 's-' || printf('%d.%d', (end_ms + 50) // 1000, (end_ms + 50) % 1000 // 100) || 's) ' || substr(transcript, 1, 200)"
 _ANSWERS = fx.with_tables("segments") + f""", l AS (SELECT job_id, seq // 20 AS page, string_agg({_TOPIC_LINE}, chr(10) ORDER BY seq) AS doc FROM segments GROUP BY ALL),
 a AS (SELECT job_id, page, md5(doc) AS content, CAST(length(doc) AS BIGINT) AS input_tokens, CAST(32 AS BIGINT) AS output_tokens, 'anthropic' AS provider, 'claude-haiku-4-5-20251001' AS model, 'understand' AS stage,
@@ -376,6 +389,13 @@ SELECT job_id, 0 AS ord, segment_id, CASE WHEN seq % 2 = 0 THEN 'enhancement_req
         lambda s, d: answers(s, d).withColumn("cost_usd", F.round("cost_usd", 9)),
         _ANSWERS + "\nSELECT * REPLACE (round(cost_usd, 9) AS cost_usd) FROM a",
     ),
+    "udf1_ledger_answers": (
+        ledger_answers,
+        _ANSWERS
+        + """
+SELECT job_id, page, concat(CASE WHEN bool_or(page % 3 = 0) OVER (PARTITION BY doc) THEN 'first ' ELSE 'second ' END, md5(doc)) AS content,
+  CAST(length(doc) AS BIGINT) AS input_tokens, CAST(32 AS BIGINT) AS output_tokens, CAST(NULL AS VARCHAR) AS error FROM l""",
+    ),
     "udf2_usage_by_stage": (
         lambda s, d: answers(s, d).groupBy("stage", "provider", "model").agg(
             F.count(F.lit(1)).alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.round(F.sum("cost_usd"), 6).alias("cost_usd")
