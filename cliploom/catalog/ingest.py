@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cliploom import fixtures as fx
 from cliploom.catalog import understand as un
 from cliploom.operators import costs, digest, model_calls
-from cliploom.sources import artifacts, images, responses, scratch, stages
+from cliploom.sources import artifacts, files, images, responses, scratch, stages
 
 
 def sec(c):
@@ -141,7 +141,7 @@ def progress(s, d):
 def payload_files(s, payloads, name):
     """Payloads written as one folder per job and part."""
     root = f"{scratch.scratch_dir(s)}/{name}-{uuid.uuid4().hex}"
-    payloads.withColumnRenamed("payload", "value").repartition("job_id", "part").write.partitionBy("job_id", "part").text(root)
+    files.write_files(payloads, root, ["job_id", "part"], "payload")
     return root
 
 
@@ -175,7 +175,7 @@ def scanned_scenes(s, d):
 def images_from_files(s, d):
     """The pages written as files, and listed as images from there."""
     root = f"{scratch.scratch_dir(s)}/images-{uuid.uuid4().hex}"
-    fx.table(s, d, "pages").select("page_id", F.col("html").alias("value")).repartition("page_id").write.partitionBy("page_id").text(root)
+    files.write_files(fx.table(s, d, "pages"), root, ["page_id"], "html")
     fits, oversize = images.image_catalog(s, root, 1500)
     both = fits.select("path", "media_type", "length", F.lit(True).alias("fits")).unionByName(oversize.withColumn("fits", F.lit(False)))
     return both.select(F.regexp_extract("path", "/page_id=([0-9]+)/", 1).cast("long").alias("page_id"), "media_type", "length", "fits")

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from cliploom.functions.direction import TRANSCRIPT_RTL_LANGUAGES
 from cliploom.functions.text import hash_half, js_round
 from cliploom.operators.blocks import running, seq_block
-from cliploom.sources.items import SPLIT_BYTES, file_names, items_of, list_files
+from cliploom.sources.files import list_files, read_files
+from cliploom.sources.items import SPLIT_BYTES, file_names, items_of
 from cliploom.sources.responses import is_json
 
 WORD = "struct<text:string,start:double,end:double,confidence:double,speaker:string>"
@@ -37,11 +38,8 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     The folder names the job.  A long result may come in several files; the number at the end of the
     file name (frames_12.json) is its part, 0 without one.  Folders that Spark writes (job_id=7/part=12/...) work too.
     """
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(
-        F.col("value").alias("payload"), F.col("_metadata.file_path").alias("file")
-    )
-    job, part = file_names(F.col("file"))
-    return files.select(job.alias("job_id"), part.alias("part"), "payload")
+    job, part = file_names(F.col("path"))
+    return read_files(list_files(spark, path), "detect").select(job.alias("job_id"), part.alias("part"), F.col("content").cast("string").alias("payload"))
 
 
 def _ms(c):

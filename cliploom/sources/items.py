@@ -10,14 +10,14 @@ read twice:
 2. these rows, one of some hundred bytes per range, are folded along each file and give every range its start;
 3. each range is read again and gives the items that begin in it, the last one possibly by reading on.
 
-Files are listed by Spark and read by ``pyarrow.fs``, so folders may be local, HDFS or an object store.
+A task reads many ranges, about ``SPLIT_BYTES`` of them, neighbours of a file together; so short ranges or small files make no
+more tasks than long ones.  Files are listed and read by ``pyarrow.fs``, so folders may be local, HDFS or an object store.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator, Sequence
-from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
@@ -25,15 +25,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cliploom.operators.blocks import running, seq_block
+from cliploom.operators.blocks import running, seq_block, whole_groups
+from cliploom.sources.files import OUT_BYTES, OUT_ROWS, list_files, where_is  # noqa: F401
 from cliploom.sources.scratch import materialize
 
 SPLIT_BYTES = 16 << 20
+RANGE_COST = 4096  # bytes that opening a range is worth
 MAX_TASKS = 20_000
 OPEN = "struct<kind:string,key:string>"
 EFFECT = f"struct<closes:bigint,n_opens:bigint,opens:array<{OPEN}>>"
 RANGE = "file string, job_id string, part bigint, no bigint, lo bigint, hi bigint"
-OUT_ROWS, OUT_BYTES = 10_000, 16 << 20
 
 
 def file_names(file: Column) -> tuple[Column, Column]:
@@ -51,14 +52,9 @@ class _File:
         self.name, self.f = None, None
 
     def read(self, name: str, lo: int, hi: int) -> bytes:
-        from pyarrow import fs
-
         if name != self.name:
             self.close()
-            if name.startswith("file:"):
-                where, path = fs.LocalFileSystem(), re.sub("^file:/*", "/", name)
-            else:
-                where, path = fs.FileSystem.from_uri(quote(name, safe="/:@"))
+            where, path = where_is(name)
             self.name, self.f = name, where.open_input_file(path)
         lo = max(lo, 0)
         return self.f.read_at(hi - lo, lo) if hi > lo else b""
@@ -152,7 +148,9 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     src = _File()
     opened = pa.struct([("kind", pa.string()), ("key", pa.string())])
     effect = pa.struct([("closes", pa.int64()), ("n_opens", pa.int64()), ("opens", pa.list_(opened))])
+    types = [pa.bool_(), pa.bool_(), effect, effect]
     for batch in batches:
+        found = []
         for row in batch.to_pylist():
             data = src.read(row["file"], row["lo"], row["hi"])
             escaped = _backslashes_before(src, row["file"], row["lo"]) % 2 == 1
@@ -160,17 +158,22 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for inside in (False, True):
                 at, ch, quotes = _marks(data, inside, escaped)
                 both.append(_effect(src, row["file"], row["lo"], at, ch))
-            cols = [pa.array([row[c]], batch.schema.field(c).type) for c in batch.schema.names]
-            cols += [pa.array([quotes % 2 == 1]), pa.array([escaped]), pa.array([both[0]], effect), pa.array([both[1]], effect)]
+            found.append((quotes % 2 == 1, escaped, *both))
+        if found:
+            cols = [*batch.columns, *(pa.array(c, t) for c, t in zip(zip(*found), types))]
             yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names, "turns", "escaped", "outer", "inner"])
     src.close()
 
 
 def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Start of every range of one file; a file that does not end where it began is marked."""
-    pdf = pdf.sort_values("no", ignore_index=True)
-    inside, depth, stack, ok, starts = False, 0, [], True, []
-    for turns, outer, inner in zip(pdf["turns"], pdf["outer"], pdf["inner"]):
+    """Start of every range of whole files, by file and number; the ranges of a file that does not end where it began are marked."""
+    starts, whole, first, file = [], [], 0, None
+    inside, depth, stack, ok = False, 0, [], True
+    for name, turns, outer, inner in zip(pdf["file"], pdf["turns"], pdf["outer"], pdf["inner"]):
+        if name != file:
+            whole += [ok and depth == 0 and not inside] * (len(starts) - first)
+            first, file = len(starts), name
+            inside, depth, stack, ok = False, 0, [], True
         starts.append((inside, depth, [dict(o) for o in stack]))
         e = inner if inside else outer
         depth -= e["closes"]
@@ -179,13 +182,17 @@ def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
         stack = stack[:depth] + [dict(o) for o in e["opens"]][: max(0, 2 - depth)]
         depth += e["n_opens"]
         inside = inside != turns
-    ok = ok and depth == 0 and not inside
+    whole += [ok and depth == 0 and not inside] * (len(starts) - first)
     out = pdf[["file", "job_id", "part", "no", "lo", "hi", "escaped"]].copy()
     out["inside"], out["depth"], out["stack"] = (list(x) for x in zip(*starts))
-    out["whole"] = ok
+    out["whole"] = whole
     return out
 
 
+def _folds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    return map(_fold, whole_groups(batches, ["file"]))
+
+
 def _events(src: _File, name: str, base: int, data: bytes, inside: bool, escaped: bool, depth: int, stack: list, array: str):
     """Where the wanted array's items and the text outside of containers begin and end.
 
@@ -248,41 +255,36 @@ def _cutter(array: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
             rest = src.read(name, row["hi"], row["hi"] + 3)
             yield lo + head, None, data[head:] + rest[: len(rest) - len(_from_character(rest))]
         if start is not None:
-            step = 1 << 16
+            step = 1 << 10
             open_array = [{"kind": "{", "key": None}, {"kind": "[", "key": array}]
             while True:
                 more = src.read(name, lo + start, lo + start + step)
                 end = next((p for p, w in _events(src, name, lo + start, more, False, False, 2, open_array, array) if w in "dC"), None)
                 if end is not None or len(more) < step:
                     break
-                step *= 2
+                step *= 4
             item = more[:end].strip()
             if item:
                 yield lo + start, k, item
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         src = _File()
+        rows, size = [], 0
         for batch in batches:
             for row in batch.to_pylist():
-                rows, size = [], 0
                 for at, k, value in pieces(src, row):
                     rows.append((row["file"], row["job_id"], row["part"], row["no"], at, k, value.decode("utf-8", "replace")))
                     size += len(value)
                     if len(rows) >= OUT_ROWS or size >= OUT_BYTES:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
                         rows, size = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
         src.close()
 
     return cut
 
 
-def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length) of all files below ``path``; their content is not read."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
-
-
 def items_of(
     files: DataFrame, array: str, split_bytes: int = SPLIT_BYTES, jobs: Sequence[str] | None = None, max_tasks: int = MAX_TASKS
 ) -> tuple[DataFrame, DataFrame]:
@@ -294,7 +296,7 @@ def items_of(
 
     ``jobs`` leaves out the files of other jobs before anything is read.  A file whose strings or brackets do not
     close gives neither items nor a head; so does an empty one, or one whose text is an array.  If
-    the member occurs twice, the items of both count.  An item is held whole by one task, a range never with another.
+    the member occurs twice, the items of both count.  An item is held whole by one task, one range at a time.
     The function runs jobs when called and writes its rows to the shared folder.
     """
     spark = files.sparkSession
@@ -308,11 +310,14 @@ def items_of(
         "file", "job_id", "part", "no", (F.col("no") * size).alias("lo"), F.least((F.col("no") + 1) * size, "length").alias("hi")
     )
     ranges = materialize(ranges, "ranges")
-    tasks = max(1, min(ranges.count(), max_tasks))
-    dealt = lambda df: df.repartition(tasks, "file", "no")
+    n, size = ranges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("hi") - F.col("lo")), F.lit(0))).first()
+    work, cores = size + n * RANGE_COST, spark.sparkContext.defaultParallelism
+    tasks = max(1, min(n, max_tasks, -(-work // max(split_bytes, min(SPLIT_BYTES, work // cores)))))
+    width = max(split_bytes, min(SPLIT_BYTES, size // cores))
+    dealt = lambda df: df.repartition(tasks, "file", F.floor(F.col("lo") / F.lit(width))).sortWithinPartitions("file", "no")
     effects = dealt(ranges).mapInArrow(_summaries, f"{RANGE}, turns boolean, escaped boolean, outer {EFFECT}, inner {EFFECT}")
-    starts = effects.groupBy("file").applyInPandas(
-        _fold, f"{RANGE}, escaped boolean, inside boolean, depth bigint, stack array<{OPEN}>, whole boolean"
+    starts = effects.repartition("file").sortWithinPartitions("file", "no").mapInPandas(
+        _folds, f"{RANGE}, escaped boolean, inside boolean, depth bigint, stack array<{OPEN}>, whole boolean"
     )
     starts = materialize(starts, "starts").filter("whole")
     cut = materialize(
