@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cliploom.functions.text import image_media_type
+from cliploom.sources.files import list_files, read_files
+from cliploom.sources.scratch import materialize
 
 MAX_BYTES = 5 * 1024 * 1024
 
@@ -18,5 +20,7 @@ def image_rows(files: DataFrame, max_bytes: int = MAX_BYTES) -> tuple[DataFrame,
 
 
 def image_catalog(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return image_rows(files, max_bytes)
+    """``image_rows`` of all files below ``path``, which are listed when called; the content of oversize ones is not read."""
+    files = materialize(list_files(spark, path), "files")
+    fits, _ = image_rows(read_files(files.filter(F.col("length") <= max_bytes)), max_bytes)
+    return fits, image_rows(files.withColumn("content", F.lit(None).cast("binary")), max_bytes)[1]
