@@ -99,3 +99,34 @@ def test_session_counts_follow_the_batch_rule(spark, tmp_path):
     rows = rows.withColumn("ts", mon.event_time("start_ms")).collect()
     out, _ = batches(spark, tmp_path, schema, [[tuple(r) for r in rows]], mon.speech_sessions)
     assert sorted(tuple(r) for r in out.where(F.col("job_id") == 1).collect()) == [(1, 0, 1700), (1, 9000, 9100)]
+
+
+def test_few_rows_of_many_buckets_wait_together(spark, tmp_path):
+    schema = "job_id long, ts timestamp, seq long, state string"
+    walk = ["created", "rendering", "created", "ingesting"]
+    events = [(job, at(3600 * n), n, walk[n % 4]) for job in (1, 2) for n in range(40)]
+    out, _ = batches(spark, tmp_path, schema, [events], mon.transition_alerts)
+    waits = spark.read.format("statestore").option("path", f"{tmp_path}/state").option("stateVarName", "waiting").load()
+    assert waits.count() <= 4  # one part of a job for what the first watermark left, not one for each hour
+    far = [(-1, at(3600 * 100), 0, "created")]
+    out, late = batches(spark, tmp_path, schema, [far], mon.transition_alerts)
+    legal = {("created", "ingesting")}
+    want = {(j, n, walk[(n - 1) % 4], walk[n % 4]) for j in (1, 2) for n in range(1, 40) if (walk[(n - 1) % 4], walk[n % 4]) not in legal}
+    assert {tuple(r) for r in out.collect()} == want and late == 0
+
+
+def test_parts_that_reach_over_each_other_are_released_in_order(spark, tmp_path):
+    schema = "job_id long, ts timestamp, seq long, state string"
+    r = random.Random(5)
+    mixed = sorted(((1, at(7 * n), n, str(n)) for n in range(400)), key=lambda e: e[2] * 7 + r.randrange(500))
+    slices = [mixed[i : i + 80] for i in range(0, 400, 80)] + [[(-1, at(90_000), 0, "x")]]
+
+    def moves(df):
+        names = mon.T.StructType([df.schema["job_id"], df.schema["seq"], mon.T.StructField("prev_state", mon.T.StringType()), df.schema["state"]])
+        op = mon.Moves(names, ["seq"], 20_000, 3_600_000)
+        op.few, op.together = 9, 2
+        return op.over(df, "10 minutes")
+
+    out, late = batches(spark, tmp_path, schema, slices, moves)
+    got = {(x["seq"], x["prev_state"]) for x in out.where("job_id = 1").collect()}
+    assert late == 0 and got == {(n, str(n - 1) if n else None) for n in range(400)}
