@@ -79,12 +79,13 @@ def late_rows(s, d):
     """
     frames = fx.frames(s, d).select("job_id", "frame_number", "ts_ms").withColumn("ts", mon.event_time("ts_ms"))
     root = f"{scratch_dir(s)}/streams/{uuid.uuid4().hex}"
-    hi = frames.agg(F.max("ts_ms")).first()[0] + 86_400_000
+    end, n = frames.agg(F.max("ts_ms"), F.count(F.lit(1))).first()
+    hi, stores = end + 86_400_000, mon.store_partitions(s, n)
     last = frames.limit(1).select(F.lit(-1).cast("long").alias("job_id"), "frame_number", F.lit(hi).cast("long").alias("ts_ms"))
 
     def run(files: int | None) -> int:
         once = mon.delivered_once(mon.read_stream(s, f"{root}/in", frames.schema, files), ["job_id", "frame_number"])
-        return mon.run_counted(once, f"{root}/out", f"{root}/state")[1]
+        return mon.run_counted(once, f"{root}/out", f"{root}/state", stores)[1]
 
     frames.unionByName(last.withColumn("ts", mon.event_time("ts_ms"))).write.mode("append").parquet(f"{root}/in")
     run(None)

@@ -130,3 +130,16 @@ def test_parts_that_reach_over_each_other_are_released_in_order(spark, tmp_path)
     out, late = batches(spark, tmp_path, schema, slices, moves)
     got = {(x["seq"], x["prev_state"]) for x in out.where("job_id = 1").collect()}
     assert late == 0 and got == {(n, str(n - 1) if n else None) for n in range(400)}
+
+
+def test_few_rows_get_few_stores(spark, tmp_path):
+    spark.createDataFrame([(1, at(0), 0), (1, at(0), 0), (2, at(1), 0)], "job_id long, ts timestamp, n long").write.parquet(f"{tmp_path}/in")
+    stream = mon.delivered_once(mon.read_stream(spark, f"{tmp_path}/in", spark.read.parquet(f"{tmp_path}/in").schema), ["job_id", "n"])
+    before = spark.conf.get(mon.PARTITIONS)
+    out, late = mon.run_counted(stream, f"{tmp_path}/out", f"{tmp_path}/state", partitions=2)
+    assert out.count() == 2 and late == 0
+    assert sorted(p.name for p in (tmp_path / "state" / "state" / "0").iterdir() if p.name.isdigit()) == ["0", "1"]
+    assert spark.conf.get(mon.PARTITIONS) == before and spark.conf.get(mon.CHANGELOG, "false") == "false"
+    # Stores grow with the rows, and every core has one unless the session has fewer partitions.
+    least = min(int(before), spark.sparkContext.defaultParallelism)
+    assert mon.store_partitions(spark, 10) == least and mon.store_partitions(spark, 50 * mon.STORE_ROWS + 1) == 51
