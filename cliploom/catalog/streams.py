@@ -23,7 +23,7 @@ def run_slices(df, at: str, operator, closing: bool = False):
     """
     spark = df.sparkSession
     root = f"{scratch_dir(spark)}/streams/{uuid.uuid4().hex}"
-    lo, hi = df.agg(F.min(at), F.max(at)).first()
+    lo, hi, n = df.agg(F.min(at), F.max(at), F.count(F.lit(1))).first()
     step = (hi - lo) // SLICES + 1
     slices = [df.filter((F.col(at) >= lo + i * step) & (F.col(at) < lo + (i + 1) * step)) for i in range(SLICES)]
     if closing:
@@ -35,7 +35,8 @@ def run_slices(df, at: str, operator, closing: bool = False):
         slices.append(last.select(df.columns))
     for part in slices:
         part.repartition(FILES).write.mode("append").parquet(f"{root}/in")
-    out = mon.run_available(operator(mon.read_stream(spark, f"{root}/in", df.schema, FILES)), f"{root}/out", f"{root}/state")
+    stores = mon.store_partitions(spark, n // SLICES)
+    out = mon.run_available(operator(mon.read_stream(spark, f"{root}/in", df.schema, FILES)), f"{root}/out", f"{root}/state", stores)
     return out.filter("job_id <> -1")
 
 
