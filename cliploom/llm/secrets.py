@@ -6,27 +6,27 @@ in all; it embeds characters, convolves, takes the maximum over places and ends
 in numpy on labelled findings: matches of the patterns are secrets, other candidates are not. In every second copy of a
 positive the words before it are hidden, so that the network learns what keys look like by themselves.
 
-Probabilities are calibrated on a held-out part of the findings (scale and shift of the logit). The threshold is
-recall-constrained: the highest one at which at least ``recall`` of the held-out secrets are found. Candidates above it that
-overlap no pattern match are added as kind ``model``. Pattern matches always stay.
-
-Training reads the candidates of about ``sample_docs`` documents (a bound on a hash of id and text) and at most
-``sample_findings`` of each label; scanning covers every document whole. Offsets count code points.
-
-Defined results: null and empty texts have no spans; without both labels in the sample nothing is added.
+All distinct findings of all documents are used. They are dealt out by hash in parts of about ``part_rows``; in each of
+``epochs`` rounds every part goes on from the common weights with one pass of Adam over its rows, and the parts' weights
+and moments are averaged by rows. A quarter of the findings is held out. On all of them probabilities are calibrated (scale and shift
+of the logit, Newton steps on sums over the rows). The threshold is recall-constrained: the highest one at which at least
+``recall`` of the held-out secrets are found. Candidates above it that overlap no pattern match are added as kind ``model``.
+Pattern matches always stay. Offsets count code points.
+
+Defined results: null and empty texts have no spans; with fewer than three findings of a label on either side nothing is added.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cliploom.llm.common import map_slices
+from cliploom.llm.common import map_slices, materialize, tidy
 
 # The kinds and their patterns.
 KINDS = ("assign", "access", "hex", "model")
@@ -121,31 +121,22 @@ class CharCNN:
         np.add.at(d_embed, x[np.arange(len(x))[:, None, None], places], d_cols.reshape(*best.shape, KERNEL, EMBED))
         return {"embed": d_embed, "kernel": np.einsum("nfk,nf->kf", picked, d_top), "bias": d_top.sum(0), "out": top.T @ d, "shift": np.array([d.sum()])}
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 8, batch: int = 128, rate: float = 0.01, seed: int = 7) -> None:
-        r, m, v, t = np.random.default_rng(seed), {k: np.zeros_like(a) for k, a in self.w.items()}, {k: np.zeros_like(a) for k, a in self.w.items()}, 0
-        for _ in range(epochs):
-            order = r.permutation(len(x))
-            for i in range(0, len(x), batch):
-                t += 1
-                for k, g in self.gradients(x[order[i : i + batch]], y[order[i : i + batch]]).items():
-                    m[k] = 0.9 * m[k] + 0.1 * g
-                    v[k] = 0.999 * v[k] + 0.001 * g * g
-                    self.w[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
-
-    def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Scale and shift of the logit that fit held-out labels best (Newton steps on the logistic loss)."""
-        z = np.stack((self.forward(x)[3], np.ones(len(x))), 1)
-        for _ in range(25):
-            p = 1 / (1 + np.exp(-np.clip(z @ self.scale, -30, 30)))
-            hessian = (z * (p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(2)
-            self.scale = self.scale - np.linalg.solve(hessian, z.T @ (p - y) + 1e-3 * (self.scale - np.array([1.0, 0.0])))
+    def fit(self, x: np.ndarray, y: np.ndarray, moments: list[dict], t: float, seed: int, batch: int = 128, rate: float = 0.01) -> float:
+        """One pass of Adam over the rows, after ``t`` steps; changes the moments in place and gives the steps done."""
+        order, (m, v) = np.random.default_rng(seed).permutation(len(x)), moments
+        for i in range(0, len(x), batch):
+            t += 1
+            for k, g in self.gradients(x[order[i : i + batch]], y[order[i : i + batch]]).items():
+                m[k] = 0.9 * m[k] + 0.1 * g
+                v[k] = 0.999 * v[k] + 0.001 * g * g
+                self.w[k] = self.w[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+        return t
+
+    def logits(self, x: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.zeros(0), *(self.forward(x[i : i + 2048])[3] for i in range(0, len(x), 2048))])
 
     def probability(self, x: np.ndarray) -> np.ndarray:
-        out = [np.zeros(0)]
-        for i in range(0, len(x), 2048):
-            logit = self.forward(x[i : i + 2048])[3]
-            out.append(1 / (1 + np.exp(-np.clip(self.scale[0] * logit + self.scale[1], -30, 30))))
-        return np.concatenate(out)
+        return 1 / (1 + np.exp(-np.clip(self.scale[0] * self.logits(x) + self.scale[1], -30, 30)))
 
 
 class Scanner:
@@ -173,13 +164,12 @@ class Scanner:
         return out
 
 
-def train(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 20_000, sample_findings: int = 4_000, recall: float = 0.98,
-) -> Scanner:
-    """Fit the network on labelled findings of a bounded sample of documents."""
-    n = docs.count()
-    bound = min(2**63 - 1, int(-(2**63) + min(1.0, sample_docs / max(n, 1)) * (2**64 - 1)))
-    sample = docs.where((F.xxhash64(F.col(id_col).cast("string"), text_col) <= bound) & F.col(text_col).isNotNull())
+def _windows(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, WIDTH)
+
+
+def _findings(docs: DataFrame, text_col: str) -> DataFrame:
+    """(label, seen, held): the distinct windows of all findings; a quarter of them, by a digest, is held out."""
 
     def make():
         def findings(texts: list) -> dict:
@@ -192,21 +182,89 @@ def train(
 
         return findings
 
-    found = map_slices(sample, text_col, make, "found array<struct<label:int,seen:binary>>", [])
+    found = map_slices(docs.where(F.col(text_col).isNotNull()), text_col, make, "found array<struct<label:int,seen:binary>>", [])
     found = found.select(F.explode("found").alias("f")).select("f.label", "f.seen").distinct()
-    rows = [r for label in (1, 0) for r in found.where(F.col("label") == label).orderBy(F.xxhash64("seen")).limit(sample_findings).collect()]
-    x = np.array([np.frombuffer(r["seen"], np.uint8) for r in rows]).reshape(-1, WIDTH)
-    y = np.array([r["label"] for r in rows], float)
-    held = np.array([hashlib.md5(r["seen"]).digest()[0] % 4 == 0 for r in rows], bool)
-    if min((y[~held] == 1).sum(), (y[~held] == 0).sum(), (y[held] == 1).sum(), (y[held] == 0).sum()) < 3:
+    return found.withColumn("held", F.substring(F.md5("seen"), 2, 1).isin("0", "4", "8", "c"))
+
+
+def _round(learned: DataFrame, net: CharCNN, moments: list[dict], t: float, seed: int) -> tuple[CharCNN, list[dict], float]:
+    """Weights, moments and steps after one pass over every part from the given ones, averaged over the parts by their rows."""
+    names = sorted(net.w)
+
+    def one(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("label", "ascending"), ("seen", "ascending")])
+        x, y = _windows(table.column("seen")), table.column("label").to_numpy().astype(float)
+        hidden = x[y == 1].copy()
+        hidden[:, :BEFORE] = 0
+        own, m = CharCNN(), [{k: d[k].copy() for k in names} for d in moments]
+        own.w = {k: net.w[k].copy() for k in names}
+        steps = own.fit(np.concatenate((x, hidden)), np.concatenate((y, np.ones(len(hidden)))), m, t, seed)
+        state = np.concatenate([*(d[k].ravel() for d in (own.w, *m) for k in names), [steps]])
+        return pa.table({"part": table.column("part")[:1], "n": pa.array([len(x)], pa.int64()), "state": pa.array([state.tolist()], pa.list_(pa.float64()))})
+
+    done = learned.groupBy("part").applyInArrow(one, "part long, n long, state array<double>")
+    # In order of the parts, so that sums come out the same each time.
+    values = done.select("part", "n", F.posexplode("state").alias("at", "x")).groupBy("at").agg(F.array_sort(F.collect_list(F.struct("part", "n", "x"))).alias("l"))
+    total = lambda f: F.aggregate("l", F.lit(0.0), lambda a, r: a + f(r))
+    rows = values.select("at", (total(lambda r: r["n"] * r["x"]) / total(lambda r: r["n"])).alias("x")).collect()
+    flat = np.array([r["x"] for r in sorted(rows)])
+    after, at = [], 0
+    for d in (net.w, *moments):
+        after.append({})
+        for k in names:
+            after[-1][k] = flat[at : at + d[k].size].reshape(d[k].shape)
+            at += d[k].size
+    out = CharCNN()
+    out.w = after[0]
+    return out, after[1:], float(flat[-1])
+
+
+def _valued(found: DataFrame, fn) -> DataFrame:
+    """(label, value): what ``fn`` gives for arrays of windows."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(fn(_windows(batch.column("seen"))), pa.float64())], names=["label", "value"])
+
+    return found.select("label", "seen").mapInArrow(tidy(run), "label int, value double")
+
+
+def calibrated(logits: DataFrame) -> np.ndarray:
+    """Scale and shift of the logit that fit the labels (label, value) best: Newton steps on the logistic loss."""
+    scale, start = np.array([1.0, 0.0]), np.array([1.0, 0.0])
+    z, y = F.col("value"), F.col("label")
+    for _ in range(25):
+        at = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z * float(scale[0]) + float(scale[1])))
+        p = 1 / (1 + F.exp(-at))
+        sums = logits.select(z.alias("z"), (p - y).alias("d"), (p * (1 - p)).alias("s"))
+        got = sums.agg(F.sum(F.col("d") * F.col("z")), F.sum("d"), F.sum(F.col("s") * F.col("z") ** 2), F.sum(F.col("s") * F.col("z")), F.sum("s")).first()
+        hessian = np.array([[got[2], got[3]], [got[3], got[4]]]) + 1e-3 * np.eye(2)
+        step = np.linalg.solve(hessian, np.array([got[0], got[1]]) + 1e-3 * (scale - start))
+        scale = scale - step
+        if np.abs(step).max() < 1e-11:
+            break
+    return np.round(scale, 9)  # sums differ in their last digits by the order of rows
+
+
+def train(docs: DataFrame, text_col: str = "text", recall: float = 0.98, epochs: int = 8, part_rows: int = 8192) -> Scanner:
+    """Fit the network, its calibration and its threshold on the labelled findings of all documents."""
+    found = materialize(_findings(docs, text_col), "secret-findings")
+    counts = {(r["label"], r["held"]): r["count"] for r in found.groupBy("label", "held").count().collect()}
+    if min(counts.get((label, held), 0) for label in (0, 1) for held in (False, True)) < 3:
         return Scanner(None, 1.0)
-    hidden = x[~held & (y == 1)].copy()
-    hidden[:, :BEFORE] = 0
-    net = CharCNN()
-    net.fit(np.concatenate((x[~held], hidden)), np.concatenate((y[~held], np.ones(len(hidden)))))
-    net.calibrate(x[held], y[held])
-    p = np.sort(net.probability(x[held & (y == 1)]))
-    return Scanner(net, float(p[int(np.floor((1 - recall) * len(p)))]))
+    parts = -(-(counts[0, False] + counts[1, False]) // part_rows)
+    learned = found.where(~F.col("held")).select("label", "seen", F.pmod(F.xxhash64("seen"), F.lit(parts)).alias("part"))
+    net, t = CharCNN(), 0.0
+    moments = [{k: np.zeros_like(a) for k, a in net.w.items()} for _ in range(2)]
+    for seed in range(epochs):
+        net, moments, t = _round(learned, net, moments, t, seed)
+    held = found.where("held")
+    net.scale = calibrated(materialize(_valued(held, net.logits), "secret-logits"))
+    # The rows up to the threshold are 1 - recall of the held-out secrets.
+    at = int(np.floor((1 - recall) * counts[1, True]))
+    lowest = _valued(held.where("label = 1"), net.probability).orderBy("value").offset(at).limit(1)
+    return Scanner(net, float(lowest.first()["value"]))
 
 
 def scan(docs: DataFrame, scanner: Scanner, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

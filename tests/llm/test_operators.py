@@ -617,3 +617,28 @@ def test_hard_rows_go_through(hard):
     assert language.identify(hard, language.train(hard)).count() == n
     bench = hard.sparkSession.createDataFrame([("1", "quick brown fox jumps over the lazy dog and runs far away")], "item_id string, text string")
     assert decontaminate.decontaminate(hard, bench).columns == hard.columns
+
+
+def test_secret_network_learns_from_all_findings(spark):
+    r = random.Random(5)
+    key = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
+    one = lambda: r.choice([f"token={key(24)}", f"value {key(40)}", f"order {r.randrange(10**15)} ok", f"ref-{r.randrange(10**9)}-{r.randrange(10**6)} is"])
+    texts = ["; ".join(one() for _ in range(100)) for _ in range(130)]
+    scanner = secrets.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    held = set()
+    for t in texts:
+        spans, failed = secrets.base_spans(t)
+        for label, (s, e) in [*((1, x[:2]) for x in spans), *((0, x) for x in secrets.other_candidates(t, spans, failed))]:
+            seen = secrets.window(t, s, e)
+            if hashlib.md5(seen.tobytes()).digest()[0] % 4 == 0:
+                held.add((label, seen.tobytes()))
+    y = np.array([label for label, _ in held])
+    x = np.array([np.frombuffer(seen, np.uint8) for _, seen in held])
+    assert len(x) > 3000
+    # The threshold is that of all held-out secrets, and the calibration is the best one for all held-out findings.
+    p = scanner.net.probability(x)
+    assert abs(scanner.threshold - np.sort(p[y == 1])[int(np.floor(0.02 * (y == 1).sum()))]) < 1e-9
+    z = scanner.net.forward(x)[3]
+    slope = np.array([((p - y) * z).sum(), (p - y).sum()]) + 1e-3 * (scanner.net.scale - np.array([1.0, 0.0]))
+    assert np.abs(slope).max() < 1e-3
+    assert p[y == 1].mean() > p[y == 0].mean() + 0.5
