@@ -3,7 +3,8 @@
 Byte-pair encoding has a handy property: the encoding of a prefix is the encoding of a shorter prefix plus one last
 token, and that token is the only one of the vocabulary that ends the prefix and stands beside the shorter prefix's
 last token without being merged with it. So one number per trie node - the last token of the prefix - holds
-the encoding of every prefix. Distinct words of a slice of texts are walked depth-first (sorted order is the trie's
+the encoding of every prefix. The tokens that end at a place are those of a state: an automaton over the vocabulary goes along the
+path and keeps the longest end of it that begins a token. Distinct words of a slice of texts are walked depth-first (sorted order is the trie's
 preorder, the path's states are the stack), and what two words share is encoded once.
 
 Nothing is shuffled: a task reads its texts, keeps the words it has met (a bounded table, emptied when full), and puts
@@ -38,13 +39,13 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-TAIL = 4  # bytes by which tokens that end at a place are looked up
+MOVES = 400_000  # moves of the automaton kept besides those along tokens
 
 
 class Codec:
     """Encodes and decodes with a byte-level BPE vocabulary file (ids ascend in merge order)."""
 
-    def __init__(self, data: bytes, max_words: int = 90_000):
+    def __init__(self, data: bytes, max_words: int = 250_000):
         spec = json.loads(data)
         spelled = byte_symbols()
         to_bytes = lambda s: bytes(spelled[c] for c in s)
@@ -52,12 +53,6 @@ class Codec:
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes_of = {i: b for b, i in self.ids.items()} | {i: s.encode() for s, i in self.special.items()}
         self.packed = {i: i.to_bytes(4, "little") for i in self.bytes_of}
-        lengths: dict[bytes, set[int]] = {}
-        for b in self.ids:
-            if len(b) > TAIL:
-                lengths.setdefault(b[-TAIL:], set()).add(len(b))
-        self.longer = {tail: tuple(sorted(n, reverse=True)) for tail, n in lengths.items()}
-        self.ends: dict[bytes, tuple] = {}
         self.merged: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
         for rule in spec["model"]["merges"]:
@@ -65,6 +60,7 @@ class Codec:
             whole_id = self.ids[self.bytes_of[left] + self.bytes_of[right]]
             self.merged.setdefault((left, right), whole_id)
             self.parts.setdefault(whole_id, (left, right))
+        self._automaton()
         self.pattern = regex.compile(WORDS)
         self.splitter = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.max_words = max_words
@@ -100,42 +96,66 @@ class Codec:
         self.beside[key] = apart
         return apart
 
-    def endings(self, tail: bytes) -> tuple[tuple[int, ...], tuple[tuple[int, int], ...]]:
-        """For a place whose last bytes are ``tail`` (TAIL of them, or all there are): the lengths of longer tokens that end
-        like this, and the tokens inside it, longest first."""
-        inside = tuple((self.ids[tail[-n:]], n) for n in range(len(tail), 0, -1) if tail[-n:] in self.ids)
-        got = (self.longer.get(tail, ()), inside)
-        if len(self.ends) > 20_000:
-            self.ends.clear()
-        self.ends[tail] = got
-        return got
+    def _automaton(self) -> None:
+        """States are the beginnings of tokens. ``moves``: state and byte to state; ``hits``: the tokens (id, length) that end in a
+        state, longest first; ``shorter``: the longest proper end of a state that is a state."""
+        moves: dict[int, int] = {}
+        above, tokens = [(0, 0, 0)], {}  # of each state: length, the state before it, last byte
+        for b, i in self.ids.items():
+            state = 0
+            for n, c in enumerate(b, 1):
+                to = moves.get(state << 8 | c)
+                if to is None:
+                    to = moves[state << 8 | c] = len(above)
+                    above.append((n, state, c))
+                state = to
+            tokens[state] = (i, len(b))
+        self.shorter, self.hits = [0] * len(above), [()] * len(above)
+        for state in sorted(range(1, len(above)), key=above.__getitem__):
+            n, before, c = above[state]
+            at = self.shorter[before]
+            while at and (at << 8 | c) not in moves:
+                at = self.shorter[at]
+            self.shorter[state] = moves.get(at << 8 | c, 0) if n > 1 else 0
+            own = self.hits[self.shorter[state]]
+            self.hits[state] = (tokens[state], *own) if state in tokens else own
+        self.moves, self.most_moves = moves, len(moves) + MOVES
+
+    def move(self, state: int, c: int) -> int:
+        """The state after one more byte, where no token goes on like this."""
+        at = state
+        while at and (at << 8 | c) not in self.moves:
+            at = self.shorter[at]
+        to = self.moves.get(at << 8 | c, 0)
+        if len(self.moves) < self.most_moves:
+            self.moves[state << 8 | c] = to
+        return to
 
     def learn(self, words: Iterable[str]) -> None:
         """Encode distinct words in one depth-first walk of their trie."""
-        ids, ends, endings, beside, apart, packed = self.ids, self.ends, self.endings, self.beside, self.stays_apart, self.packed
+        moves, move, hits, beside, apart, packed = self.moves, self.move, self.hits, self.beside, self.stays_apart, self.packed
         last = [-1]  # last[i]: the last token of the first i bytes of the path
         size = [0]  # its length in bytes
+        states = [0]
         above = b""
         for word, text in sorted([(w.encode(), w) for w in words]):
             keep = min(len(above), len(word))
             while above[:keep] != word[:keep]:
                 keep -= 1
-            del last[keep + 1 :], size[keep + 1 :]
+            del last[keep + 1 :], size[keep + 1 :], states[keep + 1 :]
+            state = states[keep]
             for end in range(keep + 1, len(word) + 1):
-                tail = word[end - TAIL : end] if end > TAIL else word[:end]
-                longer, inside = ends.get(tail) or endings(tail)
-                for n in longer:
-                    if n <= end and (token := ids.get(word[end - n : end])) is not None:
-                        if n == end or (ok := beside.get((last[end - n], token))) or (ok is None and apart(last[end - n], token)):
-                            break
+                c = word[end - 1]
+                to = moves.get(state << 8 | c)
+                state = move(state, c) if to is None else to
+                for token, n in hits[state]:
+                    if n == end or (ok := beside.get((last[end - n], token))) or (ok is None and apart(last[end - n], token)):
+                        break
                 else:
-                    for token, n in inside:
-                        if n == end or (ok := beside.get((last[end - n], token))) or (ok is None and apart(last[end - n], token)):
-                            break
-                    else:
-                        raise ValueError("the vocabulary lacks a byte")
+                    raise ValueError("the vocabulary lacks a byte")
                 last.append(token)
                 size.append(n)
+                states.append(state)
             above = word
             out, at = [], len(word)
             while at:

@@ -81,6 +81,21 @@ def test_bpe_equals_library_on_random_text(library):
             assert codec.decode(ids) == library.decode(ids_of(library, text), skip_special_tokens=False)
 
 
+def test_words_that_come_back_are_not_encoded_again():
+    with open(FILE, "rb") as f:
+        codec = bpe.Codec(f.read())
+    words, learned, learn = [f" word{i}x" for i in range(120_000)], [], codec.learn
+    codec.learn = lambda fresh: (learned.append(len(fresh)), learn(fresh))
+    for _ in range(2):
+        for i in range(0, len(words), 40_000):
+            assert len(codec.have(set(words[i : i + 40_000]))) >= 40_000
+    # So do words that are met in turns with many new ones.
+    for i in range(4):
+        codec.have({f" more{k}x" for k in range(i * 20_000, i * 20_000 + 20_000)})
+        codec.have(set(words[:40_000]))
+    assert sum(learned) == 200_000
+
+
 def test_long_text_is_cut_into_words_piecewise(library):
     with open(FILE, "rb") as f:
         codec = bpe.Codec(f.read())
@@ -283,8 +298,7 @@ def test_links_within_open_groups(spark):
 
 
 def test_groups_of_keys_across_batches():
-    import pyarrow as pa
-
+    
     rows = [(1, 1), (1, 1), (2, 1), (2, 2), (2, 2), (2, 3), (3, 4), (4, 1), (4, 9), (5, 1), (6, 1), (6, 2), (6, 3), (6, 4), (6, 5), (6, 6), (6, 7), (7, 7)]
     want = {2: [1, 2, 3], 4: [1, 9], 6: [1, 2, 3, 4, 5, 6, 7]}
     for size in range(1, 19):
