@@ -13,6 +13,7 @@ from collections import Counter
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -298,7 +299,8 @@ def test_links_within_open_groups(spark):
 
 
 def test_groups_of_keys_across_batches():
-    
+    import pyarrow as pa
+
     rows = [(1, 1), (1, 1), (2, 1), (2, 2), (2, 2), (2, 3), (3, 4), (4, 1), (4, 9), (5, 1), (6, 1), (6, 2), (6, 3), (6, 4), (6, 5), (6, 6), (6, 7), (7, 7)]
     want = {2: [1, 2, 3], 4: [1, 9], 6: [1, 2, 3, 4, 5, 6, 7]}
     for size in range(1, 19):
@@ -656,3 +658,20 @@ def test_secret_network_learns_from_all_findings(spark):
     slope = np.array([((p - y) * z).sum(), (p - y).sum()]) + 1e-3 * (scanner.net.scale - np.array([1.0, 0.0]))
     assert np.abs(slope).max() < 1e-3
     assert p[y == 1].mean() > p[y == 0].mean() + 0.5
+
+
+def test_equal_texts_stand_in_a_shard_once(monkeypatch):
+    passage, met, real = b"a passage of words which stands in a great many of the documents, whole.", [], substrings.repeated_windows
+    monkeypatch.setattr(substrings, "repeated_windows", lambda ids, texts, *a: (met.extend(texts), real(ids, texts, *a))[1])
+    # (anchor, id, place, context): the same passage in other surroundings, a part of it in a smaller and in a larger id, a repeated id.
+    rows = [(7, i, 5, hashlib.md5(b"%d" % k).digest() + passage + hashlib.md5(b"-%d" % k).digest()) for k, i in enumerate([3, 4, 5, 5, *range(10, 40)])]
+    rows += [(7, 1, 0, b"#" * 30 + passage[:60]), (7, 50, 0, passage[4:66] + b"!" * 20)]
+    rows.sort()
+    batch = pa.RecordBatch.from_pydict({k: [r[i] for r in rows] for i, k in enumerate(("h", "id", "lo", "context"))})
+    got = {(i, p) for out in substrings._resolve(50, 400_000)(iter([batch])) for i, lo in zip(out["id"].to_pylist(), out["lo"].to_pylist(), strict=True) for p in np.frombuffer(lo, "<u4").tolist()}
+    first = {}
+    for _, i, _, text in rows:
+        for at in range(len(text) - 49):
+            first[text[at : at + 50]] = min(i, first.get(text[at : at + 50], i))
+    assert got == {(i, lo + at) for _, i, lo, text in rows for at in range(len(text) - 49) if first[text[at : at + 50]] < i}
+    assert len(met) == len(set(met)) < len(rows) / 4
