@@ -33,7 +33,7 @@ def test_query_equals_sql(spark, name):
 
 def test_all_eleven_are_registered():
     names = entry.queries()
-    assert {f"op{n}_" for n in range(1, 11)} == {k.split("_")[0] + "_" for k in names if k.startswith("op")} and "pipeline" in names
+    assert {f"op{n}_" for n in range(1, 14)} == {k.split("_")[0] + "_" for k in names if k.startswith("op")} and "pipeline" in names
 
 
 def test_op4_op6_op8(spark, docs):
