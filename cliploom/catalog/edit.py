@@ -96,7 +96,6 @@ _STANDARD = """SELECT w.job_id, w.seq, c.chunk AS k, string_agg(w.text, ' ' ORDE
   any_value(w.island_start) AS island_start, any_value(w.offset_ms) AS offset_ms FROM iw w JOIN chunk_steps c USING (job_id, seq, rn) GROUP BY w.job_id, w.seq, c.chunk"""
 
 
-@fx.stored
 def spoken(s, d):
     """Spoken segments with the visual fields the take scores need."""
     g = un.spoken_segments(s, d)

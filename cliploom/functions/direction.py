@@ -20,8 +20,11 @@ def count_matches(text: Column, pattern: str) -> Column:
 
 
 def text_direction(text: Column) -> Column:
-    """'rtl' only when strictly more characters run right to left than Latin letters left to right."""
-    return F.when(count_matches(text, RTL) > count_matches(text, LATIN), "rtl").otherwise("ltr")
+    """'rtl' only when strictly more characters run right to left than Latin letters left to right.
+
+    Counting builds a list of all matches, so only texts with such a character at all are counted.
+    """
+    return F.when(text.rlike(RTL) & (count_matches(text, RTL) > count_matches(text, LATIN)), "rtl").otherwise("ltr")
 
 
 def direction_or(text: Column, default: str = "ltr") -> Column:

@@ -19,7 +19,7 @@ WORD = ("seq", "text", "start_ms", "end_ms", "confidence", "speaker")
 
 def _word_list(keep: Column) -> Column:
     """Words of a group in transcript order.  Groups span at most one segment, i.e. 60 s of speech."""
-    return F.array_sort(F.collect_list(F.when(keep, F.struct(*WORD))))
+    return F.sort_array(F.collect_list(F.when(keep, F.struct(*WORD))))  # compares without a comparator per pair
 
 
 def _pieces_of(offset: Column, length: Column, width: int, n: Column) -> Column:

@@ -41,6 +41,11 @@ def windowed(decisions: DataFrame, segments: DataFrame) -> DataFrame:
     )
 
 
+def timed_words(segments: DataFrame) -> DataFrame:
+    """Segments with no more of their words than text and times, so that nothing else is read and shuffled."""
+    return segments.withColumn("words", F.arrays_zip("words.text", "words.start_ms", "words.end_ms"))
+
+
 def words_overlapping(words: Column, start: Column, end: Column) -> Column:
     return F.filter(words, lambda w: (w["end_ms"] > start) & (w["start_ms"] < end))
 
@@ -74,10 +79,11 @@ def speech_islands_of(ws: str, start: str, end: str, threshold_ms: int) -> Colum
         cut = whole
     else:
         inner = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
+        # A pause below one threshold is none, whatever the text: most words end here, before the patterns.
+        pause = lambda i: F.get(w, i)["start_ms"] - F.get(w, i - 1)["end_ms"]
         breaks = F.filter(
             inner,
-            lambda i: (F.get(w, i)["start_ms"] - F.get(w, i - 1)["end_ms"])
-            >= F.lit(threshold_ms) * gap_multiplier(F.get(w, i - 1)["text"]),
+            lambda i: (pause(i) >= threshold_ms) & (pause(i) >= F.lit(threshold_ms) * gap_multiplier(F.get(w, i - 1)["text"])),
         )
         firsts = F.concat(F.array(F.lit(0)), breaks)
         pasts = F.concat(breaks, F.array(n))
@@ -117,7 +123,7 @@ def speech_islands_of(ws: str, start: str, end: str, threshold_ms: int) -> Colum
 
 def islands_in_windows(decisions: DataFrame, segments: DataFrame, threshold_ms: int) -> DataFrame:
     """One row per speech island of every kept decision."""
-    d = windowed(decisions, segments)
+    d = windowed(decisions, timed_words(segments))
     d = d.withColumn("_w", words_inside(F.col("seg_words"), F.col("win_start_ms"), F.col("win_end_ms")))
     d = d.withColumn("_i", speech_islands_of("_w", "win_start_ms", "win_end_ms", threshold_ms))
     return d.select("job_id", "seq", "segment_id", F.posexplode_outer("_i").alias("island", "_x")).select(

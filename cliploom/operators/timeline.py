@@ -9,7 +9,7 @@ from cliploom.functions.direction import text_direction
 from cliploom.functions.text import frames_of, js_round, numbered
 from cliploom.operators.blocks import running, seq_block, with_job_row
 from cliploom.operators.decisions import repaired_windows
-from cliploom.operators.silence import speech_islands_of, windowed, words_inside
+from cliploom.operators.silence import speech_islands_of, timed_words, windowed, words_inside
 from cliploom.sources.scratch import materialize
 
 # Longest standard caption in words and in output time.
@@ -38,7 +38,7 @@ def build_clips(
     ``decisions`` may hold its own ``transition_before`` and its plan's ``transition_default``; ``transition`` is what counts
     without either, and 'mixed' alternates cut and fade.  ``out_start`` is the position in the output.
     """
-    d = repaired_windows(decisions, segments)
+    d = repaired_windows(decisions, timed_words(segments))
     d = d.withColumn("_w", words_inside(F.col("seg_words"), F.col("win_start_ms"), F.col("win_end_ms")))
     d = d.withColumn("_i", speech_islands_of("_w", "win_start_ms", "win_end_ms", threshold_ms))
     own = [F.col(c) for c in ("transition_before", "transition_default") if c in d.columns]
@@ -107,24 +107,21 @@ def timelines(clips: DataFrame, media: DataFrame) -> DataFrame:
     )
 
 
-def _chunks(mode: str) -> Column:
-    """Caption chunks (first, last word position, island) of the word array _w with islands _i."""
-    if mode == "jumbo":
-        return F.flatten(
-            F.transform(
-                "_i",
-                lambda x: F.when(
-                    x["past"] > x["first"],
-                    F.transform(F.sequence(x["first"], x["past"] - 1), lambda k: F.struct(k.alias("a"), k.alias("b"), x.alias("i"))),
-                ).otherwise(F.array().cast("array<struct<a:int,b:int,i:struct<first:int,past:int,start_ms:bigint,end_ms:bigint,offset_ms:bigint>>>")),
-            )
-        )
+def _chunks(style: Column) -> Column:
+    """Captions (text, from_ms, to_ms) of the word array _w with islands _i, in order; times are the output's."""
     none = F.array().cast("array<struct<a:int,b:int>>")
 
-    def of_island(x: Column) -> Column:
-        words = F.when(x["past"] > x["first"], F.sequence(x["first"], x["past"] - 1)).otherwise(F.array().cast("array<int>"))
+    def caption(x: Column, text: Column, start: Column, end: Column) -> Column:
+        shift = lambda t: t + x["offset_ms"] - x["start_ms"]
+        return F.struct(text.alias("text"), shift(start).alias("from_ms"), shift(end).alias("to_ms"))
+
+    def by_word(x: Column) -> Column:
+        said = F.slice("_w", x["first"] + 1, x["past"] - x["first"])
+        return F.transform(said, lambda w: caption(x, F.coalesce(w["text"], F.lit("")), w["start_ms"], w["end_ms"]))
+
+    def by_line(x: Column) -> Column:
         cut = F.aggregate(
-            words,
+            F.sequence(x["first"], x["past"] - 1),
             F.struct(none.alias("out"), x["first"].alias("at")),
             lambda acc, k: F.when(
                 ((k - acc["at"] + 1) >= CAPTION_WORDS)
@@ -138,75 +135,81 @@ def _chunks(mode: str) -> Column:
                 F.when(acc["at"] < x["past"], F.array(F.struct(acc["at"].alias("a"), (x["past"] - 1).alias("b")))).otherwise(none),
             ),
         )
-        return F.transform(cut, lambda c: F.struct(c["a"].alias("a"), c["b"].alias("b"), x.alias("i")))
+        text = lambda c: F.array_join(
+            F.transform(F.slice("_w", c["a"] + 1, c["b"] - c["a"] + 1), lambda w: w["text"]), " "
+        )
+        return F.transform(cut, lambda c: caption(x, text(c), F.get(F.col("_w"), c["a"])["start_ms"], F.get(F.col("_w"), c["b"])["end_ms"]))
 
-    return F.flatten(F.transform("_i", of_island))
+    voiced = F.filter("_i", lambda x: x["past"] > x["first"])
+    return F.when(style == "jumbo", F.flatten(F.transform(voiced, by_word))).otherwise(F.flatten(F.transform(voiced, by_line)))
 
 
 def plan_captions(
-    decisions: DataFrame, segments: DataFrame, media: DataFrame, mode: str = "standard", threshold_ms: int = 0
+    decisions: DataFrame, segments: DataFrame, media: DataFrame, mode: str | Column = "standard", threshold_ms: int = 0
 ) -> DataFrame:
     """Caption track of every job.  'standard': up to five words or two seconds; 'jumbo': one word.
 
-    Captions never reach past the start of the next one, except that each lasts at least one frame.
+    ``mode`` may be a column of ``decisions``, one value per job.  Captions never reach past the start of the next one, except
+    that each lasts at least one frame.  They stay on their decision's row, which is numbered and placed by its count of
+    captions and its first start, and are rows of their own only in the result.
     """
-    if mode == "none":
-        raise ValueError("caption mode 'none' has no track")
-    style = "jumbo" if mode == "jumbo" else "standard"
-    d = windowed(decisions, segments)
+    if isinstance(mode, str):
+        if mode == "none":
+            raise ValueError("caption mode 'none' has no track")
+        mode = F.lit(mode)
+    style = F.when(mode == "jumbo", "jumbo").otherwise("standard")
+    d = windowed(decisions, timed_words(segments)).withColumn("style", style)
     d = d.withColumn("_w", words_inside(F.col("seg_words"), F.col("win_start_ms"), F.col("win_end_ms")))
     d = d.withColumn("_i", speech_islands_of("_w", "win_start_ms", "win_end_ms", threshold_ms))
     total = F.aggregate("_i", F.lit(0).cast("long"), lambda acc, x: acc + x["end_ms"] - x["start_ms"])
-    text = lambda x: F.array_join(
-        F.transform(F.slice("_w", x["a"] + 1, x["b"] - x["a"] + 1), lambda w: w["text"]), " "
-    )
-    chunk = lambda x: F.struct(
-        text(x).alias("text"),
-        (F.get(F.col("_w"), x["a"])["start_ms"] + x["i"]["offset_ms"] - x["i"]["start_ms"]).alias("from_ms"),
-        (F.get(F.col("_w"), x["b"])["end_ms"] + x["i"]["offset_ms"] - x["i"]["start_ms"]).alias("to_ms"),
-    )
-    d = d.withColumn("_c", _chunks(style)).select(
-        "job_id", "seq", total.alias("_ms"), F.transform("_c", chunk).alias("_c")
+    d = d.select(
+        "job_id", "seq", "style", total.alias("_ms"), F.filter(_chunks(F.col("style")), lambda x: ~x["text"].rlike(r"^\s*$")).alias("_c")
     )
+    d = d.select("*", F.size("_c").alias("_size"), F.get("_c", F.lit(0))["from_ms"].alias("_first_ms"), F.monotonically_increasing_id().alias("_row"))
     d = materialize(d, "caption-chunks")
-    lengths = _with_rate(d.select("job_id", "seq", "_ms"), media, decisions).select("job_id", "seq", "fps", frames_of(F.col("_ms"), F.col("fps")).alias("_frames"))
+    lengths = _with_rate(d.drop("style", "_c"), media, decisions).withColumn("_frames", frames_of(F.col("_ms"), F.col("fps")))
     off = running(lengths, ["job_id"], ["seq"], seq_block("seq", ROWS_PER_STEP), sums={"_off": F.col("_frames")})
-    rows = d.select("job_id", "seq", F.posexplode_outer("_c").alias("chunk", "_x")).join(off.drop("_frames"), ["job_id", "seq"])
-    rows = rows.select(
+    at = lambda ms: (F.col("_off") + frames_of(F.col(ms), F.col("fps"))).cast("long")
+    placed = running(
+        off.filter("_size > 0").select("job_id", "seq", "_row", "fps", "_off", "_size", at("_first_ms").alias("_first")),
+        ["job_id"],
+        ["seq"],
+        seq_block("seq", ROWS_PER_STEP),
+        sums={"_n": F.col("_size")},
+        following={"_after": F.col("_first")},
+    ).drop("_size", "_first")
+    rows = d.select("job_id", "seq", "_row", "style", "_c").join(placed, ["job_id", "seq", "_row"])
+    # Each caption next to the start of the one that follows it on the row.
+    rows = rows.withColumn("_c", F.arrays_zip("_c.text", "_c.from_ms", "_c.to_ms", F.slice("_c.from_ms", F.lit(2), F.size("_c")).alias("next_ms")))
+    rows = rows.select("job_id", "seq", "style", "fps", "_off", "_n", "_after", F.posexplode_outer("_c").alias("chunk", "_x")).select(
         "job_id",
+        (F.col("_n") + F.col("chunk")).cast("long").alias("seq"),
         F.col("seq").alias("decision_seq"),
-        "chunk",
         F.col("_x.text").alias("text"),
-        (F.col("_off") + frames_of(F.col("_x.from_ms"), F.col("fps"))).cast("long").alias("start_frame"),
-        (F.col("_off") + frames_of(F.col("_x.to_ms"), F.col("fps"))).cast("long").alias("_end"),
-    ).filter(~F.col("text").rlike(r"^\s*$"))
-    rows = rows.withColumn("_end", F.greatest(F.col("_end"), F.col("start_frame") + 1))
-    placed = running(
-        rows,
-        ["job_id"],
-        ["decision_seq", "chunk"],
-        seq_block("decision_seq", ROWS_PER_STEP),
-        sums={"_n": F.lit(1)},
-        following={"_next": F.col("start_frame")},
+        at("_x.from_ms").alias("start_frame"),
+        at("_x.to_ms").alias("_end"),
+        F.coalesce(at("_x.next_ms"), F.col("_after")).alias("_next"),
+        "style",
     )
+    rows = rows.withColumn("_end", F.greatest(F.col("_end"), F.col("start_frame") + 1))
     end = F.when(F.col("_end") > F.col("_next"), F.greatest(F.col("start_frame") + 1, F.col("_next"))).otherwise(F.col("_end"))
-    return placed.select(
+    return rows.select(
         "job_id",
-        F.col("_n").cast("long").alias("seq"),
+        "seq",
         "decision_seq",
         "text",
         "start_frame",
         end.alias("end_frame"),
         text_direction(F.col("text")).alias("direction"),
-        F.lit(style).alias("style"),
-        F.lit(96 if style == "jumbo" else 36).alias("font_size"),
+        "style",
+        F.when(F.col("style") == "jumbo", 96).otherwise(36).alias("font_size"),
         F.lit("bottom").alias("position"),
     )
 
 
 def caption_drift(decisions: DataFrame, segments: DataFrame, media: DataFrame, threshold_ms: int) -> DataFrame:
     """Per decision: frame offset the captions assume and the one the clips have; they round differently."""
-    d = windowed(decisions, segments)
+    d = windowed(decisions, timed_words(segments))
     d = d.withColumn("_w", words_inside(F.col("seg_words"), F.col("win_start_ms"), F.col("win_end_ms")))
     d = d.withColumn("_i", speech_islands_of("_w", "win_start_ms", "win_end_ms", threshold_ms))
     d = _with_rate(d.select("job_id", "seq", F.transform("_i", lambda x: x["end_ms"] - x["start_ms"]).alias("_l")), media, decisions)
