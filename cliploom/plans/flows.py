@@ -117,7 +117,7 @@ def edit(
     mode are the plan's (its first part's); ``caption_mode`` overrides the latter for all jobs.
     """
     raw, plans = responses.ingest_plans(plan_texts, ["job_id", "part"])
-    plans = materialize(plans, "plans")
+    raw, plans = materialize(raw, "plan-rows"), materialize(plans, "plans")  # numbering reads its rows twice: they are parsed once
     ordered = numbered_decisions(raw.withColumnsRenamed({"part": "seq", "ord": "part"}))
     sane = dec.sanitize_decisions(ordered, segments)
     failed = plans.filter("status = 'failed'").select("job_id")
@@ -143,11 +143,7 @@ def edit(
     final = materialize(final.join(settings, "job_id", "left"), "set-decisions")
     clips = materialize(timeline.build_clips(final, segments, media, threshold_ms).withColumn("src", F.lit(source)), "clips")
     mode = F.coalesce(F.lit(caption_mode), "caption_mode", F.lit("none"))
-    tracks = [
-        timeline.plan_captions(final.filter(chosen), segments, media, style, threshold_ms)
-        for style, chosen in (("jumbo", mode == "jumbo"), ("standard", ~mode.isin("jumbo", "none")))
-    ]
-    captions = materialize(tracks[0].unionByName(tracks[1]), "captions")
+    captions = materialize(timeline.plan_captions(final.filter(mode != "none"), segments, media, mode, threshold_ms), "captions")
     final = final.drop("transition_default", "caption_mode")
     errors = gates.validate_timelines(
         timeline.timelines(clips, media.join(segments.select("job_id").distinct(), "job_id", "left_semi")), clips, captions

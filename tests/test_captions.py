@@ -1,9 +1,10 @@
-"""Captions that stay on their decision's row."""
+"""Captions that stay on their decision's row, and the flow that plans them once."""
 
 from pyspark.sql import functions as F
 
 from cliploom.catalog import edit as ed
 from cliploom.operators import timeline
+from cliploom.plans import flows
 
 WORD = "array<struct<seq:bigint,text:string,start_ms:bigint,end_ms:bigint,confidence:double,speaker:string>>"
 # Two jobs of three segments: silent ones, blank and missing texts, words that reach over the next start.
@@ -72,6 +73,18 @@ def test_one_plan_serves_jobs_of_both_styles(spark):
     assert all(alone) and got == {tuple(r) for rows in alone for r in rows}
 
 
+def test_the_flow_plans_captions_once_and_reads_plans_once(spark, monkeypatch):
+    asked, written = [], []
+    plan, keep = timeline.plan_captions, flows.materialize
+    monkeypatch.setattr(timeline, "plan_captions", lambda *a, **k: asked.append(1) or plan(*a, **k))
+    monkeypatch.setattr(flows, "materialize", lambda df, label: written.append(label) or keep(df, label))
+    text = '{"decisions":[{"segmentId":"seg_000","action":"keep"},{"segmentId":"seg_002","action":"keep"}],"captionMode":"%s"}'
+    plans = spark.createDataFrame([(1, 0, text % "jumbo"), (2, 0, text % "standard")], "job_id long, part long, content string")
+    got = flows.edit(_segments(spark), _media(spark), plans, threshold_ms=500, pick_takes=False)
+    assert {(r["job_id"], r["style"], r["font_size"]) for r in got.captions.collect()} == {(1, "jumbo", 96), (2, "standard", 36)}
+    assert len(asked) == 1 and "plan-rows" in written
+
+
 def test_spoken_segments_are_written_once(spark, tmp_path):
     turns = [(1, 0, "user", "One two. Three"), (1, 1, "bot", "Four")]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
