@@ -20,6 +20,7 @@ from tokenizers import Tokenizer
 
 from cliploom.llm import bpe, components, decontaminate, exact_dedup, jaccard, language, lines, secrets, substrings, token_counts, warc
 from cliploom.llm.common import scratch_dir
+from cliploom.sources import scratch
 
 FILE = public_tokenizers.path("byte_bpe_50k.json")
 NOTICE = "This line of notice stands on a great many sites of the web today."
@@ -675,3 +676,40 @@ def test_equal_texts_stand_in_a_shard_once(monkeypatch):
             first[text[at : at + 50]] = min(i, first.get(text[at : at + 50], i))
     assert got == {(i, lo + at) for _, i, lo, text in rows for at in range(len(text) - 49) if first[text[at : at + 50]] < i}
     assert len(met) == len(set(met)) < len(rows) / 4
+
+
+def test_repeated_runs_travel_packed(spark, monkeypatch):
+    """Copies of whole documents over many buckets: rows by bucket and part, not by run, and no shuffle left behind."""
+    r = random.Random(8)
+    make = lambda: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 9))) for _ in range(400))
+    texts = [make() for _ in range(30)]
+    rows = [(100 * k + i, t + (f" end {k}" if i % 3 else "")) for k in range(4) for i, t in enumerate(texts)]
+    written, real = {}, scratch.materialize
+    for place in (scratch, substrings):
+        monkeypatch.setattr(place, "materialize", lambda df, label="stage": written.setdefault(label, real(df, label)))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+        got = by_id(substrings.remove_repeats(df))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {d: (x["n_bytes"], x["n_removed"], x["n_spans"], bytes(x["kept"])) for d, x in got.items()} == brute.repeats(rows)
+    closed = written["repeat-runs"].where("not open")
+    runs = sum(len(substrings.unpack_runs(bytes(x["runs"]))[0]) for x in closed.collect())
+    assert runs > 3 * 30 * 2000 / 20 and closed.count() <= min(23 * 23 + 2 * 23, runs / 5)
+    assert written["repeat-spans"].count() == 90
+    assert spark.conf.get(scratch.CLEANUP, "false") == "false"
+
+
+def test_packed_runs_come_back():
+    r = random.Random(2)
+    for n in (0, 1, 5, 3000):
+        ids = np.sort(np.array([r.choice([-(2**63), 2**63 - 1, 0, r.randrange(2**40)]) for _ in range(n)], np.int64))
+        lo, more = np.array([r.randrange(2**32) for _ in range(n)], np.int64), np.array([r.randrange(256) for _ in range(n)], np.int64)
+        for x, y in zip(substrings.unpack_runs(substrings.pack_runs(ids, lo, more)), (ids, lo, more), strict=True):
+            assert x.tolist() == y.tolist()
+        ids, lo = ids % 7, lo % 3000
+        want = {(i, p) for i, a, m in zip(ids.tolist(), lo.tolist(), more.tolist(), strict=True) for p in range(a, a + m + 1)}
+        got = [(i, p) for i, a, m in zip(*(x.tolist() for x in substrings.joined(ids, lo, more)), strict=True) for p in range(a, a + m + 1)]
+        assert len(got) == len(set(got)) and set(got) == want
