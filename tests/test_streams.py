@@ -143,3 +143,50 @@ def test_few_rows_get_few_stores(spark, tmp_path):
     # Stores grow with the rows, and every core has one unless the session has fewer partitions.
     least = min(int(before), spark.sparkContext.defaultParallelism)
     assert mon.store_partitions(spark, 10) == least and mon.store_partitions(spark, 50 * mon.STORE_ROWS + 1) == 51
+
+
+CALLS = "job_id long, ts timestamp, call_id long, cost_usd double, budget_usd double"
+
+
+def test_many_jobs_share_a_key_of_the_state(spark, tmp_path):
+    """Alerts of many jobs equal the plain loop, with calls delivered twice, without a job or a budget, and a hot job; state is kept by group."""
+    r = random.Random(9)
+    calls, n = [], 0
+    for job in [None, *range(2**60, 2**60 + 60)]:
+        for s in sorted(r.sample(range(80_000), 700 if job == 2**60 else r.randrange(1, 25))):
+            n += 1
+            calls.append((job, at(s), n, r.randrange(1, 50) / 64, r.choice([2.0, 4.0, 100.0]) if job is None or job % 7 else None))
+    calls.sort(key=lambda c: c[1])
+    arrived = [c for c in calls for _ in range(2 if c[2] % 5 == 0 else 1)]
+    r.shuffle(early := arrived[: len(arrived) // 2])
+    far = (-1, at(10_000_000), n + 1, 0.0, 1.0)
+    out, late = batches(spark, tmp_path, CALLS, [early, arrived[len(arrived) // 2 :], [far]], lambda df: mon.budget_alerts(df, idle_s=86_400, groups=4))
+    want, state = set(), {}
+    for job, _, call, cost, budget in calls:
+        total, level = state.get(job, (0.0, 0))
+        total += cost
+        for k, (share, name) in enumerate(((0.8, "budget.warning"), (1.0, "budget.blocked")), start=1):
+            if level < k and budget is not None and total >= budget * share:
+                level = k
+                want.add((job, call, name, total))
+        state[job] = total, level
+    assert late == 0 and {tuple(x) for x in out.collect()} == want and {x[0] for x in want} > {None, 2**60 + 1}
+    # Jobs are held by group; all but the last one, which still waits, are idle by now and let go.
+    held = spark.read.format("statestore").option("path", f"{tmp_path}/state").option("operatorId", 0)
+    held = held.option("stateVarName", "jobs").load()
+    left = [mon.pa.ipc.open_stream(bytes(x["value"]["data"])).read_all().to_pylist() for x in held.select("value").collect()]
+    assert [(x["job_id"], x["total"]) for group in left for x in group] == [(-1, 0.0)]
+
+
+def test_idle_jobs_of_a_group_are_forgotten(spark, tmp_path):
+    call = lambda job, n, s, usd: (job, at(s), n, usd, 10.0)
+    # The watermark is an hour behind. Job 1 is silent for more than a day while job 2 goes on, then starts from nothing.
+    slices = [[call(1, 1, 0, 7.0), call(2, 2, 0, 7.0)], [call(2, 3, 60_000, 0.5)], [call(2, 4, 120_000, 0.25)], [call(2, 5, 130_000, 0.125)]]
+    slices += [[call(1, 6, 130_500, 2.0), call(2, 7, 130_500, 0.5)], [call(-1, 9, 10_000_000, 0.0)]]
+    out, late = batches(spark, tmp_path, CALLS, slices, lambda df: mon.budget_alerts(df, idle_s=86_400, groups=1))
+    assert late == 0 and [tuple(x) for x in out.collect()] == [(2, 7, "budget.warning", 8.375)]
+
+
+def test_groups_grow_with_the_calls(spark):
+    least = mon.job_groups(spark, 10)
+    assert least == 4 * mon.store_partitions(spark, 0) and mon.job_groups(spark, 1000 * mon.GROUP_ROWS + 1) == 1001
