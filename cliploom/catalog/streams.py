@@ -19,8 +19,8 @@ FILE_ROWS = 1_000_000
 def run_slices(df, at: str, operator, closing: bool = False):
     """Let ``df`` arrive in SLICES slices in the order of ``at``, rows of a slice in no order, and run ``operator`` on them.
 
-    A slice is FILES files, more where they would hold over FILE_ROWS rows, and one micro-batch.  ``closing`` adds a far later row of job -1 as a last slice, which lets the
-    watermark pass the end.
+    A slice is FILES files, more where they would hold over FILE_ROWS rows, and one micro-batch.  ``closing`` adds a far later
+    row of job -1 as a last slice, which lets the watermark pass the end.
     """
     spark = df.sparkSession
     root = f"{scratch_dir(spark)}/streams/{uuid.uuid4().hex}"
